@@ -1,12 +1,16 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
+from .bpe import op3_bpe
+from .language import op10_language
 from .lines import OP6_SQL, op6_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_language": op10_language,
 }
 ORACLE = {"op4_mixing": OP4_SQL, "op6_line_dedup": OP6_SQL}
