@@ -4,9 +4,11 @@ from .bpe import op3_bpe
 from .language import op10_language
 from .lines import OP6_SQL, op6_line_dedup
 from .mixing import OP4_SQL, op4_mixing
+from .secrets import op2_secrets
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,
