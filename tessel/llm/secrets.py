@@ -17,10 +17,11 @@ from .common import documents
 SCOPE = 200
 
 #: Strong patterns, in the order of their kinds: regular expression, group that must be long, characters that it must have.
+#: Where a match is one run of a class, the least length stands in the pattern: a shorter run can hold no match either way.
 STRONG = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]+", 0, 24),
+    "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
+    "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 #: Weak patterns: regular expression, part of a credential that it may be.
 WEAK = {
