@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from .bpe import op3_bpe
+from .fertility import op7_quality
 from .language import op10_language
 from .lines import OP6_SQL, op6_line_dedup
+from .media import op8_media
 from .mixing import OP4_SQL, op4_mixing
 from .secrets import op2_secrets
 from .simhash import op9_simhash
@@ -12,6 +14,8 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
+    "op8_media": op8_media,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
 }
