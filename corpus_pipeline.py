@@ -3,11 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessel.llm import bpe, language, lines, mixing, simhash
 from tessel.llm.common import saved, shared_dir
 
+#: A document is rejected if no language is found, or if the best one has less than this probability.
+MIN_SCORE = 0.5
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-STAGES = []
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; lang holds it from here on."""
+    model = language.train(docs.where(~language.held_out()))
+    found = language.identify(docs, model)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that a smaller document holds too."""
+    found = lines.dedup_lines(docs)
+    return found.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group."""
+    found = simhash.near_duplicates(docs)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeated(mixing.mix_sources(docs)).select(COLUMNS)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, with what decoding them gives as a digest."""
+    path = bpe.vocabulary_path()
+    coded = bpe.encode_documents(docs.select("doc_id", "text", "lang", "source"), path).drop("text")
+    back = bpe.decode_documents(coded, path)
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("lines", drop_repeated_lines),
+    ("near-copies", keep_one_of_near_copies),
+    ("mix", mix),
+    ("tokens", tokenise),
+]
+#: Fingerprints, components and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -19,8 +19,8 @@ from .common import documents, small_batches
 
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS, WINDOW = 50, 50, "#*$%&|<>", 3
-#: Distinct words that a worker remembers, and the longest remembered one in bytes (longer ones are split anew).
-MEMO, LONG_WORD = 150_000, 64
+#: Distinct words that a worker remembers; beyond that it starts anew.
+MEMO = 300_000
 #: Words from which on the entropy band holds.
 ENTROPY_WORDS = 50
 #: Bands by script: least and most characters per token (piece, byte vocabulary), most byte-fallback share, least entropy in bits.

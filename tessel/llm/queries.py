@@ -8,11 +8,13 @@ from .media import op8_media
 from .mixing import OP4_SQL, op4_mixing
 from .secrets import op2_secrets
 from .simhash import op9_simhash
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
