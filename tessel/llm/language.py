@@ -23,7 +23,7 @@ _LETTERS = regex.compile(r"\p{L}+")
 
 
 class Model:
-    """Log frequencies: word or n-gram -> one value for each language."""
+    """Log frequencies of words and n-grams: rows by name, one column for each language."""
 
     def __init__(self, counts: dict[str, dict[str, int]]) -> None:
         """counts: language -> word -> occurrences."""
@@ -42,14 +42,12 @@ class Model:
             self.grams[size] = self._table(own)
         self.none = np.zeros(n)
 
-    def _table(self, counts: list[dict[str, int]]) -> dict[str, np.ndarray]:
-        known = set().union(*counts) if counts else set()
-        rows = {w: k for k, w in enumerate(known)}
+    def _table(self, counts: list[dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        rows = {w: k for k, w in enumerate(sorted(set().union(*counts)))}
         table = np.full((len(rows), len(counts)), SMOOTHING)
         for j, own in enumerate(counts):
             table[[rows[w] for w in own], j] += np.fromiter(own.values(), float, len(own))
-        table = np.log(table / table.sum(axis=0, keepdims=True)) if len(rows) else table
-        return {w: table[k] for w, k in rows.items()}
+        return rows, np.log(table / table.sum(axis=0, keepdims=True)) if len(rows) else table
 
     @staticmethod
     def grams_of(word: str, size: int) -> list[str]:
@@ -59,12 +57,13 @@ class Model:
     def word_score(self, word: str) -> np.ndarray:
         """The word's log frequencies if it is known in any language, else the mean over its n-grams of the longest size
         of which any is known, else none."""
-        if (found := self.words.get(word)) is not None:
-            return found
+        rows, table = self.words
+        if (k := rows.get(word)) is not None:
+            return table[k]
         for size in range(LONGEST, 0, -1):
-            table = self.grams[size]
-            if known := [table[g] for g in self.grams_of(word, size) if g in table]:
-                return np.mean(known, axis=0)
+            rows, table = self.grams[size]
+            if known := [rows[g] for g in self.grams_of(word, size) if g in rows]:
+                return table[known].mean(axis=0)
         return self.none
 
 
