@@ -8,9 +8,11 @@ from .media import op8_media
 from .mixing import OP4_SQL, op4_mixing
 from .secrets import op2_secrets
 from .simhash import op9_simhash
+from .substrings import op1_substrings
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
