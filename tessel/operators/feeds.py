@@ -19,7 +19,11 @@ SOURCE_RANK = {"published": 2, "asr": 1}
 def parse_terms(raw: str | Sequence[str] | None) -> list[str]:
     """Terms of a list or a comma list: trimmed, repeats without case dropped, the first spelling kept."""
     parts = raw.split(",") if isinstance(raw, str) else list(raw or [])
-    return list({p.strip().lower(): p.strip() for p in reversed(parts) if p.strip()}.values())[::-1]
+    first: dict[str, str] = {}
+    for p in map(str.strip, parts):
+        if p:
+            first.setdefault(p.lower(), p)
+    return list(first.values())
 
 
 def haystack(title: Column, categories: Column, author: Column, notes: Column) -> Column:
