@@ -22,12 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, saved, shared_dir, small_batches
 
 #: Words of the lexicon at most; with at most MAX_WORD bytes each this bounds what is broadcast.
-LEXICON, MAX_WORD = 32_768, 48
+LEXICON, MAX_WORD = 65_536, 48
+#: Occurrences from which on a word may go into the lexicon.
+LEAST = 8
 #: Words whose ids a worker remembers; beyond that it starts anew.
-MEMO = 200_000
+MEMO = 400_000
 #: Fixed value: how the format splits text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Letters with at most one space before: what the lexicon holds.
@@ -71,13 +73,16 @@ class Vocabulary:
         return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best = min((merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in merges) if any(p in merges for p in zip(ids, ids[1:])) else None
-            if best is None:
-                break
-            k = best[1]
-            ids[k : k + 2] = [merges[ids[k], ids[k + 1]][1]]
+        pair, none = self.merges.get, (1 << 30, 0)
+        found = [pair(p, none) for p in zip(ids, ids[1:])]
+        while found and (best := min(found)) is not none:
+            k = found.index(best)
+            ids[k : k + 2] = [best[1]]
+            del found[k]
+            if k < len(found):
+                found[k] = pair((ids[k], ids[k + 1]), none)
+            if k:
+                found[k - 1] = pair((ids[k - 1], ids[k]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -247,9 +252,21 @@ class Codec:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", size: int = LEXICON) -> DataFrame:
-    """(word, n): the words of most occurrences over all documents, ties by word."""
+    """(word, n): at most `size` words, those of the most occurrences over all documents.
+
+    All words of some count or none are taken, so that no task or driver has to order more than it returns: the lowest
+    count comes from a table of counts in classes of an eighth of a power of two.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(LEXICON_WORD), F.lit(0))).alias("word"))
-    return words.where(F.octet_length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    counted = words.where(F.octet_length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    counted = saved(counted.withColumn("class", F.floor(F.log2("n") * 8).cast("int")), shared_dir(docs.sparkSession), "words")
+    least, left = None, size
+    for r in sorted(counted.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["class"]
+    return counted.where(F.col("class") >= least if least is not None else F.lit(False)).select("word", "n")
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON) -> bytes:
