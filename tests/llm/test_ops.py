@@ -1,0 +1,427 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessel.llm import bpe, common, fertility, graph, language, lines, media, mixing, queries, secrets, simhash, substrings, toxicity, transform
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Prose, exact and near copies, shared passages and lines, secrets, nulls, empties, a repeated row, a long text."""
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shared, line = prose(60), "The very same line of text"
+    rows = []
+    for k in range(60):
+        text = prose(r.randrange(5, 120))
+        if k % 5 == 0:
+            text = text[:40] + shared + text[40:]
+        if k % 4 == 0:
+            text += f"\n  {line if k % 8 else line.upper()}\t\n" + prose(8)
+        if k % 7 == 0:
+            text += f'\npassword = "{prose(1)}{k}xyzzy" and token:abc AKIA{"X" * 16}Q é {"0123456789abcdef" * 2}'
+        rows.append((k, text, "en", f"src{k % 4}", None))
+    copy = prose(150)
+    rows += [(100 + k, copy, "en", "src0", None) for k in range(12)]
+    rows += [(200 + k, " ".join(w if i != 7 * k else "changed" for i, w in enumerate(copy.split())), "en", "src1", None) for k in range(8)]
+    rows += [(300, None, "en", None, None), (301, "", None, "src0", 0), (302, "\n \n", "en", None, None), (303, "ab" * 400, "en", "src2", None), (304, " ".join(words) * 12, "en", "src2", None), (0, rows[0][1], "en", "src0", None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    df = spark.createDataFrame(corpus, DOCS).repartition(3)
+    return df.withColumns({"text2": F.lit("x"), "fp": F.lit(1), "kept": F.lit(2), "size": F.lit(3), "ids": F.lit(4), "score": F.lit(5), "bucket": F.lit(6)})  # names that operators use themselves
+
+
+def texts_of(corpus):
+    return {k: t or "" for k, t, *_ in corpus}
+
+
+def digest(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+def test_folders(tmp_path, spark):
+    assert common.shared_dir(spark) != common.shared_dir(spark)
+
+
+# ---- 1
+
+
+def brute_windows(texts, n):
+    seen, out = set(), []
+    for i, t in enumerate(texts):
+        for a in range(len(t) - n + 1):
+            out += [(i, a)] if t[a : a + n] in seen else []
+            seen.add(t[a : a + n])
+    return out
+
+
+@pytest.mark.parametrize("block", [64, 1 << 21])
+def test_transform(block, monkeypatch):
+    monkeypatch.setattr(transform, "BLOCK", block)
+    r = random.Random(block)
+    for _ in range(60):
+        texts = [bytes(r.choice(b"ab\x00c") for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(0, 12))] + [b"a" * 50] * (r.random() < 0.3)
+        n = r.choice([1, 2, 3, 5, 12])
+        assert list(zip(*(x.tolist() for x in transform.repeated_windows(texts, n)))) == brute_windows(texts, n)
+        rows = sorted((t[k:] + bytes([0]) if False else tuple(b + 1 for b in t[k:]) + (0,), i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
+        want = [0 if k == 0 else texts[i][k - 1] for _, i, k in sorted(rows, key=lambda x: (x[0], x[1]))]
+        code = {b: c for c, b in enumerate(sorted({b for t in texts for b in t}), 1)}
+        starts = [k == 0 for _, i, k in sorted(rows, key=lambda x: (x[0], x[1]))]
+        if texts:
+            assert transform.transform(texts).tolist() == [0 if s else code[w] for w, s in zip(want, starts)]
+
+
+@pytest.mark.parametrize("block,collection", [(12000, 4000), (4, 3)])
+def test_substrings(spark, docs, corpus, block, collection, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    got = substrings.dedup_substrings(docs).collect()
+    texts = texts_of(corpus)
+    gone, seen = {}, set()
+    for k in sorted(texts):
+        b = texts[k].encode()
+        g = bytearray(len(b))
+        for a in range(len(b) - 99):
+            if b[a : a + 100] in seen:
+                g[a : a + 100] = b"\1" * 100
+            seen.add(b[a : a + 100])
+        gone[k] = g
+    assert len(got) == len(corpus) and sum(map(sum, gone.values())) > 1000
+    for r in got:
+        b, g = texts[r.doc_id].encode(), gone[r.doc_id]
+        want = len(b), sum(g), len(re.findall(b"\1+", bytes(g))), bytes(c for c, x in zip(b, g) if not x)
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want
+
+
+def test_segments_cover_all_windows():
+    r = random.Random(2)
+    for text in (b"a" * 500, b"ab" * 300, bytes(r.choice(b"abcd") for _ in range(3000)), b"x" * 99, b"x" * 100):
+        start, windows, bucket, again = substrings.segments(text)
+        assert [s for a, n in zip(start, windows) for s in range(a, a + n)] == list(range(max(0, len(text) - 99)))
+        assert all(n <= substrings.SPAN for n in windows)
+
+
+# ---- 2
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(t):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def test_secrets(spark, docs, corpus):
+    got = secrets.scan(docs).collect()
+    assert len(got) == len(corpus)
+    for r in got:
+        want = [(a, b, secrets.KINDS[k]) for a, k, b in base_spans(texts_of(corpus)[r.doc_id])]
+        assert [(s.start, s.end, s.kind) for s in r.spans if s.kind in secrets.STRONG] == want
+
+
+def test_weak_parts_need_each_other(spark):
+    key, secret, url = "ABCDEFGHIJKLMNOP12", "aB3" * 12, "https://s3.example.com"
+    far = " word" * 80
+    cases = {1: f"{key} {secret}", 2: f"{key} {far} {secret}", 3: url, 4: f"{secret} {url} {key}", 5: "secret: token:abcdefgh", 6: f"{key} {key}", 7: f"{url} {secret}"}
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ["weak_id", "weak_secret"], 2: [], 3: [], 4: ["weak_secret", "endpoint", "weak_id"], 5: [], 6: [], 7: []}
+
+
+# ---- 3
+
+
+def test_codec_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    v, t = bpe.Vocabulary(path), Tokenizer.from_file(path)
+    r = random.Random(1)
+    pool = [*"abcde  \n\t'sdtl01éñ漢🙂\u0085\x1c\x00,.<|>", "<|endoftext|>", "'re", "̀", "½", "ß"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(800)] + ["a" * 3000, "ab" * 800, "", " " * 300, "étaoin" * 40]
+    words = {w.encode() for x in texts[:300] for w in v.words.findall(x)}
+    codec = bpe.Codec(v, bpe.Lexicon(bpe.compile_lexicon({w: v.merge(w) for w in words})))
+    for x, own in zip(texts, codec.encode(texts)):
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert own == ids and codec.decode(ids) == t.decode(ids, skip_special_tokens=False)
+
+
+def test_lexicon_is_minimal_and_exact():
+    entries = {w.encode(): [k, k + 1] for k, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops"])}
+    lexicon = bpe.Lexicon(bpe.compile_lexicon(entries))
+    assert len(lexicon.final) == 7  # start, s, st, one state each before and after the vowel, p, end
+    assert [lexicon.ids_of(n) for n in lexicon.find(list(entries)).tolist()] == list(entries.values())
+    assert lexicon.find([b"", b"ta", b"tapss", b"x"]).tolist() == [-1] * 4
+    assert bpe.Lexicon(bpe.compile_lexicon({})).find([b"a"]).tolist() == [-1]
+
+
+def test_bpe_on_spark(spark, docs, corpus):
+    path = bpe.vocabulary_path()
+    back = bpe.decode_documents(bpe.encode_documents(docs, path, size=50), path).select("doc_id", "text", "decoded", F.size("ids").alias("n")).collect()
+    assert len(back) == len(corpus) and all(r.decoded == (r.text or "") for r in back)
+
+
+# ---- 4
+
+
+def fill_up(sizes):
+    """Targets by sharing again until none is above."""
+    total = 1.5 * sum(sizes.values())
+    names = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+    stopped = set()
+    while True:
+        left = total - sum(2 * sizes[k] for k in stopped)
+        unit = left / max(1e-300, sum(weight[k] for k in names if k not in stopped))
+        over = {k for k in names if k not in stopped and unit * weight[k] > 2 * sizes[k]}
+        if not over:
+            return {k: 2.0 * sizes[k] if k in stopped else unit * weight[k] for k in names}
+        stopped |= over
+
+
+def test_mixing(spark, docs, corpus):
+    got = mixing.mix_sources(docs).collect()
+    sizes = {}
+    for _, t, _, s, _ in corpus:
+        sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    want = fill_up(sizes)
+    assert len(got) == len(corpus)
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.copies <= 2
+        assert int(np.floor(r.target / max(r.source_size, 1))) <= r.copies
+    assert mixing.repeated(mixing.mix_sources(docs)).count() == sum(r.copies for r in got)
+    again = {r.doc_id: r.copies for r in mixing.mix_sources(docs.repartition(7)).collect()}
+    assert again == {r.doc_id: r.copies for r in got}
+
+
+def test_mixing_comes_near_the_targets(spark):
+    many = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    sums = mixing.mix_sources(many).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.03 for r in sums)
+
+
+# ---- 5
+
+
+def test_chain_learns_and_feeds_forward(spark):
+    r = random.Random(4)
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)]
+    rows = []
+    for k in range(600):
+        bad, odd = k % 4 == 0, k % 3 == 0
+        text = " ".join(r.choice(words) for _ in range(30)) + (" idiot scum" if bad else "") + (" junk spam" if odd else "")
+        rows.append((k, text, 0 if odd else 1, int(bad)))
+    all_ = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    chain = toxicity.train(all_.where("doc_id % 5 <> 0"), all_.select("doc_id", "quality", "toxic").unionByName(spark.createDataFrame([(None, 1, 1), (7, None, 0)], "doc_id long, quality int, toxic int")))
+    assert [len(m.extra) for m in chain.models] == [0, 1]
+    held = toxicity.score(all_.where("doc_id % 5 = 0"), chain).collect()
+    assert np.mean([(x.p_toxic >= 0.5) == bool(x.toxic) for x in held]) >= 0.95
+    edge = toxicity.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), chain).collect()
+    assert len(edge) == 2 and edge[0].p_toxic == edge[1].p_toxic < 0.5
+    none = toxicity.train(all_, all_.select("doc_id", "quality", "toxic").limit(0))
+    assert toxicity.score(all_.limit(3), none).agg(F.max("p_toxic")).first()[0] < 0.01
+
+
+# ---- 6
+
+
+def test_perfect_hash():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 50, 5000):
+        keys = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        assert sorted(lines.PerfectHash.build(keys).slots(keys).tolist()) == list(range(keys.size))
+
+
+@pytest.mark.parametrize("shard", [2, 500_000])
+def test_lines(spark, docs, corpus, shard):
+    texts = texts_of(corpus)
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for d, t in texts.items():
+        for x in t.split("\n"):
+            holders.setdefault(key(x), set()).add(d)
+    got = lines.dedup_lines(docs, min_size=shard).collect()
+    assert len(got) == len(corpus) and any(r.n_dropped for r in got)
+    for r in got:
+        own = texts[r.doc_id].split("\n")
+        stay = [x for x in own if not (len(key(x)) >= 10 and len(holders[key(x)]) > 1 and min(holders[key(x)]) != r.doc_id)]
+        assert (r.n_lines, r.n_dropped, r.kept) == (len(own), len(own) - len(stay), "\n".join(stay))
+
+
+# ---- 7
+
+
+def test_base_rules(docs, corpus):
+    texts = texts_of(corpus)
+    for r in fertility.quality(docs).collect():
+        t = texts[r.doc_id]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        places = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)} if len(w) < 1500 else None
+        own = [x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r")]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(own) - len(set(own)))
+        if places is not None:
+            assert r.n_repeat_words == len(places) and r.base_failed == (len(w) < 50 or 100 * len(places) > 50 * len(w))
+        assert not (r.base_failed and r.kept)
+
+
+def test_fertility_tells_prose_from_noise(spark):
+    prose = "It was a bright cold day in April, and the clocks were striking thirteen while people walked home along the quiet river, talking about the weather, the harvest, old friends and what they would cook that evening for everyone who came by. " * 1 + "Nobody knew then how long the winter would last."
+    noise = " ".join("".join(chr(0x1F300 + (i * 7 + j) % 200) for j in range(5)) for i in range(60))
+    same = " ".join(["aa", "ab", "ba"] * 1 + [f"a{'ab'[i % 2]}" for i in range(60)])
+    rows = spark.createDataFrame([(1, prose), (2, noise), (3, same)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fertility.quality(rows).collect()}
+    assert not got[1].base_failed and got[1].kept and got[1].chars_per_piece > 3
+    assert got[2].fallback_share > 0.3 and not got[2].base_failed and got[2].chars_per_piece < 1
+    assert not got[3].kept
+
+
+# ---- 8
+
+
+def test_png_round_trip_and_checks(docs, corpus):
+    stored = media.store_text(docs.select("doc_id", "text"))
+    read = media.tail_checksums(media.read_media(stored)).collect()
+    for r in read:
+        raw = (r.text or "").encode()
+        want = raw + b"\xff" * (-len(raw) % 576 or (576 if not raw else 0))
+        assert (bytes(r.payload), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (want, len(raw), len(want), digest(want), zlib.crc32(want[-32:]), None)
+
+
+def test_png_filters_of_others():
+    r = np.random.default_rng(1)
+    rows = r.integers(0, 256, (12, 30), dtype=np.uint8)
+    for step in (1, 3):
+        out, zero = [], np.zeros(30, int)
+        for y in range(12):
+            kind, up, x = y % 5, rows[y - 1].astype(int) if y else zero, rows[y].astype(int)
+            left, corner = np.concatenate((np.zeros(step, int), x[:-step])), np.concatenate((np.zeros(step, int), up[:-step]))
+            p = left + up - corner
+            d = np.stack([abs(p - left), abs(p - up), abs(p - corner)])
+            paeth = np.choose(d.argmin(axis=0), [left, up, corner])
+            guess = [zero, left, up, (left + up) // 2, paeth][kind]
+            out.append(np.concatenate(([kind], (x - guess) % 256)).astype(np.uint8))
+        assert (media.unfilter(np.array(out), step) == rows).all()
+
+
+def test_damaged_files(spark):
+    good = media.encode_png(np.arange(576, dtype=np.uint8).reshape(1, 576))
+    bad = bytearray(good)
+    bad[40] ^= 1
+    rows = [(1, good), (2, bytes(bad)), (3, good[:-5]), (4, b""), (5, None), (6, b"GIF89a")]
+    got = {r.doc_id: r for r in media.read_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].error is None and all(got[k].payload is None and got[k].error for k in range(2, 7))
+
+
+def test_cosine_hash_moves_little_with_noise():
+    a = np.kron(np.random.default_rng(3).integers(0, 256, (8, 8)), np.ones((8, 8))).astype(np.uint8)
+    b = np.clip(a.astype(int) + np.random.default_rng(0).integers(-6, 7, a.shape), 0, 255).astype(np.uint8)
+    differ = lambda p, q: bin(int(p, 16) ^ int(q, 16)).count("1")
+    assert differ(media.cosine_hash(a), media.cosine_hash(b)) < 16 < differ(media.cosine_hash(a), media.cosine_hash(a.T[::-1]))
+
+
+# ---- 9
+
+
+def brute_fingerprint(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
+    grams = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def classes(prints):
+    """Smallest id reachable over fingerprints that differ in four bits or fewer."""
+    root = {k: k for k in prints}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in prints:
+        for b in prints:
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in prints}
+
+
+def test_near_duplicates(docs, corpus):
+    texts = texts_of(corpus)
+    prints = {k: brute_fingerprint(t) for k, t in texts.items()}
+    want = classes(prints)
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(corpus)
+    assert all((r.fp % 2**64, r.component_id) == (prints[r.doc_id], want[r.doc_id]) for r in got)
+    assert len({want[k] for k in range(100, 112)}) == 1
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_links_lose_none(spark, block):
+    r = np.random.default_rng(block)
+    base = r.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = {int(b) for b in base}
+    for b in base:
+        for _ in range(40):
+            x = int(b)
+            for bit in r.choice(64, r.integers(1, 7), replace=False):
+                x ^= 1 << int(bit)
+            fps.add(x)
+    nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    found = graph.components(simhash.links(nodes, block=block), common.shared_dir(spark)).collect()
+    label = {r.node % 2**64: r.label for r in found}
+    want = classes(dict(zip(sorted(fps), sorted(fps))))
+    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
+    assert groups({k: label.get(k, k) for k in fps}) == groups(want)
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = graph.components(edges.unionByName(spark.createDataFrame([(900, 901), (5, 5)], "a long, b long")), common.shared_dir(spark)).collect()
+    assert len({r.label for r in got if r.node <= 300}) == 1 and len({r.label for r in got}) == 2
+
+
+# ---- 10
+
+
+def test_language(spark):
+    words = {"en": "the and of that with house water never friend today", "de": "der und das nicht haus wasser immer freund heute schön", "fr": "le et que dans maison toujours ami aujourd eau été"}
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choice(words[lang].split()) for _ in range(12)), lang, "s", 0) for k in range(300) for lang in [list(words)[k % 3]]]
+    rows += [(1000, None, "en", "s", 0), (1001, "12 34 !!", "en", "s", 0), (1002, "", None, None, 0), (1003, "Wasserhäuser Freunden", None, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r for r in language.identify(docs.withColumn("score", F.lit(9)), language.train(docs.where(~language.held_out()))).collect()}
+    assert len(found) == len(rows)
+    assert all(found[k].lang_pred == ["en", "de", "fr"][k % 3] and 0 <= found[k].score <= 1 for k in range(300))
+    assert [found[k].lang_pred for k in (1000, 1001, 1002)] == ["und"] * 3 and found[1003].lang_pred == "de"
+    assert docs.withColumn("h", language.held_out()).where("doc_id = 7").first().h == (zlib.crc32(b"7") % 5 == 0)
+    assert {r.lang_pred for r in language.identify(docs, language.Model({})).collect()} == {"und"}
+
+
+# ---- all
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9"])
+def test_empty_tables(spark, name):
+    none = spark.createDataFrame([], DOCS)
+    run = {
+        "op1": substrings.dedup_substrings, "op2": secrets.scan, "op3": lambda d: bpe.round_trip(d, bpe.vocabulary_path()), "op4": mixing.mix_sources, "op6": lines.dedup_lines,
+        "op7": fertility.quality, "op8": lambda d: media.read_media(media.store_text(d)), "op9": simhash.near_duplicates,
+    }[name]
+    assert run(none).count() == 0
+
+
+def test_all_are_registered():
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] or len(queries.QUERIES) == 10
