@@ -44,7 +44,7 @@ scored AS (
   SELECT query, {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM postings JOIN df USING (term) JOIN asked USING (term), totals GROUP BY ALL HAVING score > 0
 ), keyword AS (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, {key}) - 1 AS rank FROM scored QUALIFY rank < {k}
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, {key}) - 1 AS rank FROM scored QUALIFY rank < {k}
 ){tail}"""
 
 
@@ -104,7 +104,7 @@ asked_v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS query, embedding F
 near AS (
   SELECT q.query, e.vec_id, e.label, {_COS} AS score FROM embeddings e, asked_v q
 ), vector AS (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) - 1 AS rank FROM near QUALIFY rank < 20
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM near QUALIFY rank < 20
 )"""
 
 
@@ -140,7 +140,7 @@ WITH {_VECTOR.replace('FROM embeddings e, asked_v', 'FROM (SELECT * FROM embeddi
 {bm25_sql(_ASKED, _HYBRID, 'vec_id', 12, '')},
 lists AS (SELECT query AS list, vec_id, rank FROM vector UNION ALL SELECT query + {len(VECTOR_IDS)}, vec_id, rank FROM keyword),
 fused AS (SELECT vec_id, {_FUSE} FROM lists GROUP BY vec_id)
-SELECT vec_id, round(score, 6) AS score FROM fused ORDER BY fused.score DESC, first LIMIT 12""")
+SELECT vec_id, round(score, 6) AS score FROM fused ORDER BY round(fused.score, 9) DESC, first LIMIT 12""")
 def hybrid_rrf(spark, sf_dir):
     found = R.retrieve(_hybrid(spark, sf_dir), "hybrid", TEXTS, _vectors(spark, sf_dir), "m", 12, "vec_id")
     return found.select("vec_id", F.round("score", 6).alias("score"))
@@ -150,7 +150,7 @@ def hybrid_rrf(spark, sf_dir):
 WITH {_VECTOR.replace('rank < 20', 'rank < 10')},
 lists AS (SELECT query AS list, vec_id, rank FROM vector),
 fused AS (SELECT vec_id, {_FUSE} FROM lists GROUP BY vec_id)
-SELECT vec_id, round(score, 6) AS score FROM fused ORDER BY fused.score DESC, first LIMIT 9""")
+SELECT vec_id, round(score, 6) AS score FROM fused ORDER BY round(fused.score, 9) DESC, first LIMIT 9""")
 def fuse_corpora(spark, sf_dir):
     have = table(spark, sf_dir, "embeddings")
     found = [R.vector_search(have, [v], 10, "vec_id") for v in _vectors(spark, sf_dir)]
@@ -160,11 +160,11 @@ def fuse_corpora(spark, sf_dir):
 @query(f"""
 WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_IDS[0]}),
 scored AS (SELECT e.vec_id, greatest({_COS}, 0) * (1 + 0.35 * ((e.vec_id % 10 + 1) - 5) / 5) AS score FROM embeddings e, q)
-SELECT vec_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, vec_id LIMIT 18""")
+SELECT vec_id, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, vec_id LIMIT 18""")
 def memory_weight_rerank(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings").withColumn("meta", F.to_json(F.struct((F.col("vec_id") % 10 + 1).alias("weight"))))
     scored = R.weighted(own.withColumn("score", cosine(F.col("embedding"), constant(_vectors(spark, sf_dir)[0]))))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(18).select("vec_id", F.round("score", 6).alias("score"))
+    return scored.orderBy(F.round("score", 9).desc(), "vec_id").limit(18).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH " + CHUNKS_SQL + " SELECT source_type, source_id, count(*) AS n FROM chunks GROUP BY ALL")
