@@ -142,3 +142,32 @@ def common_models(models: DataFrame) -> DataFrame:
 def unreferenced(images: DataFrame, live: DataFrame, now: float, age: float = 3600.0) -> DataFrame:
     """Images that nothing refers to and that are old enough to go."""
     return images.where(F.col("ts") <= now - age).join(live.select("id").distinct(), "id", "left_anti")
+
+
+def covered(advertised: Column, transcript: Column, source: Column, known_url: Column, missing: Column, wants_asr: Column) -> Column:
+    """Whether a cached entry answers an ask: a new published address that is not the cached one does not; any transcript
+    does; what is known to be missing answers only asks without speech recognition."""
+    fresh = (F.coalesce(advertised, F.lit("")) != "") & ~advertised.eqNullSafe(known_url) & ~source.eqNullSafe(F.lit("published"))
+    return F.when(fresh, False).when(F.coalesce(transcript, F.lit("")) != "", True).otherwise(F.coalesce(missing, F.lit(False)) & ~wants_asr)
+
+
+def merge_video(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, title, transcript, comments) after a write: both halves on their own, never shorter than before; a placeholder
+    title does not replace a real one."""
+    both = old.select("id", *[F.col(c).alias(f"o_{c}") for c in ("title", "transcript", "comments")]).join(new.select("id", *[F.col(c).alias(f"n_{c}") for c in ("title", "transcript", "comments")]), "id", "full_outer")
+    real = (F.coalesce("n_title", F.lit("")) != "") & (F.col("n_title") != F.col("id"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(-1))
+    return both.select(
+        "id", F.when(real, F.col("n_title")).otherwise(F.coalesce("o_title", "n_title")).alias("title"),
+        F.when(F.coalesce("n_transcript", F.lit("")) != "", F.col("n_transcript")).otherwise(F.col("o_transcript")).alias("transcript"),
+        F.when(size("n_comments") >= size("o_comments"), F.col("n_comments")).otherwise(F.col("o_comments")).alias("comments"),
+    )
+
+
+def cache_stats(entries: DataFrame) -> DataFrame:
+    return entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("transcript")), F.lit(0)).alias("bytes"), F.count_if(F.col("source") == "asr").alias("transcribed"))
+
+
+def changed_listings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Listings (feed, body) whose content is not the cached one (feed, hash)."""
+    return new.withColumn("hash", F.sha2("body", 256)).join(old.select("feed", "hash"), ["feed", "hash"], "left_anti")
