@@ -24,14 +24,23 @@ def words(text) -> Column:
     return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\s+"), lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(x) with x bound to value: worked out once for each row, however often x occurs, also within lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def word_windows(text, size: int = INLINE[0], overlap: int = INLINE[1]) -> Column:
     """Array of windows of `size` words, each `overlap` words into the one before; the last one reaches the end."""
     overlap = min(max(overlap, 0), size - 1)
-    step, own = size - overlap, words(text)
-    n = F.size(own)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(own, k * step + 1, size), " "))
+    step = size - overlap
+
+    def windows(own: Column) -> Column:
+        n = F.size(own)
+        count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
+        starts = F.when(n > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.array_join(F.slice(own, k * step + 1, size), " "))
+
+    return bound(words(text), windows)
 
 
 def content_hash(text) -> Column:
