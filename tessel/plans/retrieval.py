@@ -186,3 +186,11 @@ def ordered_hashes(spark, sf_dir):
     from tessel.operators.index import ordered_hashes as hashes
 
     return hashes(chunks(spark, sf_dir)).withColumn("hashes", F.array_join("hashes", ","))
+
+
+@query("WITH " + CHUNKS_SQL + "," + bm25_sql(_ASKED, _CORPUS, "id", 20, "") + " SELECT query, id, round(score, 6) AS score, rank FROM keyword")
+def bm25_postings(spark, sf_dir):
+    """The same search over postings, as a persisted index would answer it."""
+    from tessel.operators import postings
+
+    return postings.search(*postings.build(chunks(spark, sf_dir)), TEXTS, 20).select("query", "id", F.round("score", 6).alias("score"), "rank")

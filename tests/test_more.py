@@ -54,3 +54,15 @@ def test_coverage(spark):
     ask = lambda **k: feeds.covered(*[F.lit(k.get(c)).cast(t) for c, t in (("advertised", "string"), ("transcript", "string"), ("source", "string"), ("known", "string"), ("missing", "boolean"))], F.lit(k.get("asr", False)))
     r = spark.range(1).select(ask(advertised="u", known="v", transcript="t", source="asr"), ask(transcript="t"), ask(missing=True), ask(missing=True, asr=True), ask()).first()
     assert list(r) == [False, True, True, False, False]
+
+
+def test_postings_on_disk_answer_like_a_scan(spark, tmp_path):
+    from tessel.operators import postings
+
+    rows = spark.createDataFrame([("a", "the cat sat"), ("b", "The dog, the dog!"), ("c", ""), ("d", "cat's cat 9")], "id string, content string")
+    postings.write(*postings.build(rows), str(tmp_path))
+    asked = ["cat the", "dog's", " "]
+    plain = lambda df: {(r["query"], r.id, round(r.score, 9), r["rank"]) for r in df.collect()}
+    stored, totals = postings.read(spark, str(tmp_path))
+    assert plain(postings.search(stored, totals, asked)) == plain(retrieval.bm25(rows, asked)) != set()
+    assert postings.search(stored, totals, [""]).count() == 0
