@@ -29,11 +29,14 @@ LEXICON, MAX_WORD = 65_536, 48
 #: Occurrences from which on a word may go into the lexicon.
 LEAST = 8
 #: Words whose ids a worker remembers; beyond that it starts anew.
-MEMO = 400_000
-#: Fixed value: how the format splits text into words before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+MEMO = 250_000
+#: Fixed value: how the format splits text into words before merging (runs of letters first, as they are the most frequent;
+#: no other alternative can begin where they do).
+PATTERN = r""" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
 #: Letters with at most one space before: what the lexicon holds.
 LEXICON_WORD = r" ?\p{L}+"
+#: Above all ranks.
+NONE = 1 << 30
 
 
 def byte_symbols() -> list[str]:
@@ -55,8 +58,10 @@ class Vocabulary:
         vocab = spec["model"]["vocab"]
         self.byte_ids = [vocab[s] for s in symbols]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        #: (id, id) -> (rank, id of both merged)
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        #: first id << 20 | second id -> rank, and the id that a rank gives
+        self.ranks = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.merged = [vocab[a + b] for a, b in pairs]
+        self.byte_ranks = [[self.ranks.get(a << 20 | b, NONE) for b in self.byte_ids] for a in self.byte_ids]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.token_bytes = [b""] * size
@@ -69,40 +74,40 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of lowest rank, leftmost first, is merged until there is none."""
-        ids = [self.byte_ids[b] for b in word]
-        return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
+        return self._merge_short(word) if len(word) <= 48 else self._merge_long(word)
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        pair, none = self.merges.get, (1 << 30, 0)
-        found = [pair(p, none) for p in zip(ids, ids[1:])]
-        while found and (best := min(found)) is not none:
+    def _merge_short(self, word: bytes) -> list[int]:
+        rank, merged, rows, own = self.ranks.get, self.merged, self.byte_ranks, self.byte_ids
+        ids = [own[b] for b in word]
+        found = [rows[a][b] for a, b in zip(word, word[1:])]
+        while found and (best := min(found)) != NONE:
             k = found.index(best)
-            ids[k : k + 2] = [best[1]]
+            ids[k : k + 2] = [merged[best]]
             del found[k]
             if k < len(found):
-                found[k] = pair((ids[k], ids[k + 1]), none)
+                found[k] = rank(ids[k] << 20 | ids[k + 1], NONE)
             if k:
-                found[k - 1] = pair((ids[k - 1], ids[k]), none)
+                found[k - 1] = rank(ids[k - 1] << 20 | ids[k], NONE)
         return ids
 
-    def _merge_long(self, ids: list[int]) -> list[int]:
+    def _merge_long(self, word: bytes) -> list[int]:
         """The same with a heap over a linked list, as a word may be as long as its document."""
-        merges, n = self.merges, len(ids)
+        ids, n = [self.byte_ids[b] for b in word], len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merges[p][0], k, p) for k, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        heap = [(r, k) for k, (a, b) in enumerate(zip(word, word[1:])) if (r := self.byte_ranks[a][b]) != NONE]
         heapq.heapify(heap)
         while heap:
-            _, k, pair = heapq.heappop(heap)
+            rank, k = heapq.heappop(heap)
             j = after[k]
-            if ids[k] is None or j >= n or (ids[k], ids[j]) != pair:
+            if ids[k] is None or j >= n or self.ranks.get(ids[k] << 20 | ids[j]) != rank:
                 continue
-            ids[k], ids[j] = merges[pair][1], None
+            ids[k], ids[j] = self.merged[rank], None
             after[k] = after[j]
             if after[k] < n:
                 before[after[k]] = k
             for i in (before[k], k):
-                if i >= 0 and (o := after[i]) < n and (p := (ids[i], ids[o])) in merges:
-                    heapq.heappush(heap, (merges[p][0], i, p))
+                if i >= 0 and (o := after[i]) < n and (r := self.ranks.get(ids[i] << 20 | ids[o])) is not None:
+                    heapq.heappush(heap, (r, i))
         return [x for x in ids if x is not None]
 
 
@@ -221,28 +226,25 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Ids of words that are not remembered yet: from the lexicon, the rest by merging."""
-        new = list(words)
+        v = self.vocabulary
+        new = [w for w in words if w not in v.special]
         raw = [w.encode() for w in new]
         found = self.lexicon.find(raw).tolist() if self.lexicon else [-1] * len(new)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         for word, r, number in zip(new, raw, found):
-            self.memo[word] = tuple(self.lexicon.ids_of(number) if number >= 0 else self.vocabulary.merge(r))
+            self.memo[word] = tuple(self.lexicon.ids_of(number) if number >= 0 else v.merge(r))
+        self.memo.update((w, (v.special[w],)) for w in words if w in v.special)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text. New words of all texts are looked up together, in one walk over the lexicon."""
         v = self.vocabulary
-        if v.splits is not None and any(s in text for s in v.special):
-            return [k for piece in v.splits.split(text) if piece for k in ([v.special[piece]] if piece in v.special else self._plain(piece))]
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[int]:
-        words = self.vocabulary.words.findall(text)
+        split = [v.splits.split(t) if v.splits is not None and any(s in t for s in v.special) else [t] for t in texts]
+        words = [[[p] if p in v.special else v.words.findall(p) for p in pieces] for pieces in split]
+        flat = [w for pieces in words for own in pieces for w in own]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        self.learn(set(flat).difference(self.memo))
         memo = self.memo
-        if missing := set(words).difference(memo):
-            self.learn(missing)
-            if missing := set(words).difference(self.memo):  # forgotten just now
-                self.learn(missing)
-        return list(itertools.chain.from_iterable(map(memo.__getitem__, words)))
+        return [list(itertools.chain.from_iterable(memo[w] for own in pieces for w in own)) for pieces in words]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -292,7 +294,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", size: i
     The vocabulary file at `path` must be on every executor. Null or empty texts have no ids. Special tokens in a text
     get their own id, none is added. Repeated rows are encoded each; an empty table gives an empty one.
     """
-    return _per_document(docs, path, text_col, size, "ids array<int>", lambda codec, texts: [pa.array([codec.encode(t or "") for t in texts], pa.list_(pa.int32()))])
+    return _per_document(docs, path, text_col, size, "ids array<int>", lambda codec, texts: [pa.array(codec.encode([t or "" for t in texts]), pa.list_(pa.int32()))])
 
 
 def decode_documents(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -308,8 +310,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", size: int = L
     def run(codec, texts):
         n, ids_hash, text_hash = [], [], []
         names = codec.names = getattr(codec, "names", None) or [str(k) for k in range(len(codec.vocabulary.token_bytes))]
-        for t in texts:
-            ids = codec.encode(t or "")
+        for ids in codec.encode([t or "" for t in texts]):
             n.append(len(ids))
             ids_hash.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
             text_hash.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
