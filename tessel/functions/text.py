@@ -134,25 +134,27 @@ def without_data(text) -> Column:
 
 
 def punctuation_spacing(text) -> Column:
-    return F.regexp_replace(col(text), r"([.,!?;:])(?=[^\s.,!?;:\d\"')\]])", "$1 ")
+    return F.regexp_replace(col(text), r"([.,!?;:])(?=\S)", "$1 ")
 
 
 def clean_transcript(text) -> Column:
-    """Without notes, bracketed and parenthesised sounds; spaces after punctuation; single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(col(text), "[♪♫]", " "), r"\[[^\]]*\]", " ")
-    bare = F.regexp_replace(bare, r"(?i)\((?:music|applause|laughter|laughs|cheering|inaudible|sound effect)[^)]*\)", " ")
+    """Without notes, bracketed sounds, (music) and (sound effect); spaces after punctuation; single spaces."""
+    bare = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?i)[♪♫]+|\[.*?\]|\(music\)|\(sound effect\)", " ")
     return F.trim(F.regexp_replace(punctuation_spacing(bare), r"\s+", " "))
 
 
+#: The marks of Markdown that go, in this order, and what stays of them. Links go before images, so an
+#: image leaves its exclamation mark.
+MARKS = (
+    (r"(?s)```.*?```", ""), (r"`([^`]+)`", "$1"), (r"(?m)^#{1,6}\s*", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"(?<!\*)\*([^*]+)\*(?!\*)", "$1"), (r"(?<!_)_([^_]+)_(?!_)", "$1"),
+    (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"),
+)
+
+
 def strip_markdown(text) -> Column:
-    """Plain text of the usual marks: fences, headings, quotes, lists, rules, links, images, emphasis, code, tables."""
-    rules = [
-        (r"(?s)```[^\n]*\n(.*?)```", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"(?<!\*)\*([^*\n]+)\*(?!\*)", "$1"), (r"`([^`]+)`", "$1"), (r"\n{3,}", "\n\n"),
-    ]
     out = col(text)
-    for pattern, to in rules:
-        out = F.regexp_replace(out, pattern, to)
+    for pattern, stays in MARKS:
+        out = F.regexp_replace(out, pattern, stays)
     return strip(out)
 
 
@@ -174,9 +176,10 @@ def html_to_text(html) -> Column:
 
 
 def norm_lines(text) -> Column:
-    """Paragraphs of the lines that say something: three characters at least and more than an address."""
-    flat = F.regexp_replace(F.regexp_replace(col(text), "[​‌‍﻿]", ""), r"[ \t\x{A0}]+", " ")
-    lines = F.transform(F.split(flat, r"\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+([.,;:!?])", "$1"))
+    """Paragraphs of the lines that say something: three characters at least and more than an address; without marks of no
+    width or of direction, and without spaces before punctuation."""
+    flat = F.regexp_replace(col(text), r"[\x{200B}\x{200E}\x{200F}\x{FEFF}\x{AD}]", "")
+    lines = F.transform(F.split(flat, r"\n"), lambda x: F.regexp_replace(strip(F.regexp_replace(x, r"[ \t]+", " ")), r"\s+([,.;:!?%])", "$1"))
     return F.array_join(F.filter(lines, lambda x: (F.length(x) >= 3) & ~x.rlike(r"^https?://\S+$")), "\n\n")
 
 

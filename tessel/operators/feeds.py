@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,11 @@ from tessel.functions.text import fold, html_to_text
 
 MAX_NOTES, MIN_PAGE, PAGE_HEAD = 20_000, 400, 6_000
 #: What a page that was not let through says.
-BLOCK_MARKERS = ("enable javascript", "access denied", "captcha", "are you a robot", "verify you are human", "unusual traffic", "cloudflare", "subscribe to continue", "sign in to continue", "403 forbidden")
+BLOCK_MARKERS = (
+    "log in to view", "login to view", "log in to continue", "sign in to continue", "please log in", "please sign in", "sign in to read", "log in to read", "you must be logged in", "subscribe to read",
+    "subscribe to continue", "create an account to continue", "create a free account", "register to continue", "enable javascript", "please enable javascript", "javascript is required", "access denied",
+    "are you a robot", "verify you are human", "unusual traffic", "this content is available to subscribers", "become a member to", "captcha", "cf-browser-verification", "just a moment...",
+)
 #: Rank of where a transcript comes from.
 SOURCE_RANK = {"published": 2, "asr": 1}
 
@@ -79,7 +84,7 @@ def blocked(text) -> Column:
     """A page that is too short or says that it was not let through."""
     t = F.col(text) if isinstance(text, str) else text
     head = F.lower(F.substring(t, 1, PAGE_HEAD))
-    return t.isNull() | (F.length(t) < MIN_PAGE) | head.rlike("|".join(BLOCK_MARKERS))
+    return t.isNull() | (F.length(t) < MIN_PAGE) | head.rlike("|".join(re.escape(m) for m in BLOCK_MARKERS))
 
 
 def first_by(df: DataFrame, key: Sequence[str], pos: str = "pos") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
-CATEGORIES = ("identity", "preference", "project", "relationship", "goal", "fact", "other")
+CATEGORIES = ("preferences", "facts", "interests", "style", "goals", "other")
 ENTRY = "core string, id string, category string, text string, importance int, pinned boolean, origin string, created string"
 
 
@@ -37,27 +37,28 @@ def apply_operations(entries: DataFrame, operations: DataFrame) -> DataFrame:
     """Entries after the operations (core, seq, op, id, ids, text, category, importance) of each core, in order of seq.
 
     Each operation sees what those before it left, so a core's operations are folded one by one; cores are independent.
-    add appends; update and delete leave pinned and user entries alone; merge needs two or more distinct unprotected ones,
-    keeps the first with the new text and the highest importance, and drops the others.
+    add appends; update changes any entry; delete leaves pinned and user entries alone; merge needs two or more distinct
+    unprotected ones, keeps the first with the new text and the highest importance, and drops the others.
     """
 
     def fold(own: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
         left = {r["id"]: r for r in own.sort_values(["created", "id"]).to_dict("records")}
         clamp = lambda x, default: default if x is None or pd.isna(x) else max(1, min(10, int(x)))
+        category = lambda x: y if (y := (x or "").strip().lower()) in CATEGORIES else "other"
         for o in ops.sort_values("seq").to_dict("records"):
             text = (o["text"] or "").strip()
             e = left.get(o["id"])
             if o["op"] == "add" and text:
                 new = f"{o['core']}-{o['seq']}"
-                left[new] = {"core": o["core"], "id": new, "category": o["category"] if o["category"] in CATEGORIES else "other", "text": text, "importance": clamp(o["importance"], 5), "pinned": False, "origin": "model", "created": "~"}
-            elif o["op"] == "update" and e and text and not _protected(e):
-                e |= {"text": text, "importance": clamp(o["importance"], e["importance"])}
+                left[new] = {"core": o["core"], "id": new, "category": category(o["category"]), "text": text, "importance": clamp(o["importance"], 5), "pinned": False, "origin": "ai", "created": "~"}
+            elif o["op"] == "update" and e and text:
+                e |= {"text": text, "importance": clamp(o["importance"], e["importance"]), "category": category(o["category"]) if o["category"] else e["category"]}
             elif o["op"] == "delete" and e and not _protected(e):
                 del left[o["id"]]
             elif o["op"] == "merge" and text and o["ids"] is not None:
                 own_ids = [i for i in dict.fromkeys(o["ids"]) if i in left and not _protected(left[i])]
                 if len(own_ids) >= 2:
-                    left[own_ids[0]] |= {"text": text, "importance": clamp(o["importance"], max(left[i]["importance"] for i in own_ids))}
+                    left[own_ids[0]] |= {"text": text, "category": category(o["category"] or left[own_ids[0]]["category"]), "importance": clamp(o["importance"], max(left[i]["importance"] for i in own_ids))}
                     for i in own_ids[1:]:
                         del left[i]
         return pd.DataFrame(list(left.values()), columns=[c.split()[0] for c in ENTRY.split(", ")])

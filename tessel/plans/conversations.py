@@ -91,25 +91,25 @@ def memory_injected(spark, sf_dir):
     return memory.injected(own, 2).select("core", "id")
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'project' ELSE 'other' END AS category, greatest(1, least(10, (c_custkey % 14) - 2))::int AS importance FROM customer WHERE c_custkey % 5 <> 0""")
+@query("""SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'goals' ELSE 'other' END AS category, greatest(1, least(10, (c_custkey % 14) - 2))::int AS importance FROM customer WHERE c_custkey % 5 <> 0""")
 def memory_normalise(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    category = F.when(F.col("c_mktsegment") == "BUILDING", " Project ").otherwise(F.col("c_mktsegment"))
+    category = F.when(F.col("c_mktsegment") == "BUILDING", " Goals ").otherwise(F.col("c_mktsegment"))
     own = c.select(F.col("c_custkey").alias("id"), category.alias("category"), (F.col("c_custkey") % 14 - 2).alias("importance"), F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise("x").alias("text"))
     return memory.normalise(own).select("id", "category", "importance")
 
 
 @query("""WITH e AS (SELECT c_nationkey AS core, c_custkey AS id, (c_custkey % 10) + 1 AS importance, c_custkey % 8 = 0 AS safe FROM customer)
-SELECT core::varchar AS core, id::varchar AS id, CASE WHEN id % 6 = 1 AND NOT safe THEN 'edited ' || id ELSE 'fact ' || id END AS text, (CASE WHEN id % 6 = 1 AND NOT safe THEN 10 ELSE importance END)::int AS importance FROM e WHERE id % 6 <> 2 OR safe
+SELECT core::varchar AS core, id::varchar AS id, CASE WHEN id % 6 = 1 THEN 'edited ' || id ELSE 'fact ' || id END AS text, (CASE WHEN id % 6 = 1 THEN 10 ELSE importance END)::int AS importance FROM e WHERE id % 6 <> 2 OR safe
 UNION ALL SELECT core::varchar, core::varchar || '-' || (1000000 + id), 'new ' || id, 5 FROM e WHERE id % 6 = 3""")
 def memory_operations(spark, sf_dir):
-    """Adds, updates and deletes on the entries of each core; pinned ones stay as they are."""
+    """Adds, updates and deletes on the entries of each core; pinned ones are not deleted."""
     c = table(spark, sf_dir, "customer").withColumn("core", F.col("c_nationkey").cast("string")).withColumn("id", F.col("c_custkey").cast("string"))
-    entries = c.select("core", "id", F.lit("fact").alias("category"), F.concat(F.lit("fact "), "id").alias("text"), (F.col("c_custkey") % 10 + 1).cast("int").alias("importance"), (F.col("c_custkey") % 8 == 0).alias("pinned"), F.lit("model").alias("origin"), F.lit("t").alias("created"))
+    entries = c.select("core", "id", F.lit("facts").alias("category"), F.concat(F.lit("fact "), "id").alias("text"), (F.col("c_custkey") % 10 + 1).cast("int").alias("importance"), (F.col("c_custkey") % 8 == 0).alias("pinned"), F.lit("model").alias("origin"), F.lit("t").alias("created"))
     k = F.col("c_custkey") % 6
     ops = c.where(k.isin(1, 2, 3)).select(
         "core", (F.col("c_custkey") + 1000000).alias("seq"), F.when(k == 1, "update").when(k == 2, "delete").otherwise("add").alias("op"), F.when(k != 3, F.col("id")).alias("id"), F.array().cast("array<string>").alias("ids"),
-        F.when(k == 1, F.concat(F.lit("edited "), "id")).when(k == 3, F.concat(F.lit("new "), "id")).alias("text"), F.lit("fact").alias("category"), F.when(k == 1, 99).cast("int").alias("importance"),
+        F.when(k == 1, F.concat(F.lit("edited "), "id")).when(k == 3, F.concat(F.lit("new "), "id")).alias("text"), F.lit("facts").alias("category"), F.when(k == 1, 99).cast("int").alias("importance"),
     )
     return memory.apply_operations(entries, ops).select("core", "id", "text", "importance")
 

@@ -60,7 +60,7 @@ def domain_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(feeds.on_domains("url", ["https://com/x", "ORG"])).select("page_id")
 
 
-@query("SELECT page_id, length(html) < 400 OR regexp_matches(lower(substr(html, 1, 6000)), '" + "|".join(feeds.BLOCK_MARKERS) + "') AS blocked FROM pages")
+@query("SELECT page_id, length(html) < 400 OR " + " OR ".join(f"contains(lower(substr(html, 1, 6000)), '{m}')" for m in feeds.BLOCK_MARKERS) + " AS blocked FROM pages")
 def blocked_page(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", feeds.blocked("html").alias("blocked"))
 
@@ -75,7 +75,7 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.page_text("html").alias("text"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[ \t\x{A0}]+', ' ', 'g'), chr(10)), lambda x: regexp_replace(trim(x), '\s+([.,;:!?])', '\1', 'g')), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^https?://\S+$')), chr(10) || chr(10)) AS text FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([,.;:!?%])', '\1', 'g')), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^https?://\S+$')), chr(10) || chr(10)) AS text FROM documents""")
 def norm_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.norm_lines("text").alias("text"))
 
@@ -86,10 +86,10 @@ def split_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("n"), F.array_join(F.slice(parts, 1, 3), "|").alias("first"))
 
 
-@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, '♪', ' '), '\[[^\]]*\]', ' ', 'g'), '(?i)\((?:music|applause|laughter|laughs|cheering|inaudible|sound effect)[^)]*\)', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations WHERE NOT regexp_matches(text, '[.,!?;:][^\s]')")
+@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(?i)[♪♫]+|\[.*?\]|\(music\)|\(sound effect\)', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations WHERE NOT regexp_matches(text, '[.,!?;:][^\s]')")
 def clean_transcript(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[.,!?;:][^\s]"))
-    return c.select("conv_id", "turn", T.clean_transcript(F.concat(F.lit("♪ [noise] "), "text", F.lit(" (Music plays)"))).alias("text"))
+    return c.select("conv_id", "turn", T.clean_transcript(F.concat(F.lit("♪ [noise] "), "text", F.lit(" (Music)"))).alias("text"))
 
 
 @query("SELECT conv_id, turn, array_to_string(['one ' || role, 'two'], '|') AS cues FROM conversations")

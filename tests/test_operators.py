@@ -177,12 +177,12 @@ def test_evaluation_end_to_end(spark):
 
 
 def test_merge_keeps_the_first_and_the_highest(spark):
-    e = [("c", "1", "fact", "a", 3, False, "model", "1"), ("c", "2", "fact", "b", 9, False, "model", "2"), ("c", "3", "fact", "p", 5, True, "model", "3"), ("c", "4", "fact", "u", 5, False, "user", "4")]
+    e = [("c", "1", "facts", "a", 3, False, "model", "1"), ("c", "2", "facts", "b", 9, False, "model", "2"), ("c", "3", "facts", "p", 5, True, "model", "3"), ("c", "4", "facts", "u", 5, False, "user", "4")]
     o = [("c", 1, "merge", None, ["1", "2", "3", "1"], "ab", None, None), ("c", 2, "delete", "3", [], None, None, None), ("c", 3, "update", "4", [], "no", None, None), ("c", 4, "add", None, [], " new ", "odd", 77), ("c", 5, "merge", None, ["1"], "x", None, None)]
     entries = spark.createDataFrame(e, memory.ENTRY)
     ops = spark.createDataFrame(o, "core string, seq long, op string, id string, ids array<string>, text string, category string, importance int")
     got = {r.id: (r.text, r.importance, r.category) for r in memory.apply_operations(entries, ops).collect()}
-    assert got == {"1": ("ab", 9, "fact"), "3": ("p", 5, "fact"), "4": ("u", 5, "fact"), "c-4": ("new", 10, "other")}
+    assert got == {"1": ("ab", 9, "facts"), "3": ("p", 5, "facts"), "4": ("no", 5, "facts"), "c-4": ("new", 10, "other")}
 
 
 # ---- staging
