@@ -5,7 +5,7 @@ files (transform.py). No collection may hold the whole corpus, so each window of
 content, the smallest hash of the KGRAM-byte strings in it: equal windows share a bucket, and neighbours mostly do, so what
 is dealt out are short segments (at most SPAN windows) of texts. Equal segments are folded together before and after the
 shuffle by a hash of their bytes; only the first of each, and only where its bucket holds another segment or it repeats
-within, is looked at by a collection.
+within, is looked at by a collection. Buckets that very many texts share are cut further by the second smallest hash.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from .transform import repeated_windows
 LENGTH, KGRAM = 100, 24
 #: Windows of a segment at most: no more than share one place of the smallest hash.
 SPAN = LENGTH - KGRAM + 1
-#: Segments of a collection, about, and of a bucket that one collection takes; larger buckets are dealt out by pairs of blocks.
-COLLECTION, BLOCK = 12_000, 12_000
+#: Segments of a collection, about; of a bucket that is not cut by a second hash; and of one that one collection takes:
+#: larger ones are dealt out by pairs of blocks.
+COLLECTION, HOT, BLOCK = 4_000, 1_000, 12_000
+#: A window of LENGTH bytes holds the string of the smallest hash and so many bytes on one side of it at least.
+BESIDE = 32
 #: Segments that a task folds together at a time.
 FOLD = 400_000
 _NO_ID = np.iinfo(np.int64).max
@@ -166,39 +169,78 @@ def _settled(bucket, doc, start, windows, is_open):
     return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(is_open)], names=["bucket", "doc", "start", "windows", "open"])
 
 
+def _second(bucket: int, text: bytes) -> list[tuple[int, int, int]]:
+    """(hash, offset, windows): the windows of a segment by the smallest hash but the bucket's own. Equal windows agree on
+    that too, so a bucket that many texts share comes apart by what is around. A segment without another hash stays."""
+    h = _gram_hashes(np.frombuffer(text, np.uint8))
+    none = np.iinfo(np.uint64).max
+    m = _window_minima(np.where(h.view(np.int64) == bucket, none, h))
+    starts = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
+    sizes = np.diff(np.append(starts, m.size))
+    keys = np.where(m[starts] == none, np.int64(bucket), m[starts].view(np.int64))
+    return list(zip(keys.tolist(), starts.tolist(), sizes.tolist()))
+
+
 def _cut_segments(batches):
-    """(doc, text, segments) -> (bucket, doc, start, bytes) of each segment."""
+    """(doc, text, segments) -> (bucket, part, doc, start, bytes) of each segment, of hot ones by their second hash."""
     for b in batches:
+        rows = []
         for doc, text, own in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-            if text is not None:
-                good = [s for s in own if s["start"] + s["windows"] + LENGTH - 1 <= len(text)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["bucket"] for s in good], pa.int64()), pa.array([doc] * len(good), pa.int64()), pa.array([s["start"] for s in good], pa.int32()), pa.array([text[s["start"] : s["start"] + s["windows"] + LENGTH - 1] for s in good], pa.binary())],
-                    names=["bucket", "doc", "start", "bytes"],
-                )
+            for s in own:
+                bucket, start, part = s["bucket"], s["start"], text[s["start"] : s["start"] + s["windows"] + LENGTH - 1] if text is not None else b""
+                if len(part) < s["windows"] + LENGTH - 1:
+                    continue  # another text of the same id
+                if s["hot"]:
+                    rows += [(k, bucket, doc, start + a, part[a : a + n + LENGTH - 1]) for k, a, n in _second(bucket, part)]
+                else:
+                    rows.append((bucket, 0, doc, start, part))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "part", "doc", "start", "bytes"])
 
 
 def _collections(batches):
-    """Over rows sorted by bucket and part: runs of repeated windows (doc, start, windows), from collections of whole
+    """Over rows sorted by bucket, part and pair: runs of repeated windows (doc, start, windows), from collections of whole
     buckets (or whole pairs of blocks)."""
-    names = ("bucket", "part", "doc", "start", "bytes")
+    names = ("bucket", "part", "pair", "doc", "start", "bytes")
     held: list[list] = [[] for _ in names]
     for b in batches:
         for own, k in zip(held, range(len(names))):
             own += b.column(k).to_pylist()
         if len(held[0]) >= COLLECTION:
-            last = (held[0][-1], held[1][-1])
-            cut = next((k for k in range(len(held[0]) - 1, -1, -1) if (held[0][k], held[1][k]) != last), -1) + 1
+            last = tuple(x[-1] for x in held[:3])
+            cut = next((k for k in range(len(held[0]) - 1, -1, -1) if (held[0][k], held[1][k], held[2][k]) != last), -1) + 1
             if cut:
-                yield _repeats(*(x[:cut] for x in held[2:]))
+                yield _repeats(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
     if held[0]:
-        yield _repeats(*held[2:])
-
-
-def _repeats(docs: list[int], starts: list[int], texts: list[bytes]):
-    rows = sorted({(d, s): t for d, s, t in zip(docs, starts, texts)}.items())
-    text, offset = repeated_windows([t for _, t in rows], LENGTH)
+        yield _repeats(*held)
+
+
+def _comparable(buckets: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Which segments may share a window with another or repeat one within: those with the same BESIDE bytes before or
+    after the string of the bucket's hash as another of the bucket, and those that hold that string more than once."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    own = np.repeat(np.arange(len(texts)), sizes)
+    h = _gram_hashes(flat).view(np.int64)
+    at = np.flatnonzero((h == buckets[own[: h.size]]) & (np.arange(h.size) + KGRAM <= ends[own[: h.size]]))
+    text = own[at]
+    out = np.bincount(text, minlength=len(texts)) > 1
+    for first, inside in ((at - BESIDE, at - BESIDE >= ends[text] - sizes[text]), (at + KGRAM, at + KGRAM + BESIDE <= ends[text])):
+        k, t = first[inside], text[inside]
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, BESIDE)[k]).view(np.int64)
+        rows = np.column_stack((buckets[t], words))
+        _, group, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        out[t[count[group.ravel()] > 1]] = True
+    return out
+
+
+def _repeats(buckets: list[int], parts: list[int], pairs: list[int], docs: list[int], starts: list[int], texts: list[bytes]):
+    rows = sorted({(d, s): (b, t) for b, d, s, t in zip(buckets, docs, starts, texts)}.items())
+    worth = _comparable(np.array([b for _, (b, _) in rows], dtype=np.int64), [t for _, (_, t) in rows])
+    rows = [r for r, w in zip(rows, worth.tolist()) if w]
+    text, offset = repeated_windows([t for _, (_, t) in rows], LENGTH)
     new = np.ones(len(text), dtype=bool)
     new[1:] = (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)
     at = np.flatnonzero(new)
@@ -220,16 +262,20 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, folder: str) -> D
     dealt = rows.repartition(where).sortWithinPartitions("bucket", "same", "doc", "start")
     settled = saved(dealt.mapInArrow(_settle, "bucket long, doc long, start int, windows int, open boolean"), folder, "settled")
     waiting = settled.where("open")
-    wanted = waiting.groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "windows")).alias("segments"))
-    cut = own.join(wanted, "doc").select("doc", "text", "segments").mapInArrow(_cut_segments, "bucket long, doc long, start int, bytes binary")
-    hot = waiting.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / (BLOCK / 2)).cast("int").alias("blocks"))
-    if hot.isEmpty():
-        parts = cut.withColumn("part", F.lit(0).cast("long"))
+    many = waiting.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket", F.lit(True).alias("hot"))
+    marked = waiting.join(many, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = marked.groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "windows", "hot")).alias("segments"))
+    cut = own.join(wanted, "doc").select("doc", "text", "segments").mapInArrow(_cut_segments, "bucket long, part long, doc long, start int, bytes binary")
+    cut = saved(cut, folder, "segments")
+    big = cut.groupBy("bucket", "part").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket", "part", F.ceil(F.col("n") / (BLOCK / 2)).cast("int").alias("blocks"))
+    if big.isEmpty():
+        dealt = cut.withColumn("pair", F.lit(0).cast("long"))
     else:
         block = F.pmod(F.xxhash64("doc", "start"), F.col("blocks")).cast("int")
         pairs = F.expr("transform(sequence(0, blocks - 1), x -> cast(least(x, own) as long) * blocks + greatest(x, own))")
-        parts = cut.join(hot, "bucket", "left").withColumn("own", block).withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
-    sorted_ = parts.select("bucket", "part", "doc", "start", "bytes").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+        dealt = cut.join(big, ["bucket", "part"], "left").withColumn("own", block).withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
+    keys = ["bucket", "part", "pair"]
+    sorted_ = dealt.select(*keys, "doc", "start", "bytes").repartition(*keys).sortWithinPartitions(*keys)
     found = saved(sorted_.mapInArrow(_collections, "doc long, start int, windows int"), folder, "found")
     large_batches(spark)
     return settled.where("not open").select("doc", "start", "windows").unionByName(found)

@@ -3,7 +3,8 @@
 Round j inserts one symbol for each document that has j symbols: the one before its suffix of length j, at the place of that
 suffix among all suffixes of at most j symbols. The transform lies in a file; a round reads it once to rank the symbols, once
 more to merge the new ones, and writes the next file, all in sequence and block by block. Memory holds a block and a few
-numbers for each document. Bytes are shifted up by one, as byte 255 never occurs in UTF-8, and 0 ends a document.
+numbers for each document. The bytes that occur are numbered from 1 on in their order, and 0 ends a document; byte 255 must
+not occur with all others, as it never does in UTF-8.
 """
 
 from __future__ import annotations
@@ -14,37 +15,29 @@ import numpy as np
 
 #: Rows of the transform in memory at a time, and rows that share a count of symbols.
 BLOCK, RUN = 1 << 21, 128
+#: The bits of a run (as two words) that lie below each of its places.
+_BELOW = np.packbits(np.arange(RUN)[None, :] < np.arange(RUN)[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
-def _counts(block: np.ndarray, code: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Symbols before each run of RUN rows (runs x symbols), and in all (the last row)."""
-    runs = -(-block.size // RUN)
-    at = np.repeat(np.arange(runs, dtype=np.int64) * n_symbols, RUN)[: block.size]
-    at += code[block]
-    sums = np.bincount(at, minlength=runs * n_symbols).reshape(runs, n_symbols)
-    out = np.zeros((runs + 1, n_symbols), dtype=np.int64)
-    np.cumsum(sums, axis=0, out=out[1:])
-    return out
-
-
-def _ranks(file, n: int, rows: np.ndarray, symbols: np.ndarray, code: np.ndarray, n_symbols: int) -> np.ndarray:
-    """How often each symbol stands before its row; rows rise."""
+def _ranks(file, n: int, rows: np.ndarray, symbols: np.ndarray, n_symbols: int, run_base: np.ndarray) -> np.ndarray:
+    """How often each symbol stands before its row; rows rise. run_base: n_symbols times the run of each row of a block."""
     out, before = np.empty(rows.size, dtype=np.int64), np.zeros(n_symbols, dtype=np.int64)
     file.seek(0)
-    columns = np.arange(RUN, dtype=np.uint8)
     for low in range(0, n, BLOCK):
         size = min(BLOCK, n - low)
+        runs = -(-size // RUN)
         block = np.frombuffer(file.read(size), dtype=np.uint8)
-        counts = _counts(block, code, n_symbols)
+        sums = np.bincount(run_base[:size] + block, minlength=runs * n_symbols).reshape(runs, n_symbols)
+        counts = np.cumsum(sums, axis=0)
         a, b = np.searchsorted(rows, (low, low + size))
         if a < b:
             own, sym = rows[a:b] - low, symbols[a:b]
-            run, off = own // RUN, (own % RUN).astype(np.uint8)
-            padded = np.zeros(-(-size // RUN) * RUN, dtype=np.uint8)
+            run, off = own // RUN, own % RUN
+            padded = np.zeros(runs * RUN, dtype=np.uint8)
             padded[:size] = block
-            same = padded.reshape(-1, RUN)[run] == sym[:, None]
-            same &= columns < off[:, None]
-            out[a:b] = before[code[sym]] + counts[run, code[sym]] + np.count_nonzero(same, axis=1)
+            bits = np.packbits(padded.reshape(runs, RUN)[run] == sym[:, None], axis=1, bitorder="little").view(np.uint64)
+            within = np.bitwise_count(bits & _BELOW[off]).sum(axis=1)
+            out[a:b] = before[sym] + counts[run, sym] - sums[run, sym] + within
         before += counts[-1]
     return out
 
@@ -71,13 +64,14 @@ def transform(texts: list[bytes], folder: str | None = None) -> np.ndarray:
     """The transform of the collection: row i < len(texts) is the end of text i, the others follow in order of suffixes."""
     m = len(texts)
     sizes = np.fromiter(map(len, texts), np.int64, m)
-    flat = np.frombuffer(b"".join(texts), dtype=np.uint8) + np.uint8(1)
+    flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum(sizes)
     present = np.flatnonzero(np.bincount(flat, minlength=256))
-    code = np.zeros(256, dtype=np.int64)
+    code = np.zeros(256, dtype=np.uint8)
     code[present] = np.arange(1, present.size + 1)
-    n_symbols = present.size + 1
+    flat, n_symbols = code[flat], present.size + 1
     totals = np.zeros(n_symbols, dtype=np.int64)
+    run_base = np.arange(min(BLOCK, flat.size + m), dtype=np.int64) // RUN * n_symbols
 
     def preceding(docs: np.ndarray, length: int) -> np.ndarray:
         """The symbol before the suffix of that length, 0 before the first."""
@@ -91,14 +85,14 @@ def transform(texts: list[bytes], folder: str | None = None) -> np.ndarray:
         files[0].write(new)
         n, length = m, 0
         while True:
-            totals += np.bincount(code[new], minlength=n_symbols)
+            totals += np.bincount(new, minlength=n_symbols)
             alive = new > 0
             docs, rows, last = docs[alive], rows[alive], new[alive]
             if not docs.size:
                 break
             length += 1
             starts = m + np.concatenate(([0, 0], np.cumsum(totals[1:])[:-1]))
-            rows = starts[code[last]] + _ranks(files[0], n, rows, last, code, n_symbols)
+            rows = starts[last] + _ranks(files[0], n, rows, last, n_symbols, run_base)
             order = np.argsort(last, kind="stable")  # rows rise within each symbol
             docs, rows = docs[order], rows[order]
             new = preceding(docs, length)

@@ -83,8 +83,9 @@ def test_transform(block, monkeypatch):
             assert transform.transform(texts).tolist() == [0 if s else code[w] for w, s in zip(want, starts)]
 
 
-@pytest.mark.parametrize("block,collection", [(12000, 4000), (4, 3)])
-def test_substrings(spark, docs, corpus, block, collection, monkeypatch):
+@pytest.mark.parametrize("hot,block", [(1000, 12000), (2, 12000), (2, 4), (1000, 4)])
+def test_substrings(spark, docs, corpus, hot, block, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "BLOCK", block)
     got = substrings.dedup_substrings(docs).collect()
     texts = texts_of(corpus)
@@ -425,3 +426,20 @@ def test_empty_tables(spark, name):
 
 def test_all_are_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] or len(queries.QUERIES) == 10
+
+
+def test_null_ids_and_repeated_rows(spark):
+    text = "some words that are said again and again in more than one document of this table, " * 3
+    rows = [(None, text), (None, None), (5, text), (5, text), (6, "short"), (None, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {(r.doc_id, r.n_bytes, r.n_removed) for r in substrings.dedup_substrings(df).collect()}
+    n = len(text)
+    assert (None, n, n) in one and {k for k in one if k[0] == 5} == {(5, n, [x for x in one if x[0] == 5][0][2])} and len(substrings.dedup_substrings(df).collect()) == 6
+    six = [(r.doc_id, r.n_dropped) for r in lines.dedup_lines(df).collect()]
+    assert sorted(six, key=str) == sorted([(None, 1), (None, 0), (5, 0), (5, 0), (6, 0), (None, 0)], key=str)
+    nine = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
+    assert sorted(nine, key=str) == sorted([(None, 5), (None, None), (5, 5), (5, 5), (6, 6), (None, 6)], key=str)
+    for run in (secrets.scan, lambda d: bpe.round_trip(d, bpe.vocabulary_path(), size=10), lambda d: mixing.mix_sources(d.withColumn("source", F.lit(None).cast("string"))), fertility.quality, lambda d: media.read_media(media.store_text(d))):
+        assert run(df).count() == 6
+    learned = language.train(df.withColumn("lang", F.lit("en")))
+    assert [r.lang_pred for r in language.identify(df, learned).collect()].count("en") == 5
