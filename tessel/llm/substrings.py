@@ -263,7 +263,8 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, folder: str) -> D
     settled = saved(dealt.mapInArrow(_settle, "bucket long, doc long, start int, windows int, open boolean"), folder, "settled")
     waiting = settled.where("open")
     many = waiting.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket", F.lit(True).alias("hot"))
-    marked = waiting.join(many, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # as a table its size is known: a small one is broadcast, a large one joins in parts that can be split
+    marked = waiting.join(saved(many, folder, "many"), "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = marked.groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "windows", "hot")).alias("segments"))
     cut = own.join(wanted, "doc").select("doc", "text", "segments").mapInArrow(_cut_segments, "bucket long, part long, doc long, start int, bytes binary")
     cut = saved(cut, folder, "segments")
