@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, language, lines, mixing, simhash
+from tessel.llm import bpe, jaccard, language, lines, mixing
 from tessel.llm.common import saved, shared_dir
 
 #: A document is rejected if no language is found, or if the best one has less than this probability.
@@ -28,8 +28,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
-    found = simhash.near_duplicates(docs)
+    """The document of the smallest id of each group of documents that share 0.8 or more of their five-word shingles."""
+    found = jaccard.near_copies(docs)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 

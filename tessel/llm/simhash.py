@@ -28,19 +28,25 @@ _GENERATOR = 0xC75
 # ---- fingerprints
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Majority of the bits of XXH64 over word shingles, repeats included; 0 if there is no word."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of the word shingles in order, repeats included; of all words if they are fewer; none if there is no word."""
     words = text.lower().split()  # of bytes: only A-Z, only ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
     if n <= 1:
-        return digest(line, seed)
+        return np.array([digest(line, seed)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype=">u8")
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Majority of the bits of XXH64 over word shingles, repeats included; 0 if there is no word."""
+    hashes = shingle_hashes(text, shingle, seed).astype(">u8")
+    n = len(hashes)
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, n, 65536):
         counts += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

@@ -1,9 +1,12 @@
+import functools
 import hashlib
+import random
 import re
 
 import pytest
 
 import corpus_pipeline
+from tessel.llm import jaccard
 from tests.llm.test_ops import DOCS, brute_fingerprint, classes, corpus, docs, fill_up  # noqa: F401
 
 
@@ -78,3 +81,54 @@ def test_tokens(stages):
 def test_run(spark, tmp_path, corpus):  # noqa: F811
     spark.createDataFrame(corpus, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def shingle_set(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_classes(texts):
+    """Smallest id reachable over pairs that share 0.8 of their five-word shingles."""
+    sets, root = {k: shingle_set(t) for k, t in texts.items()}, {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in sets}
+
+
+def edited(r, words, share):
+    return [w if r.random() > share else f"new{r.randrange(10**6)}" for w in words]
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_near_copies_by_similarity(spark, monkeypatch, small):
+    """Word edits around similarity 0.8, where fingerprints differ in more than four bits, and groups that fall apart."""
+    monkeypatch.setattr(jaccard, "links", functools.partial(jaccard.links, small=small))
+    monkeypatch.setattr(jaccard, "BLOCK", 3 if small == 2 else 256)
+    r = random.Random(3)
+    texts = {}
+    for k in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randrange(200, 400))]
+        texts[100 * k] = " ".join(base)
+        for j in range(1, 4):
+            texts[100 * k + j] = " ".join(edited(r, base, r.choice((0.005, 0.01, 0.02, 0.03))))
+    base = [f"v{r.randrange(3000)}" for _ in range(300)]
+    for k in range(60):
+        texts[9000 + k] = " ".join(edited(r, base, r.choice((0.01, 0.025))))
+    texts |= {9900: "", 9901: " \n", 9902: None, 9903: "two words", 9904: "Two  WORDS", 9905: texts[0]}
+    df = spark.createDataFrame([(k, t, "en", "s", None) for k, t in texts.items()], DOCS).repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.keep_one_of_near_copies(spark, df, "").collect()}
+    want = jaccard_classes(texts)
+    found = {x.doc_id: x.component_id for x in jaccard.near_copies(df).collect()}
+    assert all(want[k] == want[c] for k, c in found.items())  # no link below 0.8
+    assert sum(found[k] == want[k] for k in want) >= 0.99 * len(want) and 60 < len(set(want.values())) < len(want)
+    assert kept == {k for k, c in found.items() if k == c}
