@@ -30,6 +30,8 @@ class Model:
         self.langs = sorted(counts)
         n = len(self.langs)
         self.words = self._table([counts[k] for k in self.langs])
+        #: Words of each language that occur twice or more.
+        self.known = np.array([[counts[k].get(w, 0) > 1 for k in self.langs] for w in self.words[0]], dtype=bool).reshape(len(self.words[0]), n)
         self.grams = {}
         for size in range(LONGEST, 0, -1):
             own = []
@@ -51,6 +53,8 @@ class Model:
 
     @staticmethod
     def grams_of(word: str, size: int) -> list[str]:
+        if size == 1:  # the ends alone say nothing
+            return list(word)
         padded = f"^{word}$"
         return [padded[k : k + size] for k in range(len(padded) - size + 1)]
 
@@ -77,23 +81,30 @@ class Scorer:
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.model.langs)))
+        self.known = np.zeros((1024, len(self.model.langs)), dtype=bool)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its probability, and the share of the words that it knows, with one more counted as known: one to
+        three new words are no evidence."""
         words = _LETTERS.findall(text.lower()) if text else []
         if not words or not self.model.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         if len(self.memo) > MEMO:
             self.clear()
         memo = self.memo
         for w in set(words).difference(memo):
             if len(memo) == len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+                self.known = np.concatenate((self.known, np.zeros_like(self.known)))
             self.table[len(memo)] = self.model.word_score(w)
+            row = self.model.words[0].get(w)
+            self.known[len(memo)] = False if row is None else self.model.known[row]
             memo[w] = len(memo)
-        total = self.table[list(map(memo.__getitem__, words))].sum(axis=0)
+        at = list(map(memo.__getitem__, words))
+        total = self.table[at].sum(axis=0)
         p = np.exp(total - total.max())
         best = int(np.argmax(p))
-        return self.model.langs[best], float(p[best] / p.sum())
+        return self.model.langs[best], float(p[best] / p.sum()), float((self.known[at, best].sum() + 1) / (len(at) + 1))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS, max_words: int = WORDS) -> Model:
@@ -116,8 +127,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return Model(counts)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score (0 to 1) to every row of docs, in place of columns of these names.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", known_col: str | None = None) -> DataFrame:
+    """Adds lang_pred and score (0 to 1) to every row of docs, in place of columns of these names, and on demand known_col:
+    the share of the words that the model has seen twice or more in lang_pred (one more counted as known in each text), which
+    does not follow the text's length.
 
     lang_pred is `und`, with score 0, for a null text or one without letters, and where the model knows no language.
     Ties go to the first language in order. Whole texts are scored; repeated rows each; an empty table gives an empty one.
@@ -125,7 +138,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", *([known_col] if known_col else []))
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -133,9 +146,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for b in batches:
             found = [scorer.predict(t) for t in b.column(at).to_pylist()]
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "lang_pred", "score"])
+            names = [*b.schema.names, "lang_pred", "score"]
+            if known_col:
+                cols.append(pa.array([f[2] for f in found], pa.float64()))
+                names.append(known_col)
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double", *([f"`{known_col}` double"] if known_col else [])])
     return docs.mapInArrow(run, schema)
 
 

@@ -132,3 +132,12 @@ def test_near_copies_by_similarity(spark, monkeypatch, small):
     assert all(want[k] == want[c] for k, c in found.items())  # no link below 0.8
     assert sum(found[k] == want[k] for k in want) >= 0.99 * len(want) and 60 < len(set(want.values())) < len(want)
     assert kept == {k for k, c in found.items() if k == c}
+
+
+def test_junk_of_any_length_has_no_language(spark):
+    r = random.Random(8)
+    words = {k: ["".join(r.choice(a) for _ in range(r.randrange(2, 8))) for _ in range(300)] for k, a in (("en", "etaoinshrd"), ("de", "enisratdhuü"))}
+    rows = [(k, " ".join(r.choice(words[x]) for _ in range(r.choice((10, 100, 1000)))), x, "s", None) for k, x in enumerate(["en", "de"] * 60)]
+    junk = [(1000 + k, " ".join("".join(r.choice(a) for _ in range(r.randrange(3, 9))) for _ in range(n)), None, "s", None) for k, (a, n) in enumerate((a, n) for a in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмн", "天地玄黄宇宙洪荒") for n in (10, 30, 100, 300, 1000))]
+    kept = {x.doc_id: x.lang for x in corpus_pipeline.keep_known_languages(spark, spark.createDataFrame(rows + junk, DOCS), "").collect()}
+    assert kept == {k: x for k, _, x, *_ in rows}
