@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.text import bound, terms
-from tessel.operators.retrieval import B, K1, MAX_QUERIES, TOP_K, ranked
+from tessel.operators.retrieval import B, K1, TOP_K, ranked
 
 #: Folders that terms are dealt out to.
 BUCKETS = 64
@@ -45,7 +45,7 @@ def search(postings: DataFrame, totals: DataFrame, queries: Sequence[str], top_k
     import zlib
 
     spark = postings.sparkSession
-    asked = sorted({(k, t) for k, q in enumerate([q for q in queries if q and q.strip()][:MAX_QUERIES]) for t in re.findall("[a-z0-9]+", q.lower())})
+    asked = sorted({(k, t) for k, q in enumerate(q for q in queries if q and q.strip()) for t in re.findall("[a-z0-9]+", q.lower())})
     wanted = sorted({t for _, t in asked})
     own = postings.where(F.col("bucket").isin(*sorted({zlib.crc32(t.encode()) % buckets for t in wanted})) & F.col("term").isin(*wanted)) if wanted else postings.where(F.lit(False))
     df = own.groupBy("term").agg(F.count("*").alias("df"))

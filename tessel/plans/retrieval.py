@@ -87,10 +87,9 @@ def bm25_multi_query(spark, sf_dir):
 
 @query("WITH " + bm25_sql("SELECT item_id AS query, text AS q FROM benchmark WHERE item_id % 20 = 0", "SELECT doc_id, text FROM documents", "doc_id", 5, "") + " SELECT query, doc_id, round(score, 6) AS score, rank FROM keyword")
 def bm25_benchmark(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").orderBy("item_id").collect()
-    found = R.bm25(table(spark, sf_dir, "documents"), [r.text for r in asked], 5, "doc_id", F.col("text"))
-    ids = F.create_map(*[F.lit(x) for k, r in enumerate(asked) for x in (k, r.item_id)])
-    return found.select(ids[F.col("query")].alias("query"), "doc_id", F.round("score", 6).alias("score"), "rank")
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), F.col("text").alias("q"))
+    found = R.bm25(table(spark, sf_dir, "documents"), asked, 5, "doc_id", F.col("text"))
+    return found.select("query", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _vectors(spark, sf_dir):

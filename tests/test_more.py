@@ -66,3 +66,17 @@ def test_postings_on_disk_answer_like_a_scan(spark, tmp_path):
     stored, totals = postings.read(spark, str(tmp_path))
     assert plain(postings.search(stored, totals, asked)) == plain(retrieval.bm25(rows, asked)) != set()
     assert postings.search(stored, totals, [""]).count() == 0
+
+
+def test_queries_beyond_a_thousand_keep_their_ids(spark):
+    rows = spark.createDataFrame([(k, f"w{k} and more") for k in range(1500)], "id long, content string")
+    asked = spark.createDataFrame([(7, None), (8, " ")] + [(10 * k, f"w{k}") for k in range(1500)], "query long, q string")
+    assert {(r["query"], r.id) for r in retrieval.bm25(rows, asked).collect()} == {(10 * k, k) for k in range(1500)}
+    assert {(r["query"], r.id) for r in retrieval.bm25(rows, [f"w{k}" for k in range(1500)]).collect()} == {(k, k) for k in range(1500)}
+
+
+def test_vectors_beyond_a_block(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    rows = spark.createDataFrame([(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(10)], "id long, embedding array<float>")
+    found = retrieval.vector_search(rows, [[float(np.cos(k)), float(np.sin(k))] for k in range(10)], 1)
+    assert sorted((r["query"], r.id) for r in found.collect()) == [(k, k) for k in range(10)]
