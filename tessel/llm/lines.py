@@ -1,15 +1,15 @@
-"""Line dedup: a sharded minimal perfect hash over repeated lines, probed by the documents.
-
-The first pass counts the documents of each line's 128-bit digest; digests found in two or more documents go to shards
-by one half of the digest. A shard is indexed by a minimal perfect hash over the other half, whose slots point into
-arrays of fingerprints (the first half), document counts and smallest ids. In the second pass documents probe these
-arrays, read from the shared folder shard by shard, so lines are never joined and texts are never shuffled.
+"""Line dedup: a sharded minimal perfect hash over repeated lines, probed for the documents.
+
+The first pass writes a 128-bit digest for each line key of each document. Digests found in two or more documents go to
+shards by one half of the digest. A shard is indexed by a minimal perfect hash over the other half, whose slots point into
+arrays of fingerprints (the first half), document counts and smallest ids. Then every document's digests are sent to the
+shard that they belong to: a task opens each of its shards once, probes the arrays, and answers only with the digests that
+the document loses. Lines are never joined with lines, and the work is in proportion to the input whatever the number of
+shards: no task ever reads more of the index than the shards it was dealt.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
@@ -18,13 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, saved, shared_dir, small_batches
+from .common import discard, documents, large_batches, saved, shared_dir, small_batches
 
 MIN_CHARS = 10
 #: Digests of a shard at most, about; 28 bytes each with everything.
 SHARD = 500_000
-#: Shards that a Python worker holds at a time.
-OPEN_SHARDS = 8
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -103,82 +101,110 @@ def _digests(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype=np.int64).reshape(-1, 2)
 
 
-def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h1, h2, first, docs): repeated line keys, the smallest document id and the number of documents of each."""
+def line_digests(docs: DataFrame) -> DataFrame:
+    """(doc, text, t) -> (h1, h2, doc, text): the digests of each row's distinct line keys. doc and text name the row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            found, ids = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                keys = {k for line in (text or b"").split(b"\n") if (k := line_key(line)) is not None}
+            found, sizes = [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                keys = {k for line in (t or b"").split(b"\n") if (k := line_key(line)) is not None}
                 found += keys
-                ids.append(np.full(len(keys), _NO_ID if doc is None else doc, dtype=np.int64))
+                sizes.append(len(keys))
             h = _digests(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["h1", "h2", "doc"])
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], names=["h1", "h2", "doc", "text"])
+
+    return docs.mapInArrow(run, "h1 long, h2 long, doc long, text long")
+
 
-    lines = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "h1 long, h2 long, doc long")
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(h1, h2, first, docs) of the digests that at least two documents hold: the smallest id and the number of holders."""
     seen = lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("docs"))
     return seen.where("first < last").select("h1", "h2", "first", "docs")
 
 
 def build_index(repeated: DataFrame, folder: str, shard_size: int = SHARD) -> tuple[str, int]:
-    """Writes the index of (h1, h2, first, docs) as one binary row for each shard; returns its path and shard count."""
+    """Writes the index of (h1, h2, first, docs) as one binary row for each shard; returns its path and shard count.
+
+    Digests that differ in the fingerprint alone cannot share a slot: they are kept beside the arrays, whole.
+    """
     table = saved(repeated, folder, "repeated")
     shards = max(1, -(-table.count() // shard_size))
 
     def build(group: pa.Table) -> pa.Table:
         h1, h2, first, docs = (group.column(c).to_numpy() for c in ("h1", "h2", "first", "docs"))
+        _, place, times = np.unique(h2, return_inverse=True, return_counts=True)
+        alone = times[place] == 1
+        twins = np.stack([x[~alone] for x in (h1, h2, first)])
+        h1, h2, first, docs = (x[alone] for x in (h1, h2, first, docs))
         mph = PerfectHash.build(h2.view(np.uint64))
         at = mph.slots(h2.view(np.uint64))
-        arrays = [np.empty(len(h1), kind) for kind in (np.int64, np.uint32, np.int64)]
+        arrays = [np.zeros(len(h1), kind) for kind in (np.int64, np.uint32, np.int64)]
         for out, values in zip(arrays, (h1, np.minimum(docs, 2**32 - 1), first)):
             out[at] = values
-        return pa.table({"shard": group.column("shard").slice(0, 1), "levels": pa.array([[len(w) for w in mph.words]], pa.list_(pa.int64())), "words": [b"".join(w.tobytes() for w in mph.words)], "rest": [mph.rest.tobytes()], "fingerprints": [arrays[0].tobytes()], "counts": [arrays[1].tobytes()], "firsts": [arrays[2].tobytes()]}, schema=None)
+        binary = {"words": b"".join(w.tobytes() for w in mph.words), "rest": mph.rest.tobytes(), "fingerprints": arrays[0].tobytes(), "counts": arrays[1].tobytes(), "firsts": arrays[2].tobytes(), "twins": twins.tobytes()}
+        return pa.table({"shard": group.column("shard").slice(0, 1), "levels": pa.array([[len(w) for w in mph.words]], pa.list_(pa.int64())), **{k: [v] for k, v in binary.items()}})
 
     dealt = table.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    index = dealt.groupBy("shard").applyInArrow(build, "shard int, levels array<bigint>, words binary, rest binary, fingerprints binary, counts binary, firsts binary")
+    index = dealt.groupBy("shard").applyInArrow(build, "shard int, levels array<bigint>, words binary, rest binary, fingerprints binary, counts binary, firsts binary, twins binary")
     path = f"{folder}/index"
     index.write.mode("overwrite").partitionBy("shard").parquet(path)
+    discard(repeated.sparkSession, f"{folder}/repeated")
     return path, shards
 
 
+class Shard:
+    """The arrays of one shard."""
+
+    def __init__(self, row: dict) -> None:
+        words, cuts = np.frombuffer(row["words"], np.uint64), np.cumsum(row["levels"])[:-1].astype(np.int64)
+        self.hash = PerfectHash(np.split(words, cuts) if row["levels"] else [], np.frombuffer(row["rest"], np.uint64))
+        self.fingerprints, self.counts, self.firsts = (np.frombuffer(row[c], kind) for c, kind in (("fingerprints", np.int64), ("counts", np.uint32), ("firsts", np.int64)))
+        self.twins = np.frombuffer(row["twins"], np.int64).reshape(3, -1)
+
+    def first_docs(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which digests are of repeated lines, the smallest id that holds each of them)."""
+        at = self.hash.slots(h2.view(np.uint64))
+        good, first = at >= 0, np.zeros(len(h1), dtype=np.int64)
+        good[good] = (self.fingerprints[at[good]] == h1[good]) & (self.counts[at[good]] > 1)
+        first[good] = self.firsts[at[good]]
+        for a, b, smallest in self.twins.T:
+            same = (h1 == a) & (h2 == b)
+            good |= same
+            first[same] = smallest
+        return good, first
+
+
 class LineIndex:
-    """Reads shards from the shared folder as they are needed and keeps the last few of them."""
+    """Reads shards from the shared folder. One is held at a time: who asks in order of shards opens each once."""
 
-    def __init__(self, path: str, shards: int) -> None:
-        self.shards, self.open = shards, OrderedDict()
+    def __init__(self, path: str) -> None:
         self.fs, self.root = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
-
-    def shard(self, k: int):
-        if k in self.open:
-            self.open.move_to_end(k)
-            return self.open[k]
-        found = None
-        at = f"{self.root}/shard={k}"
-        if self.fs.get_file_info(at).type != pyarrow.fs.FileType.NotFound:
-            row = pq.read_table(at, filesystem=self.fs, partitioning=None).to_pylist()[0]
-            words, cuts = np.frombuffer(row["words"], np.uint64), np.cumsum(row["levels"])[:-1]
-            found = PerfectHash(np.split(words, cuts), np.frombuffer(row["rest"], np.uint64)), *(np.frombuffer(row[c], kind) for c, kind in (("fingerprints", np.int64), ("counts", np.uint32), ("firsts", np.int64)))
-        self.open[k] = found
-        if len(self.open) > OPEN_SHARDS:
-            self.open.popitem(last=False)
-        return found
-
-    def first_docs(self, h: np.ndarray) -> np.ndarray:
-        """For each digest the smallest id that holds it, or -1 if it is not a repeated line."""
-        out = np.full(len(h), -1, dtype=np.int64)
-        own = h[:, 0] % self.shards
-        for k in np.unique(own):
-            if (found := self.shard(int(k))) is None:
-                continue
-            mph, fingerprints, _, firsts = found
-            rows = np.flatnonzero(own == k)
-            at = mph.slots(np.ascontiguousarray(h[rows, 1]).view(np.uint64))
-            good = at >= 0
-            good[good] = fingerprints[at[good]] == h[rows[good], 0]
-            out[rows[good]] = firsts[at[good]]
-        return out
+        self.at, self.held, self.loads = None, None, 0
+
+    def shard(self, k: int) -> Shard | None:
+        """The shard, or None if no repeated line belongs to it."""
+        if k != self.at:
+            folder = f"{self.root}/shard={k}"
+            there = self.fs.get_file_info(folder).type != pyarrow.fs.FileType.NotFound
+            self.at, self.held = k, Shard(pq.read_table(folder, filesystem=self.fs, partitioning=None).to_pylist()[0]) if there else None
+            self.loads += 1
+        return self.held
+
+
+def probe(index: LineIndex, batches):
+    """Rows (shard, h1, h2, doc, text) in order of shards -> (doc, text, h1, h2) of those whose line a smaller id holds too."""
+    for b in batches:
+        shard, h1, h2, doc, text = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        lost = np.zeros(len(shard), dtype=bool)
+        for a, z in zip(cuts, cuts[1:]):
+            if a < z and (found := index.shard(int(shard[a]))) is not None:
+                repeated, first = found.first_docs(np.ascontiguousarray(h1[a:z]), np.ascontiguousarray(h2[a:z]))
+                lost[a:z] = repeated & (first != doc[a:z])
+        yield pa.RecordBatch.from_arrays([pa.array(x[lost]) for x in (doc, text, h1, h2)], names=["doc", "text", "h1", "h2"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_size: int = SHARD) -> DataFrame:
@@ -187,39 +213,50 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A key of MIN_CHARS code points or more that occurs in at least two documents loses all its lines but for those in the
     smallest id that holds it, where all stay. A null or empty text is one empty line and stays empty. Rows that share an
-    id count as one document. A null id counts as larger than any other; null ids count as one document. An empty table
-    gives an empty one.
+    id count as one document. A null id counts as larger than any other; null ids count as one document. An empty table gives an
+    empty one.
+
+    Rows are told apart by id and a hash of the text, so neither a common id nor null ids gather in one task, and digests
+    of a common line are spread over tasks that each open its shard.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    path, shards = build_index(line_counts(docs, id_col, text_col), folder, min_size)
-    small_batches(spark)
     docs = docs.drop("n_lines", "n_dropped", "kept")
-    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    text = F.col(text_col).cast("string")
+    named = {"doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "text": F.xxhash64(text)}
+    lines = saved(line_digests(docs.select(named["doc"].alias("doc"), named["text"].alias("text"), text.alias("t"))), folder, "lines")
+    path, shards = build_index(line_counts(lines), folder, min_size)
+    large_batches(spark)
+    probes = lines.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "doc", "text")
+    # rebalanced by shard: Spark splits what is large, so a common line is no hot key; sorted, so that a shard is opened once
+    dealt = probes.hint("rebalance", "shard").sortWithinPartitions("shard")
+    lost = dealt.mapInArrow(lambda batches: probe(LineIndex(path), batches), "doc long, text long, h1 long, h2 long")
+    lost = saved(lost.groupBy("doc", "text").agg(F.collect_set(F.struct("h1", "h2")).alias("__lost")), folder, "lost")
+    discard(spark, f"{folder}/lines")
+    discard(spark, path)
+    small_batches(spark)
+    names = docs.columns
+    at, lost_at = names.index(text_col), len(names)
+    own = docs.withColumns({"__line_doc": named["doc"], "__line_text": named["text"]})
+    marked = own.join(lost, (F.col("__line_doc") == lost["doc"]) & (F.col("__line_text") == lost["text"]), "left").select(*[docs[f"`{c}`"] for c in names], "__lost")
 
     def run(batches):
-        index = LineIndex(path, shards)
         for b in batches:
-            ids, texts = b.column(id_at).to_pylist(), b.column(text_at).cast(pa.binary()).to_pylist()
-            lines = [(t or b"").split(b"\n") for t in texts]
-            keys, doc, line = [], [], []
-            for d, own in enumerate(lines):
-                for k, x in enumerate(own):
-                    if (key := line_key(x)) is not None:
-                        keys.append(key)
-                        doc.append(d)
-                        line.append(k)
-            first = index.first_docs(_digests(keys))
-            mine = np.array([_NO_ID if x is None else x for x in ids], dtype=np.int64)[np.array(doc, dtype=np.int64)]
-            dropped = [set() for _ in ids]
-            for k in np.flatnonzero((first >= 0) & (first != mine)).tolist():
-                dropped[doc[k]].add(line[k])
-            kept = [b"\n".join(x for k, x in enumerate(own) if k not in out) if out else b"\n".join(own) for own, out in zip(lines, dropped)]
-            cols = [*b.columns, pa.array(map(len, lines), pa.int64()), pa.array(map(len, dropped), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "n_lines", "n_dropped", "kept"])
+            n_lines, n_dropped, kept = [], [], []
+            gone = b.column(lost_at)
+            flat, offsets = gone.flatten(), np.concatenate(([0], np.cumsum(gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            pairs = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1).astype(np.int64).tobytes()
+            for k, t in enumerate(b.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()):
+                own = (t or b"").split(b"\n")
+                out = {pairs[i : i + 16] for i in range(16 * int(offsets[k]), 16 * int(offsets[k + 1]), 16)}
+                stay = [x for x in own if (key := line_key(x)) is None or xxhash.xxh3_128_digest(key) not in out] if out else own
+                n_lines.append(len(own))
+                n_dropped.append(len(own) - len(stay))
+                kept.append(b"\n".join(stay))
+            yield pa.RecordBatch.from_arrays([*b.columns[:lost_at], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*b.schema.names[:lost_at], "n_lines", "n_dropped", "kept"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long, n_dropped long, kept string"])
-    return docs.mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -260,6 +260,39 @@ def test_lines(spark, docs, corpus, shard):
         assert (r.n_lines, r.n_dropped, r.kept) == (len(own), len(own) - len(stay), "\n".join(stay))
 
 
+def test_shards_are_opened_once(spark):
+    """30 shards and digests in no order: each task opens each of its shards once."""
+    r = np.random.default_rng(4)
+    h = r.integers(-(2**63), 2**63, (3000, 2))
+    repeated = spark.createDataFrame([(int(a), int(b), k, 2) for k, (a, b) in enumerate(h)], "h1 long, h2 long, first long, docs long")
+    path, shards = lines.build_index(repeated, common.shared_dir(spark), 100)
+    asked = [(int(a) % shards, int(a), int(b), k + j, k) for k, (a, b) in enumerate(h) for j in (0, 1)] + [(k % shards, k, k, 1, 1) for k in range(500)]
+    probes = spark.createDataFrame(asked, "shard int, h1 long, h2 long, doc long, text long").repartition(7)
+
+    def run(batches):
+        index = lines.LineIndex(path)
+        n = sum(b.num_rows for b in lines.probe(index, batches))
+        yield lines.pa.RecordBatch.from_pydict({"n": [n], "loads": [index.loads]})
+
+    found = probes.repartition(4, "shard").sortWithinPartitions("shard").mapInArrow(run, "n long, loads long").collect()
+    assert shards == 30 and sum(x.loads for x in found) == 30 and sum(x.n for x in found) == 3000
+
+
+def test_digests_that_share_a_half(spark):
+    rows = [(1, 5, 10, 2), (3, 5, 11, 2), (5, 5, 12, 3), (7, 9, 13, 2)]
+    path, _ = lines.build_index(spark.createDataFrame(rows, "h1 long, h2 long, first long, docs long"), common.shared_dir(spark))
+    known, first = lines.LineIndex(path).shard(0).first_docs(np.array([1, 3, 5, 7, 8]), np.array([5, 5, 5, 9, 5]))
+    assert known.tolist() == [True] * 4 + [False] and first[:4].tolist() == [10, 11, 12, 13]
+
+
+def test_lines_of_shared_and_null_ids(spark):
+    """Rows of one id are one document, null ids are one document after all others; -1 is an id like any other."""
+    line, other = "a line that is said twice", "another line, said twice too"
+    rows = [(-1, line), (7, f"{line}\n{other}"), (7, f"{other}\nown words of the row"), (None, f"{line}\n{other}\nmine alone, it is"), (None, "mine alone, it is")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.kept) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [g[3] for g in got] == [line, other, f"{other}\nown words of the row", "mine alone, it is", "mine alone, it is"]
+
+
 # ---- 7
 
 
@@ -381,7 +414,7 @@ def test_links_lose_none(spark, block):
                 x ^= 1 << int(bit)
             fps.add(x)
     nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
-    found = graph.components(simhash.links(nodes, block=block), common.shared_dir(spark)).collect()
+    found = graph.components(simhash.links(nodes, common.shared_dir(spark), block=block, sample=1 if block == 3 else 64), common.shared_dir(spark)).collect()
     label = {r.node % 2**64: r.label for r in found}
     want = classes(dict(zip(sorted(fps), sorted(fps))))
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
