@@ -1,10 +1,13 @@
 """SimHash near-duplicates, candidates by fuzzy hashing with the binary Golay code.
 
-A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits. Of four differing bits some two of the three segments
-hold at most two between them (pigeonhole), and for words at most two bits apart there is a word in the middle, one bit
-from either. So for each pair of segments a fingerprint emits the pair of codeword indices that its own words decode to,
-and those that it decodes to with one bit of one segment flipped: about ten keys a pair. Fingerprints within four bits
-share a key for certain; within a key they are verified.
+A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits, and a key holds the codeword indices of all three (36 bits).
+Between two words that differ in at most four bits there is one in the middle, at most two bits from either, so a fingerprint
+emits the key of every word within two bits of it: two flips in one segment, or one flip in each of two (the pigeonholes
+for the errors), decoded. The code is perfect, so most flips decode to the same codeword and about 120 keys are left of
+2081 words. Fingerprints within four bits share a key for certain; within a key they are verified.
+
+For near copies by similarity (near_copies) fingerprints are wider, as documents of similarity 0.8 differ in an eighth of
+their bits: 16 pairs of segments, a key for every word within one bit of a pair. Links are verified on the shingles.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large_batches, saved, shared_dir, small_batches
+from .common import discard, large_batches, saved, shared_dir, small_batches
 from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Members of a key that one task compares; larger keys are dealt out over pairs of blocks.
 BLOCK = 8192
+#: Large keys are told from such a part of the nodes.
+SAMPLE = 64
 _SEGMENTS = ((0, 23), (23, 23), (46, 18))
 _GENERATOR = 0xC75
 
@@ -43,14 +48,19 @@ def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], dtype=np.uint64)
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """(rows, words) of 64-bit hashes -> words whose bits are set in over half the rows."""
+    n, words = hashes.shape
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for k in range(0, n, 255):  # sums of so few bits fit in a byte
+        bits = np.unpackbits(hashes[k : k + 255].astype(">u8").view(np.uint8).reshape(-1, 8 * words), axis=1)
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n).view(">u8").astype(np.uint64)
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Majority of the bits of XXH64 over word shingles, repeats included; 0 if there is no word."""
-    hashes = shingle_hashes(text, shingle, seed).astype(">u8")
-    n = len(hashes)
-    counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 65536):
-        counts += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return int(majority(shingle_hashes(text, shingle, seed)[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -88,30 +98,58 @@ def _errors(parity: np.ndarray) -> np.ndarray:
 
 
 class Golay:
-    """Decodes 23-bit words to the index of the nearest codeword."""
+    """Decodes 23-bit words to the index of the nearest codeword, and lists the other indices that flips lead to.
+
+    The code is linear: by how much an index changes with a flip depends on the syndrome of the word alone, so the lists are
+    tables by syndrome. Words may be narrower; the bits that they lack are zero and never flip.
+    """
 
     def __init__(self) -> None:
         self.parity = _parities()
         self.error = _errors(self.parity)
+        self._tables: dict[tuple[int, int], np.ndarray] = {}
+
+    def syndrome(self, words: np.ndarray) -> np.ndarray:
+        return self.parity[words >> 11] ^ (words & 2047)
 
     def index(self, words: np.ndarray) -> np.ndarray:
-        return (words ^ self.error[self.parity[words >> 11] ^ (words & 2047)]) >> 11
-
-    def keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, key): the keys of each fingerprint, without repeats; a key holds the pair of segments and two indices."""
-        near = []
-        for at, width in _SEGMENTS:
-            word = (fps >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)
-            flips = np.array([0] + [1 << i for i in range(width)], dtype=np.int64)
-            near.append(self.index(word[:, None] ^ flips[None, :]))
-        cols = []
-        for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            cols += [p << 24 | near[i] << 12 | near[j][:, :1], p << 24 | near[i][:, :1] << 12 | near[j]]
-        keys = np.sort(np.concatenate(cols, axis=1), axis=1)
-        first = np.ones(keys.shape, dtype=bool)
-        first[:, 1:] = keys[:, 1:] != keys[:, :-1]
-        rows = np.nonzero(first)[0]
-        return rows, keys[first]
+        return (words ^ self.error[self.syndrome(words)]) >> 11
+
+    def changes(self, width: int, flips: int) -> np.ndarray:
+        """(2048, most): by syndrome, what an index is changed by with exactly so many flips (1 or 2) and no fewer; -1: none."""
+        if (width, flips) not in self._tables:
+            bits = [1 << k for k in range(width)]
+            masks = np.array(bits if flips == 1 else [a | b for k, a in enumerate(bits) for b in bits[:k]], dtype=np.int64)
+            own = np.arange(2048)[:, None]
+            found = np.sort((masks[None, :] ^ self.error[own ^ self.syndrome(masks)[None, :]] ^ self.error[own]) >> 11, axis=1)
+            found[:, 1:][found[:, 1:] == found[:, :-1]] = 0
+            if flips == 2:
+                found[(found[:, :, None] == self.changes(width, 1)[:, None, :]).any(axis=2)] = 0
+            found = -np.sort(-found, axis=1)
+            self._tables[width, flips] = np.where(found == 0, -1, found)[:, : max(1, int((found > 0).sum(axis=1).max()))]
+        return self._tables[width, flips]
+
+    def keys(self, words: list[np.ndarray], widths: list[int], flips: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, key): for each row of segments the keys of all words within so many flips (1 or 2), without repeats."""
+        base, syndromes = [self.index(w) for w in words], [self.syndrome(w) for w in words]
+        shifts = [12 * k for k in reversed(range(len(words)))]
+        whole = sum(b << s for b, s in zip(base, shifts))
+        one = [np.where((c := self.changes(n, 1)[s]) < 0, -1, c << shift) for n, s, shift in zip(widths, syndromes, shifts)]
+        cols = [np.zeros((len(whole), 1), dtype=np.int64), *one]
+        if flips == 2:
+            cols += [np.where((c := self.changes(n, 2)[s]) < 0, -1, c << shift) for n, s, shift in zip(widths, syndromes, shifts)]
+            for k, a in enumerate(one):
+                for b in one[:k]:
+                    both = (a[:, :, None] | b[:, None, :]).reshape(len(whole), -1)
+                    cols.append(np.where(both < 0, -1, both))
+        change = np.concatenate(cols, axis=1)
+        rows, at = np.nonzero(change >= 0)
+        return rows, whole[rows] ^ change[rows, at]
+
+    def fingerprint_keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, key) of 64-bit fingerprints: two that differ in at most four bits share a key."""
+        words = [(fps >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in _SEGMENTS]
+        return self.keys(words, [width for _, width in _SEGMENTS], 2)
 
 
 # ---- links
@@ -168,33 +206,43 @@ def _link_groups(bits: int):
     return run
 
 
-def links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def dealt_by_key(nodes: DataFrame, keyed_of, folder: str, block: int, sample: int = SAMPLE) -> DataFrame:
+    """keyed_of(nodes): (key, ...) with its rows dealt out and sorted by key and part, so that rows of a key lie together.
+
+    Keys with more than about `block` members are dealt into blocks by a hash of the row, and every pair of blocks is a part
+    of its own, so no task holds much more than two blocks of a key, and any two members meet in some part. Which keys these
+    are is estimated from a `sample`th of the nodes; that decides where rows go, never which rows are compared.
+    """
+    node = nodes.columns[0]
+    some = nodes.where(F.pmod(F.xxhash64(F.lit("sample"), node), F.lit(sample)) == 0)
+    counted = keyed_of(some).groupBy("key").agg((F.count("*") * sample).alias("n")).where(F.col("n") > block)
+    hot = saved(counted.select("key", F.ceil(F.col("n") / (block / 2)).cast("int").alias("blocks")), folder, "hot")
+    keyed = keyed_of(nodes)
+    others = [c for c in keyed.columns if c != "key"]
+    rest = keyed.select("key", F.lit(0).cast("long").alias("part"), *others)
+    if not hot.isEmpty():
+        own = F.pmod(F.xxhash64(*others), F.col("blocks")).cast("int")
+        parts = F.expr("transform(sequence(0, blocks - 1), x -> cast(least(x, own) as long) * blocks + greatest(x, own))")
+        one = F.array(F.lit(0).cast("long"))
+        rest = keyed.join(hot, "key", "left").withColumn("own", own).select("key", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(parts)).alias("part"), *others)
+    return rest.repartition("key", "part").sortWithinPartitions("key", "part")
+
+
+def links(nodes: DataFrame, folder: str, bits: int = MAX_BITS, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """Distinct (fp) -> (a, b): edges between fingerprints within `bits` bits that span every linked set (all that
-    components need), never all pairs. A key with more members than `block` is cut into blocks by hash and every pair of
-    blocks gets its own task group, so no task holds more than two blocks of one key and no link is lost."""
-    spark = nodes.sparkSession
-    large_batches(spark)
+    components need), never all pairs."""
+    large_batches(nodes.sparkSession)
 
     def run(batches):
         code = Golay()
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(fps), 4096):
-                rows, keys = code.keys(fps[k : k + 4096])
+                rows, keys = code.fingerprint_keys(fps[k : k + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[k : k + 4096][rows].view(np.int64))], names=["key", "fp"])
 
-    keyed = nodes.select("fp").mapInArrow(run, "key long, fp long")
-    hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / (block / 2)).cast("int").alias("blocks"))
-    hot = hot.cache()
-    if hot.isEmpty():
-        dealt = keyed.select("key", F.lit(0).cast("long").alias("part"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        parts = F.expr("transform(sequence(0, blocks - 1), x -> cast(least(x, own) as long) * blocks + greatest(x, own))")
-        split = keyed.join(hot, "key", "left").withColumn("own", own)
-        dealt = split.select("key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(parts)).alias("part"), "fp")
-    sorted_ = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-    return sorted_.mapInArrow(_link_groups(bits), "a long, b long")
+    dealt = dealt_by_key(nodes.select("fp"), lambda n: n.mapInArrow(run, "key long, fp long"), folder, block, sample)
+    return dealt.mapInArrow(_link_groups(bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, bits: int = MAX_BITS) -> DataFrame:
@@ -210,10 +258,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = shared_dir(docs.sparkSession)
     fps = saved(fingerprints(docs, id_col, text_col, shingle, seed), folder, "fingerprints")
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), folder, "nodes")
-    labels = components(links(nodes, bits), folder)
+    labels = components(links(nodes, folder, bits), folder)
     joined = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     heads = joined.groupBy("label").agg(F.min("head").alias("component_id"))
     classes = saved(joined.join(heads, "label").select("fp", "component_id"), folder, "classes")
+    discard(docs.sparkSession, f"{folder}/nodes")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
