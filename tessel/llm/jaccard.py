@@ -1,8 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, each link verified on the shingles.
-
-100 minima in 20 bands of 5: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996, one of
-0.85 with 0.99999. A band's bucket is not compared pair by pair: first all members with one of them, and only where that
-leaves it in several components, the members of different components with each other.
+"""Near copies by similarity: SimHash candidates over the Golay code, each link verified on the word shingles.
+
+Documents that share 0.8 of their shingles differ in about an eighth of the bits of their fingerprints, far more than 64 bits
+and four errors can tell from chance. So the fingerprint here is WORDS words wide and cut into PAIRS pairs of 23-bit segments.
+A document emits, for each pair, the codeword indices of every word within one bit of it (about ten keys); two documents
+of similarity 0.8 share a key with a probability of about 0.99, of 0.84 with 0.998, more similar ones nearly always (README).
+Members of a key that differ in more than SKETCH_BITS of the first 95 bits meet there by chance and are not looked at again.
+What is left forms groups; in a group not all pairs are compared: first all members with one of them, and only where that
+leaves several components, the members of different components with each other.
 """
 
 from __future__ import annotations
@@ -17,15 +21,22 @@ from pyspark.sql import functions as F
 
 from .common import large_batches, saved, shared_dir, small_batches
 from .graph import components
-from .simhash import SEED, shingle_hashes
-
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
+from .simhash import BLOCK as KEY_BLOCK
+from .simhash import SAMPLE, SEED, Golay, dealt_by_key, majority, shingle_hashes
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Pairs of segments of 23 bits, and the words that hold their bits.
+PAIRS = 20
+WORDS = -(-2 * 23 * PAIRS // 64)
+#: Bits in which the first 95 of similar documents may differ: at similarity 0.8 about 14, give or take 3.5; of unrelated
+#: ones 48, give or take five.
+SKETCH_BITS = 29
 #: Rows of one key that one task joins; more are dealt out.
 BLOCK = 256
-#: Members of a bucket all of whose pairs are compared at once.
+#: Members of a group all of whose pairs are compared at once.
 SMALL = 32
 _R = np.random.default_rng(SEED)
-_MULTIPLY, _ADD = _R.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _R.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLY, _ADD = _R.integers(0, 2**63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1), _R.integers(0, 2**63, WORDS, dtype=np.uint64)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -38,19 +49,20 @@ def node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) if found.size else 0
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    out = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for k in range(0, found.size, 256):
-        np.minimum(out, (found[k : k + 256, None] * _MULTIPLY + _ADD).min(axis=0), out=out)
-    return out
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """WORDS words of majority bits over mixes of the shingles' hashes; none without shingles."""
+    if not found.size:
+        return np.zeros(0, np.uint64)
+    x = found[:, None] * _MULTIPLY[0] + _ADD
+    return majority((x ^ x >> np.uint64(32)) * _MULTIPLY[1])
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """A key for each band; none without shingles."""
-    if not found.size:
-        return []
-    bands = minima(found).reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(bands[k].tobytes(), k) for k in range(BANDS)]
+def pair_keys(code: Golay, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of (n, WORDS) fingerprints: for each pair of segments the keys of all words within one bit."""
+    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)[:, : 46 * PAIRS]
+    segments = bits.reshape(len(prints), 2 * PAIRS, 23).astype(np.int64) @ (1 << np.arange(23))
+    found = [code.keys([segments[:, 2 * p], segments[:, 2 * p + 1]], [23, 23], 1) for p in range(PAIRS)]
+    return np.concatenate([rows for rows, _ in found]), np.concatenate([keys | p << 24 for p, (_, keys) in enumerate(found)])
 
 
 def _longs(values) -> np.ndarray:
@@ -74,21 +86,21 @@ def _over_texts(docs: DataFrame, shingle: int, make, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _dealt(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+def _dealt(many: DataFrame, one: DataFrame, key: str, by: str, folder: str) -> DataFrame:
     """many join one on key; a key that very many rows of `many` have is cut into parts by a hash of `by`, and its row of
     `one` repeated for each."""
     hot = many.groupBy(key).count().where(F.col("count") > BLOCK).select(key, F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    hot = F.broadcast(hot.cache())
+    hot = saved(hot, folder, "hot")
     part = F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")), F.lit(0)).cast("int")
     left = many.join(hot, key, "left").withColumn("part", part).drop("parts")
     right = one.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return left.join(right, [key, "part"]).drop("part")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, folder: str) -> DataFrame:
     """The pairs (a, b) whose sets have that similarity."""
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("made").alias("sb")), "b")
-    both = _dealt(with_b, sets.select(F.col("node").alias("a"), F.col("made").alias("sa")), "a", "b")
+    both = _dealt(with_b, sets.select(F.col("node").alias("a"), F.col("made").alias("sa")), "a", "b", folder)
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sizes"))
     return shared.where(F.col("n") >= F.lit(similarity) * (F.col("sizes") - F.col("n")) - 1e-9).select("a", "b")
 
@@ -97,22 +109,79 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(nodes: DataFrame, sets_of, folder: str, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """(node, label) of the components over (node, keys): label is the same for nodes that verified links join.
+def _close_groups(most: int):
+    """Rows (key, part, node, first, second) sorted by key and part -> (key, node) by first and second as 95 bits: members of each part that are joined by
+    differences of at most so many bits, if they are at least two. The key made here is a hash of the members, so what
+    meets under many keys is one group."""
+
+    def groups(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray):
+        cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(nodes)]))
+        pairs = starts[ends - starts == 2]
+        pairs = pairs[np.bitwise_count(prints[pairs] ^ prints[pairs + 1]).sum(axis=1) <= most]
+        found = [np.sort(nodes[k : k + 2]) for k in pairs.tolist()]
+        for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
+            left = np.arange(s, e)
+            while left.size > 1:
+                stack, own, left = [left[0]], [left[0]], left[1:]
+                while stack and left.size:
+                    near = np.bitwise_count(prints[left] ^ prints[stack.pop()]).sum(axis=1) <= most
+                    stack += left[near].tolist()
+                    own += left[near].tolist()
+                    left = left[~near]
+                if len(own) > 1:
+                    found.append(nodes[np.sort(own)])
+        names = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(f) for f in found])), pa.array(flat)], names=["key", "node"])
 
-    sets_of(nodes) gives (node, made) for the nodes that share a bucket. A member that was compared with all others leaves its
-    bucket; a bucket ends when all that is left is one component.
-    """
+    def run(batches):
+        keys, nodes, prints = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            keys, nodes = np.concatenate((keys, np.stack(cols[:2], axis=1))), np.concatenate((nodes, cols[2]))
+            prints = np.concatenate((prints, np.stack(cols[3:], axis=1).view(np.uint64)))
+            if len(nodes) and len(changes := np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1))):
+                end = changes[-1] + 1
+                yield groups(keys[:end], nodes[:end], prints[:end])
+                keys, nodes, prints = keys[end:], nodes[end:], prints[end:]
+        if len(nodes):
+            yield groups(keys, nodes, prints)
+
+    return run
+
+
+def candidates(nodes: DataFrame, folder: str, block: int = KEY_BLOCK, sample: int = SAMPLE) -> DataFrame:
+    """(node, made: fingerprint) -> distinct (key, node): groups of nodes that may be similar."""
     large_batches(nodes.sparkSession)
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1"), folder, "buckets")
-    hot, cold = F.broadcast(buckets.where(F.col("n") > BLOCK).select("key", "center")), buckets.where(F.col("n") <= BLOCK).select("key", "center")
-    rest = keyed.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key")
-    members = saved(keyed.join(hot, "key").unionByName(rest), folder, "members")
+
+    def run(batches):
+        code = Golay()
+        for b in batches:
+            own, made = b.column(0).to_numpy(zero_copy_only=False), b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+            for k in range(0, len(own), 2048):
+                rows, keys = pair_keys(code, made[k : k + 2048])
+                first, second = made[k : k + 2048, 0].view(np.int64), (made[k : k + 2048, 1] >> np.uint64(33)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(own[k : k + 2048][rows]), pa.array(first[rows]), pa.array(second[rows])], names=["key", "node", "first", "second"])
+
+    keyed_of = lambda n: n.mapInArrow(run, "key int, node long, first long, second int")
+    dealt = dealt_by_key(nodes.where(F.size("made") > 0).select("node", "made"), keyed_of, folder, block, sample)
+    return saved(dealt.mapInArrow(_close_groups(SKETCH_BITS), "key long, node long").distinct(), folder, "groups")
+
+
+def links(keyed: DataFrame, sets_of, folder: str, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """(node, label) of the components over (key, node): label is the same for nodes that verified links join.
+
+    sets_of(nodes) gives (node, made: shingles) for the nodes of groups. A member that was compared with all others leaves its
+    group; a group ends when all that is left is one component.
+    """
+    large_batches(keyed.sparkSession)
+    buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")), folder, "buckets")
+    members = saved(keyed.join(buckets.select("key", "center"), "key"), folder, "members")
     sets = saved(sets_of(members.select("node").distinct()), folder, "sets")
     members_left = members.where("node <> center")
     pairs = saved(members_left.select(*_pair("node", "center")).distinct(), folder, "pairs0")
-    edges = saved(_verified(pairs, sets, similarity), folder, "links0")
+    edges = saved(_verified(pairs, sets, similarity, f"{folder}/verify0"), folder, "links0")
     members, turn = members_left.select("key", "node"), 1
     while True:
         labels = components(edges, f"{folder}/components{turn}")
@@ -121,7 +190,7 @@ def links(nodes: DataFrame, sets_of, folder: str, similarity: float = SIMILARITY
         apart = saved(apart, folder, f"apart{turn}")
         if apart.isEmpty():
             return labels
-        few, many = apart.where(F.col("n") <= small).select("key"), F.broadcast(apart.where(F.col("n") > small))
+        few, many = apart.where(F.col("n") <= small).select("key"), apart.where(F.col("n") > small)
         own = saved(own, folder, f"own{turn}")
         group = own.join(few, "key").groupBy("key").agg(F.collect_list(F.struct("node", "label")).alias("m"))
         x = group.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where("x.label <> y.label and x.node < y.node")
@@ -130,15 +199,15 @@ def links(nodes: DataFrame, sets_of, folder: str, similarity: float = SIMILARITY
         large = own.join(many, "key").withColumn("chosen", F.pmod(F.xxhash64("node", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("n") / (4 * 4**turn)))) == 0).drop("n")
         large = saved(large, folder, f"large{turn}")
         chosen = large.where("chosen").select("key", F.col("node").alias("c"), F.col("label").alias("c_label"))
-        found.append(large.join(F.broadcast(chosen), "key").where("label <> c_label").select(*_pair("node", "c")))
+        found.append(large.join(chosen, "key").where("label <> c_label").select(*_pair("node", "c")))
         pairs = saved(reduce(DataFrame.unionByName, found).distinct(), folder, f"pairs{turn}")
-        edges = saved(edges.unionByName(_verified(pairs, sets, similarity)).distinct(), folder, f"links{turn}")
+        edges = saved(edges.unionByName(_verified(pairs, sets, similarity, f"{folder}/verify{turn}")).distinct(), folder, f"links{turn}")
         members, turn = large.where("not chosen").select("key", "node"), turn + 1
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, component_id) for every row of docs: component_id is the smallest id reached over links between
-    documents whose sets of word shingles have a Jaccard similarity of at least `similarity` (0.8 or more: the bands are made
+    documents whose sets of word shingles have a Jaccard similarity of at least `similarity` (0.8 or more: the keys are made
     for that).
 
     Links are verified on 64-bit hashes of the shingles. A text of fewer words is one shingle; null and wordless texts are
@@ -146,17 +215,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is null. Repeated ids give repeated rows. An empty table gives an empty one. Other columns of docs are not read.
     """
     if not SIMILARITY <= similarity <= 1:
-        raise ValueError("the bands find similarities of 0.8 or more")
+        raise ValueError("the keys find similarities of 0.8 or more")
     folder = shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    rows = saved(_over_texts(texts, shingle, band_keys, "doc_id long, node long, made array<long>"), folder, "bands")
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("made").alias("keys")), folder, "nodes")
+    rows = saved(_over_texts(texts, shingle, wide_fingerprint, "doc_id long, node long, made array<long>"), folder, "prints")
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("head"), F.first("made").alias("made")), folder, "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         heads = nodes.join(wanted, "node").select(F.col("head").alias("doc_id"))
         return _over_texts(texts.join(heads, "doc_id", "left_semi"), shingle, lambda found: found, "doc_id long, node long, made array<long>").select("node", "made").dropDuplicates(["node"])
 
-    labels = links(nodes.where("head is not null").select("node", "keys"), sets_of, folder, similarity)
+    labels = links(candidates(nodes.where("head is not null"), folder), sets_of, folder, similarity)
     joined = nodes.select("node", "head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = joined.groupBy("label").agg(F.min("head").alias("component_id"))
     classes = saved(joined.join(heads, "label").select("node", "component_id"), folder, "classes")
