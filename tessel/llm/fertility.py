@@ -2,7 +2,8 @@
 
 Distinct words are tokenised once and remembered; per document the measures are characters per token (of a piece and of a
 byte vocabulary), the share of byte-fallback tokens and the entropy of tokens. Bands for each script reject what lies
-outside: text that vocabularies of natural language fall apart on, or that says the same few tokens over and over.
+outside: text that vocabularies of natural language fall apart on, or that says the same few tokens over and over. The bands
+come from the corpus: quartiles over all documents of a script that pass the base rules, and fences well outside of them.
 """
 
 from __future__ import annotations
@@ -14,22 +15,31 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, saved, shared_dir, small_batches
 
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS, WINDOW = 50, 50, "#*$%&|<>", 3
 #: Distinct words that a worker remembers; beyond that it starts anew.
 MEMO = 300_000
-#: Words from which on the entropy band holds.
-ENTROPY_WORDS = 50
-#: Bands by script: least and most characters per token (piece, byte vocabulary), most byte-fallback share, least entropy in bits.
-BANDS = {
-    "latin": ((1.4, 10.0), (1.4, 10.0), 0.30, 4.5),
-    "other": ((0.3, 10.0), (0.2, 10.0), 0.90, 4.0),
+#: Scripts that have bands of their own; a text is of the script that most of its letters are of.
+SCRIPTS = ["Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai"]
+OTHER = "other"
+#: What is measured for the bands, which side rejects (below, above or both), and how far a fence is from the median at least
+#: (as a factor; for the share of fallback tokens: how high it is at least).
+BANDED = {"chars_per_piece": ("both", 2.0), "chars_per_byte_token": ("both", 2.0), "fallback_share": ("above", 0.3), "token_entropy": ("below", 2.0)}
+#: A fence is so many times the distance of the quartiles beyond them; scripts with fewer documents than this take the wide
+#: bands below, set by hand.
+FENCE, FIT_DOCS = 3.0, 100
+WIDE = {
+    "Latin": {"chars_per_piece": (1.4, 10.0), "chars_per_byte_token": (1.4, 10.0), "fallback_share": (-np.inf, 0.3), "token_entropy": (4.5, np.inf)},
+    "any": {"chars_per_piece": (0.3, 10.0), "chars_per_byte_token": (0.2, 10.0), "fallback_share": (-np.inf, 0.9), "token_entropy": (4.0, np.inf)},
 }
-_LATIN = regex.compile(r"\p{Latin}")
+#: Measures are counted in steps of this, up to this many steps.
+STEP, MOST_STEPS = 0.01, 5000
 _LETTER = regex.compile(r"\p{L}")
+_OF_SCRIPT = {k: regex.compile(rf"[\p{{L}}&&\p{{{k}}}]", regex.V1) for k in SCRIPTS}
 _ASCII, _ASCII_LETTERS = bytes(range(128)), bytes(b for b in range(128) if chr(b).isalpha())
 
 
@@ -103,15 +113,21 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def script_of(text: bytes) -> str:
-    """latin if at least half of the letters are, or if there are none."""
+    """The script that most letters are of (the first of SCRIPTS among equals; Latin if there is no letter); other if most
+    are of none of them."""
     ascii_letters = len(text) - len(text.translate(None, _ASCII_LETTERS))
-    rest = text.translate(None, _ASCII).decode("utf-8", "replace")
-    letters = ascii_letters + len(_LETTER.findall(rest))
-    return "latin" if 2 * (ascii_letters + len(_LATIN.findall(rest))) >= letters else "other"
+    letters = _LETTER.findall(text.translate(None, _ASCII).decode("utf-8", "replace"))
+    if ascii_letters >= len(letters):
+        return SCRIPTS[0]
+    rest = "".join(letters)
+    counts = {k: len(p.findall(rest)) for k, p in _OF_SCRIPT.items()}
+    counts[SCRIPTS[0]] += ascii_letters
+    best = max(counts, key=counts.get)
+    return best if counts[best] > ascii_letters + len(letters) - sum(counts.values()) else OTHER
 
 
 MEASURES = {
-    "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(),
+    "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(),
     "script": pa.string(), "chars_per_piece": pa.float64(), "chars_per_byte_token": pa.float64(), "fallback_share": pa.float64(), "token_entropy": pa.float64(),
 }
 
@@ -142,18 +158,14 @@ def measure(text: bytes, words: Words) -> tuple:
     repeats = repeated_words(ids)
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
     per_piece, per_byte = word_chars / max(total, 1), (word_chars + n) / max(others, 1)
-    script = script_of(text)
-    low, low_bytes, most_fallback, least_entropy = BANDS[script]
-    inside = low[0] <= per_piece <= low[1] and low_bytes[0] <= per_byte <= low_bytes[1] and fallback <= most_fallback and (n < ENTROPY_WORDS or entropy >= least_entropy)
-    return n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, not failed and inside, script, per_piece, per_byte, fallback, entropy
+    return n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, script_of(text), per_piece, per_byte, fallback, entropy
 
 
-def quality(docs: DataFrame, text_col: str = "text", pieces: str | None = None, ranks: str | None = None) -> DataFrame:
+def measured(docs: DataFrame, text_col: str = "text", pieces: str | None = None, ranks: str | None = None) -> DataFrame:
     """Adds MEASURES to every row of docs, in place of columns of these names.
 
-    kept is false if the base rules fail or a fertility measure lies outside the band of the text's script. A null or
-    empty text has no words: it fails. Whole texts are measured, whatever their length; repeated rows each; an empty table
-    gives an empty one. The vocabulary files must be on every executor.
+    A null or empty text has no words: it fails the base rules. Whole texts are measured, whatever their length; repeated
+    rows each; an empty table gives an empty one. The vocabulary files must be on every executor.
     """
     import public_tokenizers as P
 
@@ -175,5 +187,54 @@ def quality(docs: DataFrame, text_col: str = "text", pieces: str | None = None,
     return docs.mapInArrow(run, schema)
 
 
+def quartiles(steps: np.ndarray, counts: np.ndarray) -> tuple[float, float, float]:
+    """Lower quartile, median and upper quartile of values counted in steps."""
+    order = np.argsort(steps)
+    places = np.searchsorted(np.cumsum(counts[order]), np.array([0.25, 0.5, 0.75]) * counts.sum())
+    return tuple((steps[order][places] * STEP).tolist())
+
+
+def fit_bands(found: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
+    """script -> measure -> (least, most), from all rows of measured() that pass the base rules.
+
+    Values are counted in steps of STEP, so what reaches the driver is bounded by the steps, the same on every run. The
+    fences lie FENCE quartile distances beyond the quartiles, and where the values hardly differ as far from the median as
+    BANDED says. Scripts with fewer than FIT_DOCS rows have the bands of WIDE.
+    """
+    value = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in BANDED])).alias("v")
+    step = F.least(F.floor(F.col("v.x") / STEP), F.lit(MOST_STEPS)).alias("step")
+    rows = found.where(~F.col("base_failed")).select("script", value).groupBy("script", F.col("v.measure").alias("measure"), step).count().collect()
+    out = {script: dict(WIDE.get(script, WIDE["any"])) for script in [*SCRIPTS, OTHER]}
+    for script, measure in sorted({(r.script, r.measure) for r in rows}):
+        own = [(r["step"], r["count"]) for r in rows if (r.script, r.measure) == (script, measure)]
+        steps, counts = np.array(own, dtype=np.int64).T
+        if counts.sum() < FIT_DOCS:
+            continue
+        low, middle, high = quartiles(steps, counts)
+        side, far = BANDED[measure]
+        least, most = low - FENCE * (high - low), high + FENCE * (high - low)
+        least, most = (least, max(most, far)) if measure == "fallback_share" else (min(least, middle / far), max(most, middle * far))
+        out[script][measure] = (least if side != "above" else -np.inf, most if side != "below" else np.inf)
+    return out
+
+
+def judged(found: DataFrame, bands: dict[str, dict[str, tuple[float, float]]]) -> DataFrame:
+    """Adds kept to rows of measured(): false if the base rules fail or a measure lies outside the band of the script."""
+    outside = F.lit(False)
+    for script, own in bands.items():
+        for measure, (least, most) in own.items():
+            outside |= (F.col("script") == script) & ~F.col(measure).between(float(least), float(most))
+    return found.withColumn("kept", ~(F.col("base_failed") | outside))
+
+
+def quality(docs: DataFrame, text_col: str = "text", pieces: str | None = None, ranks: str | None = None) -> DataFrame:
+    """Adds MEASURES and kept to every row of docs, in place of columns of these names: measured(), then judged() by the
+    bands of the corpus itself. What is measured is written to the shared folder, so it is measured once."""
+    found = saved(measured(docs.drop("kept"), text_col, pieces, ranks), shared_dir(docs.sparkSession), "measured")
+    return judged(found, fit_bands(found))
+
+
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    found = measured(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    found = saved(found, shared_dir(spark), "measured")
+    return judged(found, fit_bands(found))
