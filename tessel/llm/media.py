@@ -16,9 +16,11 @@ from .common import documents, small_batches
 UNIT, FILL, WIDTH = 576, 255, 576
 #: Bytes that an IDAT chunk holds at most, zlib's level, and the side of the grid and of the low frequencies of a hash.
 CHUNK, LEVEL, GRID, LOW = 1 << 20, 1, 32, 8
-#: Fixed values of the format: signature, channels of its colour types, passes of interlacing (x0, y0, dx, dy).
+#: Fixed values of the format: signature, channels of its colour types.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: Bytes that one byte of a deflate stream can stand for at most, rounded up.
+MOST_INFLATED = 1040
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -51,14 +53,16 @@ def encode_png(rows: np.ndarray) -> bytes:
 def unfilter(lines: np.ndarray, step: int) -> np.ndarray:
     """Samples from scan lines with filter bytes; step: bytes between a sample and the one to its left.
 
-    Runs of rows with the same filter none, left or up are done at once; average and the Paeth predictor go sample by
-    sample along the row, as each depends on the one before.
+    Runs of rows with the same filter none, left or up are done at once. Average and the Paeth predictor need the samples to
+    the left, above, and above the left, so their runs go by diagonals: a diagonal needs only the two before it.
     """
     kind, out = lines[:, 0], lines[:, 1:].copy()
     if kind.size and kind.max() > 4:
         raise ValueError("unknown filter")
     h, w = out.shape
-    cuts = np.flatnonzero(np.diff(kind)) + 1
+    if not out.size:
+        return out
+    cuts = np.flatnonzero(np.diff(np.minimum(kind, 3))) + 1
     zero = np.zeros(w, np.uint8)
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), h]):
         up = out[a - 1] if a else zero
@@ -69,22 +73,26 @@ def unfilter(lines: np.ndarray, step: int) -> np.ndarray:
             out[a] += up
             out[a:b] = np.cumsum(out[a:b], axis=0, dtype=np.uint8)
         elif kind[a] > 2:
-            for y in range(a, b):
-                out[y] = _unfilter_row(int(kind[a]), out[y], out[y - 1] if y else zero, step)
+            _unfilter_diagonals(out[a:b], kind[a:b] == 3, up, step)
     return out
 
 
-def _unfilter_row(kind: int, row: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
-    x, above = row.tolist(), up.tolist()
-    for k, u in enumerate(above):
-        left, corner = (x[k - step], above[k - step]) if k >= step else (0, 0)
-        if kind == 3:
-            guess = (left + u) // 2
-        else:
-            by = [(abs(u - corner), 0, left), (abs(left - corner), 1, u), (abs(left + u - 2 * corner), 2, corner)]
-            guess = min(by)[2]
-        x[k] = (x[k] + guess) & 255
-    return np.array(x, dtype=np.uint8)
+def _unfilter_diagonals(rows: np.ndarray, average: np.ndarray, up: np.ndarray, step: int) -> None:
+    """Rows of average (where marked) and of Paeth filters, in place; up: the row above them. Diagonal d holds the pixels
+    (y, d - y)."""
+    h, w = rows.shape[0], rows.shape[1] // step
+    x = np.zeros((h + 1, w + 1, step), dtype=np.int16)  # with a row above and a column of zeros to the left
+    x[0, 1:] = up.reshape(w, step)
+    x[1:, 1:] = rows.reshape(h, w, step)
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h - 1, d) + 1)
+        c = d - y
+        left, above, corner = x[y + 1, c], x[y, c + 1], x[y, c]
+        by_left, by_above, by_corner = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        paeth = np.where((by_left <= by_above) & (by_left <= by_corner), left, np.where(by_above <= by_corner, above, corner))
+        guess = np.where(average[y, None], (left + above) >> 1, paeth)
+        x[y + 1, c + 1] = (x[y + 1, c + 1] + guess) & 255
+    rows[:] = x[1:, 1:].reshape(h, w * step).astype(np.uint8)
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -101,6 +109,8 @@ def decode_png(data: bytes) -> np.ndarray:
         if len(crc) < 4 or struct.unpack(">I", crc)[0] != zlib.crc32(kind + body):
             raise ValueError(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("wrong header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)
@@ -112,11 +122,15 @@ def decode_png(data: bytes) -> np.ndarray:
     if depth != 8 or colour not in CHANNELS or packing or filtering or interlaced:
         raise ValueError("only 8-bit samples, not interlaced")
     step = CHANNELS[colour]
+    packed, size = b"".join(parts), h * (w * step + 1)
+    if size > MOST_INFLATED * (len(packed) + 1):
+        raise ValueError("wrong size")  # no stream is so much shorter than its data
+    inflate = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(parts))
+        raw = inflate.decompress(packed, size + 1)  # never more than the header says
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    if len(raw) != h * (w * step + 1):
+    if len(raw) != size or not inflate.eof:
         raise ValueError("wrong size")
     return unfilter(np.frombuffer(raw, np.uint8).reshape(h, w * step + 1), step)
 
