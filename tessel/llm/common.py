@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch handed to Python. Small, as one document may hold megabytes.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
@@ -52,3 +53,13 @@ def discard(spark: SparkSession, path: str) -> None:
     """Removes a table of the shared folder that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def draw(seed: str, *cols: str) -> Column:
+    """A number from 0 to 1 (63 bits of a hash of the columns), the same on every run."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 1) / F.lit(float(2**63))
+
+
+def sampled(df: DataFrame, n: int, most: int, seed: str, *cols: str) -> DataFrame:
+    """df, which has n rows; if these are more than `most`, about so many of them by a hash of the columns, at any n."""
+    return df if n <= most else df.where(draw(seed, *cols) < F.lit(most / n))

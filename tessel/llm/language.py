@@ -5,15 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, sampled, small_batches
 
-#: Labelled documents that the model learns from, about: all, or that share of them by a hash of the id.
+#: Labelled documents that the model learns from, about: all, or that share of them by a hash. Every word of theirs is known
+#: to the model, so this alone bounds what is broadcast.
 TRAIN_DOCS = 20_000
-#: Words of each language that the model keeps, most frequent first; what it broadcasts is bounded by this.
-WORDS = 30_000
 #: Longest n-gram, and the weight that smooths counts.
 LONGEST, SMOOTHING = 5, 0.5
 #: Scored words that a worker remembers.
@@ -107,22 +106,17 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum()), float((self.known[at, best].sum() + 1) / (len(at) + 1))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS, max_words: int = WORDS) -> Model:
-    """Word counts of each language over the labelled rows of docs, at most about max_docs of them (by a hash of the id).
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
+    """Word counts of each language over the labelled rows of docs, at most about max_docs of them (by a hash of id and text).
 
-    Rows with a null text or language teach nothing; without any labelled row the model knows no language.
+    Rows with a null text or language teach nothing; without any labelled row the model knows no language. Repeated rows
+    teach as often as they occur.
     """
-    labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    n = labelled.count()
-    if n > max_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1_000_000)) < int(1e6 * max_docs / n))
-    word = F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
-    sums = labelled.select(F.col(lang_col).cast("string").alias("lang"), word).groupBy("lang", "word").count()
-    counts: dict[str, dict[str, int]] = {}
-    for lang in [r.lang for r in labelled.select(F.col(lang_col).cast("string").alias("lang")).distinct().collect()]:
-        counts[lang] = {}
-    top = sums.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("k") <= max_words)
-    for r in top.select("lang", "word", "count").toLocalIterator():
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna(subset=["text", "lang"])
+    labelled = sampled(labelled, labelled.count(), max_docs, "train", "id", "text")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
+    counts: dict[str, dict[str, int]] = {r.lang: {} for r in labelled.select("lang").distinct().collect()}
+    for r in labelled.select("lang", word).groupBy("lang", "word").count().toLocalIterator():
         counts[r["lang"]][r["word"]] = r["count"]
     return Model(counts)
 
