@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -302,11 +304,11 @@ def test_base_rules(docs, corpus):
         t = texts[r.doc_id]
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        places = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)} if len(w) < 1500 else None
+        often = Counter(grams)
+        places = {k + j for k, g in enumerate(grams) if often[g] > 1 for j in range(3)}
         own = [x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r")]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(own) - len(set(own)))
-        if places is not None:
-            assert r.n_repeat_words == len(places) and r.base_failed == (len(w) < 50 or 100 * len(places) > 50 * len(w))
+        assert r.n_repeat_words == len(places) and r.base_failed == (len(w) < 50 or 100 * len(places) > 50 * len(w))
         assert not (r.base_failed and r.kept)
 
 
@@ -321,6 +323,35 @@ def test_fertility_tells_prose_from_noise(spark):
     assert not got[3].kept
 
 
+def test_verdict_by_bands_of_the_script(spark):
+    """Brute force: quartiles of each script's rows, fences, and the verdict of each row."""
+    r = random.Random(6)
+    latin = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(3, 8))) for _ in range(500)]
+    greek = ["".join(r.choice("αβγδεζηθικλμνξο") for _ in range(r.randrange(3, 8))) for _ in range(500)]
+    rows = [(k, " ".join(r.choice(latin) for _ in range(r.randrange(55, 90)))) for k in range(130)] + [(200 + k, " ".join(r.choice(greek) for _ in range(60))) for k in range(110)]
+    rows += [(400, " ".join(chr(0x1D400 + r.randrange(52)) * 3 for _ in range(60))), (401, " ".join(f"{'ab'[k % 2]}{'cd'[k // 2 % 2]}{k % 3}" for k in range(60))), (402, " ".join("йцукенгшщз"[r.randrange(5) :] for _ in range(60))), (403, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = fertility.measured(df).collect()
+    assert Counter(x.script for x in found) == {"Latin": 133, "Greek": 110, "Cyrillic": 1} or {x.script for x in found} >= {"Latin", "Greek", "Cyrillic"}
+    bands = {}
+    for script in {x.script for x in found}:
+        own = [x for x in found if x.script == script and not x.base_failed]
+        bands[script] = dict(fertility.WIDE.get(script, fertility.WIDE["any"]))
+        for m in fertility.BANDED if len(own) >= 100 else ():
+            v = sorted(int(x[m] * 100 + 1e-12) for x in own)
+            at = lambda q: next(y for k, y in enumerate(v, 1) if k >= q * len(v)) / 100  # noqa: E731, B023
+            low, mid, high = at(0.25), at(0.5), at(0.75)
+            side = {"fallback_share": (-1e9, max(high + 3 * (high - low), 0.3)), "token_entropy": (min(low - 3 * (high - low), mid / 2), 1e9)}
+            bands[script][m] = side.get(m, (min(low - 3 * (high - low), mid / 2), max(high + 3 * (high - low), mid * 2)))
+    want = {x.doc_id: not x.base_failed and all(a <= x[m] <= b for m, (a, b) in bands[x.script].items()) for x in found}
+    assert {x.doc_id: x.kept for x in fertility.quality(df).collect()} == want and not all(want[x.doc_id] for x in found if not x.base_failed) and want[0] and want[200]
+
+
+def test_scripts():
+    of = lambda t: fertility.script_of(t.encode())
+    assert [of(t) for t in ("", "12 !?", "abc", "été", "привет abc", "漢字かな漢", "한국어", "ᚠᚢᚦ", "abé привет")] == ["Latin", "Latin", "Latin", "Latin", "Cyrillic", "Han", "Hangul", "other", "Cyrillic"]
+
+
 # ---- 8
 
 
@@ -349,13 +380,40 @@ def test_png_filters_of_others():
         assert (media.unfilter(np.array(out), step) == rows).all()
 
 
+def brute_unfilter(lines, step):
+    """Sample by sample, as the format's rules say."""
+    out = []
+    for kind, *row in lines.tolist():
+        up, own = out[-1] if out else [0] * len(row), []
+        for k, x in enumerate(row):
+            a, b, c = (own[k - step], up[k], up[k - step]) if k >= step else (0, up[k], 0)
+            p = a + b - c
+            own.append((x + [0, a, b, (a + b) // 2, min((abs(p - v), i, v) for i, v in enumerate((a, b, c)))[2]][kind]) % 256)
+        out.append(own)
+    return np.array(out, dtype=np.uint8).reshape(len(lines), -1)
+
+
+@pytest.mark.parametrize("step,h,w", [(1, 1, 40), (3, 40, 6), (4, 25, 48), (2, 9, 2), (1, 30, 30)])
+def test_unfilter_of_any_mix(step, h, w):
+    r = np.random.default_rng(h)
+    lines_ = r.integers(0, 256, (h, w + 1), dtype=np.uint8)
+    lines_[:, 0] = np.repeat(r.integers(0, 5, h), 3)[:h]
+    assert (media.unfilter(lines_, step) == brute_unfilter(lines_, step)).all()
+
+
 def test_damaged_files(spark):
     good = media.encode_png(np.arange(576, dtype=np.uint8).reshape(1, 576))
     bad = bytearray(good)
     bad[40] ^= 1
+    head = lambda w, h: media._chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0))
+    data = lambda raw: media._chunk(b"IDAT", zlib.compress(raw))
+    end = media._chunk(b"IEND", b"")
     rows = [(1, good), (2, bytes(bad)), (3, good[:-5]), (4, b""), (5, None), (6, b"GIF89a")]
+    rows += [(7, media.SIGNATURE + media._chunk(b"IHDR", b"short") + end), (8, media.SIGNATURE + head(10, 1) + data(bytes(50_000_000)) + end), (9, media.SIGNATURE + head(2**31, 2**31) + data(b"x") + end)]
+    rows += [(10, media.SIGNATURE + head(10, 1) + data(bytes(9)) + end), (11, media.SIGNATURE + head(4, 1) + data(b"\x05abcd") + end), (12, media.SIGNATURE + head(0, 0) + data(b"") + end)]
     got = {r.doc_id: r for r in media.read_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
-    assert got[1].error is None and all(got[k].payload is None and got[k].error for k in range(2, 7))
+    assert got[1].error is None and all(got[k].payload is None and got[k].error for k in range(2, 12))
+    assert bytes(got[12].payload) == b"" and got[12].feature is None and got[12].error is None
 
 
 def test_cosine_hash_moves_little_with_noise():
