@@ -69,42 +69,70 @@ def brute_windows(texts, n):
     return out
 
 
-@pytest.mark.parametrize("block", [64, 1 << 21])
+@pytest.mark.parametrize("block", [8, 64, 1 << 20])
 def test_transform(block, monkeypatch):
+    """Against sorted suffixes: the transform, the common prefixes, and the repeated windows that come of them."""
     monkeypatch.setattr(transform, "BLOCK", block)
     r = random.Random(block)
     for _ in range(60):
         texts = [bytes(r.choice(b"ab\x00c") for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(0, 12))] + [b"a" * 50] * (r.random() < 0.3)
         n = r.choice([1, 2, 3, 5, 12])
         assert list(zip(*(x.tolist() for x in transform.repeated_windows(texts, n)))) == brute_windows(texts, n)
-        rows = sorted((t[k:] + bytes([0]) if False else tuple(b + 1 for b in t[k:]) + (0,), i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
-        want = [0 if k == 0 else texts[i][k - 1] for _, i, k in sorted(rows, key=lambda x: (x[0], x[1]))]
+        rows = sorted((tuple(b + 1 for b in t[k:]) + (0,), i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
         code = {b: c for c, b in enumerate(sorted({b for t in texts for b in t}), 1)}
-        starts = [k == 0 for _, i, k in sorted(rows, key=lambda x: (x[0], x[1]))]
+        shared = [next((k for k, (x, y) in enumerate(zip(one, other)) if x != y or x == 0), 0) for (one, *_), (other, *_) in zip(rows, rows[1:])]
         if texts:
-            assert transform.transform(texts).tolist() == [0 if s else code[w] for w, s in zip(want, starts)]
+            bwt, lcp = transform.transform(texts, 12)
+            assert bwt.tolist() == [0 if k == 0 else code[texts[i][k - 1]] for _, i, k in rows]
+            assert lcp.tolist() == [0, *(min(k, 12) for k in shared)]
 
 
-@pytest.mark.parametrize("hot,block", [(1000, 12000), (2, 12000), (2, 4), (1000, 4)])
-def test_substrings(spark, docs, corpus, hot, block, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", hot)
-    monkeypatch.setattr(substrings, "BLOCK", block)
-    got = substrings.dedup_substrings(docs).collect()
-    texts = texts_of(corpus)
+def brute_substrings(rows):
+    """(id, text) of documents in their order -> the bytes that go, by a set of all strings so far."""
     gone, seen = {}, set()
-    for k in sorted(texts):
-        b = texts[k].encode()
+    for key in rows:
+        b = (key[1] or "").encode()
         g = bytearray(len(b))
         for a in range(len(b) - 99):
             if b[a : a + 100] in seen:
                 g[a : a + 100] = b"\1" * 100
             seen.add(b[a : a + 100])
-        gone[k] = g
+        gone[key] = g
+    return gone
+
+
+def want_of(text, g):
+    b = (text or "").encode()
+    return len(b), sum(g), len(re.findall(b"\1+", bytes(g))), bytes(c for c, x in zip(b, g) if not x)
+
+
+@pytest.mark.parametrize("hot,block,wide", [(1000, 12000, 10**6), (2, 12000, 2), (2, 4, 10**6), (1000, 4, 2)])
+def test_substrings(spark, docs, corpus, hot, block, wide, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    monkeypatch.setattr(substrings, "WIDE", wide)
+    monkeypatch.setattr(substrings, "SAMPLE", 64 if wide > 2 else 1)
+    got = substrings.dedup_substrings(docs).collect()
+    gone = brute_substrings(sorted(texts_of(corpus).items()))
     assert len(got) == len(corpus) and sum(map(sum, gone.values())) > 1000
     for r in got:
-        b, g = texts[r.doc_id].encode(), gone[r.doc_id]
-        want = len(b), sum(g), len(re.findall(b"\1+", bytes(g))), bytes(c for c, x in zip(b, g) if not x)
-        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want
+        key = (r.doc_id, texts_of(corpus)[r.doc_id])
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want_of(key[1], gone[key])
+
+
+def test_substrings_of_shared_and_null_ids(spark):
+    """Different texts under one id or none are documents of their own, in the order of a hash of the text."""
+    r = random.Random(12)
+    prose = lambda n: "".join(r.choice("etaoin shrdlu") for _ in range(n))
+    common, unique = prose(280), prose(560)
+    rows = [(3, prose(50) + common), (7, common + prose(280)), (7, unique), (9, prose(90) + common), (9, common + prose(40)), (9, common + prose(40)), (None, prose(420)), (None, common + prose(140)), (None, common + prose(200)), (None, None), (7, None), (None, common + prose(1))]
+    rows += [rows[1], rows[7], rows[7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    names = {x.text: x.h for x in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    gone = brute_substrings(sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, names[x[1]])))
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substrings.dedup_substrings(df).collect()), key=str)
+    assert got == sorted(((k, *want_of(t, gone[k, t])) for k, t in rows), key=str)
+    assert sum(gone[7, unique]) == 0 and sum(x[2] for x in got) > 2000
 
 
 def test_segments_cover_all_windows():
@@ -115,6 +143,18 @@ def test_segments_cover_all_windows():
         assert all(n <= substrings.SPAN for n in windows)
 
 
+def test_no_shared_window_is_passed_over():
+    """Wherever in a shared window the string of the bucket's hash lies, both segments are compared."""
+    r = np.random.default_rng(3)
+    side = substrings.LENGTH - substrings.KGRAM
+    for at in range(side + 1):
+        window = bytes(r.integers(97, 123, substrings.LENGTH, dtype=np.uint8))
+        bucket = substrings._gram_hashes(np.frombuffer(window, np.uint8)).view(np.int64)[at]
+        texts = [bytes(r.integers(65, 90, r.integers(0, 60), dtype=np.uint8)) + window + bytes(r.integers(65, 90, r.integers(0, 60), dtype=np.uint8)) for _ in range(2)]
+        alone = b"A" * 60 + window[at : at + substrings.KGRAM] + b"B" * 60
+        assert substrings._comparable(np.array([bucket] * 3), [*texts, alone]).tolist() == [True, True, False]
+
+
 # ---- 2
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -557,9 +597,9 @@ def test_null_ids_and_repeated_rows(spark):
     text = "some words that are said again and again in more than one document of this table, " * 3
     rows = [(None, text), (None, None), (5, text), (5, text), (6, "short"), (None, "short")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    one = {(r.doc_id, r.n_bytes, r.n_removed) for r in substrings.dedup_substrings(df).collect()}
-    n = len(text)
-    assert (None, n, n) in one and {k for k in one if k[0] == 5} == {(5, n, [x for x in one if x[0] == 5][0][2])} and len(substrings.dedup_substrings(df).collect()) == 6
+    one = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in substrings.dedup_substrings(df).collect()), key=str)
+    n, within = len(text), sum(brute_substrings([(5, text)])[5, text])
+    assert one == sorted([(None, n, n), (None, 0, 0), (5, n, within), (5, n, within), (6, 5, 0), (None, 5, 0)], key=str)
     six = [(r.doc_id, r.n_dropped) for r in lines.dedup_lines(df).collect()]
     assert sorted(six, key=str) == sorted([(None, 1), (None, 0), (5, 0), (5, 0), (6, 0), (None, 0)], key=str)
     nine = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()]
