@@ -5,33 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.text import data_blocks, estimate_tokens, without_data, words
+from tessel.functions.text import clean_transcript, data_blocks, estimate_tokens, strip, without_data, words
 
 MIN_CHARS, KEEP_CALLS, AUTO_WORDS = 40, 200, 400
 
 
 def _shown() -> F.Column:
-    return F.col("role").isin("user", "assistant") & ~F.coalesce(F.col("intermediate"), F.lit(False))
+    return F.col("role").isin("user", "assistant") & _kept()
+
+
+def _kept() -> F.Column:
+    return ~F.coalesce(F.col("intermediate"), F.lit(False))
 
 
 def _last_user(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("last_user", F.max(F.when(F.col("role") == "user", F.col("idx"))).over(Window.partitionBy("chat")))
+    """Adds the place of the last user turn that is not an intermediate one."""
+    return messages.withColumn("last_user", F.max(F.when((F.col("role") == "user") & _kept(), F.col("idx"))).over(Window.partitionBy("chat")))
 
 
 def thread_items(messages: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """(chat, idx, role, content): what of a chat can be searched: shown turns but for the last user turn, without data
-    blocks, of `least` characters or more."""
+    """(chat, idx, role, content): what of a chat can be searched: shown turns but for the last user turn (the question
+    itself), of `least` characters or more. User turns lose their data blocks, which are items of their own; answers are
+    taken as they are."""
     own = _last_user(messages).where(_shown() & (F.col("last_user").isNull() | (F.col("idx") != F.col("last_user"))))
-    return own.select("chat", "idx", "role", without_data("content").alias("content")).where(F.length("content") >= least)
+    content = F.when(F.col("role") == "user", without_data("content")).otherwise(strip(F.coalesce("content", F.lit(""))))
+    return own.select("chat", "idx", "role", content.alias("content")).where(F.length("content") >= least)
 
 
 def data_items(messages: DataFrame, isolated: bool = False) -> DataFrame:
-    """(chat, item_id, content): data blocks of user turns (of the last one only if the chat is isolated), as data:0, ..."""
-    own = _last_user(messages).where(F.col("role") == "user")
+    """(chat, item_id, content): the data blocks of each user turn (of the last one only if the chat is isolated), as one item
+    that is named by the turn's place among those that are not intermediate."""
+    own = _last_user(messages.where(_kept())).withColumn("k", F.row_number().over(Window.partitionBy("chat").orderBy("idx")) - 1).where(F.col("role") == "user")
     own = own.where(F.col("idx") == F.col("last_user")) if isolated else own
-    blocks = own.select("chat", "idx", F.posexplode(data_blocks("content")).alias("pos", "content")).where(F.col("content") != "")
-    k = F.row_number().over(Window.partitionBy("chat").orderBy("idx", "pos")) - 1
-    return blocks.select("chat", F.concat(F.lit("data:"), k).alias("item_id"), "content")
+    blocks = own.select("chat", F.concat(F.lit("data:"), "k").alias("item_id"), strip(F.array_join(data_blocks("content"), "\n\n")).alias("content"))
+    return blocks.where(F.col("content") != "")
 
 
 def visible(messages: DataFrame, window: int, isolated: bool = False) -> DataFrame:

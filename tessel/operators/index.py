@@ -1,15 +1,22 @@
 """The incremental chunk index: reuse of vectors by hash, whole-item replacement, pruning, manifests and their state.
 
-Tables are immutable: every change is a DataFrame of the next version (ChunkStore writes it beside the old one and then
-moves the pointer), so readers see whole items and a failed write leaves the old version.
+Tables are immutable: a change writes the scopes that it touches as new files and then commits a list of files, so readers
+see whole items, a failed write leaves the version before, and what was not touched is not written again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.text import word_windows
+from tessel.tables import saved, shared_dir
+
+#: How chunks are cut, as part of a signature.
+CHUNKER = "wordwindow-v1"
 
 
 def chunk_items(items: DataFrame, size: int = 512, overlap: int = 64, context=None) -> DataFrame:
@@ -75,63 +82,129 @@ def ordered_hashes(stored: DataFrame) -> DataFrame:
     return stored.groupBy(*_SCOPE).agg(F.transform(own, lambda x: x["content_hash"]).alias("hashes"))
 
 
-def manifest(items: DataFrame, done: DataFrame) -> DataFrame:
-    """Fingerprints of the items that are complete: (scope, fingerprint, chunks)."""
-    prints = items.select(*_SCOPE, F.sha1(F.coalesce("content", F.lit(""))).alias("fingerprint"))
+def signature(model: str, size: int = 512, overlap: int = 64, chunker: str = CHUNKER) -> str:
+    """What a compiled item was made with: another model, chunker or window makes everything stale."""
+    return json.dumps({"embedding_model": model, "chunker": chunker, "chunk_size": size, "chunk_overlap": overlap}, sort_keys=True)
+
+
+def fingerprint() -> Column:
+    return F.sha1(F.coalesce("content", F.lit("")))
+
+
+def manifest(items: DataFrame, done: DataFrame, made_with: str) -> DataFrame:
+    """Fingerprints of the items that are complete: (scope, fingerprint, signature, chunks)."""
+    prints = items.select(*_SCOPE, fingerprint().alias("fingerprint"), F.lit(made_with).alias("signature"))
     return prints.join(done.where("complete").select(*_SCOPE, "chunks"), _SCOPE)
 
 
-def unchanged(items: DataFrame, old: DataFrame, stored: DataFrame) -> DataFrame:
-    """Items with the fingerprint of the manifest and rows in the store."""
-    prints = items.withColumn("fingerprint", F.sha1(F.coalesce("content", F.lit(""))))
-    same = prints.join(old.select(*_SCOPE, "fingerprint"), [*_SCOPE, "fingerprint"], "left_semi")
+def unchanged(items: DataFrame, old: DataFrame, stored: DataFrame, made_with: str) -> DataFrame:
+    """Items with the fingerprint and the signature of the manifest, and rows in the store."""
+    prints = items.withColumn("fingerprint", fingerprint())
+    same = prints.join(old.where(F.col("signature") == made_with).select(*_SCOPE, "fingerprint"), [*_SCOPE, "fingerprint"], "left_semi")
     return same.join(stored.select(*_SCOPE).distinct(), _SCOPE, "left_semi").drop("fingerprint")
 
 
-def state(items: DataFrame, old: DataFrame) -> DataFrame:
-    """One row for each source: state (none, stale, compiled) with how many items are added, removed and changed."""
-    a = items.select(*_SCOPE, F.sha1(F.coalesce("content", F.lit(""))).alias("now"))
-    b = old.select(*_SCOPE, F.col("fingerprint").alias("then"))
+def state(items: DataFrame, old: DataFrame, made_with: str, stored: DataFrame | None = None) -> DataFrame:
+    """One row for each source: state (none, stale, compiled) with how many items are added, removed, changed, and known with
+    another signature; and how many chunks the store has, if it is given. A source whose store is empty is stale."""
+    a = items.select(*_SCOPE, fingerprint().alias("now"))
+    b = old.select(*_SCOPE, F.col("fingerprint").alias("then"), (F.col("signature") != made_with).alias("other"))
     both = a.join(b, _SCOPE, "full_outer").groupBy("source_type", "source_id").agg(
-        F.count_if(F.col("then").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("removed"), F.count_if(F.col("now") != F.col("then")).alias("changed"), F.count("then").alias("known")
-    )
-    stale = F.col("added") + F.col("removed") + F.col("changed") > 0
-    return both.withColumn("state", F.when(F.col("known") == 0, "none").when(stale, "stale").otherwise("compiled")).drop("known")
+        F.count_if(F.col("then").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("removed"), F.count_if(F.col("now") != F.col("then")).alias("changed"),
+        F.count_if("other").alias("resigned"), F.count("then").alias("known"), F.count("now").alias("there"),
+    )
+    if stored is not None:
+        both = both.join(count_scope(stored).withColumnRenamed("n", "chunks"), ["source_type", "source_id"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    stale = F.col("added") + F.col("removed") + F.col("changed") + F.col("resigned") > 0
+    if stored is not None:
+        stale = stale | ((F.col("chunks") == 0) & (F.col("there") > 0))
+    return both.withColumn("state", F.when(F.col("known") == 0, "none").when(stale, "stale").otherwise("compiled")).drop("known", "there")
 
 
 def compile_items(items: DataFrame, stored: DataFrame, old: DataFrame, embed, model: str, size: int = 512, overlap: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(next store, next manifest): unchanged items are skipped, changed ones upserted, vanished ones pruned."""
-    same = unchanged(items, old, stored)
+    """(next store, next manifest): unchanged items are skipped, changed ones upserted, vanished ones pruned.
+
+    The new chunks are written once and read for both, so the model is asked once and both tell of the same vectors."""
+    made_with = signature(model, size, overlap)
+    same = unchanged(items, old, stored, made_with)
     todo = items.join(same.select(*_SCOPE), _SCOPE, "left_anti")
-    chunks = with_vectors(chunk_items(todo, size, overlap), stored, embed, model)
+    chunks = saved(with_vectors(chunk_items(todo, size, overlap), stored, embed, model), shared_dir(items.sparkSession), "chunks")
     current = stored.join(items.select(*_SCOPE).distinct(), _SCOPE, "left_semi")
-    done = completeness(chunks)
     kept = old.join(same.select(*_SCOPE), _SCOPE, "left_semi")
-    return replace_items(current, todo, chunks), kept.unionByName(manifest(todo, done))
+    return replace_items(current, todo, chunks), kept.unionByName(manifest(todo, completeness(chunks), made_with))
+
+
+def verified_copy(source: DataFrame, copy: DataFrame) -> DataFrame:
+    """(scope, source, copy, ok): chunks of each scope in a store and in its copy; a copy is good if all are ok."""
+    a, b = (count_scope(t).withColumnRenamed("n", name) for t, name in ((source, "source"), (copy, "copy")))
+    both = a.join(b, ["source_type", "source_id"], "full_outer").fillna(0, ["source", "copy"])
+    return both.withColumn("ok", F.col("source") == F.col("copy"))
+
+
+def status(stored: DataFrame) -> DataFrame:
+    """(model, dims, rows, embedded): what the store holds by model and width of its vectors."""
+    dims = F.when(F.size("embedding") > 0, F.size("embedding"))
+    return stored.groupBy("model", dims.alias("dims")).agg(F.count("*").alias("rows"), F.count(dims).alias("embedded"))
 
 
 class ChunkStore:
-    """Versions of a table in a folder: v=<n> beside each other, the last committed one is current."""
+    """A table in a folder, in buckets by scope. A version is a small file that lists the folder of each bucket; the highest
+    is current. Data files are never changed: a write adds the buckets that it touches and then creates the next version,
+    which fails if another writer was faster."""
 
-    def __init__(self, spark, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self.at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def __init__(self, spark, path: str, buckets: int = 64, scope: tuple[str, ...] = ("source_type", "source_id")) -> None:
+        self.spark, self.path, self.buckets, self.scope = spark, path.rstrip("/"), buckets, scope
+        self.at = self._path(f"{self.path}/versions")
         self.fs = self.at.getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
     def version(self) -> int:
-        """The highest version that Spark committed (its _SUCCESS is there); 0 for none."""
-        if not self.fs.exists(self.at):
-            return 0
-        names = [s.getPath() for s in self.fs.listStatus(self.at)]
-        done = [int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and self.fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=0)
+        """The highest version; 0 for none."""
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.at)] if self.fs.exists(self.at) else []
+        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
+
+    def _folders(self, version: int) -> dict[int, str]:
+        if not version:
+            return {}
+        rows = self.spark.read.option("wholetext", True).text(f"{self.path}/versions/v{version}").first()
+        return {int(k): v for k, v in json.loads(rows.value)["buckets"].items()}
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.scope), F.lit(self.buckets)).cast("int")
+
+    def _rows(self, folders: dict[int, str]) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/data/{f}/__bucket={k}" for k, f in sorted(folders.items())]) if folders else None
 
     def read(self) -> DataFrame | None:
-        n = self.version()
-        return self.spark.read.parquet(f"{self.path}/v={n}") if n else None
-
-    def write(self, df: DataFrame, partition_by: str | None = None) -> int:
-        n = self.version() + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.path}/v={n}")
-        return n
+        return self._rows(self._folders(self.version()))
+
+    def _commit(self, version: int, folders: dict[int, str]) -> int:
+        out = self.fs.create(self._path(f"{self.path}/versions/v{version}"), False)
+        out.write(json.dumps({"buckets": folders}).encode())
+        out.close()
+        return version
+
+    def _written(self, df: DataFrame) -> dict[int, str]:
+        """Writes rows by bucket as new files; the buckets that have rows. A bucket with very many rows has many files."""
+        name = uuid.uuid4().hex
+        dealt = df.withColumn("__bucket", self._bucket())
+        dealt.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/data/{name}")
+        at = self._path(f"{self.path}/data/{name}")
+        return {int(s.getPath().getName().split("=")[1]): name for s in self.fs.listStatus(at) if s.getPath().getName().startswith("__bucket=")}
+
+    def write(self, df: DataFrame) -> int:
+        """The whole table anew."""
+        version = self.version()
+        return self._commit(version + 1, self._written(df))
+
+    def replace(self, scopes: DataFrame, rows: DataFrame) -> int:
+        """The rows of some scopes anew, which is none for those that `rows` has nothing of; only their buckets are written."""
+        version = self.version()
+        folders = self._folders(version)
+        touched = {r.b for r in scopes.select(self._bucket().alias("b")).distinct().collect()}  # no more than there are buckets
+        old = self._rows({k: f for k, f in folders.items() if k in touched})
+        if old is not None:
+            rows = old.join(scopes.select(*self.scope).distinct(), list(self.scope), "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))
+        return self._commit(version + 1, {k: f for k, f in folders.items() if k not in touched} | self._written(rows))

@@ -9,16 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.functions.text import xml_escape
+from tessel.functions.text import estimate_tokens, xml_escape
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
 def library_context(items: DataFrame) -> DataFrame:
-    """(library, context): items (library, pos, label, content) as one escaped block, in order; empty ones are left out."""
+    """(library, pos, block): the escaped block of each item (library, pos, label, content) that is not empty. A library may
+    hold any number of them: they stay rows, and whoever reads them in order of pos has the context."""
     block = F.concat(F.lit('<item label="'), xml_escape("label"), F.lit('">\n'), xml_escape("content"), F.lit("\n</item>"))
-    own = F.array_sort(F.collect_list(F.when(F.coalesce("content", F.lit("")) != "", F.struct("pos", block.alias("b")))))
-    return items.groupBy("library").agg(F.array_join(F.transform(own, lambda x: x["b"]), "\n").alias("context"))
+    return items.where(F.coalesce("content", F.lit("")) != "").select("library", "pos", block.alias("block"))
+
+
+def within_context(blocks: DataFrame, tokens: int) -> DataFrame:
+    """(library, context): the first blocks of each library that fit into a budget of estimated tokens, as one text."""
+    total = F.sum(estimate_tokens("block")).over(Window.partitionBy("library").orderBy("pos"))
+    own = blocks.withColumn("__t", total).where(F.col("__t") <= tokens)
+    return own.groupBy("library").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"]), "\n").alias("context"))
 
 
 def before_last_user(messages: Column, extra: Column) -> Column:

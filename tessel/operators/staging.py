@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.tables import numbered
+
 ROWID, KEY, HASH, DIRTY = "__rowid", "__src_key", "__row_hash", "__dirty"
 
 
@@ -33,18 +35,9 @@ def row_hash(columns: Sequence[str]) -> Column:
 def stage(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
     """Adds a dense row id from 0, the source key, the row's hash and a clean flag.
 
-    Ids run over sorted partitions: each partition's rows are counted first, so no task numbers the whole table.
-    """
+    Rows with ties in the order are numbered by their hash, so a second import gives the same ids (equal rows are equal)."""
     columns = [c for c in df.columns if not c.startswith("__")]
-    ordered = df.sort(*(order_by or key)).withColumn("__part", F.spark_partition_id())
-    ordered = ordered.cache()
-    sizes = {r["__part"]: r["n"] for r in ordered.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    starts, at = {}, 0
-    for p in sorted(sizes):
-        starts[p], at = at, at + sizes[p]
-    base = F.element_at(F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]), F.col("__part")) if starts else F.lit(0)
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*(order_by or key))) - 1
-    out = ordered.withColumn(ROWID, (base + within).cast("long")).drop("__part")
+    out = numbered(df, [*(order_by or key), row_hash(columns)], ROWID)
     return out.withColumns({KEY: key_json(key) if key else F.to_json(F.struct(ROWID)), HASH: row_hash(columns), DIRTY: F.lit(0)})
 
 

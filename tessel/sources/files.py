@@ -88,15 +88,13 @@ def csv_headers(names: Sequence[str | None]) -> list[str]:
 def csv_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with quotes and line breaks in cells; every cell a trimmed text, short rows padded, blank rows dropped."""
     raw = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    filled = raw.select(*[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in raw.columns]).where(F.concat(*[F.trim(F.coalesce(F.col(c), F.lit(""))) for c in raw.columns]) != "")
-    head = filled.first()
+    rows = raw.select(F.monotonically_increasing_id().alias("__row"), *[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in raw.columns])
+    filled = rows.where(F.concat(*raw.columns) != "")
+    head = filled.orderBy("__row").first()
     if head is None:
-        return filled
-    names = csv_headers(list(head))
-    same = F.lit(True)
-    for c, v in zip(raw.columns, head):
-        same = same & (F.col(c) == v)
-    return filled.where(~same).toDF(*names)
+        return filled.drop("__row")
+    # the header alone goes: a later row that says the same is data
+    return filled.where(F.col("__row") != head["__row"]).drop("__row").toDF(*csv_headers(list(head)[1:]))
 
 
 def items_xml(items: DataFrame) -> DataFrame:
@@ -135,11 +133,19 @@ def jdbc(spark: SparkSession, url: str, table: str, fetch: int = 1000, partition
     return reader.load()
 
 
-#: Column types of a source by their names; what is not there goes by INT, CHAR and TEXT.
+#: Column types of a source by their names, in the order in which names that are not here look for a key.
 TYPES = {
-    "SMALLINT": "smallint", "INTEGER": "int", "INT": "int", "BIGINT": "bigint", "BOOLEAN": "boolean", "BOOL": "boolean", "FLOAT": "double", "DOUBLE": "double", "DOUBLE_PRECISION": "double", "REAL": "float",
-    "NUMERIC": "decimal(38,9)", "DECIMAL": "decimal(38,9)", "DATE": "date", "TIME": "string", "DATETIME": "timestamp_ntz", "TIMESTAMP": "timestamp_ntz", "UUID": "string", "BLOB": "binary", "BINARY": "binary",
-    "VARBINARY": "binary", "JSON": "variant", "JSONB": "variant", "TEXT": "string", "CLOB": "string", "STRING": "string", "VARCHAR": "string", "CHAR": "string", "NVARCHAR": "string", "NCHAR": "string",
+    "SMALLINT": "smallint", "INTEGER": "int", "INT": "int", "BIGINT": "bigint",
+    "BOOLEAN": "boolean", "BOOL": "boolean",
+    "FLOAT": "double", "REAL": "float", "DOUBLE": "double", "DOUBLE_PRECISION": "double",
+    "NUMERIC": "decimal(38,9)", "DECIMAL": "decimal(38,9)",
+    "DATE": "date", "TIME": "string",
+    "DATETIME": "timestamp_ntz", "TIMESTAMP": "timestamp_ntz",
+    "UUID": "string",
+    "LARGEBINARY": "binary", "BINARY": "binary", "VARBINARY": "binary", "BLOB": "binary",
+    "JSON": "variant", "JSONB": "variant",
+    "TEXT": "string", "CLOB": "string", "STRING": "string",
+    "VARCHAR": "string", "NVARCHAR": "string", "CHAR": "string", "NCHAR": "string",
 }
 
 

@@ -1,25 +1,49 @@
-"""Streams: chat messages into the index batch by batch, new feed entries once, capped usage histories."""
+"""Streams: chat messages into the index batch by batch, new feed entries once, replies parted into answer and reasoning."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessel.operators import index
 from tessel.operators.chat import thread_items
 
+_MESSAGE = ["chat", "idx", "role", "content", "intermediate"]
+
+
+def _items(messages: DataFrame) -> DataFrame:
+    source = [F.lit("chat_thread").alias("source_type"), F.col("chat").cast("string").alias("source_id")]
+    return thread_items(messages).select(*source, F.concat(F.lit("m"), "idx").alias("item_id"), "content", F.lit("{}").alias("meta"))
+
+
+def sync_messages(stream: DataFrame, log: index.ChunkStore, store: index.ChunkStore, embed, model: str, checkpoint: str):
+    """A query that keeps the index of every chat up with its messages (chat, idx, role, content, intermediate, and removed:
+    true takes a message back).
 
-def sync_messages(stream: DataFrame, store: index.ChunkStore, embed, model: str, checkpoint: str):
-    """A query that indexes what a batch of messages can be searched by. Rows are keyed by chat and message, so a batch
-    that is replayed after a failure changes nothing."""
+    `log` (a ChunkStore with scope chat) keeps all messages, the last word on each (chat, idx). A batch is merged into it, and the
+    chats that it touches are worked out anew from all their messages: the last user turn is that of the chat, not of the
+    batch, so a question is indexed as soon as an answer and another question follow. Only changed items are embedded;
+    items that a chat no longer has are pruned. A batch that is replayed after a failure changes nothing.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        items = thread_items(df).select(F.lit("chat_thread").alias("source_type"), F.col("chat").cast("string").alias("source_id"), F.col("idx").cast("string").alias("item_id"), "content", F.lit("{}").alias("meta"))
+        df = df.withColumn("removed", F.lit(False)) if "removed" not in df.columns else df
+        last = df.withColumn("__order", F.monotonically_increasing_id()).groupBy("chat", "idx").agg(*[F.max_by(c, "__order").alias(c) for c in (*_MESSAGE[2:], "removed")])
+        chats = last.select("chat").distinct()
+        known = log.read()
+        old = last.where(F.lit(False)).select(*_MESSAGE) if known is None else known.join(chats, "chat", "left_semi").join(last, ["chat", "idx"], "left_anti").select(*_MESSAGE)
+        log.replace(chats, old.unionByName(last.where(~F.coalesce("removed", F.lit(False))).select(*_MESSAGE)))
+        items = _items(log.read().join(chats, "chat", "left_semi"))
         stored = store.read()
-        empty = index.chunk_items(items.limit(0)).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("model", F.lit(model))
-        stored = stored if stored is not None else empty
+        if stored is None:
+            stored = index.chunk_items(items.limit(0)).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("model", F.lit(model))
+        scopes = chats.select(F.lit("chat_thread").alias("source_type"), F.col("chat").cast("string").alias("source_id"))
         chunks = index.with_vectors(index.chunk_items(items), stored, embed, model).drop("reused")
-        store.write(index.replace_items(stored, items, chunks))
+        store.replace(scopes, chunks.select(*stored.columns))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -34,8 +58,8 @@ class ReasoningSplitter:
 
     TAGS = ("think", "thinking", "reasoning")
 
-    def __init__(self) -> None:
-        self.held, self.inside = "", None
+    def __init__(self, held: str = "", inside: str | None = None) -> None:
+        self.held, self.inside = held, inside
 
     def feed(self, piece: str, last: bool = False) -> list[tuple[str, str]]:
         """(kind, text) parts that are certain by now; `last` gives out what was held back."""
@@ -54,3 +78,23 @@ class ReasoningSplitter:
             return [p for p in out if p[1]]
         self.held = ""
         return [p for p in out if p[1]]
+
+
+def split_replies(stream: DataFrame) -> DataFrame:
+    """(run, seq, piece, last) -> (run, seq, kind, text): the parts of each run's reply as they become certain. What is held
+    back of a run lies in Spark's state until its last piece has come; pieces of a run must come in order of seq over the
+    batches, within a batch they may come in any."""
+
+    def parts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        splitter = ReasoningSplitter(*state.get) if state.exists else ReasoningSplitter()
+        rows, ended = [], False
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+            rows += [(key[0], r.seq, kind, text) for kind, text in splitter.feed(r.piece or "", bool(r.last))]
+            ended = ended or bool(r.last)
+        if ended:
+            state.remove()
+        else:
+            state.update((splitter.held, splitter.inside))
+        yield pd.DataFrame(rows, columns=["run", "seq", "kind", "text"])
+
+    return stream.groupBy("run").applyInPandasWithState(parts, "run string, seq long, kind string, text string", "held string, inside string", "append", GroupStateTimeout.NoTimeout)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessel.functions import text as T
 from tessel.operators import chat, evals, feeds, index, memory, retrieval, staging
 from tessel.sources import files
-from tessel.streaming.sync import ReasoningSplitter, new_entries, sync_messages
+from tessel.streaming.sync import ReasoningSplitter, new_entries, split_replies, sync_messages
 
 
 def one(spark, column):
@@ -93,14 +93,48 @@ def test_compile_reuses_edits_and_prunes(spark, tmp_path):
     chunks = index.with_vectors(index.chunk_items(first), index.chunk_items(first.limit(0)).withColumns({"embedding": F.lit(None).cast("array<float>"), "model": F.lit("m")}), embedder(asked), "m")
     store.write(chunks.drop("reused"))
     assert asked == [4] and store.read().count() == 4
-    listed = index.manifest(first, index.completeness(store.read()))
-    assert {r.state for r in index.state(first.where("item_id <> 'c'"), listed).collect()} == {"compiled"}
+    sig = index.signature("m")
+    listed = index.manifest(first, index.completeness(store.read()), sig)
+    own = first.where("item_id <> 'c'")
+    assert {r.state for r in index.state(own, listed, sig, store.read()).collect()} == {"compiled"}
+    assert {(r.state, r.resigned) for r in index.state(own, listed, index.signature("other")).collect()} == {("stale", 2)}
+    assert {r.state for r in index.state(own, listed, index.signature("m", 100)).collect()} == {"stale"}
+    assert {r.state for r in index.state(own, listed, sig, store.read().limit(0)).collect()} == {"stale"}
     edited = items(spark, {"a": long.replace("w1100 ", "new "), "d": "short text"})
     after, now = index.compile_items(edited, store.read(), listed, embedder(asked), "m")
+    assert asked == [4, 1]  # one window changed; d has the words of b
     store.write(after.drop("reused"))
-    assert asked[-1] == 1  # one window changed; d has the words of b
     assert {r.item_id for r in store.read().select("item_id").distinct().collect()} == {"a", "d"} and store.version() == 2
-    assert {r.item_id for r in now.collect()} == {"a", "d"}
+    assert {(r.item_id, r.signature) for r in now.collect()} == {("a", sig), ("d", sig)} and asked == [4, 1]  # nor did the manifest ask again
+    again, _ = index.compile_items(edited, store.read(), now, embedder(asked), "m")
+    assert again.count() == store.read().count() and asked == [4, 1, 0]
+    other, _ = index.compile_items(edited, store.read(), now, embedder(asked), "n")
+    assert asked[-1] == 4 and {r.model for r in other.select("model").distinct().collect()} == {"n"}  # another model: everything anew
+
+
+def test_a_model_that_fails_now_and_then_leaves_one_truth(spark, tmp_path):
+    own = items(spark, {k: f"text of {k}" for k in "abcdefgh"})
+    empty = index.chunk_items(own.limit(0)).withColumns({"embedding": F.lit(None).cast("array<float>"), "model": F.lit("m")})
+    none = own.limit(0).select("source_type", "source_id", "item_id", F.lit("").alias("fingerprint"), F.lit("").alias("signature"), F.lit(1).cast("long").alias("chunks"))
+    flaky = lambda missing: missing.select("embed_hash", F.when(F.rand() < 0.5, F.array(F.lit(1.0).cast("float"))).alias("embedding"))
+    store, listed = index.compile_items(own, empty, none, flaky, "m")
+    assert {r.item_id for r in store.where("embedding is not null").collect()} == {r.item_id for r in listed.collect()}
+
+
+def test_a_store_writes_only_what_is_touched(spark, tmp_path):
+    store = index.ChunkStore(spark, str(tmp_path / "s"), buckets=8)
+    rows = spark.range(200).select(F.lit("t").alias("source_type"), (F.col("id") % 20).cast("string").alias("source_id"), F.col("id").alias("v"))
+    store.write(rows)
+    scope = spark.createDataFrame([("t", "3"), ("t", "77")], "source_type string, source_id string")
+    before = store._folders(1)
+    store.replace(scope, scope.where("source_id = '77'").withColumn("v", F.lit(-1).cast("long")))
+    after = store._folders(2)
+    assert 5 <= sum(before.get(k) == after.get(k) for k in range(8)) < 8
+    got = {(r.source_id, r.v) for r in store.read().collect()}
+    assert got == {(str(k % 20), k) for k in range(200) if k % 20 != 3} | {("77", -1)}
+    with pytest.raises(Exception, match="exist"):
+        store._commit(2, {})  # another writer was faster
+    assert {(r.source_id, r.source, r["copy"]) for r in index.verified_copy(rows, store.read()).where("not ok").collect()} == {("3", 10, 0), ("77", 0, 1)}
 
 
 def test_prune_with_an_empty_list_clears_the_scope(spark):
@@ -236,12 +270,12 @@ def test_nulls_change_a_hash(spark):
 
 
 def test_chat_windows(spark):
-    m = [("c", 0, "system", "s", False), ("c", 1, "user", "u1", False), ("c", 2, "assistant", "draft", True), ("c", 3, "assistant", "a1", False), ("c", 4, "user", "u2 <Data> d </Data><data></data>", False), ("c", 5, "assistant", "late", False)]
+    m = [("c", 0, "system", "s", False), ("c", 1, "user", "u1", False), ("c", 2, "assistant", "draft", True), ("c", 3, "assistant", "a1", False), ("c", 4, "user", "u2 <Data> d </Data><data></data>", False), ("c", 5, "assistant", "late<data>x</data>", False), ("c", 6, "user", "again", True)]
     df = spark.createDataFrame(m, "chat string, idx int, role string, content string, intermediate boolean")
     assert [r.idx for r in chat.visible(df, 2).orderBy("idx").collect()] == [3, 4]
     assert [r.idx for r in chat.visible(df, 0).collect()] == [4]
-    assert [(r.item_id, r.content) for r in chat.data_items(df).collect()] == [("data:0", "d")]
-    assert [r.idx for r in chat.thread_items(df, 2).orderBy("idx").collect()] == [1, 3, 5]
+    assert [(r.item_id, r.content) for r in chat.data_items(df).collect()] == [("data:3", "d")]
+    assert [(r.idx, r.content) for r in chat.thread_items(df, 2).orderBy("idx").collect()] == [(1, "u1"), (3, "a1"), (5, "late<data>x</data>")]
 
 
 def test_cache_never_goes_down(spark):
@@ -258,10 +292,10 @@ def test_cache_never_goes_down(spark):
 
 def test_csv(spark, tmp_path):
     p = tmp_path / "x.csv"
-    p.write_text('\n a ,,a\n1,"two\nlines, ""q""",3\n,,\n4\n')
+    p.write_text('\n a ,,a\n1,"two\nlines, ""q""",3\n,,\n4\na,,a\n')
     df = files.csv_table(spark, str(p))
     assert df.columns == ["a", "Column 2", "a (1)"]
-    assert sorted(tuple(r) for r in df.collect()) == [("1", 'two\nlines, "q"', "3"), ("4", "", "")]
+    assert sorted(tuple(r) for r in df.collect()) == [("1", 'two\nlines, "q"', "3"), ("4", "", ""), ("a", "", "a")]  # a row that says what the header says is data
 
 
 def test_documents(spark, tmp_path):
@@ -296,14 +330,41 @@ def test_splitter_holds_back_cut_tags():
     assert "".join(t for k, t in out if k == "answer") == "a c <d" and "".join(t for k, t in out if k == "reasoning") == "b"
 
 
-def test_stream_replays_change_nothing(spark, tmp_path):
-    schema = "chat string, idx int, role string, content string, intermediate boolean"
-    long = "a message that is long enough to be searched by its words"
-    spark.createDataFrame([("c", 0, "user", long, False), ("c", 1, "assistant", long, False), ("c", 2, "user", "q", False)], schema).write.parquet(str(tmp_path / "in"))
-    store, asked = index.ChunkStore(spark, str(tmp_path / "store")), []
-    for turn in range(2):  # another checkpoint: everything comes again
-        sync_messages(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, embedder(asked), "m", str(tmp_path / f"check{turn}")).awaitTermination()
-    assert asked == [1, 0] and sorted(r.id for r in store.read().collect()) == ["chat_thread:c:0:0", "chat_thread:c:1:0"]
+def test_streamed_chats_are_indexed_whole(spark, tmp_path):
+    """Three batches: a question is indexed once another one follows, answers and edits are, what was taken back is not."""
+    schema = "chat string, idx int, role string, content string, intermediate boolean, removed boolean"
+    say = lambda k: f"message {k} that is long enough to be searched by its words"
+    batches = [
+        [("c", 0, "user", say(0), False, False), ("d", 0, "user", say(9), False, False)],
+        [("c", 1, "assistant", say(1), False, False), ("c", 2, "user", say(2), False, False)],
+        [("c", 3, "assistant", say(3), False, False), ("c", 1, "assistant", say(1) + " edited", False, False), ("c", 4, "user", "q", False, False), ("c", 5, "user", say(5), True, False), ("d", 1, "user", say(8), False, False)],
+        [("c", 3, "assistant", None, False, True), ("d", 1, "user", None, None, True)],
+    ]
+    log, store, asked = index.ChunkStore(spark, str(tmp_path / "log"), scope=("chat",)), index.ChunkStore(spark, str(tmp_path / "store")), []
+    seen = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sync_messages(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), log, store, embedder(asked), "m", str(tmp_path / "check")).awaitTermination()
+        seen.append({r.id: r.content for r in store.read().collect()} if store.read() is not None else {})
+    ids = lambda x: {k.split(":", 1)[1][:-2] for k in x}
+    assert [ids(x) for x in seen] == [set(), {"c:m0", "c:m1"}, {"c:m0", "c:m1", "c:m2", "c:m3", "d:m0"}, {"c:m0", "c:m1", "c:m2"}]
+    assert seen[2]["chat_thread:c:m1:0"].endswith("edited") and sum(asked) == 6
+    last = spark.createDataFrame(batches[3], schema)
+    last.write.parquet(str(tmp_path / "again"))
+    sync_messages(spark.readStream.schema(schema).parquet(str(tmp_path / "again")), log, store, embedder(asked), "m", str(tmp_path / "check2")).awaitTermination()
+    assert {r.id: r.content for r in store.read().collect()} == seen[3] and asked[-1] == 0  # replayed: nothing changes
+
+
+def test_replies_are_parted_over_batches(spark, tmp_path):
+    schema = "run string, seq long, piece string, last boolean"
+    batches = [[("a", 0, "x <th", False), ("b", 0, "<reasoning>why", False)], [("a", 1, "ink>y</", False), ("a", 2, "think>z <", False)], [("a", 3, "d", True), ("b", 1, " so</reasoning> end", True)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        parts = split_replies(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        parts.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("run", "seq").collect()
+    text = lambda run, kind: "".join(r.text for r in rows if (r.run, r.kind) == (run, kind))
+    assert [text("a", "answer"), text("a", "reasoning"), text("b", "answer"), text("b", "reasoning")] == ["x z <d", "y", " end", "why so"]
 
 
 def test_stream_of_entries_has_each_once(spark, tmp_path):
