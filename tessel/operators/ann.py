@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.vector import constant, dot, norm
-from tessel.operators.retrieval import vector_search
+from tessel.operators.retrieval import Block, _keep_best, _renamed, as_queries, blocks, ranked, vector_search
+from tessel.tables import sampled
 
 #: Vectors that centroids are fitted on, about; rows below which a table is searched as it is.
 SAMPLE, LEAST = 20_000, 5_000
@@ -25,9 +27,7 @@ def _unit(embedding: str):
 def fit(chunks: DataFrame, lists: int, embedding: str = "embedding", key: str = "id", sample: int = SAMPLE, seed: int = 1) -> list[list[float]]:
     """Centroids of unit vectors, fitted on about `sample` rows by a hash of their key."""
     have = chunks.where(F.size(embedding) > 0)
-    n = have.count()
-    if n > sample:
-        have = have.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(1e6 * sample / n))
+    have = sampled(have, have.count(), sample, seed, key)
     unit = have.select(_unit(embedding).alias("u")).where("u is not null")
     model = KMeans(k=lists, seed=seed, featuresCol="v", maxIter=15).fit(unit.select(array_to_vector("u").alias("v")))
     return [list(map(float, c)) for c in model.clusterCenters()]
@@ -40,14 +40,47 @@ def assign(chunks: DataFrame, centroids: Sequence[Sequence[float]], embedding: s
     return chunks.where(F.size(embedding) > 0).withColumn("list", F.array_min(near)["k"])
 
 
-def search(assigned: DataFrame, centroids: Sequence[Sequence[float]], vectors: Sequence[Sequence[float]], top_k: int, probes: int = 8, key: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(query, key, score, rank) from the lists nearest to any query; exact over all rows if these hold too few."""
-    c = np.array(centroids)
-    wanted: set[int] = set()
-    for v in vectors:
-        u = np.array(v, dtype=float) / max(np.linalg.norm(v), 1e-30)
-        wanted |= set(np.argsort(((c - u) ** 2).sum(axis=1))[:probes].tolist())
-    inside = assigned.where(F.col("list").isin(*sorted(wanted)))
-    if inside.limit(top_k).count() < top_k:
-        inside = assigned
-    return vector_search(inside, vectors, top_k, key, embedding)
+def probed(block: Block, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """(lists, queries): which lists each query of a block looks into, its nearest ones."""
+    out = np.zeros((len(centroids), len(block.ids)), dtype=bool)
+    for width, own in block.by_width.items():
+        if width == centroids.shape[1]:
+            unit = np.nan_to_num(block.units[width])
+            far = (centroids**2).sum(axis=1)[:, None] - 2 * centroids @ unit.T
+            near = np.argsort(far, axis=0, kind="stable")[:probes]
+            out[near, np.array(own)[None, :]] = True
+    return out
+
+
+def search(assigned: DataFrame, centroids: Sequence[Sequence[float]], vectors: Sequence[Sequence[float]] | DataFrame, top_k: int, probes: int = 8, key: str = "id", embedding: str = "embedding", least: int = LEAST) -> DataFrame:
+    """(query, key, score, rank): each query (of a list, or of a table (query, embedding)) looks only into its own lists. A
+    query whose lists hold fewer than top_k rows is searched over all rows, and so is every query where the table has fewer
+    than `least` rows."""
+    spark = assigned.sparkSession
+    queries = as_queries(spark, vectors)
+    sizes = np.zeros(len(centroids), dtype=np.int64)
+    for r in assigned.groupBy("list").count().collect():  # a row for each list
+        sizes[r["list"]] = r["count"]
+    if sizes.sum() < least:
+        return vector_search(assigned, queries, top_k, key, embedding)
+    c, found, short = np.array(centroids), [], []
+    have = assigned.where(F.size(embedding) > 0).select(key, embedding, "list")
+    kinds = f"query {queries.schema['query'].dataType.simpleString()}, `{key}` {have.schema[key].dataType.simpleString()}, score double"
+    for block in blocks(queries):
+        mask = probed(block, c, probes)
+        few = sizes @ mask < top_k
+        short += [block.ids[k] for k in np.flatnonzero(few)]
+        mask[:, few] = False
+        shared = spark.sparkContext.broadcast((block, mask))
+        wanted = np.flatnonzero(mask.any(axis=1)).tolist()
+        found.append(have.where(F.col("list").isin(wanted)).mapInArrow(lambda batches, s=shared: _renamed(_probe(*s.value, top_k, batches), key), kinds))
+    out = reduce(DataFrame.unionByName, found) if found else have.where(F.lit(False)).select(F.lit(0).alias("query"), key, F.lit(0.0).alias("score"))
+    out = ranked(out, ["query"], top_k, key)
+    if short:
+        rest = queries.join(spark.createDataFrame([(x,) for x in short], f"query {queries.schema['query'].dataType.simpleString()}"), "query", "left_semi")
+        out = out.unionByName(vector_search(assigned, rest, top_k, key, embedding))
+    return out
+
+
+def _probe(block: Block, mask: np.ndarray, top_k: int, batches):
+    return _keep_best(block, top_k, batches, lambda b: mask[b.column(2).to_numpy(zero_copy_only=False)])

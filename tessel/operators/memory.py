@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.tables import saved, shared_dir
+
 #: Fixed values.
 CATEGORIES = ("preferences", "facts", "interests", "style", "goals", "other")
 ENTRY = "core string, id string, category string, text string, importance int, pinned boolean, origin string, created string"
@@ -33,13 +35,45 @@ def _protected(e: dict) -> bool:
     return bool(e["pinned"]) or e["origin"] == "user"
 
 
+def _threads(operations: DataFrame) -> DataFrame:
+    """(core, id, thread): ids that merges join, directly or over others, with the smallest of them.
+
+    Each round every id takes the smallest thread of its merges, and that one's own; chains halve, so rounds are few."""
+    folder = shared_dir(operations.sparkSession)
+    merges = operations.where("op = 'merge'").select("core", "seq", F.explode(F.array_distinct(F.coalesce("ids", F.array().cast("array<string>")))).alias("id"))
+    edges = saved(merges, folder, "edges")
+    threads, turn = saved(edges.select("core", "id").distinct().withColumn("thread", F.col("id")), folder, "threads0"), 0
+    while True:
+        turn += 1
+        least = edges.join(threads, ["core", "id"]).groupBy("core", "seq").agg(F.min("thread").alias("thread"))
+        near = edges.join(least, ["core", "seq"]).groupBy("core", "id").agg(F.min("thread").alias("near"))
+        jump = near.select("core", F.col("id").alias("near"), F.col("near").alias("thread"))
+        now = saved(near.join(jump, ["core", "near"], "left").select("core", "id", F.least("near", F.coalesce("thread", "near")).alias("thread")), folder, f"threads{turn}")
+        if now.join(threads, ["core", "id", "thread"], "left_anti").isEmpty():
+            return now
+        threads = now
+
+
 def apply_operations(entries: DataFrame, operations: DataFrame) -> DataFrame:
     """Entries after the operations (core, seq, op, id, ids, text, category, importance) of each core, in order of seq.
 
-    Each operation sees what those before it left, so a core's operations are folded one by one; cores are independent.
     add appends; update changes any entry; delete leaves pinned and user entries alone; merge needs two or more distinct
     unprotected ones, keeps the first with the new text and the highest importance, and drops the others.
+
+    An operation sees what those before it left of its own entries, and only merges join entries. So entries that no
+    operation names pass untouched, and the others are folded by thread: an entry with its updates and deletes, or those that
+    merges join. A core with very many entries is spread over tasks.
     """
+    columns = [c.split()[0] for c in ENTRY.split(", ")]
+    named = operations.withColumn("id", F.when(F.col("op") == "add", F.concat_ws("-", "core", "seq")).otherwise(F.col("id")))
+    threads = _threads(named)
+    own = lambda df: df.join(threads, ["core", "id"], "left").withColumn("thread", F.coalesce("thread", "id"))
+    single = own(named.where("op <> 'merge' and id is not null"))
+    merged = named.where("op = 'merge' and size(ids) > 0").withColumn("__id", F.col("id")).withColumn("id", F.col("ids")[0])
+    ops = single.unionByName(own(merged).withColumn("id", F.col("__id")).drop("__id"))
+    marked = own(entries.select(*columns))
+    touched = ops.select("core", "thread").distinct()
+    left = marked.join(touched, ["core", "thread"], "left_anti").select(*columns)
 
     def fold(own: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
         left = {r["id"]: r for r in own.sort_values(["created", "id"]).to_dict("records")}
@@ -49,7 +83,7 @@ def apply_operations(entries: DataFrame, operations: DataFrame) -> DataFrame:
             text = (o["text"] or "").strip()
             e = left.get(o["id"])
             if o["op"] == "add" and text:
-                new = f"{o['core']}-{o['seq']}"
+                new = o["id"]
                 left[new] = {"core": o["core"], "id": new, "category": category(o["category"]), "text": text, "importance": clamp(o["importance"], 5), "pinned": False, "origin": "ai", "created": "~"}
             elif o["op"] == "update" and e and text:
                 e |= {"text": text, "importance": clamp(o["importance"], e["importance"]), "category": category(o["category"]) if o["category"] else e["category"]}
@@ -61,9 +95,11 @@ def apply_operations(entries: DataFrame, operations: DataFrame) -> DataFrame:
                     left[own_ids[0]] |= {"text": text, "category": category(o["category"] or left[own_ids[0]]["category"]), "importance": clamp(o["importance"], max(left[i]["importance"] for i in own_ids))}
                     for i in own_ids[1:]:
                         del left[i]
-        return pd.DataFrame(list(left.values()), columns=[c.split()[0] for c in ENTRY.split(", ")])
+        return pd.DataFrame([{c: e[c] for c in columns} for e in left.values()], columns=columns)
 
-    return entries.groupBy("core").cogroup(operations.groupBy("core")).applyInPandas(fold, ENTRY)
+    by = ["core", "thread"]
+    folded = marked.join(touched, by, "left_semi").groupBy(*by).cogroup(ops.groupBy(*by)).applyInPandas(fold, ENTRY)
+    return left.unionByName(folded)
 
 
 def operation_summary(operations: DataFrame) -> DataFrame:

@@ -5,28 +5,60 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.operators import ann, feeds, render, retrieval
+from tessel.plans import registry
 from tests import oracle
 
 
 @pytest.mark.skipif(not oracle.available(), reason="the driver's tables are not here")
-def test_recall_of_probes(spark):
-    have = spark.read.parquet(f"{oracle.SF}/embeddings.parquet")
-    asked = [list(r.embedding) for r in have.where("vec_id % 60 = 0").orderBy("vec_id").collect()]
-    centroids = ann.fit(have, 12, key="vec_id", sample=300)
-    assigned = ann.assign(have, centroids)
-    assert assigned.count() == have.count()
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_recall_of_the_registered_probes(spark, sf):
+    """Every twentieth vector asks, with the lists and probes of the query, each in its own lists only."""
+    have = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = have.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
     key = lambda df: {(r["query"], r.vec_id) for r in df.collect()}
-    exact = key(retrieval.vector_search(have, asked, 10, "vec_id"))
-    found = set()
-    for k, v in enumerate(asked):
-        found |= {(k, i) for _, i in key(ann.search(assigned, centroids, [v], 10, probes=8, key="vec_id"))}
-    assert len(found & exact) / len(exact) >= 0.9
+    exact, found = key(retrieval.vector_search(have, asked, 10, "vec_id")), key(registry.QUERIES["ann_topk"](spark, sf))
+    assert len(exact) == 10 * asked.count() and len(found & exact) / len(exact) >= 0.9
 
 
-def test_short_lists_fall_back_to_all_rows(spark):
-    rows = spark.createDataFrame([(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(30)], "id long, embedding array<float>")
+def test_a_query_looks_into_its_own_lists_only(spark):
+    rows = spark.createDataFrame([(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(400)], "id long, embedding array<float>")
     centroids = ann.fit(rows, 10)
-    assert ann.search(ann.assign(rows, centroids), centroids, [[1.0, 0.0]], 20, probes=1).count() == 20
+    assigned = ann.assign(rows, centroids)
+    asked = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]
+    lists = {r.id: r["list"] for r in assigned.collect()}
+    found = ann.search(assigned, centroids, asked, 5, probes=1, least=0).collect()
+    assert len(found) == 15
+    for k, v in enumerate(asked):
+        nearest = int(np.argmin(((np.array(centroids) - v) ** 2).sum(axis=1)))
+        own = sorted((-round(float(np.dot(v, [np.float32(np.cos(i)), np.float32(np.sin(i))]) / np.hypot(np.float32(np.cos(i)), np.float32(np.sin(i)))), 9), i) for i in lists if lists[i] == nearest)[:5]
+        assert [r.id for r in sorted((r for r in found if r["query"] == k), key=lambda r: r["rank"])] == [i for _, i in own]
+    assert {r["query"]: r.n for r in ann.search(assigned, centroids, asked, 60, probes=1, least=0).groupBy("query").agg(F.count("*").alias("n")).collect()} == {0: 60, 1: 60, 2: 60}  # short lists: all rows
+    exact = retrieval.vector_search(rows, asked, 5).collect()
+    assert sorted(ann.search(assigned, centroids, asked, 5, probes=1).collect()) == sorted(exact)  # few rows: as they are
+
+
+def test_samples_of_huge_tables_are_not_empty(spark):
+    from tessel.tables import sampled
+
+    got = sampled(spark.range(2_000_000), 10**11, 10**6, "s", "id").count()
+    assert 2 <= got <= 60  # a hundred-thousandth, of a table that says it has 1e11 rows
+    assert sampled(spark.range(10), 10, 10, "s", "id").count() == 10
+
+
+def test_vectors_against_plain(spark, monkeypatch):
+    """Ties, repeated rows, zero and odd vectors, string keys, many blocks and batches."""
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    r = np.random.default_rng(2)
+    rows = [(f"k{k:03d}", [float(x) for x in r.integers(-2, 3, 4)]) for k in range(300)] + [("none", None), ("empty", []), ("odd", [1.0])]
+    asked = [(7 * k, [float(x) for x in r.integers(-2, 3, 4)]) for k in range(11)] + [(1, []), (2, None)]
+    got = retrieval.vector_search(spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3), spark.createDataFrame(asked, "query long, embedding array<double>"), 7)
+
+    def cos(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0
+        return round(float(np.dot(a, b) / n), 9) if n else -1.0
+
+    want = [(q, i, s, k) for q, v in asked if v for k, (s, i) in enumerate(sorted(((cos(v, x), i) for i, x in rows if x), key=lambda t: (-t[0], t[1]))[:7])]
+    assert sorted((x["query"], x.id, x.score, x["rank"]) for x in got.collect()) == sorted(want)
 
 
 def test_comments_and_passages(spark):

@@ -219,6 +219,40 @@ def test_merge_keeps_the_first_and_the_highest(spark):
     assert got == {"1": ("ab", 9, "facts"), "3": ("p", 5, "facts"), "4": ("no", 5, "facts"), "c-4": ("new", 10, "other")}
 
 
+def test_operations_against_a_fold_in_order(spark):
+    """Random operations on two cores, merges of merges included, against one pass in order of seq."""
+    import random
+
+    r = random.Random(7)
+    e = [("c", str(k), "facts", f"t{k}", k % 10 + 1, k % 7 == 0, "user" if k % 11 == 0 else "model", f"{k:03d}") for k in range(60)] + [("d", "1", "facts", "x", 5, False, "model", "1")]
+    ops, known = [], [str(k) for k in range(60)]
+    for seq in range(120):
+        kind = r.choice(["add", "update", "delete", "merge", "merge"])
+        ids = r.sample(known, r.randrange(1, 4)) if kind == "merge" else []
+        ops.append(("c", seq, kind, r.choice(known) if kind in ("update", "delete") else None, ids, r.choice([f"n{seq}", f"n{seq}", " "]), r.choice(["goals", None, "odd"]), r.choice([None, 0, 8, 99])))
+        known += [f"c-{seq}"] if kind == "add" else []
+    left = {x[1]: dict(zip("core id category text importance pinned origin created".split(), x)) for x in e if x[0] == "c"}
+    cat, clamp = lambda x: x if x in memory.CATEGORIES else "other", lambda x, d: d if x is None else max(1, min(10, x))
+    safe = lambda x: x["pinned"] or x["origin"] == "user"
+    for _, seq, op, i, ids, text, category, importance in ops:
+        text = text.strip()
+        if op == "add" and text:
+            left[f"c-{seq}"] = {"id": f"c-{seq}", "text": text, "importance": clamp(importance, 5), "category": cat(category), "pinned": False, "origin": "ai"}
+        elif op == "update" and i in left and text:
+            left[i] |= {"text": text, "importance": clamp(importance, left[i]["importance"])} | ({"category": cat(category)} if category else {})
+        elif op == "delete" and i in left and not safe(left[i]):
+            del left[i]
+        elif op == "merge" and text:
+            own = [x for x in dict.fromkeys(ids) if x in left and not safe(left[x])]
+            if len(own) > 1:
+                left[own[0]] |= {"text": text, "category": cat(category or left[own[0]]["category"]), "importance": clamp(importance, max(left[x]["importance"] for x in own))}
+                for x in own[1:]:
+                    del left[x]
+    got = memory.apply_operations(spark.createDataFrame(e, memory.ENTRY), spark.createDataFrame(ops, "core string, seq long, op string, id string, ids array<string>, text string, category string, importance int")).collect()
+    assert {x.id: (x.text, x.importance, x.category, x.pinned) for x in got if x.core == "c"} == {k: (v["text"], v["importance"], v["category"], v["pinned"]) for k, v in left.items()}
+    assert [x.id for x in got if x.core == "d"] == ["1"] and len(got) == len(left) + 1
+
+
 # ---- staging
 
 
