@@ -5,14 +5,13 @@ and four errors can tell from chance. So the fingerprint here is WORDS words wid
 A document emits, for each pair, the codeword indices of every word within one bit of it (about ten keys); two documents
 of similarity 0.8 share a key with a probability of about 0.99, of 0.84 with 0.998, more similar ones nearly always (README).
 Members of a key that differ in more than SKETCH_BITS of the first 95 bits meet there by chance and are not looked at again.
-What is left forms groups; in a group not all pairs are compared: first all members with one of them, and only where that
-leaves several components, the members of different components with each other.
+What is left forms groups; in a group not all pairs are compared: first all members with one of them, then, where that
+leaves several components, each member with the nearest ones of other components (by all bits of the fingerprints), and last,
+where there still are several, all that the fingerprints leave possible between them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,8 +32,9 @@ WORDS = -(-2 * 23 * PAIRS // 64)
 SKETCH_BITS = 29
 #: Rows of one key that one task joins; more are dealt out.
 BLOCK = 256
-#: Members of a group all of whose pairs are compared at once.
-SMALL = 32
+#: Bits in which the whole fingerprints of similar documents may differ (at similarity 0.8 about 142, give or take 11), and
+#: members of other components that each member is compared with first.
+PRINT_BITS, NEAREST = 188, 4
 _R = np.random.default_rng(SEED)
 _MULTIPLY, _ADD = _R.integers(0, 2**63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1), _R.integers(0, 2**63, WORDS, dtype=np.uint64)
 
@@ -169,40 +169,66 @@ def candidates(nodes: DataFrame, folder: str, block: int = KEY_BLOCK, sample: in
     return saved(dealt.mapInArrow(_close_groups(SKETCH_BITS), "key long, node long").distinct(), folder, "groups")
 
 
-def links(keyed: DataFrame, sets_of, folder: str, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
-    """(node, label) of the components over (key, node): label is the same for nodes that verified links join.
+def _near_pairs(most: int, nearest: int | None):
+    """Rows (key, node, label, made) sorted by key -> (a, b): members of a key with different labels whose fingerprints differ in
+    at most so many bits; of each member only the nearest few, if `nearest` says so. A pair comes once from a task's batch."""
+
+    def pairs(keys, nodes, labels, prints):
+        out = []
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            own, words = labels[s:e], np.ascontiguousarray(prints[s:e].T)
+            for k in range(0, e - s, 64):
+                far = np.zeros((min(64, e - s - k), e - s), dtype=np.uint16)
+                for w in words:
+                    far += np.bitwise_count(w[k : k + 64, None] ^ w[None, :])
+                far[own[k : k + 64, None] == own[None, :]] = most + 1
+                if nearest is not None and e - s > nearest:
+                    rest = np.argpartition(far, nearest, axis=1)[:, nearest:]
+                    np.put_along_axis(far, rest, most + 1, axis=1)
+                x, y = np.nonzero(far <= most)
+                out.append(np.stack((nodes[s + k + x], nodes[s + y])))
+        found = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
-    sets_of(nodes) gives (node, made: shingles) for the nodes of groups. A member that was compared with all others leaves its
-    group; a group ends when all that is left is one component.
-    """
+    def run(batches):
+        held = None
+        for b in batches:
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [b.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            if len(changes := np.flatnonzero(held[0][1:] != held[0][:-1])) and len(held[0]) >= 20_000:
+                end = changes[-1] + 1
+                yield pairs(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield pairs(*held)
+
+    return run
+
+
+def links(keyed: DataFrame, nodes: DataFrame, sets_of, folder: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the components over groups (key, node): label is the same for nodes that verified links join.
+
+    nodes has the fingerprints (node, made), sets_of(nodes) gives (node, made: shingles) for the nodes of groups. A pair is not
+    looked at where its nodes are in one component already."""
     large_batches(keyed.sparkSession)
     buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")), folder, "buckets")
     members = saved(keyed.join(buckets.select("key", "center"), "key"), folder, "members")
     sets = saved(sets_of(members.select("node").distinct()), folder, "sets")
-    members_left = members.where("node <> center")
-    pairs = saved(members_left.select(*_pair("node", "center")).distinct(), folder, "pairs0")
+    members = members.where("node <> center")
+    pairs = saved(members.select(*_pair("node", "center")).distinct(), folder, "pairs0")
     edges = saved(_verified(pairs, sets, similarity, f"{folder}/verify0"), folder, "links0")
-    members, turn = members_left.select("key", "node"), 1
-    while True:
+    for turn, nearest in ((1, NEAREST), (2, None)):
         labels = components(edges, f"{folder}/components{turn}")
-        own = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = own.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n")
-        apart = saved(apart, folder, f"apart{turn}")
+        own = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        apart = saved(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), folder, f"apart{turn}")
         if apart.isEmpty():
             return labels
-        few, many = apart.where(F.col("n") <= small).select("key"), apart.where(F.col("n") > small)
-        own = saved(own, folder, f"own{turn}")
-        group = own.join(few, "key").groupBy("key").agg(F.collect_list(F.struct("node", "label")).alias("m"))
-        x = group.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where("x.label <> y.label and x.node < y.node")
-        found = [x.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))]
-        # of larger ones, ever more members are compared with all others
-        large = own.join(many, "key").withColumn("chosen", F.pmod(F.xxhash64("node", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("n") / (4 * 4**turn)))) == 0).drop("n")
-        large = saved(large, folder, f"large{turn}")
-        chosen = large.where("chosen").select("key", F.col("node").alias("c"), F.col("label").alias("c_label"))
-        found.append(large.join(chosen, "key").where("label <> c_label").select(*_pair("node", "c")))
-        pairs = saved(reduce(DataFrame.unionByName, found).distinct(), folder, f"pairs{turn}")
+        rows = own.join(apart, "key").join(nodes.select("node", "made"), "node").select("key", "node", "label", "made")
+        found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_pairs(PRINT_BITS, nearest), "a long, b long")
+        pairs = saved(found.distinct(), folder, f"pairs{turn}")
         edges = saved(edges.unionByName(_verified(pairs, sets, similarity, f"{folder}/verify{turn}")).distinct(), folder, f"links{turn}")
-        members, turn = large.where("not chosen").select("key", "node"), turn + 1
+    return components(edges, f"{folder}/components3")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -225,7 +251,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         heads = nodes.join(wanted, "node").select(F.col("head").alias("doc_id"))
         return _over_texts(texts.join(heads, "doc_id", "left_semi"), shingle, lambda found: found, "doc_id long, node long, made array<long>").select("node", "made").dropDuplicates(["node"])
 
-    labels = links(candidates(nodes.where("head is not null"), folder), sets_of, folder, similarity)
+    own = nodes.where("head is not null")
+    labels = links(candidates(own, folder), own, sets_of, folder, similarity)
     joined = nodes.select("node", "head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = joined.groupBy("label").agg(F.min("head").alias("component_id"))
     classes = saved(joined.join(heads, "label").select("node", "component_id"), folder, "classes")
