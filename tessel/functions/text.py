@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from html import unescape as unescape_html
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Windows of words: for transient text and for indexed text.
 INLINE, INDEXED = (200, 40), (512, 64)
@@ -158,42 +161,54 @@ def strip_markdown(text) -> Column:
     return strip(out)
 
 
-#: The entities that are decoded without Python.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape_html, na_action="ignore")
 
 
 def unescape(text) -> Column:
-    out = col(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """All entities decoded; only texts with an ampersand go to Python."""
+    t = col(text)
+    return F.coalesce(_decoded(F.when(t.contains("&"), t)), t)
 
 
 def html_to_text(html) -> Column:
-    """Tags out, entities decoded, tags out again, white space single."""
-    bare = unescape(F.regexp_replace(col(html), r"<[^>]+>", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
+    """Tags out, entities decoded, tags that were written in entities out, white space single."""
+    bare = unescape(F.regexp_replace(col(html), TAG, ""))
+    return strip(F.regexp_replace(F.regexp_replace(bare, TAG, ""), r"\s+", " "))
+
+
+#: A tag; marks of no width or of direction; space that stands before punctuation; a line that is an address.
+TAG, INVISIBLE, LOOSE, ADDRESS = r"<[^>]+>", r"[\x{200B}\x{200E}\x{200F}\x{FEFF}\x{AD}]", r"\s+([,.;:!?%])", r"^https?://\S+$"
+SHORT_LINE = 3
 
 
 def norm_lines(text) -> Column:
-    """Paragraphs of the lines that say something: three characters at least and more than an address; without marks of no
-    width or of direction, and without spaces before punctuation."""
-    flat = F.regexp_replace(col(text), r"[\x{200B}\x{200E}\x{200F}\x{FEFF}\x{AD}]", "")
-    lines = F.transform(F.split(flat, r"\n"), lambda x: F.regexp_replace(strip(F.regexp_replace(x, r"[ \t]+", " ")), r"\s+([,.;:!?%])", "$1"))
-    return F.array_join(F.filter(lines, lambda x: (F.length(x) >= 3) & ~x.rlike(r"^https?://\S+$")), "\n\n")
+    """Paragraphs of the lines that say something: not too short and more than an address."""
+    tidy = lambda line: F.regexp_replace(strip(F.regexp_replace(line, r"[ \t]+", " ")), LOOSE, "$1")
+    lines = F.transform(F.split(F.regexp_replace(col(text), INVISIBLE, ""), r"\n"), tidy)
+    return F.array_join(F.filter(lines, lambda x: (F.length(x) >= SHORT_LINE) & ~x.rlike(ADDRESS)), "\n\n")
+
+
+#: What goes from a page before its article is looked for, the article, and what begins or ends a line.
+NO_TEXT = r"(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>|<!--.*?-->"
+CHROME = r"(?is)<(nav|header|footer|aside|form)\b[^>]*>.*?</\1>"
+ARTICLE, LONG_ARTICLE = r"(?is)<(article|main)\b[^>]*>(.*?)</\1>", 500
+LINE_TAG = r"(?i)</?(p|div|section|article|h[1-6]|li|tr|br)[^>]*>"
 
 
-def page_text(html) -> Column:
-    """Text of a page by patterns: chrome dropped, the article if it is long enough, block ends as line ends."""
-    bare = F.regexp_replace(col(html), r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1>", " ")
-    main = F.regexp_extract(bare, r"(?is)<(article|main)\b[^>]*>(.*?)</\1>", 2)
-    body = F.when(F.length(main) > 500, main).otherwise(F.regexp_replace(bare, r"(?is)<(nav|header|footer|aside|form)\b.*?</\1>", " "))
-    lines = F.regexp_replace(body, r"(?i)</(?:p|div|li|h[1-6]|tr|section|article|blockquote)>|<br\s*/?>", "\n")
-    return norm_lines(unescape(F.regexp_replace(lines, r"<[^>]+>", " ")))
+def regex_page_text(html) -> Column:
+    """Text of a page by patterns alone: chrome goes first, then the article is taken if it is long enough."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(col(html), F.lit("")), NO_TEXT, " "), CHROME, " ")
+    article = F.regexp_extract(bare, ARTICLE, 2)
+    body = F.when(F.length(article) > LONG_ARTICLE, article).otherwise(bare)
+    return norm_lines(unescape(F.regexp_replace(F.regexp_replace(body, LINE_TAG, "\n"), TAG, " ")))
 
 
-def page_title(html) -> Column:
-    return F.trim(F.regexp_replace(unescape(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
+def page_title(html, fallback=None) -> Column:
+    """The first 200 characters of the title, or the fallback where there is none."""
+    title = html_to_text(F.regexp_extract(F.coalesce(col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.when(title != "", F.substring(title, 1, 200)).otherwise(col(fallback) if fallback is not None else F.lit(""))
 
 
 def fold(term) -> Column:

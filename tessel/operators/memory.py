@@ -84,7 +84,7 @@ def apply_operations(entries: DataFrame, operations: DataFrame) -> DataFrame:
             e = left.get(o["id"])
             if o["op"] == "add" and text:
                 new = o["id"]
-                left[new] = {"core": o["core"], "id": new, "category": category(o["category"]), "text": text, "importance": clamp(o["importance"], 5), "pinned": False, "origin": "ai", "created": "~"}
+                left[new] = {"core": o["__core"], "id": new, "category": category(o["category"]), "text": text, "importance": clamp(o["importance"], 5), "pinned": False, "origin": "ai", "created": "~"}
             elif o["op"] == "update" and e and text:
                 e |= {"text": text, "importance": clamp(o["importance"], e["importance"]), "category": category(o["category"]) if o["category"] else e["category"]}
             elif o["op"] == "delete" and e and not _protected(e):
@@ -98,7 +98,9 @@ def apply_operations(entries: DataFrame, operations: DataFrame) -> DataFrame:
         return pd.DataFrame([{c: e[c] for c in columns} for e in left.values()], columns=columns)
 
     by = ["core", "thread"]
-    folded = marked.join(touched, by, "left_semi").groupBy(*by).cogroup(ops.groupBy(*by)).applyInPandas(fold, ENTRY)
+    # other names: both tables may come from the same one
+    named_ops = ops.withColumnsRenamed({"core": "__core", "thread": "__thread"})
+    folded = marked.join(touched, by, "left_semi").groupBy(*by).cogroup(named_ops.groupBy("__core", "__thread")).applyInPandas(fold, ENTRY)
     return left.unionByName(folded)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -40,19 +41,25 @@ def read(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals")
 
 
-def search(postings: DataFrame, totals: DataFrame, queries: Sequence[str], top_k: int = TOP_K, key: str = "id", buckets: int = BUCKETS) -> DataFrame:
-    """(query, key, score, rank), as a scan of the chunks would give."""
-    import zlib
+def search(postings: DataFrame, totals: DataFrame, queries: Sequence[str] | DataFrame, top_k: int = TOP_K, key: str = "id", buckets: int = BUCKETS) -> DataFrame:
+    """(query, key, score, rank), as a scan of the chunks would give. queries: texts, or a table (query, q) of any size.
 
+    Rows of the index are joined by bucket and term, so a table of questions prunes the buckets that no term of theirs is in
+    (dynamic partition pruning), and a list by plain filters."""
     spark = postings.sparkSession
-    asked = sorted({(k, t) for k, q in enumerate(q for q in queries if q and q.strip()) for t in re.findall("[a-z0-9]+", q.lower())})
-    wanted = sorted({t for _, t in asked})
-    own = postings.where(F.col("bucket").isin(*sorted({zlib.crc32(t.encode()) % buckets for t in wanted})) & F.col("term").isin(*wanted)) if wanted else postings.where(F.lit(False))
+    own = postings
+    if not isinstance(queries, DataFrame):
+        queries = [q for q in queries if q and q.strip()]
+        wanted = sorted({t for q in queries for t in re.findall("[a-z0-9]+", q.lower())})
+        queries = spark.createDataFrame(list(enumerate(queries)), "query int, q string")
+        own = own.where(F.col("bucket").isin(*sorted({zlib.crc32(t.encode()) % buckets for t in wanted})) & F.col("term").isin(*wanted)) if wanted else own.where(F.lit(False))
+    asked = queries.select("query", F.explode(F.array_distinct(terms("q"))).alias("term")).distinct().withColumn("bucket", bucket("term", buckets))
+    own = own.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
-    # totals are one row; df and asked have a row for each asked term
+    # totals are one row
     n, df_ = F.col("n"), F.col("df")
     idf = df.join(F.broadcast(totals)).select("term", F.log(1 + (n - df_ + 0.5) / (df_ + 0.5)).alias("idf"), F.when(F.col("words") > 0, F.col("words") / n).otherwise(1.0).alias("avgdl"))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    pairs = F.broadcast(spark.createDataFrame(asked, "query int, term string"))
-    scored = own.join(F.broadcast(idf), "term").join(pairs, "term").groupBy("query", key).agg(F.sum(F.col("idf") * tf).alias("score")).where(F.col("score") > 0)
+    weights = own.join(idf, "term").select("term", key, (F.col("idf") * tf).alias("weight"))
+    scored = weights.join(asked.select("query", "term"), "term").groupBy("query", key).agg(F.sum("weight").alias("score")).where(F.col("score") > 0)
     return ranked(scored, ["query"], top_k, key)

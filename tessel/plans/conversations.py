@@ -11,16 +11,24 @@ from tessel.plans.registry import query, table
 
 def messages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("chat"), F.col("turn").alias("idx"), "role", F.col("text").alias("content"), (F.col("turn") % 5 == 4).alias("intermediate"))
+    return c.select(F.col("conv_id").alias("chat"), F.col("turn").alias("idx"), "role", F.col("text").alias("content"), (F.col("turn") % 5 >= 3).alias("intermediate"))
 
 
-_MESSAGES = "m AS (SELECT conv_id AS chat, turn AS idx, role, text AS content, turn % 5 = 4 AS intermediate, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last_user FROM conversations)"
+def with_data(spark, sf_dir):
+    """Data blocks in some turns of either side."""
+    return messages(spark, sf_dir).withColumn("content", F.when((F.col("idx") + F.col("chat")) % 3 == 0, F.concat(F.lit("<Data>rows\nof data</Data> "), "content")).otherwise(F.col("content")))
+
+
+_MESSAGES = "m AS (SELECT conv_id AS chat, turn AS idx, role, text AS content, turn % 5 >= 3 AS intermediate, max(CASE WHEN role = 'user' AND turn % 5 < 3 THEN turn END) OVER (PARTITION BY conv_id) AS last_user FROM conversations)"
 _SHOWN = "role IN ('user', 'assistant') AND NOT intermediate"
 
 
-@query(rf"WITH {_MESSAGES} SELECT chat, idx, role, regexp_replace(content, '^\s+|\s+$', '', 'g') AS content FROM m WHERE {_SHOWN} AND (last_user IS NULL OR idx <> last_user) AND length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 40")
+@query(rf"""WITH {_MESSAGES}, d AS (SELECT *, CASE WHEN (idx + chat) % 3 = 0 AND role <> 'user' THEN '<Data>rows' || chr(10) || 'of data</Data> ' || content ELSE content END AS shown FROM m),
+t AS (SELECT chat, idx, role, regexp_replace(shown, '^\s+|\s+$', '', 'g') AS content FROM d WHERE role IN ('user', 'assistant') AND NOT intermediate AND idx IS DISTINCT FROM last_user)
+SELECT * FROM t WHERE length(content) >= 40""")
 def thread_items(spark, sf_dir):
-    return chat.thread_items(messages(spark, sf_dir))
+    """A user's data blocks go, an answer's stay; drafts count neither as turns nor as the last question."""
+    return chat.thread_items(with_data(spark, sf_dir))
 
 
 @query(f"WITH {_MESSAGES} SELECT chat, idx, role FROM m WHERE {_SHOWN} AND idx <= last_user QUALIFY row_number() OVER (PARTITION BY chat ORDER BY idx DESC) <= 3")
@@ -53,25 +61,27 @@ def token_estimates(spark, sf_dir):
     return messages(spark, sf_dir).select("chat", "idx", estimate_tokens("content").alias("tokens"))
 
 
-@query(r"""WITH b AS (SELECT conv_id AS chat, turn, regexp_replace(regexp_replace(substr(text, 1, 50), '[<>]', '', 'g'), '^\s+|\s+$', '', 'g') AS content FROM conversations WHERE role = 'user')
-SELECT chat, 'data:' || (row_number() OVER (PARTITION BY chat ORDER BY turn) - 1) AS item_id, content FROM b WHERE content <> ''""")
+@query(r"""WITH b AS (SELECT conv_id AS chat, turn, role, regexp_replace(regexp_replace(text, '[<>]', '', 'g'), '^\s+|\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE turn % 5 < 3)
+SELECT chat, 'data:' || k AS item_id, regexp_replace(t || chr(10) || chr(10) || 'more', '^\s+', '') AS content FROM b WHERE role = 'user'""")
 def data_block_split(spark, sf_dir):
-    m = messages(spark, sf_dir).withColumn("content", F.concat("content", F.lit(" <Data>"), F.regexp_replace(F.substring("content", 1, 50), "[<>]", ""), F.lit("</Data> end")))
-    return chat.data_items(m)
+    """Two blocks in every turn, of which the first is the whole text."""
+    block = F.concat(F.lit(" <Data> "), F.regexp_replace("content", "[<>]", ""), F.lit("</Data> and <data>more </data> end"))
+    return chat.data_items(messages(spark, sf_dir).withColumn("content", F.concat("content", block)))
 
 
-@query(r"SELECT conv_id AS chat, turn AS idx, regexp_replace(regexp_replace(text, '(?s)<.*$', ''), '^\s+|\s+$', '', 'g') || ' kept' AS answer FROM conversations WHERE text NOT LIKE '%<%'")
+@query(r"""WITH w AS (SELECT conv_id AS chat, turn AS idx, '<think>plan' || chr(10) || 'more</think>' || text || ' kept<Reasoning>never closed ' || text AS t FROM conversations),
+c AS (SELECT chat, idx, regexp_replace(t, '(?is)<think>.*?</think>|<thinking>.*?</thinking>|<reasoning>.*?</reasoning>', '', 'g') AS t FROM w)
+SELECT chat, idx, regexp_replace(regexp_replace(t, '(?is)<(think|thinking|reasoning)>.*$', ''), '^\s+|\s+$', '', 'g') AS answer FROM c""")
 def strip_reasoning_blocks(spark, sf_dir):
-    m = messages(spark, sf_dir).where(~F.col("content").contains("<"))
-    wrapped = F.concat(F.lit("<think>plan\nmore</think>"), F.regexp_replace("content", r"^\s+|\s+$", ""), F.lit(" kept<Reasoning>never closed "), "content")
-    return m.select("chat", "idx", strip_reasoning(wrapped).alias("answer"))
+    wrapped = F.concat(F.lit("<think>plan\nmore</think>"), "content", F.lit(" kept<Reasoning>never closed "), "content")
+    return messages(spark, sf_dir).select("chat", "idx", strip_reasoning(wrapped).alias("answer"))
 
 
-@query(r"""WITH c AS (SELECT conv_id AS doc, turn, role AS speaker, substr(text, 1, 20) AS text, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+@query(r"""WITH c AS (SELECT conv_id AS doc, turn, role AS speaker, text, CASE WHEN lag(role) OVER w IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY turn) - 1 AS para FROM c)
 SELECT doc, para::bigint AS para, any_value(speaker) AS speaker, string_agg(text, ' ' ORDER BY turn) AS text FROM p GROUP BY doc, para""")
 def speaker_paragraphs(spark, sf_dir):
-    c = messages(spark, sf_dir).select(F.col("chat").alias("doc"), F.col("idx").alias("pos"), F.col("role").alias("speaker"), F.substring("content", 1, 20).alias("text"))
+    c = messages(spark, sf_dir).select(F.col("chat").alias("doc"), F.col("idx").alias("pos"), F.col("role").alias("speaker"), F.col("content").alias("text"))
     return chat.speaker_paragraphs(c)
 
 

@@ -58,10 +58,10 @@ def fill_prompt(spark, sf_dir):
     return c.select("c_custkey", fill(F.lit("Dear {c_name} of {Nowhere}, segment {segment}: {c_name}"), {"c_name": F.col("c_name"), "segment": F.col("segment")}).alias("prompt"))
 
 
-@query("SELECT page_id, 'Page ' || url || chr(10) || chr(10) || substr(html, 1, 40) AS prompt FROM pages")
+@query("SELECT page_id, 'Page ' || url || chr(10) || chr(10) || html AS prompt FROM pages")
 def render_item_prompt(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", render(F.lit("Page {{ URL }}"), {"url": F.col("url"), "content": F.substring("html", 1, 40)}).alias("prompt"))
+    return p.select("page_id", render(F.lit("Page {{ URL }}"), {"url": F.col("url"), "content": F.col("html")}).alias("prompt"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 101 >= 75 THEN 'good' WHEN n_chars % 101 >= 50 THEN 'ok' ELSE 'bad' END AS grade FROM documents")

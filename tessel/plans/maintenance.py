@@ -86,13 +86,15 @@ def delete_source(spark, sf_dir):
 
 
 @query(f"""WITH items AS ({_ITEMS}), {_OLD},
-both_sides AS (SELECT coalesce(i.source_type, o.source_type) AS source_type, coalesce(i.source_id, o.source_id) AS source_id, sha1(i.content) AS now, sha1(o.content) AS then_
+both_sides AS (SELECT coalesce(i.source_type, o.source_type) AS source_type, coalesce(i.source_id, o.source_id) AS source_id, sha1(i.content) AS now, sha1(o.content) AS then_, CASE WHEN o.source_id IN ('src1', 'src4') THEN 'before' WHEN o.source_id IS NOT NULL THEN 'now' END AS signed
          FROM items i FULL JOIN old o ON i.source_type = o.source_type AND i.source_id = o.source_id AND i.item_id = o.item_id),
-counts AS (SELECT source_type, source_id, count(*) FILTER (then_ IS NULL) AS added, count(*) FILTER (now IS NULL) AS removed, count(*) FILTER (now <> then_) AS changed, count(then_) AS known FROM both_sides GROUP BY ALL)
-SELECT source_type, source_id, added, removed, changed, CASE WHEN known = 0 THEN 'none' WHEN added + removed + changed > 0 THEN 'stale' ELSE 'compiled' END AS state FROM counts""")
+counts AS (SELECT source_type, source_id, count(*) FILTER (then_ IS NULL) AS added, count(*) FILTER (now IS NULL) AS removed, count(*) FILTER (now <> then_) AS changed, count(*) FILTER (signed <> 'now') AS resigned, count(then_) AS known FROM both_sides GROUP BY ALL)
+SELECT source_type, source_id, added, removed, changed, resigned, CASE WHEN known = 0 THEN 'none' WHEN added + removed + changed + resigned > 0 THEN 'stale' ELSE 'compiled' END AS state FROM counts""")
 def stale_state(spark, sf_dir):
-    old = old_items(spark, sf_dir).withColumn("fingerprint", F.sha1("content"))
-    return index.state(items(spark, sf_dir), old)
+    """Two sources were compiled with another model."""
+    sig = index.signature("m")
+    old = old_items(spark, sf_dir).withColumns({"fingerprint": F.sha1("content"), "signature": F.when(F.col("source_id").isin("src1", "src4"), index.signature("before")).otherwise(sig)})
+    return index.state(items(spark, sf_dir), old, sig)
 
 
 @query(f"""WITH items AS ({_ITEMS}), {_chunks_sql('items')}
@@ -105,12 +107,12 @@ def completeness(spark, sf_dir):
 @query(f"""WITH items AS ({_ITEMS}), {_OLD}, {_chunks_sql('items')}
 SELECT 'store' AS part, id AS key FROM items_chunks
 UNION ALL SELECT 'manifest', i.item_id FROM items i WHERE
-  EXISTS (SELECT 1 FROM old o WHERE o.item_id = i.item_id AND o.source_id = i.source_id AND o.content = i.content AND length(trim(o.content)) > 0)
+  EXISTS (SELECT 1 FROM old o WHERE o.item_id = i.item_id AND o.source_id = i.source_id AND o.content = i.content AND length(trim(o.content)) > 0 AND o.source_id <> 'src1')
   OR EXISTS (SELECT 1 FROM items_chunks c WHERE c.item_id = i.item_id GROUP BY c.item_id HAVING NOT bool_or(contains(c.content, 'scum')))""")
 def compile_library(spark, sf_dir):
     """The whole compile: unchanged items skipped, the others replaced, vanished ones pruned, complete ones listed."""
     stored = _store(spark, sf_dir).drop("doc_id")
-    old = old_items(spark, sf_dir).select("source_type", "source_id", "item_id", F.sha1("content").alias("fingerprint"), F.lit(1).cast("long").alias("chunks"))
+    old = old_items(spark, sf_dir).select("source_type", "source_id", "item_id", F.sha1("content").alias("fingerprint"), F.when(F.col("source_id") == "src1", "of another model").otherwise(index.signature("m")).alias("signature"), F.lit(1).cast("long").alias("chunks"))
     store, listed = index.compile_items(items(spark, sf_dir).drop("doc_id"), stored, old, pseudo_embed, "m")
     return store.select(F.lit("store").alias("part"), F.col("id").alias("key")).unionByName(listed.select(F.lit("manifest").alias("part"), F.col("item_id").alias("key")))
 
@@ -118,14 +120,14 @@ def compile_library(spark, sf_dir):
 def _cached(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 6)
     entry = lambda text, source, url: d.select(F.col("doc_id").alias("id"), "k", text.alias("transcript"), source.alias("source"), url.alias("url"))
-    old = entry(F.substring("text", 1, 60), F.when(F.col("k") < 3, "asr").otherwise("published"), F.concat(F.lit("u"), F.col("k"))).where("id % 4 <> 0")
-    new = entry(F.when(F.col("k") == 5, F.lit("")).otherwise(F.substring("text", 1, F.lit(40) + F.col("k").cast("int") * 10)), F.when(F.col("k").isin(0, 4), "published").otherwise("asr"), F.concat(F.lit("u"), F.col("k") % 4)).where("id % 9 <> 0")
+    old = entry(F.col("text"), F.when(F.col("k") < 3, "asr").otherwise("published"), F.concat(F.lit("u"), F.col("k"))).where("id % 4 <> 0")
+    new = entry(F.when(F.col("k") == 5, F.lit("")).otherwise(F.when(F.col("k") % 2 == 0, F.concat("text", F.lit(" and more"))).otherwise(F.expr("substr(text, 2)"))), F.when(F.col("k").isin(0, 4), "published").otherwise("asr"), F.concat(F.lit("u"), F.col("k") % 4)).where("id % 9 <> 0")
     return old.drop("k"), new.drop("k")
 
 
 @query(r"""WITH d AS (SELECT doc_id, doc_id % 6 AS k, text FROM documents),
-o AS (SELECT doc_id AS id, substr(text, 1, 60) AS transcript, CASE WHEN k < 3 THEN 'asr' ELSE 'published' END AS source, 'u' || k AS url FROM d WHERE doc_id % 4 <> 0),
-n AS (SELECT doc_id AS id, CASE WHEN k = 5 THEN '' ELSE substr(text, 1, 40 + k * 10) END AS transcript, CASE WHEN k IN (0, 4) THEN 'published' ELSE 'asr' END AS source, 'u' || (k % 4) AS url FROM d WHERE doc_id % 9 <> 0),
+o AS (SELECT doc_id AS id, text AS transcript, CASE WHEN k < 3 THEN 'asr' ELSE 'published' END AS source, 'u' || k AS url FROM d WHERE doc_id % 4 <> 0),
+n AS (SELECT doc_id AS id, CASE WHEN k = 5 THEN '' WHEN k % 2 = 0 THEN text || ' and more' ELSE substr(text, 2) END AS transcript, CASE WHEN k IN (0, 4) THEN 'published' ELSE 'asr' END AS source, 'u' || (k % 4) AS url FROM d WHERE doc_id % 9 <> 0),
 j AS (SELECT coalesce(o.id, n.id) AS id, o.transcript AS ot, n.transcript AS nt, o.source AS os, n.source AS ns, o.url AS ou, n.url AS nu,
   CASE o.source WHEN 'published' THEN 2 WHEN 'asr' THEN 1 ELSE 0 END AS a, CASE n.source WHEN 'published' THEN 2 WHEN 'asr' THEN 1 ELSE 0 END AS b FROM o FULL JOIN n ON o.id = n.id),
 w AS (SELECT *, coalesce(coalesce(nt, '') <> '' AND (coalesce(ot, '') = '' OR b > a OR (a = b AND ((ns = 'published' AND nu IS DISTINCT FROM ou) OR length(nt) > length(ot)))), false) AS wins FROM j)

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessel.functions.text import content_hash, summary, terms
-from tessel.functions.vector import constant, cosine
 from tessel.operators import retrieval as R
 from tessel.plans.registry import query, table
 
-TEXTS = ("worthless clown and scum", "token secret the idiot")
-#: Query vectors of the tests: a few fixed rows of the table itself.
-VECTOR_IDS = (3, 11, 42)
+#: Who asks: every twentieth vector of the table itself, and every twentieth benchmark text.
+ASK_VECTORS, ASK_TEXTS = "SELECT vec_id AS query, embedding FROM embeddings WHERE vec_id % 20 = 0", "SELECT item_id AS query, text AS q FROM benchmark WHERE item_id % 20 = 0"
 
 #: Windows of 200 words, 40 shared.
 CHUNKS_SQL = r"""
@@ -48,7 +46,6 @@ scored AS (
 ){tail}"""
 
 
-_ASKED = " UNION ALL ".join(f"SELECT {k} AS query, '{q}' AS q" for k, q in enumerate(TEXTS))
 _CORPUS = "SELECT id, content AS text FROM chunks"
 
 
@@ -74,96 +71,99 @@ def tokenize_terms(spark, sf_dir):
     return each.groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
-@query("WITH " + CHUNKS_SQL + "," + bm25_sql(_ASKED.split(" UNION")[0], _CORPUS, "id", 10, "") + " SELECT id, round(score, 6) AS score, rank, split_part(id, ':', 2) AS source, split_part(id, ':', -1)::int AS place FROM keyword")
+def texts(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), F.col("text").alias("q"))
+
+
+@query("WITH " + CHUNKS_SQL + "," + bm25_sql(ASK_TEXTS, _CORPUS, "id", 10, "") + " SELECT query, id, round(score, 6) AS score, rank, split_part(id, ':', 2) AS source, split_part(id, ':', -1)::int AS place FROM keyword")
 def bm25_topk(spark, sf_dir):
-    found = R.bm25(chunks(spark, sf_dir), TEXTS[:1], 10)
-    return R.describe(found).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "source", "place")
+    found = R.bm25(chunks(spark, sf_dir), texts(spark, sf_dir), 10)
+    return R.describe(found).select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "source", "place")
 
 
-@query("WITH " + CHUNKS_SQL + "," + bm25_sql(_ASKED, _CORPUS, "id", 20, "") + " SELECT query, id, round(score, 6) AS score, rank FROM keyword")
+@query("WITH " + CHUNKS_SQL + "," + bm25_sql("SELECT query * 2 + k AS query, CASE k WHEN 0 THEN q ELSE upper(q) || ' scum' END AS q FROM (" + ASK_TEXTS + "), (VALUES (0), (1)) t(k)", _CORPUS, "id", 20, "") + " SELECT query, id, round(score, 6) AS score, rank FROM keyword")
 def bm25_multi_query(spark, sf_dir):
-    return R.bm25(chunks(spark, sf_dir), TEXTS, 20).select("query", "id", F.round("score", 6).alias("score"), "rank")
+    """Two variants of each question."""
+    two = texts(spark, sf_dir).select(F.col("query") * 2 + F.lit(0), "q").toDF("query", "q").unionByName(texts(spark, sf_dir).select((F.col("query") * 2 + 1).alias("query"), F.concat(F.upper("q"), F.lit(" scum")).alias("q")))
+    return R.bm25(chunks(spark, sf_dir), two, 20).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("WITH " + bm25_sql("SELECT item_id AS query, text AS q FROM benchmark WHERE item_id % 20 = 0", "SELECT doc_id, text FROM documents", "doc_id", 5, "") + " SELECT query, doc_id, round(score, 6) AS score, rank FROM keyword")
 def bm25_benchmark(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), F.col("text").alias("q"))
-    found = R.bm25(table(spark, sf_dir, "documents"), asked, 5, "doc_id", F.col("text"))
+    found = R.bm25(table(spark, sf_dir, "documents"), texts(spark, sf_dir), 5, "doc_id", F.col("text"))
     return found.select("query", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _vectors(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*VECTOR_IDS)).orderBy("vec_id").collect()
-    return [list(r.embedding) for r in rows]
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
 
 
 _COS = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
-_VECTOR = f"""
-asked_v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS query, embedding FROM embeddings WHERE vec_id IN {VECTOR_IDS}),
-near AS (
-  SELECT q.query, e.vec_id, e.label, {_COS} AS score FROM embeddings e, asked_v q
-), vector AS (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM near QUALIFY rank < 20
-)"""
 
 
-@query(f"WITH {_VECTOR} SELECT query, vec_id, round(score, 6) AS score, rank FROM vector")
+def vector_sql(k: int, rows: str = "embeddings", score: str = _COS, where: str = "true") -> str:
+    return f"""
+asked_v AS ({ASK_VECTORS}),
+near AS (SELECT q.query, e.vec_id, {score} AS score FROM {rows} e, asked_v q WHERE {where}),
+vector AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM near QUALIFY rank < {k})"""
+
+
+@query(f"WITH {vector_sql(20)} SELECT query, vec_id, round(score, 6) AS score, rank FROM vector")
 def cosine_topk(spark, sf_dir):
-    return R.vector_search(table(spark, sf_dir, "embeddings"), _vectors(spark, sf_dir), 20, "vec_id").select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return R.vector_search(table(spark, sf_dir, "embeddings"), vectors(spark, sf_dir), 20, "vec_id").select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""
-WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_IDS[0]}),
-scored AS (SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, q WHERE e.label IN (1, 2, 3) AND e.vec_id % 2 = 0)
-SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 15""")
+@query(f"WITH {vector_sql(15, where='e.label IN (1, 2, 3) AND e.vec_id % 2 = 0')} SELECT query, vec_id, round(score, 6) AS score, rank FROM vector")
 def cosine_model_scope(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings").withColumns({"model": F.concat(F.lit("m"), F.col("vec_id") % 2), "source_type": F.lit("library"), "source_id": F.col("label").cast("string")})
-    inside = R.in_scope(own, "library", ["1", "2", "3"], "m0").withColumn("score", F.round(cosine(F.col("embedding"), constant(_vectors(spark, sf_dir)[0])), 6))
-    return inside.orderBy(F.desc("score"), "vec_id").limit(15).select("vec_id", "score")
+    inside = R.in_scope(own, "library", ["1", "2", "3"], "m0")
+    return R.vector_search(inside, vectors(spark, sf_dir), 15, "vec_id").select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-#: Hybrid rows: vectors with the text of the document of the same id.
+#: Hybrid rows: vectors with the text of the document of the same id; each question has the vector and the first turn of a
+#: conversation of its number.
 _HYBRID = "SELECT e.vec_id, d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"
+_TURNS = "SELECT conv_id AS query, arg_min(text, turn) AS q FROM conversations WHERE conv_id % 20 = 0 GROUP BY 1"
+_FUSE = "sum(1.0::double / (60 + rank + 1)) AS score, min(struct_pack(list := list, rank := rank)) AS first"
 
 
-def _hybrid(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
-    return table(spark, sf_dir, "embeddings").join(docs, "vec_id").withColumn("model", F.lit("m"))
-
-
-_FUSE = "sum(1.0::double / (60 + rank + 1)) AS score, min(struct_pack(list := list, rank := rank)) AS first"
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("conv_id % 20 = 0").groupBy(F.col("conv_id").alias("query")).agg(F.min_by("text", "turn").alias("q"))
 
 
 @query(f"""
-WITH {_VECTOR.replace('FROM embeddings e, asked_v', 'FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) e, asked_v').replace('rank < 20', 'rank < 12')},
-{bm25_sql(_ASKED, _HYBRID, 'vec_id', 12, '')},
-lists AS (SELECT query AS list, vec_id, rank FROM vector UNION ALL SELECT query + {len(VECTOR_IDS)}, vec_id, rank FROM keyword),
-fused AS (SELECT vec_id, {_FUSE} FROM lists GROUP BY vec_id)
-SELECT vec_id, round(score, 6) AS score FROM fused ORDER BY round(fused.score, 9) DESC, first LIMIT 12""")
+WITH {vector_sql(12, '(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))')},
+{bm25_sql(_TURNS, _HYBRID, 'vec_id', 12, '')},
+lists AS (SELECT query, 0 AS list, vec_id, rank FROM vector UNION ALL SELECT query, 1, vec_id, rank FROM keyword),
+fused AS (SELECT query, vec_id, {_FUSE} FROM lists GROUP BY query, vec_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, first) - 1 AS rank FROM fused QUALIFY rank < 12)
+SELECT query, vec_id, round(score, 6) AS score, rank FROM numbered""")
 def hybrid_rrf(spark, sf_dir):
-    found = R.retrieve(_hybrid(spark, sf_dir), "hybrid", TEXTS, _vectors(spark, sf_dir), "m", 12, "vec_id")
-    return found.select("vec_id", F.round("score", 6).alias("score"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "embeddings").join(docs, "vec_id").withColumn("model", F.lit("m"))
+    return R.hybrid(rows, turns(spark, sf_dir), vectors(spark, sf_dir), "m", 12, "vec_id").select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""
-WITH {_VECTOR.replace('rank < 20', 'rank < 10')},
-lists AS (SELECT query AS list, vec_id, rank FROM vector),
-fused AS (SELECT vec_id, {_FUSE} FROM lists GROUP BY vec_id)
-SELECT vec_id, round(score, 6) AS score FROM fused ORDER BY round(fused.score, 9) DESC, first LIMIT 9""")
+WITH {", ".join(f"w{c} AS (WITH {vector_sql(10, where=f'e.label % 3 = {c}')} SELECT query, vec_id, rank, {c} AS list FROM vector)" for c in range(3))},
+lists AS (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2), n AS (SELECT query, count(DISTINCT list) AS n FROM lists GROUP BY 1),
+fused AS (SELECT query, vec_id, {_FUSE} FROM lists GROUP BY query, vec_id),
+numbered AS (SELECT f.*, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, first) - 1 AS rank, CASE WHEN n <= 1 THEN 5 ELSE least(5 + 2 * (n - 1), 15) END AS room FROM fused f JOIN n USING (query))
+SELECT query, vec_id, round(score, 6) AS score, rank FROM numbered WHERE rank < room""")
 def fuse_corpora(spark, sf_dir):
-    have = table(spark, sf_dir, "embeddings")
-    found = [R.vector_search(have, [v], 10, "vec_id") for v in _vectors(spark, sf_dir)]
-    return R.fuse(found, R.budget(5, len(found)), "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    """Three corpora by label; scores do not compare, ranks do."""
+    have = table(spark, sf_dir, "embeddings").withColumn("source_id", F.col("label") % 3)
+    lists = [R.vector_search(have.where(F.col("source_id") == c), vectors(spark, sf_dir), 10, "vec_id").withColumn("source_id", F.lit(c)) for c in range(3)]
+    return R.fuse_lists(lists[0].unionByName(lists[1]).unionByName(lists[2]), 5, "vec_id").select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""
-WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_IDS[0]}),
-scored AS (SELECT e.vec_id, greatest({_COS}, 0) * (1 + 0.35 * ((e.vec_id % 10 + 1) - 5) / 5) AS score FROM embeddings e, q)
-SELECT vec_id, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, vec_id LIMIT 18""")
+WITH {vector_sql(18)}, weighed AS (SELECT query, vec_id, greatest(score, 0) * (1 + 0.35 * ((vec_id % 10 + 1) - 5) / 5) AS score FROM vector),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM weighed QUALIFY rank < 6)
+SELECT query, vec_id, round(score, 6) AS score, rank FROM numbered""")
 def memory_weight_rerank(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings").withColumn("meta", F.to_json(F.struct((F.col("vec_id") % 10 + 1).alias("weight"))))
-    scored = R.weighted(own.withColumn("score", cosine(F.col("embedding"), constant(_vectors(spark, sf_dir)[0]))))
-    return scored.orderBy(F.round("score", 9).desc(), "vec_id").limit(18).select("vec_id", F.round("score", 6).alias("score"))
+    return R.memory_search(own, vectors(spark, sf_dir), 6, "vec_id").select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("WITH " + CHUNKS_SQL + " SELECT source_type, source_id, count(*) AS n FROM chunks GROUP BY ALL")
@@ -187,9 +187,75 @@ def ordered_hashes(spark, sf_dir):
     return hashes(chunks(spark, sf_dir)).withColumn("hashes", F.array_join("hashes", ","))
 
 
-@query("WITH " + CHUNKS_SQL + "," + bm25_sql(_ASKED, _CORPUS, "id", 20, "") + " SELECT query, id, round(score, 6) AS score, rank FROM keyword")
+@query("WITH " + CHUNKS_SQL + "," + bm25_sql(ASK_TEXTS, _CORPUS, "id", 20, "") + " SELECT query, id, round(score, 6) AS score, rank FROM keyword")
 def bm25_postings(spark, sf_dir):
-    """The same search over postings, as a persisted index would answer it."""
+    """The same search over a persisted index, which is written first and then read."""
     from tessel.operators import postings
+    from tessel.tables import shared_dir
+
+    path = shared_dir(spark)
+    postings.write(*postings.build(chunks(spark, sf_dir)), path)
+    return postings.search(*postings.read(spark, path), texts(spark, sf_dir), 20).select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_BY_SOURCE = """
+asked AS (SELECT DISTINCT query, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM ({0})),
+own AS (SELECT source_id, id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM chunks),
+totals AS (SELECT source_id, count(*) AS n, avg(len(t)) AS avgdl FROM own GROUP BY 1),
+postings AS (SELECT source_id, id, dl, term, count(*) AS tf FROM (SELECT source_id, id, len(t) AS dl, unnest(t) AS term FROM own) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT source_id, term, count(*) AS df FROM postings GROUP BY ALL),
+scored AS (SELECT query, source_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM postings JOIN df USING (source_id, term) JOIN asked USING (term) JOIN totals USING (source_id) GROUP BY ALL HAVING score > 0),
+lists AS (SELECT query, source_id AS list, id, row_number() OVER (PARTITION BY query, source_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM scored
+  WHERE {1} QUALIFY rank < 4),
+fused AS (SELECT query, id, sum(1.0::double / (60 + rank + 1)) AS score, min(struct_pack(list := list, rank := rank)) AS first FROM lists GROUP BY query, id),
+room AS (SELECT query, CASE WHEN count(DISTINCT list) <= 1 THEN 4 ELSE least(4 + 2 * (count(DISTINCT list) - 1), 12) END AS room FROM lists GROUP BY 1),
+numbered AS (SELECT f.*, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, first) - 1 AS rank, room FROM fused f JOIN room USING (query)),
+found AS (SELECT query, rank, id, score, split_part(id, ':', 2) AS source_id, split_part(id, ':', 3) AS item_id FROM numbered WHERE rank < room)"""
+#: A question searches three libraries, of which those that end in 7 were never compiled.
+_CHOSEN = "source_id IN ('src' || (query % 20), 'src' || ((query + 7) % 20), 'src' || ((query + 12) % 20)) AND NOT source_id LIKE '%7'"
+
+
+def found_for_chats(spark, sf_dir):
+    from tessel.operators import answers
+
+    asked = texts(spark, sf_dir).withColumn("library_ids", F.array(*[F.concat(F.lit("src"), (F.col("query") + k) % 20) for k in (0, 7, 12)]))
+    states = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id")).distinct().withColumn("state", F.when(F.col("source_id").endswith("7"), "none").otherwise("compiled"))
+    return answers.retrieve_for(asked, chunks(spark, sf_dir), states, 4)
+
+
+@query("WITH " + CHUNKS_SQL + "," + _BY_SOURCE.format(ASK_TEXTS, _CHOSEN) + " SELECT query, rank, id, round(score, 6) AS score FROM found")
+def retrieve_for_chats(spark, sf_dir):
+    """Each question over its own compiled libraries, each with its own statistics, fused by rank."""
+    return found_for_chats(spark, sf_dir).select("query", "rank", "id", F.round("score", 6).alias("score"))
+
+
+_LIVE = "CASE WHEN item_id::bigint % 2 = 0 THEN 'live ' || item_id WHEN item_id::bigint % 3 = 0 THEN 'kept ' || item_id ELSE item_id END"
+
+
+def described(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("source").alias("source_id"))
+    rows = found_for_chats(spark, sf_dir).withColumn("meta", F.when(F.col("item_id").cast("long") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("kept "), "item_id").alias("label")))))
+    names = d.select("source_id").distinct().where("source_id <> 'src3'").withColumn("name", F.upper("source_id"))
+    return R.sources(rows, d.where("item_id % 2 = 0").select("item_id", F.concat(F.lit("live "), "item_id").alias("live_label")), names)
+
+
+@query("WITH " + CHUNKS_SQL + "," + _BY_SOURCE.format(ASK_TEXTS, _CHOSEN) + f""" SELECT query, rank, 'library' AS kind, source_id, item_id, split_part(id, ':', 4)::int AS chunk_index, {_LIVE} AS label,
+  CASE WHEN source_id = 'src3' THEN '' ELSE upper(source_id) END AS library_name FROM found""")
+def source_rows(spark, sf_dir):
+    return described(spark, sf_dir).select("query", "rank", "kind", "source_id", "item_id", "chunk_index", "label", "library_name")
+
+
+_ESC = "replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("WITH " + CHUNKS_SQL + "," + _BY_SOURCE.format(ASK_TEXTS, _CHOSEN) + f""", b AS (SELECT f.*, c.content, {_LIVE.replace('item_id', 'f.item_id')} AS label FROM found f JOIN chunks c ON c.id = f.id)
+SELECT query, '<retrieved>' || chr(10) || string_agg('  <excerpt item="' || item_id || '" label="' || label || '" score="' || printf('%.3f', score) || '">' || chr(10) || {_ESC} || chr(10) || '  </excerpt>', chr(10) ORDER BY rank) || chr(10) || '</retrieved>' AS block FROM b GROUP BY query""")
+def excerpt_blocks(spark, sf_dir):
+    return R.excerpt_block(described(spark, sf_dir))
+
 
-    return postings.search(*postings.build(chunks(spark, sf_dir)), TEXTS, 20).select("query", "id", F.round("score", 6).alias("score"), "rank")
+@query("WITH " + CHUNKS_SQL + "," + _BY_SOURCE.format(ASK_TEXTS, _CHOSEN) + """, b AS (SELECT f.*, c.content FROM found f JOIN chunks c ON c.id = f.id)
+SELECT query, string_agg('[' || (rank + 1) || '] (' || item_id || ') ' || content, chr(10) || chr(10) ORDER BY rank) AS excerpts FROM b GROUP BY query""")
+def plain_excerpts(spark, sf_dir):
+    return R.excerpts(found_for_chats(spark, sf_dir), ["query"])

@@ -108,20 +108,56 @@ def read_items_xml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).select(F.col("_id").alias("id"), F.col("_type").alias("type"), F.col("_label").alias("label"), F.col("_VALUE").alias("content"))
 
 
+_RSS = """guid struct<_VALUE string>, title string, link string, author string, `itunes:author` string, description string, `content:encoded` string, pubDate string, category array<string>,
+`itunes:duration` string, `itunes:episode` string, `itunes:season` string, enclosure array<struct<_url string, _type string, _length string, _VALUE string>>,
+`podcast:transcript` array<struct<_url string, _type string, _rel string, _language string, _VALUE string>>, `podcast:person` array<struct<_VALUE string, _role string, _group string, _href string>>,
+`podcast:chapters` array<struct<_url string, _type string, _VALUE string>>"""
+_ATOM = """id string, title string, link array<struct<_href string, _rel string, _type string, _length string, _VALUE string>>, author array<struct<name string>>, summary string, content struct<_VALUE string>,
+published string, updated string, category array<struct<_term string, _VALUE string>>"""
+_ENTRY = "guid title link author published categories body_html body_source duration episode season enclosure_url enclosure_type transcripts persons chapters_url".split()
+
+
+def _text(x) -> Column:
+    return strip(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")))
+
+
 def feed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """RSS items (guid, title, link, author, description, pubDate, categories); items without any identity are dropped."""
-    schema = "guid string, title string, link string, author string, description string, pubDate string, category array<string>"
-    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    return items.withColumn("categories", F.coalesce("category", F.array().cast("array<string>"))).drop("category").where(F.coalesce("guid", "link", "title").isNotNull())
-
-
-def cues(text: Column | str) -> Column:
-    """Texts of the cues of an SRT or VTT caption: blocks with a time line; plain text is a single cue."""
-    t = F.col(text) if isinstance(text, str) else text
-    blocks = F.split(F.regexp_replace(t, r"\r\n?", "\n"), r"\n\s*\n")
-    body = lambda b: strip(F.regexp_replace(F.regexp_replace(b, r"(?s)^.*?-->[^\n]*\n?", ""), r"<[^>]+>", ""))
-    timed = F.filter(F.transform(F.filter(blocks, lambda b: b.contains("-->")), body), lambda x: x != "")
-    return F.when(t.contains("-->"), timed).otherwise(F.filter(F.array(strip(t)), lambda x: x != ""))
+    """Entries of RSS and Atom feeds in one shape (guid, title, link, author, published, categories, body_html, body_source,
+    duration, episode, season, enclosure_url, enclosure_type, transcripts, persons, chapters_url).
+
+    The first enclosure that is audio or video counts. Entries without guid, enclosure and link are dropped, as nothing
+    could tell them apart from run to run."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("valueTag", "_VALUE").schema(schema).load(path)
+    low = lambda x: F.lower(_text(x))
+    media = lambda url, kind: kind.rlike("^(audio|video)/") | url.rlike(r"(?i)\.(mp3|m4a|mp4|aac|ogg|opus|wav|webm|mov)(\?|$)")
+    files = lambda found: F.filter(F.transform(F.coalesce(found, F.array()), lambda e: F.struct(_text(e["_url"]).alias("url"), low(e["_type"]).alias("type"))), lambda e: (e["url"] != "") & media(e["url"], e["type"]))
+    shape = lambda df, columns: df.select(*[columns[c].alias(c) for c in _ENTRY])
+    rss = read("item", _RSS).withColumn("__m", F.get(files(F.col("enclosure")), F.lit(0)))
+    encoded = _text("content:encoded")
+    scripts = F.transform(F.filter(F.coalesce("podcast:transcript", F.array()), lambda t: _text(t["_url"]) != ""), lambda t: F.struct(_text(t["_url"]).alias("url"), low(t["_type"]).alias("type"), low(t["_rel"]).alias("rel"), low(t["_language"]).alias("language")))
+    people = F.transform(F.coalesce("podcast:person", F.array()), lambda p: F.struct(_text(p["_VALUE"]).alias("name"), _text(p["_role"]).alias("role"), _text(p["_group"]).alias("group"), _text(p["_href"]).alias("href")))
+    one = shape(rss, {
+        "guid": _text("guid._VALUE"), "title": _text("title"), "link": _text("link"), "author": F.coalesce(F.nullif(_text("author"), F.lit("")), _text("itunes:author")), "published": _text("pubDate"),
+        "categories": F.coalesce("category", F.array().cast("array<string>")), "body_html": F.when(encoded != "", encoded).otherwise(_text("description")),
+        "body_source": F.when(encoded != "", "content").when(_text("description") != "", "description").otherwise(""), "duration": _text("itunes:duration"), "episode": _text("itunes:episode"), "season": _text("itunes:season"),
+        "enclosure_url": F.coalesce("__m.url", F.lit("")), "enclosure_type": F.coalesce("__m.type", F.lit("")), "transcripts": scripts, "persons": people,
+        "chapters_url": F.coalesce(F.get(F.filter(F.transform(F.coalesce("podcast:chapters", F.array()), lambda c: _text(c["_url"])), lambda u: u != ""), F.lit(0)), F.lit("")),
+    })
+    atom = read("entry", _ATOM)
+    links = F.coalesce("link", F.array())
+    sent = F.transform(F.filter(links, lambda x: low(x["_rel"]) == "enclosure"), lambda x: F.struct(x["_href"].alias("_url"), x["_type"].alias("_type")))
+    atom = atom.withColumn("__m", F.get(files(sent), F.lit(0)))
+    page = F.get(F.transform(F.filter(links, lambda x: low(x["_rel"]).isin("", "alternate")), lambda x: _text(x["_href"])), F.lit(0))
+    content = _text("content._VALUE")
+    empty = lambda c: F.lit(None).cast(one.schema[c].dataType)
+    two = shape(atom, {
+        "guid": _text("id"), "title": _text("title"), "link": F.coalesce(page, F.lit("")), "author": _text(F.get("author", F.lit(0))["name"]), "published": F.coalesce(F.nullif(_text("published"), F.lit("")), _text("updated")),
+        "categories": F.transform(F.coalesce("category", F.array()), lambda c: c["_term"]), "body_html": F.when(content != "", content).otherwise(_text("summary")),
+        "body_source": F.when(content != "", "content").when(_text("summary") != "", "description").otherwise(""), "duration": F.lit(""), "episode": F.lit(""), "season": F.lit(""),
+        "enclosure_url": F.coalesce("__m.url", F.lit("")), "enclosure_type": F.coalesce("__m.type", F.lit("")), "transcripts": F.coalesce(empty("transcripts"), F.array().cast(one.schema["transcripts"].dataType)),
+        "persons": F.coalesce(empty("persons"), F.array().cast(one.schema["persons"].dataType)), "chapters_url": F.lit(""),
+    })
+    return one.unionByName(two).where(F.concat("guid", "enclosure_url", "link") != "")
 
 
 def jdbc(spark: SparkSession, url: str, table: str, fetch: int = 1000, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:

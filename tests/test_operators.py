@@ -169,7 +169,7 @@ def test_cleaners(spark):
     assert one(spark, T.defang(F.lit("== a ==\nb = c"))) == "-- a --\nb = c"
     assert one(spark, T.fold(F.lit("Straße & Co."))) == "strasse and co"
     assert one(spark, T.strip_markdown(F.lit("# H\n**b** [l](u) ![a](v)\n- x"))) == "H\nb l !a\nx"
-    assert one(spark, T.page_title(F.lit("<TITLE>A &amp; B\n</title>"))) == "A & B"
+    assert one(spark, T.page_title(F.lit("<TITLE>A &amp; B\n</title>"))) == "A & B" and one(spark, T.page_title(F.lit("x"), F.lit("url"))) == "url"
     assert one(spark, T.split_text(F.lit("a(b a(b c"), "(b", True)) == ["a", "a", "c"]  # not a pattern: taken as it is
 
 
