@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.functions.text import strip
+
 #: Kinds of transcripts, best first.
 TRANSCRIPT_TYPES = ("application/json", "text/vtt", "application/srt", "text/srt", "application/x-subrip", "text/plain", "text/html")
 #: What a reasoning model's name holds.
@@ -101,3 +103,76 @@ def first_media(enclosures: Column, media: Sequence[str] = ("audio/", "video/"),
         F.coalesce(e["type"], F.lit("")).rlike("(?i)^(" + "|".join(media) + ")") | F.regexp_replace(e["href"], r"[?#].*$", "").rlike(suffixes)
     )
     return F.try_element_at(F.filter(enclosures, good), F.lit(1))
+
+
+def selected(libraries: DataFrame, chats: DataFrame) -> DataFrame:
+    """(chat, ...): the libraries (id, pos, ...) that each chat (chat, library_ids) names, in the order of the libraries."""
+    chosen = chats.select("chat", F.explode("library_ids").alias("id")).distinct()
+    return libraries.join(chosen, "id")
+
+
+def enumerated(items: DataFrame) -> DataFrame:
+    """Items (library, pos, id, label, filename, type, content) that say something, with item_id (the library and place if it
+    has no id) and label (else the file's name, else by type)."""
+    blank = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    kind = F.when(F.coalesce("type", F.lit("")) == "", "Item").otherwise(F.initcap("type"))
+    own = items.withColumn("content", strip(F.coalesce("content", F.lit("")))).where("content <> ''")
+    return own.withColumns({"item_id": F.coalesce(blank("id"), F.concat_ws(":", "library", "pos")), "label": F.coalesce(blank("label"), blank("filename"), kind)})
+
+
+def with_ids(items: DataFrame, key: list[str], changed: str = "filled") -> DataFrame:
+    """Missing ids become twelve digits of a hash of the row's key, so that reruns agree; `changed` says which were filled."""
+    missing = F.coalesce("id", F.lit("")) == ""
+    return items.withColumn(changed, missing).withColumn("id", F.when(missing, F.substring(F.sha2(F.to_json(F.struct(*key)), 256), 1, 12)).otherwise(F.col("id")))
+
+
+def masked(profiles: DataFrame, secrets: list[str]) -> DataFrame:
+    """Without the columns that hold secrets; has_<name> says whether there was one."""
+    flags = {f"has_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in secrets if c in profiles.columns}
+    return profiles.withColumns(flags).drop(*[c for c in secrets if c in profiles.columns])
+
+
+def single_turn(prompt: Column) -> Column:
+    """A prompt as the messages of a chat of one turn."""
+    return F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+
+
+def search_scope(scope: Column) -> Column:
+    """What a chat searches beside its libraries; anything unknown counts as its attachments."""
+    own = F.lower(strip(F.coalesce(scope, F.lit(""))))
+    return F.when(own.isin("attachments", "thread", "both"), own).otherwise("attachments")
+
+
+def eligible(chats: DataFrame, built: DataFrame, manual: bool = False, reread: bool = False) -> DataFrame:
+    """Chats (chat, created, private) that memories may be taken from, oldest first: private ones only if a person asks,
+    and those that were read before (built: chat) only if they are to be read again."""
+    out = chats if manual else chats.where(~F.coalesce("private", F.lit(False)))
+    out = out if reread else out.join(built.select("chat"), "chat", "left_anti")
+    return out.orderBy(F.coalesce("created", F.lit("")), "chat")
+
+
+def cached(entries: DataFrame, version: int) -> DataFrame:
+    """Cache entries that can be used: of this version and readable; others count as missing."""
+    return entries.where((F.col("v") == version) & F.col("body").isNotNull())
+
+
+def by_id(found: DataFrame, chunks: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of the chunks for the hits (key, score, rank) of an index; hits whose row is gone are dropped."""
+    return found.join(chunks, key)
+
+
+def edited_memories(entries: DataFrame, cores: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, outcome) after edits by a person (seq, core, id, text): outcome is saved, or core, gone or text where the core
+    is unknown, the entry was deleted meanwhile, or a new entry says nothing. What a person adds is theirs: origin is user.
+    The last edit of an entry wins; an edit without a text keeps the old one."""
+    known = edits.join(cores.select(F.col("core"), F.lit(True).alias("__core")).distinct(), "core", "left")
+    there = entries.select("core", "id", F.lit(True).alias("__there"))
+    known = known.join(there, ["core", "id"], "left")
+    new, blank = F.coalesce("id", F.lit("")) == "", strip(F.coalesce("text", F.lit(""))) == ""
+    outcome = F.when(F.col("__core").isNull(), "core").when(~new & F.col("__there").isNull(), "gone").when(new & blank, "text").otherwise("saved")
+    judged = known.withColumns({"outcome": outcome, "__new": new, "text": strip("text")}).drop("__core", "__there")
+    last = judged.where((F.col("outcome") == "saved") & ~F.col("__new") & ~blank).groupBy("core", "id").agg(F.max_by("text", "seq").alias("__text"))
+    changed = entries.join(last, ["core", "id"], "left").withColumn("text", F.coalesce("__text", "text")).select(*entries.columns)
+    fresh = judged.where((F.col("outcome") == "saved") & F.col("__new")).select("core", F.concat_ws("-", "core", F.lit("u"), "seq").alias("id"), "text")
+    added = fresh.withColumns({"category": F.lit("other"), "importance": F.lit(5), "pinned": F.lit(False), "origin": F.lit("user"), "created": F.col("id")}).select(*[F.col(c).cast(entries.schema[c].dataType) for c in entries.columns])
+    return changed.unionByName(added), judged.select("seq", "outcome")

@@ -42,12 +42,6 @@ def conversation(messages: DataFrame) -> DataFrame:
     return messages.groupBy("chat").agg(F.transform(own, lambda x: x["m"]).alias("messages"))
 
 
-def export_body(content: Column, source: Column, prompt: Column, with_source: bool = True, with_prompt: bool = True) -> Column:
-    """Sections with a rule between them; those that are off or blank are left out."""
-    part = lambda on, title, x: F.when(F.lit(on) & (F.coalesce(x, F.lit("")) != ""), F.concat(F.lit(f"## {title}\n\n"), x))
-    return F.concat_ws("\n\n---\n\n", part(with_source, "Source", source), part(with_prompt, "Prompt", prompt), content)
-
-
 def merge_trees(old: DataFrame, new: DataFrame) -> DataFrame:
     """Prompts (kind, group, category, prompt, text, pos): new ones join their place by name; the same name with the same
     text is there already, with another text it gets (2), (3), ... after it."""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.tables import numbered
+from tessel.tables import numbered, saved, shared_dir
 
 ROWID, KEY, HASH, DIRTY = "__rowid", "__src_key", "__row_hash", "__dirty"
 
@@ -124,6 +125,108 @@ def page(staged: DataFrame, n: int, offset: int = 0) -> DataFrame:
     return staged.where((F.col(ROWID) >= offset) & (F.col(ROWID) < offset + n)).orderBy(ROWID)
 
 
+def count_rows(df: DataFrame, mode: str = "full", n: int = 1, where: str | None = None) -> DataFrame:
+    """(n): how many rows a selection would take."""
+    own = df.where(where) if where else df
+    total = F.count("*")
+    return own.agg((F.least(total, F.lit(max(1, int(n)))) if mode in ("first_n", "random_n") else total).cast("long").alias("n"))
+
+
+def reread(source: DataFrame, keys: DataFrame, key_columns: Sequence[str]) -> DataFrame:
+    """The rows of the source as they are now, of exactly the keys given (as source keys, in `key`): a sample is not drawn
+    again. Spark sends the keys to the scan where they are few and joins by key where they are many."""
+    return source.withColumn("__key", key_json(key_columns)).join(keys.select(F.col("key").alias("__key")).distinct(), "__key", "left_semi").drop("__key")
+
+
+def current_hashes(source: DataFrame, staged: DataFrame, key_columns: Sequence[str], columns: Sequence[str], full: bool = True) -> DataFrame:
+    """(key, hash) of the source now: of all rows where the whole table was staged (so new rows show), else of the staged
+    keys alone; nothing without a key."""
+    if not key_columns:
+        return staged.where(F.lit(False)).select(F.col(KEY).alias("key"), F.col(HASH).alias("hash"))
+    own = source if full else reread(source, staged.select(F.col(KEY).alias("key")), key_columns)
+    return own.select(key_json(key_columns).alias("key"), row_hash(columns).alias("hash"))
+
+
+def add_column(staged: DataFrame, name: str, kind: str = "string") -> DataFrame:
+    """Adds a column of nulls, once."""
+    return staged if name in staged.columns else staged.withColumn(name, F.lit(None).cast(kind))
+
+
+def dry_run_report(statements: DataFrame, changes: DataFrame, source_columns: Sequence[str], max_rows: int = 50, max_columns: int = 20) -> DataFrame:
+    """The first max_rows statements of dry_run() in order of row, with total_rows and truncated (rows or columns were left
+    out)."""
+    k = F.row_number().over(Window.orderBy("rowid"))  # Spark keeps max_rows of each task before the one window
+    first = statements.orderBy("rowid").limit(max_rows + 1).withColumn("__k", k)
+    wide = changes.where(F.col("col").isin(*source_columns)).groupBy("rowid").agg(F.count("*").alias("n")).where(F.col("n") > max_columns).limit(1).count() > 0
+    total = statements.count()
+    return first.where(F.col("__k") <= max_rows).drop("__k").withColumns({"total_rows": F.lit(total), "truncated": F.lit(total > max_rows or wide)})
+
+
+def capped_changes(changes: DataFrame, source_columns: Sequence[str], max_columns: int = 20) -> DataFrame:
+    """Changes of the first max_columns columns of each row, in order of name: what a dry run shows."""
+    k = F.row_number().over(Window.partitionBy("rowid").orderBy("col"))
+    return changes.where(F.col("col").isin(*source_columns)).withColumn("__k", k).where(F.col("__k") <= max_columns).drop("__k")
+
+
+def process(staged: DataFrame, columns: Sequence[dict], generate, search=None, most: int = 4000) -> DataFrame:
+    """(rowid, col, value, error, seq): fills columns in their order, one after the other, so that later templates see earlier
+    results. A column is {name, kind: prompt or search, template}; generate and search take a list of texts and give a list.
+
+    A search gives at most `most` characters; a row that fails keeps what it had and goes on to the next column. The values
+    come as edits for edit(), so they pass the same checks as edits by hand."""
+    from tessel.functions.text import fill, strip
+
+    own = [c for c in staged.columns if not c.startswith("__") or c == ROWID]
+    rows, edits, folder = staged.select(*own), [], shared_dir(staged.sparkSession)
+    for seq, c in enumerate(columns):
+        call, is_search = (search, True) if c["kind"] == "search" else (generate, False)
+        values = {k: F.col(k) for k in rows.columns if k != ROWID}
+        asked = rows.withColumn("__q", fill(F.lit(c["template"]), values)).withColumn("__q", strip("__q") if is_search else F.col("__q"))
+
+        def run(batches, call=call, is_search=is_search):
+            for b in batches:
+                out = []
+                for q in b["__q"]:
+                    try:
+                        if call is None:
+                            raise RuntimeError("search is not available")
+                        value = "" if is_search and not q else call([q])[0] or ""
+                        out.append((value[:most] if is_search else value.strip(), None))
+                    except Exception as e:
+                        out.append((None, f"{type(e).__name__}: {e}"))
+                yield b.assign(__v=[v for v, _ in out], __e=[e for _, e in out])
+
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema), "__v string, __e string"])
+        done = saved(asked.mapInPandas(run, schema), folder, f"column{seq}")  # each answer is asked for once
+        edits.append(done.select(F.col(ROWID).alias("rowid"), F.lit(c["name"]).alias("col"), F.col("__v").alias("value"), F.col("__e").alias("error"), F.lit(seq).alias("seq")))
+        old = F.col(c["name"]).cast("string") if c["name"] in rows.columns else F.lit(None).cast("string")
+        rows = done.withColumn(c["name"], F.when(F.col("__e").isNull(), F.col("__v")).otherwise(old)).select(*dict.fromkeys([*rows.columns, c["name"]]))
+    return reduce(DataFrame.unionByName, edits)
+
+
+def plan_write_back(changes: DataFrame, source_columns: Sequence[str], key_columns: Sequence[str], found: DataFrame, approved: bool, on_conflict: str = "abort") -> DataFrame:
+    """The changes that may be written, of columns that the source has: needs approval and a key, and `found`, the conflicts
+    (key, status) as they are just now. abort: none if any row changed or is gone; skip: not those rows; overwrite: all."""
+    if not approved:
+        raise PermissionError("write-back was not approved")
+    if not key_columns:
+        raise ValueError("no key columns: rows of the source cannot be told")
+    known = changes.where(F.col("col").isin(*source_columns))
+    bad = found.where(F.col("status").isin("changed", "deleted")).select("key").distinct()
+    if on_conflict == "overwrite":
+        return known
+    if on_conflict == "skip":
+        return known.join(bad, "key", "left_anti")
+    if not bad.isEmpty():
+        raise RuntimeError("the source has changed since the import")
+    return known
+
+
+def applied(changes: DataFrame, audit: DataFrame) -> DataFrame:
+    """The cells (rowid, col) that a write-back did write, by its audit (key, status): what matched nothing stays dirty."""
+    return changes.join(audit.where("status = 'applied'").select("key"), "key", "left_semi").select("rowid", "col")
+
+
 def write_back(connection, table: str, plan: DataFrame, key_columns: Sequence[str], mode: str = "bulk", skip: Sequence[str] = ()) -> list[dict]:
     """Runs a plan of (rowid, key, col, new) over a DB-API connection; returns audit rows.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessel.operators import ann, chat, feeds, render
+from tessel.operators import ann, batch, chat, feeds, render
 from tessel.plans.conversations import messages
 from tessel.plans.registry import query, table
 
@@ -41,10 +41,11 @@ def before_last_user(spark, sf_dir):
     return own.select("chat", F.array_join(F.transform(render.before_last_user(F.col("messages"), extra), lambda m: m["role"]), ",").alias("roles"))
 
 
-@query("SELECT page_id, '## Source' || chr(10) || chr(10) || url || chr(10) || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN page_id % 2 = 0 THEN '## Prompt' || chr(10) || chr(10) || 'p' || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || html AS body FROM pages")
+@query("SELECT page_id, '# Source: page ' || page_id || chr(10) || url || chr(10) || chr(10) || html || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Prompt' || chr(10) || chr(10) || CASE WHEN page_id % 2 = 0 THEN 'p' ELSE '' END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Response' || chr(10) || chr(10) || upper(url) AS body FROM pages")
 def export_body(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", render.export_body(F.col("html"), F.col("url"), F.when(F.col("page_id") % 2 == 0, "p")).alias("body"))
+    own = batch.body(F.concat(F.lit("page "), "page_id"), F.col("url"), F.col("html"), F.when(F.col("page_id") % 2 == 0, "p"), F.upper("url"), True, True)
+    return p.select("page_id", own.alias("body"))
 
 
 @query("""WITH o AS (SELECT p_brand AS grp, p_type AS cat, 'n' || (p_partkey % 5) AS prompt, p_partkey::varchar AS text, p_partkey AS pos FROM part WHERE p_partkey % 5 = 0),
