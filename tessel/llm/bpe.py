@@ -303,9 +303,12 @@ def decode_documents(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFr
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON) -> DataFrame:
-    """Adds n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 to every row of docs.
+    """Adds n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 to every row of docs, in place of
+    columns of these names.
 
-    Encodes and decodes within one pass, so that ids need not be kept."""
+    Encodes and decodes within one pass, so that ids need not be kept. A null or empty text has no tokens: its digests are
+    those of the empty text. Texts of any length are encoded whole; null ids and repeated rows are kept; an empty table gives
+    an empty one."""
 
     def run(codec, texts):
         n, ids_hash, text_hash = [], [], []

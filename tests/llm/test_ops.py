@@ -310,6 +310,47 @@ def test_chain_learns_and_feeds_forward(spark):
     assert toxicity.score(all_.limit(3), none).agg(F.max("p_toxic")).first()[0] < 0.01
 
 
+def test_chain_against_a_plain_refit(spark):
+    """The whole training again, plainly: words by chi-square, folds by order of id, out-of-fold inputs, gradient steps."""
+    r = random.Random(14)
+    pool = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60)]
+    rows = [(k, " ".join(r.choice(pool) for _ in range(12)) + (" idiot" if k % 4 == 0 and k % 9 else "") + (" spam" if k % 3 == 0 else ""), int(k % 3 > 0), int(k % 4 == 0)) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").repartition(3)
+    chain = toxicity.train(df, df.select("doc_id", "quality", "toxic"))
+    bags = [set(re.findall("[a-z]+", t)) for _, t, *_ in rows]
+    ys = [np.array([1.0 - q for *_, q, _ in rows]), np.array([float(t) for *_, t in rows])]
+    n, words = len(rows), []
+    for w in sorted(set().union(*bags)):
+        own = np.array([w in b for b in bags])
+        c = own.sum()
+        chi = max((own @ y - c * y.mean()) ** 2 / (c * y.mean() * (1 - y.mean())) * n / (n - c + 1) for y in ys)
+        words += [w] if c >= 5 and chi >= 20 else []
+    assert chain.vocabulary == {w: k for k, w in enumerate(words)} and {"idiot", "spam"} <= set(words)
+    x = np.array([[w in b for w in words] for b in bags], dtype=float)
+
+    def fit(x, y):
+        w, m, v = np.zeros(x.shape[1] + 1), 0, 0
+        w[-1] = np.log(y.mean() / (1 - y.mean()))
+        for t in range(1, toxicity.STEPS + 1):
+            e = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) - y
+            g = np.append(e @ x, e.sum()) / len(y)
+            g[:-1] += toxicity.PENALTY * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        return w
+
+    sigmoid = lambda x, w: 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    fold, inputs, want = np.arange(n) % toxicity.FOLDS, x, x
+    for y in ys:
+        w = fit(inputs, y)
+        held = np.zeros(n)
+        for k in range(toxicity.FOLDS):
+            held[fold == k] = sigmoid(inputs, fit(inputs[fold != k], y[fold != k]))[fold == k]
+        inputs, want = np.column_stack((inputs, held)), np.column_stack((want, sigmoid(want, w)))
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in toxicity.score(df, chain).collect()}
+    assert np.allclose([got[k] for k in range(n)], want[:, -2:], atol=1e-8)
+
+
 # ---- 6
 
 
@@ -576,15 +617,94 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, language.Model({})).collect()} == {"und"}
 
 
+def test_language_against_a_plain_scorer(spark):
+    """Counts, backoff and probabilities of every text again, plainly."""
+    r = random.Random(15)
+    letters = {"en": "etaoinshr", "de": "enisratdhü", "fr": "esaitnrulé"}
+    words = {k: ["".join(r.choice(a) for _ in range(r.randrange(1, 7))) for _ in range(40)] for k, a in letters.items()}
+    rows = [(k, " ".join(r.choice(words[x]) for _ in range(r.randrange(1, 15))).capitalize() + " 12!", x, "s", 0) for k in range(90) for x in [list(words)[k % 3]]]
+    rows += [(100 + k, "".join(r.choice("etaoinshrüéжq") for _ in range(r.randrange(1, 9))) + " " + r.choice(words["de"]), None, "s", 0) for k in range(30)] + [(200, "жжж", None, "s", 0), (201, "...", "en", "s", 0), (202, None, "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    langs, split = sorted(words), lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = {k: Counter(w for _, t, x, *_ in rows if x == k and t for w in split(t)) for k in langs}
+    parts = lambda w, n: list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    grams = {n: {k: sum((Counter({g: c * parts(w, n).count(g) for g in set(parts(w, n))}) for w, c in counts[k].items()), Counter()) for k in langs} for n in range(1, 6)}
+
+    def logs(tables, items):
+        known = set().union(*tables.values())
+        size = {k: sum(tables[k].values()) + 0.5 * len(known) for k in langs}
+        found = [i for i in items if i in known]
+        return [np.mean([np.log((tables[k][i] + 0.5) / size[k]) for i in found]) for k in langs] if found else None
+
+    def score(w):
+        return logs(counts, [w]) or next((s for n in range(5, 0, -1) if (s := logs(grams[n], parts(w, n)))), [0.0] * 3)
+
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language.identify(df, language.train(df)).collect()}
+    for k, t, *_ in rows:
+        total = np.sum([score(w) for w in split(t)], axis=0) if t and split(t) else None
+        if total is None:
+            assert got[k] == ("und", 0.0)
+        else:
+            p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+            assert got[k][0] == langs[int(np.argmax(total))] and abs(got[k][1] - p.max()) < 1e-9
+
+
+def test_samples_are_never_empty(spark, monkeypatch):
+    """Of a table that says it has 1e11 rows some two of a million are drawn; of a small one all are."""
+    many = spark.range(4_000_000)
+    assert 1 <= common.sampled(many, 10**11, 10**5, "s", "id").count() <= 30 and common.sampled(many, 4_000_000, 4_000_000, "s", "id").count() == 4_000_000
+    rows = [(k, "ein haus am see" if k % 2 else "a house by the lake", ["en", "de"][k % 2], "s", 0) for k in range(4000)]
+    model = language.train(spark.createDataFrame(rows, DOCS), max_docs=200)
+    assert model.langs == ["de", "en"] and language.Scorer(model).predict("haus see")[0] == "de"
+
+
 # ---- all
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9"])
+LONG = {
+    "op1": lambda d: substrings.dedup_substrings(d).select("doc_id", "n_bytes", "n_removed"),
+    "op2": lambda d: secrets.scan(d).select("doc_id", F.size("spans").alias("n")),
+    "op3": lambda d: bpe.round_trip(d, bpe.vocabulary_path()).select("doc_id", "n_tokens", "decoded_sha256"),
+    "op4": lambda d: mixing.mix_sources(d).select("doc_id", "size"),
+    "op6": lambda d: lines.dedup_lines(d).select("doc_id", "n_lines", "n_dropped"),
+    "op7": lambda d: fertility.measured(d).select("doc_id", "n_words", "n_dup_lines"),
+    "op8": lambda d: media.read_media(media.store_text(d)).select("doc_id", "n_bytes", "error"),
+    "op9": lambda d: simhash.near_duplicates(d).select("doc_id", "component_id"),
+    "op10": lambda d: language.identify(d, language.train(d)).select("doc_id", "lang_pred"),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_texts_of_megabytes(spark, name):
+    """Two equal texts of four megabytes, one word of a megabyte, and a short text."""
+    r = random.Random(16)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(5000)]
+    long = "\n".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(60_000))[: 4 << 20]
+    word = "".join(r.choice("abcdefgh") for _ in range(1 << 20))
+    df = spark.createDataFrame([(1, long, "en", "s", 0), (2, long, "en", "s", 0), (3, word, "en", "s", 0), (4, "password = abcdefgh", "en", "t", 0)], DOCS).repartition(2)
+    got = {x[0]: tuple(x)[1:] for x in LONG[name](df).collect()}
+    n, n_lines = len(long), long.count("\n") + 1
+    repeated = sum(len(x.strip()) >= 10 for x in long.split("\n"))
+    want = {
+        "op1": lambda: got[2] == (n, n) and got[1][1] < 2000 and got[3] == (1 << 20, 0),
+        "op2": lambda: got[4] == (1,) and got[1] == got[2],
+        "op3": lambda: got[1] == got[2] and got[1][1] == digest(long) and got[3][1] == digest(word),
+        "op4": lambda: got[1] == got[2] == (len(long.split()),) and got[3] == (1,),
+        "op6": lambda: got[1] == (n_lines, 0) and got[2] == (n_lines, repeated),
+        "op7": lambda: got[1] == got[2] == (len(long.split()), n_lines - len(set(long.split("\n")))),
+        "op8": lambda: got[1] == got[2] == (n, None) and got[3] == (1 << 20, None),
+        "op9": lambda: (got[1], got[2], got[3], got[4]) == ((1,), (1,), (3,), (4,)),
+        "op10": lambda: set(got.values()) == {("en",)},
+    }
+    assert len(got) == 4 and want[name]()
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
 def test_empty_tables(spark, name):
     none = spark.createDataFrame([], DOCS)
     run = {
-        "op1": substrings.dedup_substrings, "op2": secrets.scan, "op3": lambda d: bpe.round_trip(d, bpe.vocabulary_path()), "op4": mixing.mix_sources, "op6": lines.dedup_lines,
-        "op7": fertility.quality, "op8": lambda d: media.read_media(media.store_text(d)), "op9": simhash.near_duplicates,
+        "op1": substrings.dedup_substrings, "op2": secrets.scan, "op3": lambda d: bpe.round_trip(d, bpe.vocabulary_path()), "op4": mixing.mix_sources, "op5": lambda d: toxicity.score(d, toxicity.train(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))), "op6": lines.dedup_lines,
+        "op7": fertility.quality, "op8": lambda d: media.read_media(media.store_text(d)), "op9": simhash.near_duplicates, "op10": lambda d: language.identify(d, language.train(d)),
     }[name]
     assert run(none).count() == 0
 
