@@ -29,7 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of documents that share 0.8 or more of their five-word shingles."""
+    """The document of the smallest id of each group of documents that share 0.8 or more of their five-word shingles: SimHash
+    fingerprints find the candidates over the Golay code, as in operator 9, and each link is verified on the shingles."""
     found = jaccard.near_copies(docs)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
@@ -55,12 +56,16 @@ STAGES = [
     ("mix", mix),
     ("tokens", tokenise),
 ]
-#: Fingerprints, components and tokens are beyond SQL; tests hold the stages against brute force.
+#: Languages, fingerprints, components and tokens are beyond SQL; tests hold each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; each stage's result is written as a table and read by the next."""
+    """All stages in turn over documents; each stage's result is written as a table and read by the next.
+
+    A null or wordless text has no language and goes in the first stage; repeated rows are copies and one of them stays; a
+    null id is larger than any other; sources that are null are one source. Texts are taken whole, whatever their length.
+    Stages read the columns of documents alone, so others may have any names. An empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
