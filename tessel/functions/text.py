@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html import unescape as unescape_html
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Windows of words: for transient text and for indexed text.
 INLINE, INDEXED = (200, 40), (512, 64)
@@ -46,6 +47,67 @@ def word_windows(text, size: int = INLINE[0], overlap: int = INLINE[1]) -> Colum
     return bound(words(text), windows)
 
 
+def chunk_settings(size=None, overlap=None) -> tuple[int, int]:
+    """Window and overlap from settings: at least 64 and 0; what is missing, zero (of the window) or no number is as indexed."""
+
+    def number(x, default: int, least: int) -> int:
+        try:
+            return max(least, int(x))
+        except (TypeError, ValueError):
+            return default
+
+    return number(size, INDEXED[0], 64) if size else INDEXED[0], INDEXED[1] if overlap is None else number(overlap, INDEXED[1], 0)
+
+
+#: Where a text is cut, from coarse to fine: paragraphs, lines, sentences, words.
+CUTS = (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+", r"\s+")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _recursive(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    def cut(text: str, size: int, level: int) -> list[str]:
+        if len(text.split()) <= size or level == len(CUTS):
+            return [text.strip()] if text.strip() else []
+        out: list[str] = []
+        for part in (p for piece in re.split(CUTS[level], text) for p in cut(piece, size, level + 1)):
+            if level and out and len(out[-1].split()) + len(part.split()) <= size:
+                out[-1] = f"{out[-1]} {part}"
+            else:
+                out.append(part)
+        return out
+
+    return pd.Series([cut(t, int(n), 0) if t else [] for t, n in zip(texts, sizes)])
+
+
+def recursive_chunks(text, size: int = INDEXED[0]) -> Column:
+    """Chunks of at most `size` words that end at paragraphs, else at lines, sentences or words; parts below a paragraph are put
+    together again as far as they fit."""
+    return _recursive(col(text), F.lit(size))
+
+
+@F.pandas_udf(StringType())
+def _assigned(pages: pd.Series, names: pd.Series) -> pd.Series:
+    def find(page: str | None, name: str):
+        m = re.search(re.escape(name) + r"\s*=\s*(?=\{)", page or "")
+        try:
+            return json.dumps(json.JSONDecoder().raw_decode(page, m.end())[0]) if m else None
+        except ValueError:
+            return None
+
+    return pd.Series([find(p, n) for p, n in zip(pages, names)])
+
+
+def assigned(page, name: str) -> Column:
+    """The JSON object that a script of the page assigns to a name, or null."""
+    return _assigned(col(page), F.lit(name))
+
+
+def quoted(page, key: str, default: str = "") -> Column:
+    """The first "key":"value" of a page."""
+    found = F.regexp_extract(F.coalesce(col(page), F.lit("")), f'"{re.escape(key)}":"([^"]+)"', 1)
+    return F.when(found != "", found).otherwise(default)
+
+
 def content_hash(text) -> Column:
     return F.sha1(F.coalesce(col(text), F.lit("")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessel.operators import feeds, index
 from tessel.plans.registry import query, table
+from tessel.tables import shared_dir
 
 _ITEMS = "SELECT 'library' AS source_type, source AS source_id, doc_id::varchar AS item_id, doc_id, text AS content FROM documents"
 
@@ -111,7 +112,9 @@ UNION ALL SELECT 'manifest', i.item_id FROM items i WHERE
   OR EXISTS (SELECT 1 FROM items_chunks c WHERE c.item_id = i.item_id GROUP BY c.item_id HAVING NOT bool_or(contains(c.content, 'scum')))""")
 def compile_library(spark, sf_dir):
     """The whole compile: unchanged items skipped, the others replaced, vanished ones pruned, complete ones listed."""
-    stored = _store(spark, sf_dir).drop("doc_id")
+    kept = index.ChunkStore(spark, shared_dir(spark), buckets=8)
+    kept.write(_store(spark, sf_dir).drop("doc_id"))
+    stored = kept.read()
     old = old_items(spark, sf_dir).select("source_type", "source_id", "item_id", F.sha1("content").alias("fingerprint"), F.when(F.col("source_id") == "src1", "of another model").otherwise(index.signature("m")).alias("signature"), F.lit(1).cast("long").alias("chunks"))
     store, listed = index.compile_items(items(spark, sf_dir).drop("doc_id"), stored, old, pseudo_embed, "m")
     return store.select(F.lit("store").alias("part"), F.col("id").alias("key")).unionByName(listed.select(F.lit("manifest").alias("part"), F.col("item_id").alias("key")))
