@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +22,45 @@ UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
 
+def _hashes(names: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(n) for n in names), np.uint64, len(names))
+
+
+class Table:
+    """Log frequencies of names, a row for each and a column for each language, found by 64-bit hashes of the names: some
+    forty bytes a name, as every worker holds them all."""
+
+    def __init__(self, counts: list[dict[str, int]]) -> None:
+        names = list(set().union(*counts))
+        keys = _hashes(names)
+        order = np.argsort(keys)
+        self.keys, place = keys[order], dict(zip(names, np.argsort(order).tolist()))
+        self.counts = np.zeros((len(names), len(counts)))
+        for j, own in enumerate(counts):
+            self.counts[[place[n] for n in own], j] = np.fromiter(own.values(), float, len(own))
+        self.logs = self.counts + SMOOTHING
+        if len(names):
+            self.logs = np.log(self.logs / self.logs.sum(axis=0, keepdims=True))
+
+    def find(self, names: list[str]) -> np.ndarray:
+        """The row of each name, -1 for those that are not there."""
+        if not len(self.keys):
+            return np.full(len(names), -1)
+        wanted = _hashes(names)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at, -1)
+
+
 class Model:
-    """Log frequencies of words and n-grams: rows by name, one column for each language."""
+    """Log frequencies of words and of n-grams of each size."""
 
     def __init__(self, counts: dict[str, dict[str, int]]) -> None:
         """counts: language -> word -> occurrences."""
         self.langs = sorted(counts)
-        n = len(self.langs)
-        self.words = self._table([counts[k] for k in self.langs])
+        self.words = Table([counts[k] for k in self.langs])
         #: Words of each language that occur twice or more.
-        self.known = np.array([[counts[k].get(w, 0) > 1 for k in self.langs] for w in self.words[0]], dtype=bool).reshape(len(self.words[0]), n)
-        self.grams = {}
+        self.known = self.words.counts > 1
+        self.words.counts, self.grams = None, {}
         for size in range(LONGEST, 0, -1):
             own = []
             for k in self.langs:
@@ -40,15 +69,8 @@ class Model:
                     for g in self.grams_of(word, size):
                         sums[g] = sums.get(g, 0) + c
                 own.append(sums)
-            self.grams[size] = self._table(own)
-        self.none = np.zeros(n)
-
-    def _table(self, counts: list[dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
-        rows = {w: k for k, w in enumerate(sorted(set().union(*counts)))}
-        table = np.full((len(rows), len(counts)), SMOOTHING)
-        for j, own in enumerate(counts):
-            table[[rows[w] for w in own], j] += np.fromiter(own.values(), float, len(own))
-        return rows, np.log(table / table.sum(axis=0, keepdims=True)) if len(rows) else table
+            self.grams[size] = Table(own)
+            self.grams[size].counts = None
 
     @staticmethod
     def grams_of(word: str, size: int) -> list[str]:
@@ -57,17 +79,28 @@ class Model:
         padded = f"^{word}$"
         return [padded[k : k + size] for k in range(len(padded) - size + 1)]
 
-    def word_score(self, word: str) -> np.ndarray:
-        """The word's log frequencies if it is known in any language, else the mean over its n-grams of the longest size
-        of which any is known, else none."""
-        rows, table = self.words
-        if (k := rows.get(word)) is not None:
-            return table[k]
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, known) of words, a column for each language: a word's log frequencies if it is known in any language, else
+        the mean over its n-grams of the longest size of which any is known, else zeros."""
+        n = len(self.langs)
+        scores, known = np.zeros((len(words), n)), np.zeros((len(words), n), dtype=bool)
+        row = self.words.find(words)
+        there = row >= 0
+        scores[there], known[there] = self.words.logs[row[there]], self.known[row[there]]
+        left = np.flatnonzero(~there)
         for size in range(LONGEST, 0, -1):
-            rows, table = self.grams[size]
-            if known := [rows[g] for g in self.grams_of(word, size) if g in rows]:
-                return table[known].mean(axis=0)
-        return self.none
+            if not left.size:
+                break
+            parts = [self.grams_of(words[k], size) for k in left.tolist()]
+            own = np.repeat(np.arange(left.size), [len(p) for p in parts])
+            row = self.grams[size].find([g for p in parts for g in p])
+            own, row = own[row >= 0], row[row >= 0]
+            times = np.bincount(own, minlength=left.size)
+            for j in range(n):
+                sums = np.bincount(own, self.grams[size].logs[row, j], minlength=left.size)
+                scores[left, j] = np.where(times > 0, sums / np.maximum(times, 1), 0.0)
+            left = left[times == 0]
+        return scores, known
 
 
 class Scorer:
@@ -82,28 +115,36 @@ class Scorer:
         self.table = np.zeros((1024, len(self.model.langs)))
         self.known = np.zeros((1024, len(self.model.langs)), dtype=bool)
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """The language, its probability, and the share of the words that it knows, with one more counted as known: one to
-        three new words are no evidence."""
-        words = _LETTERS.findall(text.lower()) if text else []
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0, 0.0
+    def learn(self, words: list[str]) -> None:
+        """Scores of words that are not remembered yet, all at once."""
+        scores, known = self.model.score(words)
+        n = len(self.memo)
+        while n + len(words) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.known = np.concatenate((self.known, np.zeros_like(self.known)))
+        self.table[n : n + len(words)], self.known[n : n + len(words)] = scores, known
+        self.memo.update(zip(words, range(n, n + len(words))))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Of each text the language, its probability, and the share of the words that it knows, with one more counted as
+        known: one to three new words are no evidence."""
+        split = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         if len(self.memo) > MEMO:
             self.clear()
-        memo = self.memo
-        for w in set(words).difference(memo):
-            if len(memo) == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                self.known = np.concatenate((self.known, np.zeros_like(self.known)))
-            self.table[len(memo)] = self.model.word_score(w)
-            row = self.model.words[0].get(w)
-            self.known[len(memo)] = False if row is None else self.model.known[row]
-            memo[w] = len(memo)
-        at = list(map(memo.__getitem__, words))
-        total = self.table[at].sum(axis=0)
-        p = np.exp(total - total.max())
-        best = int(np.argmax(p))
-        return self.model.langs[best], float(p[best] / p.sum()), float((self.known[at, best].sum() + 1) / (len(at) + 1))
+        self.learn(list(set().union(*map(set, split)).difference(self.memo)))
+        out = []
+        for words in split:
+            if not words:
+                out.append((UNKNOWN, 0.0, 0.0))
+                continue
+            at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+            total = self.table[at].sum(axis=0)
+            p = np.exp(total - total.max())
+            best = int(np.argmax(p))
+            out.append((self.model.langs[best], float(p[best] / p.sum()), float((self.known[at, best].sum() + 1) / (len(at) + 1))))
+        return out
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
@@ -138,7 +179,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", known_col: s
     def run(batches):
         scorer = Scorer(shared.value)
         for b in batches:
-            found = [scorer.predict(t) for t in b.column(at).to_pylist()]
+            found = scorer.predict(b.column(at).to_pylist())
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             names = [*b.schema.names, "lang_pred", "score"]
             if known_col:

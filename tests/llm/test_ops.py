@@ -655,7 +655,7 @@ def test_samples_are_never_empty(spark, monkeypatch):
     assert 1 <= common.sampled(many, 10**11, 10**5, "s", "id").count() <= 30 and common.sampled(many, 4_000_000, 4_000_000, "s", "id").count() == 4_000_000
     rows = [(k, "ein haus am see" if k % 2 else "a house by the lake", ["en", "de"][k % 2], "s", 0) for k in range(4000)]
     model = language.train(spark.createDataFrame(rows, DOCS), max_docs=200)
-    assert model.langs == ["de", "en"] and language.Scorer(model).predict("haus see")[0] == "de"
+    assert model.langs == ["de", "en"] and language.Scorer(model).predict(["haus see"])[0][0] == "de"
 
 
 # ---- all
