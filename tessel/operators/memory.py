@@ -69,7 +69,7 @@ def apply_operations(entries: DataFrame, operations: DataFrame) -> DataFrame:
     threads = _threads(named)
     own = lambda df: df.join(threads, ["core", "id"], "left").withColumn("thread", F.coalesce("thread", "id"))
     single = own(named.where("op <> 'merge' and id is not null"))
-    merged = named.where("op = 'merge' and size(ids) > 0").withColumn("__id", F.col("id")).withColumn("id", F.col("ids")[0])
+    merged = named.where("op = 'merge' and size(ids) > 0").withColumn("__id", F.col("id")).withColumn("id", F.get("ids", F.lit(0)))
     ops = single.unionByName(own(merged).withColumn("id", F.col("__id")).drop("__id"))
     marked = own(entries.select(*columns))
     touched = ops.select("core", "thread").distinct()
