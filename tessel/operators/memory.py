@@ -10,6 +10,8 @@ from tessel.tables import saved, shared_dir
 
 #: Fixed values.
 CATEGORIES = ("preferences", "facts", "interests", "style", "goals", "other")
+#: Operations that are folded at a time, about.
+FOLDED = 2000
 ENTRY = "core string, id string, category string, text string, importance int, pinned boolean, origin string, created string"
 
 
@@ -76,31 +78,35 @@ def apply_operations(entries: DataFrame, operations: DataFrame) -> DataFrame:
     left = marked.join(touched, ["core", "thread"], "left_anti").select(*columns)
 
     def fold(own: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
-        left = {r["id"]: r for r in own.sort_values(["created", "id"]).to_dict("records")}
+        """Some threads at once: they do not touch each other, so one pass in order of seq does for all."""
+        left = {(r["core"], r["id"]): r for r in own.sort_values(["created", "id"]).to_dict("records")}
         clamp = lambda x, default: default if x is None or pd.isna(x) else max(1, min(10, int(x)))
         category = lambda x: y if (y := (x or "").strip().lower()) in CATEGORIES else "other"
         for o in ops.sort_values("seq").to_dict("records"):
-            text = (o["text"] or "").strip()
-            e = left.get(o["id"])
+            core, text = o["__core"], (o["text"] or "").strip()
+            at = core, o["id"]
+            e = left.get(at)
             if o["op"] == "add" and text:
-                new = o["id"]
-                left[new] = {"core": o["__core"], "id": new, "category": category(o["category"]), "text": text, "importance": clamp(o["importance"], 5), "pinned": False, "origin": "ai", "created": "~"}
+                left[at] = {"core": core, "id": o["id"], "category": category(o["category"]), "text": text, "importance": clamp(o["importance"], 5), "pinned": False, "origin": "ai", "created": "~"}
             elif o["op"] == "update" and e and text:
                 e |= {"text": text, "importance": clamp(o["importance"], e["importance"]), "category": category(o["category"]) if o["category"] else e["category"]}
             elif o["op"] == "delete" and e and not _protected(e):
-                del left[o["id"]]
+                del left[at]
             elif o["op"] == "merge" and text and o["ids"] is not None:
-                own_ids = [i for i in dict.fromkeys(o["ids"]) if i in left and not _protected(left[i])]
-                if len(own_ids) >= 2:
-                    left[own_ids[0]] |= {"text": text, "category": category(o["category"] or left[own_ids[0]]["category"]), "importance": clamp(o["importance"], max(left[i]["importance"] for i in own_ids))}
-                    for i in own_ids[1:]:
+                ids = [(core, i) for i in dict.fromkeys(o["ids"]) if (core, i) in left and not _protected(left[core, i])]
+                if len(ids) >= 2:
+                    first = left[ids[0]]
+                    first |= {"text": text, "category": category(o["category"] or first["category"]), "importance": clamp(o["importance"], max(left[i]["importance"] for i in ids))}
+                    for i in ids[1:]:
                         del left[i]
         return pd.DataFrame([{c: e[c] for c in columns} for e in left.values()], columns=columns)
 
-    by = ["core", "thread"]
-    # other names: both tables may come from the same one
+    # other names: both tables may come from the same one; threads are folded about FOLDED operations at a time
     named_ops = ops.withColumnsRenamed({"core": "__core", "thread": "__thread"})
-    folded = marked.join(touched, by, "left_semi").groupBy(*by).cogroup(named_ops.groupBy("__core", "__thread")).applyInPandas(fold, ENTRY)
+    parts = F.lit(operations.count() // FOLDED + 1)
+    part = lambda *cols: F.pmod(F.xxhash64(*cols), parts)
+    entries_of = marked.join(touched, ["core", "thread"], "left_semi").withColumn("__part", part("core", "thread"))
+    folded = entries_of.groupBy("__part").cogroup(named_ops.withColumn("__ops", part("__core", "__thread")).groupBy("__ops")).applyInPandas(fold, ENTRY)
     return left.unionByName(folded)
 
 
