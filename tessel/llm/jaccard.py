@@ -5,9 +5,8 @@ and four errors can tell from chance. So the fingerprint here is WORDS words wid
 A document emits, for each pair, the codeword indices of every word within one bit of it (about ten keys); two documents
 of similarity 0.8 share a key with a probability of about 0.99, of 0.84 with 0.998, more similar ones nearly always (README).
 Members of a key that differ in more than SKETCH_BITS of the first 95 bits meet there by chance and are not looked at again.
-What is left forms groups; in a group not all pairs are compared: first all members with one of them, then, where that
-leaves several components, each member with the nearest ones of other components (by all bits of the fingerprints), and last,
-where there still are several, all that the fingerprints leave possible between them.
+What is left forms groups; in a group not all pairs are compared: first all members with one of them, and only where that
+leaves several components, the members of different ones as far as all bits of the fingerprints leave it possible.
 """
 
 from __future__ import annotations
@@ -32,9 +31,8 @@ WORDS = -(-2 * 23 * PAIRS // 64)
 SKETCH_BITS = 29
 #: Rows of one key that one task joins; more are dealt out.
 BLOCK = 256
-#: Bits in which the whole fingerprints of similar documents may differ (at similarity 0.8 about 142, give or take 11), and
-#: members of other components that each member is compared with first.
-PRINT_BITS, NEAREST = 188, 4
+#: Bits in which the whole fingerprints of similar documents may differ: at similarity 0.8 about 142, give or take 11.
+PRINT_BITS = 188
 _R = np.random.default_rng(SEED)
 _MULTIPLY, _ADD = _R.integers(0, 2**63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1), _R.integers(0, 2**63, WORDS, dtype=np.uint64)
 
@@ -169,9 +167,9 @@ def candidates(nodes: DataFrame, folder: str, block: int = KEY_BLOCK, sample: in
     return saved(dealt.mapInArrow(_close_groups(SKETCH_BITS), "key long, node long").distinct(), folder, "groups")
 
 
-def _near_pairs(most: int, nearest: int | None):
+def _near_pairs(most: int):
     """Rows (key, node, label, made) sorted by key -> (a, b): members of a key with different labels whose fingerprints differ in
-    at most so many bits; of each member only the nearest few, if `nearest` says so. A pair comes once from a task's batch."""
+    at most so many bits. A pair comes once from a task's batch."""
 
     def pairs(keys, nodes, labels, prints):
         out = []
@@ -183,9 +181,6 @@ def _near_pairs(most: int, nearest: int | None):
                 for w in words:
                     far += np.bitwise_count(w[k : k + 64, None] ^ w[None, :])
                 far[own[k : k + 64, None] == own[None, :]] = most + 1
-                if nearest is not None and e - s > nearest:
-                    rest = np.argpartition(far, nearest, axis=1)[:, nearest:]
-                    np.put_along_axis(far, rest, most + 1, axis=1)
                 x, y = np.nonzero(far <= most)
                 out.append(np.stack((nodes[s + k + x], nodes[s + y])))
         found = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
@@ -218,17 +213,16 @@ def links(keyed: DataFrame, nodes: DataFrame, sets_of, folder: str, similarity:
     members = members.where("node <> center")
     pairs = saved(members.select(*_pair("node", "center")).distinct(), folder, "pairs0")
     edges = saved(_verified(pairs, sets, similarity, f"{folder}/verify0"), folder, "links0")
-    for turn, nearest in ((1, NEAREST), (2, None)):
-        labels = components(edges, f"{folder}/components{turn}")
-        own = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = saved(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), folder, f"apart{turn}")
-        if apart.isEmpty():
-            return labels
-        rows = own.join(apart, "key").join(nodes.select("node", "made"), "node").select("key", "node", "label", "made")
-        found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_pairs(PRINT_BITS, nearest), "a long, b long")
-        pairs = saved(found.distinct(), folder, f"pairs{turn}")
-        edges = saved(edges.unionByName(_verified(pairs, sets, similarity, f"{folder}/verify{turn}")).distinct(), folder, f"links{turn}")
-    return components(edges, f"{folder}/components3")
+    labels = components(edges, f"{folder}/components1")
+    own = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = saved(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), folder, "apart")
+    if apart.isEmpty():
+        return labels
+    rows = own.join(apart, "key").join(nodes.select("node", "made"), "node").select("key", "node", "label", "made")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_pairs(PRINT_BITS), "a long, b long")
+    pairs = saved(found.distinct(), folder, "pairs1")
+    edges = saved(edges.unionByName(_verified(pairs, sets, similarity, f"{folder}/verify1")).distinct(), folder, "links1")
+    return components(edges, f"{folder}/components2")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -110,11 +110,10 @@ def edited(r, words, share):
     return [w if r.random() > share else f"new{r.randrange(10**6)}" for w in words]
 
 
-@pytest.mark.parametrize("nearest", [1, 4])
-def test_near_copies_by_similarity(spark, monkeypatch, nearest):
+@pytest.mark.parametrize("small", [True, False])
+def test_near_copies_by_similarity(spark, monkeypatch, small):
     """Word edits around similarity 0.8, where fingerprints differ in more than four bits, and groups that fall apart."""
-    monkeypatch.setattr(jaccard, "NEAREST", nearest)
-    if nearest == 1:
+    if small:
         monkeypatch.setattr(jaccard, "BLOCK", 3)
         monkeypatch.setattr(jaccard, "candidates", functools.partial(jaccard.candidates, block=8, sample=1))
     r = random.Random(3)
