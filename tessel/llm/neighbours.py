@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -285,9 +286,10 @@ def _kind(rows: DataFrame) -> str:
 
 
 def _compared(top_k: int, kind: str, q_kind: str):
-    """Pairs of a block of rows and one of queries -> (query_id, vec_id, score): the top_k of each query within the pair."""
+    """Pairs of a block of rows and one of queries -> (query_id, vec_id, score, which: a hash of the vector): the top_k
+    of each query within the pair."""
 
-    def pair(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pair(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         q, x = scaled(q), scaled(x)
         q_norms, norms = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
         order = np.lexsort((ids, *x.T))
@@ -298,7 +300,12 @@ def _compared(top_k: int, kind: str, q_kind: str):
         place = np.arange(len(ids)) - np.flatnonzero(new)[same] - (np.cumsum(again) - np.cumsum(again)[np.flatnonzero(new)][same])
         held = np.flatnonzero(~again & (place <= top_k))  # of equal vectors only the smallest ids can come up
         s = (q @ x[new].T) / q_norms[:, None] / norms[new]
-        keep = min(top_k + 1, s.shape[1])  # one of them may be the query's own
+        by_id = np.argsort(q_ids, kind="stable")
+        at = np.searchsorted(q_ids, ids[held], sorter=by_id)
+        own = np.flatnonzero((at < len(q_ids)) & (q_ids[by_id[np.minimum(at, len(q_ids) - 1)]] == ids[held]))
+        own = own[np.bincount(same[held])[same[held[own]]] == 1]
+        s[by_id[at[own]], same[held[own]]] = -np.inf  # vectors that only the query's own id has
+        keep = min(top_k, s.shape[1])
         least = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep] - CLOSE
         group_starts, group_sizes = np.searchsorted(same[held], np.arange(s.shape[1])), np.bincount(same[held], minlength=s.shape[1])
         a, g = np.nonzero(s >= least[:, None])
@@ -309,18 +316,17 @@ def _compared(top_k: int, kind: str, q_kind: str):
         score = (q[a] * x[c]).sum(axis=1) / (q_norms[a] * norms[c])
         best = np.lexsort((ids[c], -score, a))
         a, c, score = a[best], c[best], score[best]
-        once = np.concatenate([[True], (a[1:] != a[:-1]) | (ids[c[1:]] != ids[c[:-1]]) | (score[1:] != score[:-1])])[: len(a)]
-        a, c, score = a[once], c[once], score[once]
         first = np.searchsorted(a, a)
         top = np.arange(len(a)) - first < top_k
-        return q_ids[a[top]], ids[c[top]], score[top]
+        a, c = a[top], c[top]
+        return q_ids[a], ids[c], score[top], np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in x[c]], dtype=np.uint64).view(np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 found = pair(q_ids, np.frombuffer(row["q_vectors"], q_kind).reshape(len(q_ids), -1), ids, np.frombuffer(row["vectors"], kind).reshape(len(ids), -1))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score", "which"])
 
     return run
 
@@ -344,7 +350,7 @@ def _search(rows: DataFrame, asked: DataFrame, top_k: int, folder: str, name: st
     left = left.select("part", "ids", "vectors", F.pmod("block", cells(sizes, ROWS)).alias("x"), F.explode(F.sequence(F.lit(0), cells(askers, ASKED) - 1)).alias("y"))
     right = right.select("part", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.pmod("block", cells(askers, ASKED)).alias("y"), F.explode(F.sequence(F.lit(0), cells(sizes, ROWS) - 1)).alias("x"))
     pairs = left.join(right.hint("shuffle_hash"), ["part", "x", "y"]).select("ids", "vectors", "q_ids", "q_vectors")
-    found = pairs.mapInArrow(_compared(top_k, _kind(rows), _kind(asked)), "query_id long, vec_id long, score double").distinct()
+    found = pairs.mapInArrow(_compared(top_k, _kind(rows), _kind(asked)), "query_id long, vec_id long, score double, which long").distinct()
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return saved(found.withColumn("rank", best).where(F.col("rank") <= top_k).select("query_id", "rank", "vec_id", "score"), folder, f"{name}-found")
 
@@ -356,8 +362,8 @@ def nearest(vectors: DataFrame, questions: DataFrame, router: Router | None, top
     Routing finds most of them (see RECALL); of the rows it reaches none is left out. A query that reaches fewer than top_k is
     searched again over all parts of its width, and has fewer rows only if there are fewer candidates. Rows without an id, and
     vectors that are null, empty or zero or hold a null, a NaN or an infinity take no part, neither as rows nor as queries.
-    Rows of one id are one candidate where their cosine is the same, and different ones where it is not; a query is the smallest
-    of the vectors of its id. Vectors meet only those of their own width. Columns of other names are not read. Empty tables
+    Equal rows (id and vector) are one candidate; rows of one id and different vectors are different ones, and a query is the
+    smallest of the vectors of its id. Vectors meet only those of their own width. Columns of other names are not read. Empty tables
     give an empty result."""
     spark = vectors.sparkSession
     if router is None:

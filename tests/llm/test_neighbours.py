@@ -24,7 +24,7 @@ def want(rows, ask, top_k=5):
     out = {}
     for key in {k for k, _ in rows if ask(k)}:
         q = min(v for k, v in rows if k == key)
-        near = sorted({(-cosine(q, v), k) for k, v in rows if k != key and len(v) == len(q)})
+        near = sorted((-cosine(q, v), k) for k, v in rows if k != key and len(v) == len(q))
         out[key] = [(k, -s) for s, k in near[:top_k]]
     return out
 
@@ -81,7 +81,7 @@ def test_exact_within_what_is_reached(spark, rows, asked, grid, monkeypatch):
     data = [(k, r.normal(size=8).tolist(), 0) for k in range(300)]
     data += [(k, data[0][1], 0) for k in range(400, 440)] + [(k, [x * 4 for x in data[0][1]], 0) for k in range(440, 450)]
     data += [data[50]] * 30 + [(100, r.normal(size=8).tolist(), 0), (7, data[8][1], 1)]
-    data += [(k, r.normal(size=3).tolist(), 0) for k in range(500, 504)] + [(550, [1.0] * 5, 0), (560, [0.0, 2.0], 0), (561, [0.0, 3.0], 0), (561, [1e-30, 1e30], 0)] + [(k, [k - 560.0, 1.0], 0) for k in range(562, 568)]
+    data += [(k, r.normal(size=3).tolist(), 0) for k in range(500, 504)] + [(550, [1.0] * 5, 0), (560, [0.0, 2.0], 0), (561, [0.0, 3.0], 0), (561, [1e-30, 1e30], 0)] + [(k, [k - 560.0, 1.0], 0) for k in range(562, 568)] + [(560, [0.001 * k, 2.0], 0) for k in range(1, 60)]
     data += [(600, None, 0), (650, [0.0] * 8, 0), (700, [1.0] * 7 + [None], 0), (750, [1.0] * 7 + [float("nan")], 0), (800, [1.0] * 7 + [float("inf")], 0), (850, [], 0), (None, data[1][1], 0)]
     df = spark.createDataFrame(data, KIND).repartition(5).withColumns({c: F.lit("x") for c in ("id", "part", "block", "rank", "score", "ids", "n")})
     router = neighbours.fit(df)
