@@ -63,3 +63,17 @@ def draw(seed: str, *cols: str) -> Column:
 def sampled(df: DataFrame, n: int, most: int, seed: str, *cols: str) -> DataFrame:
     """df, which has n rows; if these are more than `most`, about so many of them by a hash of the columns, at any n."""
     return df if n <= most else df.where(draw(seed, *cols) < F.lit(most / n))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that no frame has, whatever the case of its letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority of the store that Spark writes it to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()

@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, large_batches, saved, shared_dir, small_batches
+from .common import discard, documents, large_batches, qualified, saved, shared_dir, small_batches, unused
 
 MIN_CHARS = 10
 #: Digests of a shard at most, about; 28 bytes each with everything.
@@ -149,12 +149,19 @@ def build_index(repeated: DataFrame, folder: str, shard_size: int = SHARD) -> tu
 
     dealt = table.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
     index = dealt.groupBy("shard").applyInArrow(build, "shard int, levels array<bigint>, words binary, rest binary, fingerprints binary, counts binary, firsts binary, twins binary")
-    path = f"{folder}/index"
+    path = qualified(repeated.sparkSession, f"{folder}/index")
     index.write.mode("overwrite").partitionBy("shard").parquet(path)
     discard(repeated.sparkSession, f"{folder}/repeated")
     return path, shards
 
 
+def shards_of(spark: SparkSession, path: str) -> frozenset[int]:
+    """The shards that an index has; the folder itself must be there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return frozenset(int(name.removeprefix("shard=")) for f in found if (name := f.getPath().getName()).startswith("shard="))
+
+
 class Shard:
     """The arrays of one shard."""
 
@@ -178,18 +185,18 @@ class Shard:
 
 
 class LineIndex:
-    """Reads shards from the shared folder. One is held at a time: who asks in order of shards opens each once."""
+    """Reads shards from the shared folder, by its qualified path. One is held at a time: who asks in order of shards opens each
+    once. `shards` are those that were written: one of them that cannot be read is an error, any other has no repeated line."""
 
-    def __init__(self, path: str) -> None:
-        self.fs, self.root = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    def __init__(self, path: str, shards: frozenset[int]) -> None:
+        self.fs, self.root = pyarrow.fs.FileSystem.from_uri(path)
+        self.shards = shards
         self.at, self.held, self.loads = None, None, 0
 
     def shard(self, k: int) -> Shard | None:
         """The shard, or None if no repeated line belongs to it."""
         if k != self.at:
-            folder = f"{self.root}/shard={k}"
-            there = self.fs.get_file_info(folder).type != pyarrow.fs.FileType.NotFound
-            self.at, self.held = k, Shard(pq.read_table(folder, filesystem=self.fs, partitioning=None).to_pylist()[0]) if there else None
+            self.at, self.held = k, Shard(pq.read_table(f"{self.root}/shard={k}", filesystem=self.fs, partitioning=None).to_pylist()[0]) if k in self.shards else None
             self.loads += 1
         return self.held
 
@@ -230,15 +237,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probes = lines.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "doc", "text")
     # rebalanced by shard: Spark splits what is large, so a common line is no hot key; sorted, so that a shard is opened once
     dealt = probes.hint("rebalance", "shard").sortWithinPartitions("shard")
-    lost = dealt.mapInArrow(lambda batches: probe(LineIndex(path), batches), "doc long, text long, h1 long, h2 long")
-    lost = saved(lost.groupBy("doc", "text").agg(F.collect_set(F.struct("h1", "h2")).alias("__lost")), folder, "lost")
+    there = shards_of(spark, path)
+    lost = dealt.mapInArrow(lambda batches: probe(LineIndex(path, there), batches), "doc long, text long, h1 long, h2 long")
+    lost = saved(lost.groupBy("doc", "text").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")), folder, "lost")
     discard(spark, f"{folder}/lines")
     discard(spark, path)
     small_batches(spark)
     names = docs.columns
     at, lost_at = names.index(text_col), len(names)
-    own = docs.withColumns({"__line_doc": named["doc"], "__line_text": named["text"]})
-    marked = own.join(lost, (F.col("__line_doc") == lost["doc"]) & (F.col("__line_text") == lost["text"]), "left").select(*[docs[f"`{c}`"] for c in names], "__lost")
+    doc, of_text, gone = (unused(f"line_{k}", docs) for k in ("doc", "text", "gone"))
+    own, lost = docs.withColumns({doc: named["doc"], of_text: named["text"]}), lost.select(F.col("doc").alias(doc), F.col("text").alias(of_text), F.col("gone").alias(gone))
+    marked = own.join(lost, [doc, of_text], "left").select(*[f"`{c}`" for c in names], gone)
 
     def run(batches):
         for b in batches:

@@ -288,6 +288,27 @@ def test_mixing_comes_near_the_targets(spark):
     assert all(abs(r.taken / r.target - 1) < 0.03 for r in sums)
 
 
+def test_null_and_repeated_ids_draw_apart(spark):
+    """A third of all rows without an id, a third of one id, equal rows among both: every source comes near its target."""
+    ids = F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 7)
+    many = spark.range(24000).select(ids.alias("doc_id"), F.concat(F.lit("a b c d "), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(0)).alias("text"), F.concat(F.lit("s"), F.shiftright("id", 3) % 4).alias("source"))
+    once = mixing.mix_sources(many)
+    sums = once.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.03 for r in sums) and once.count() == 24000
+    counted = lambda df: sorted(df.groupBy("doc_id", "text", "source", "copies").count().collect(), key=str)
+    assert counted(once) == counted(mixing.mix_sources(many.repartition(7, "text")))
+
+
+def test_targets_of_many_sources(spark):
+    """Targets by prefix sums over partitions, the null source last, against sharing again and again."""
+    r = random.Random(2)
+    sizes = {f"h{k}": r.choice([1, 5, 50, 5000]) for k in range(300)} | {None: 40, "": 3, "zero": 0}
+    sums = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    got = {x.source: x.target for x in mixing.source_targets(sums).collect()}
+    want = fill_up(sizes)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 # ---- 5
 
 
@@ -386,8 +407,10 @@ def test_shards_are_opened_once(spark):
     asked = [(int(a) % shards, int(a), int(b), k + j, k) for k, (a, b) in enumerate(h) for j in (0, 1)] + [(k % shards, k, k, 1, 1) for k in range(500)]
     probes = spark.createDataFrame(asked, "shard int, h1 long, h2 long, doc long, text long").repartition(7)
 
+    there = lines.shards_of(spark, path)
+
     def run(batches):
-        index = lines.LineIndex(path)
+        index = lines.LineIndex(path, there)
         n = sum(b.num_rows for b in lines.probe(index, batches))
         yield lines.pa.RecordBatch.from_pydict({"n": [n], "loads": [index.loads]})
 
@@ -398,10 +421,28 @@ def test_shards_are_opened_once(spark):
 def test_digests_that_share_a_half(spark):
     rows = [(1, 5, 10, 2), (3, 5, 11, 2), (5, 5, 12, 3), (7, 9, 13, 2)]
     path, _ = lines.build_index(spark.createDataFrame(rows, "h1 long, h2 long, first long, docs long"), common.shared_dir(spark))
-    known, first = lines.LineIndex(path).shard(0).first_docs(np.array([1, 3, 5, 7, 8]), np.array([5, 5, 5, 9, 5]))
+    known, first = lines.LineIndex(path, lines.shards_of(spark, path)).shard(0).first_docs(np.array([1, 3, 5, 7, 8]), np.array([5, 5, 5, 9, 5]))
     assert known.tolist() == [True] * 4 + [False] and first[:4].tolist() == [10, 11, 12, 13]
 
 
+def test_a_missing_index_is_an_error(spark, tmp_path):
+    """Only shards that were never written have no repeated line; a lost one, or a lost folder, ends the job."""
+    path, _ = lines.build_index(spark.createDataFrame([(1, 5, 10, 2)], "h1 long, h2 long, first long, docs long"), common.shared_dir(spark))
+    assert path.startswith("file:") and lines.shards_of(spark, path) == {0}
+    assert lines.LineIndex(path, frozenset({0})).shard(3) is None
+    with pytest.raises(FileNotFoundError):
+        lines.LineIndex(path, frozenset({0, 3})).shard(3)
+    with pytest.raises(Exception, match="does not exist"):
+        lines.shards_of(spark, f"{path}-gone")
+
+
+def test_lines_of_a_table_with_clashing_names(spark):
+    rows = [(1, "one line of text", 7, 8, 9), (2, "one line of text", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __lost int, line_gone int, Line_Doc int")
+    got = lines.dedup_lines(df).collect()
+    assert sorted((r.doc_id, r.kept, r["__lost"], r.line_gone, r.Line_Doc) for r in got) == [(1, "one line of text", 7, 8, 9), (2, "", 7, 8, 9)]
+
+
 def test_lines_of_shared_and_null_ids(spark):
     """Rows of one id are one document, null ids are one document after all others; -1 is an id like any other."""
     line, other = "a line that is said twice", "another line, said twice too"
