@@ -29,15 +29,15 @@ OTHER = "other"
 #: What is measured for the bands, which side rejects (below, above or both), and how far a fence is from the median at least
 #: (as a factor; for the share of fallback tokens: how high it is at least).
 BANDED = {"chars_per_piece": ("both", 2.0), "chars_per_byte_token": ("both", 2.0), "fallback_share": ("above", 0.3), "token_entropy": ("below", 2.0)}
-#: A fence is so many times the distance of the quartiles beyond them; scripts with fewer documents than this take the wide
-#: bands below, set by hand.
-FENCE, FIT_DOCS = 3.0, 100
+#: A fence is so many times the distance of the quartiles beyond them. Wide bands, set by hand, weigh as much as PRIOR documents
+#: of the script do, whatever the number of its documents: a script without any has these bands alone.
+FENCE, PRIOR = 3.0, 100
 WIDE = {
     "Latin": {"chars_per_piece": (1.4, 10.0), "chars_per_byte_token": (1.4, 10.0), "fallback_share": (-np.inf, 0.3), "token_entropy": (4.5, np.inf)},
     "any": {"chars_per_piece": (0.3, 10.0), "chars_per_byte_token": (0.2, 10.0), "fallback_share": (-np.inf, 0.9), "token_entropy": (4.0, np.inf)},
 }
-#: Measures are counted in steps of this, up to this many steps.
-STEP, MOST_STEPS = 0.01, 5000
+#: Measures are counted in so many steps for each doubling of 1 + the measure: the quartiles are right to 0.14 percent.
+STEPS = 512
 _LETTER = regex.compile(r"\p{L}")
 _OF_SCRIPT = {k: regex.compile(rf"[\p{{L}}&&\p{{{k}}}]", regex.V1) for k in SCRIPTS}
 _ASCII, _ASCII_LETTERS = bytes(range(128)), bytes(b for b in range(128) if chr(b).isalpha())
@@ -191,30 +191,30 @@ def quartiles(steps: np.ndarray, counts: np.ndarray) -> tuple[float, float, floa
     """Lower quartile, median and upper quartile of values counted in steps."""
     order = np.argsort(steps)
     places = np.searchsorted(np.cumsum(counts[order]), np.array([0.25, 0.5, 0.75]) * counts.sum())
-    return tuple((steps[order][places] * STEP).tolist())
+    return tuple((np.exp2(steps[order][places] / STEPS) - 1).tolist())
 
 
 def fit_bands(found: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
     """script -> measure -> (least, most), from all rows of measured() that pass the base rules.
 
-    Values are counted in steps of STEP, so what reaches the driver is bounded by the steps, the same on every run. The
-    fences lie FENCE quartile distances beyond the quartiles, and where the values hardly differ as far from the median as
-    BANDED says. Scripts with fewer than FIT_DOCS rows have the bands of WIDE.
+    Values are counted in steps of their logarithm, so what reaches the driver is bounded by the steps, the same on every run.
+    The fences lie FENCE quartile distances beyond the quartiles, and where the values hardly differ as far from the median
+    as BANDED says. Each is then drawn toward that of WIDE: the mean of both, weighted by the script's rows and PRIOR.
     """
     value = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in BANDED])).alias("v")
-    step = F.least(F.floor(F.col("v.x") / STEP), F.lit(MOST_STEPS)).alias("step")
+    step = F.floor(F.log2(F.col("v.x") + 1) * STEPS).cast("int").alias("step")
     rows = found.where(~F.col("base_failed")).select("script", value).groupBy("script", F.col("v.measure").alias("measure"), step).count().collect()
     out = {script: dict(WIDE.get(script, WIDE["any"])) for script in [*SCRIPTS, OTHER]}
     for script, measure in sorted({(r.script, r.measure) for r in rows}):
         own = [(r["step"], r["count"]) for r in rows if (r.script, r.measure) == (script, measure)]
         steps, counts = np.array(own, dtype=np.int64).T
-        if counts.sum() < FIT_DOCS:
-            continue
         low, middle, high = quartiles(steps, counts)
         side, far = BANDED[measure]
         least, most = low - FENCE * (high - low), high + FENCE * (high - low)
         least, most = (least, max(most, far)) if measure == "fallback_share" else (min(least, middle / far), max(most, middle * far))
-        out[script][measure] = (least if side != "above" else -np.inf, most if side != "below" else np.inf)
+        n, (wide_least, wide_most) = counts.sum(), out[script][measure]
+        drawn = lambda fitted, wide, n=n: (n * fitted + PRIOR * wide) / (n + PRIOR)
+        out[script][measure] = (drawn(least, wide_least) if side != "above" else -np.inf, drawn(most, wide_most) if side != "below" else np.inf)
     return out
 
 

@@ -6,14 +6,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, sampled, small_batches
+from .common import documents, draw, small_batches
 
-#: Labelled documents that the model learns from, about: all, or that share of them by a hash. Every word of theirs is known
-#: to the model, so this alone bounds what is broadcast.
-TRAIN_DOCS = 20_000
+#: Labelled documents that the model learns from, about, in equal shares for each language: all of a language that has no
+#: more than its share, else that many by a hash, so that a rare language is learned beside frequent ones. Of their words the
+#: most frequent of each language are known to the model, so many at most; both bound what is broadcast.
+TRAIN_DOCS, MAX_WORDS = 20_000, 200_000
 #: Longest n-gram, and the weight that smooths counts.
 LONGEST, SMOOTHING = 5, 0.5
 #: Scored words that a worker remembers.
@@ -147,17 +148,25 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
-    """Word counts of each language over the labelled rows of docs, at most about max_docs of them (by a hash of id and text).
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS) -> Model:
+    """Word counts of each language over the labelled rows of docs, at most about max_docs of them (by a hash of id and text),
+    in equal shares for each language, and of its max_words most frequent words (ties by the word).
 
     Rows with a null text or language teach nothing; without any labelled row the model knows no language. Repeated rows
     teach as often as they occur.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna(subset=["text", "lang"])
-    labelled = sampled(labelled, labelled.count(), max_docs, "train", "id", "text")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    if not sizes:
+        return Model({})
+    share = max(max_docs // len(sizes), 1)
+    rates = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, share / n))])
+    drawn = labelled.where(draw("train", "id", "text") < F.element_at(rates, F.col("lang")))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
-    counts: dict[str, dict[str, int]] = {r.lang: {} for r in labelled.select("lang").distinct().collect()}
-    for r in labelled.select("lang", word).groupBy("lang", "word").count().toLocalIterator():
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    words = drawn.select("lang", word).groupBy("lang", "word").count().withColumn("place", place).where(F.col("place") <= max_words)
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
+    for r in words.select("lang", "word", "count").toLocalIterator():
         counts[r["lang"]][r["word"]] = r["count"]
     return Model(counts)
 

@@ -7,7 +7,7 @@ for the errors), decoded. The code is perfect, so most flips decode to the same
 2081 words. Fingerprints within four bits share a key for certain; within a key they are verified.
 
 For near copies by similarity (near_copies) fingerprints are wider, as documents of similarity 0.8 differ in an eighth of
-their bits: 16 pairs of segments, a key for every word within one bit of a pair. Links are verified on the shingles.
+their bits: 20 pairs of segments, a key for every word within one bit of a pair. Links are verified on the shingles.
 """
 
 from __future__ import annotations

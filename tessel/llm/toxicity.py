@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain: each category's linear model sees the probabilities of the categories before it.
 
 The models learn from a bounded sample of labelled documents. The probabilities that a later model is trained on are out of
-fold: each sampled document's come from a model that did not see it. Fits run as Spark tasks, one for each fold; scoring
-runs over whole texts of all documents.
+fold: each sampled document's come from a model that did not see it, whose words were chosen without its labels too. Fits run
+as Spark tasks, one for each fold; scoring runs over whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -77,17 +77,17 @@ class Chain:
 
 
 def _fit_folds(spark, data, earlier: np.ndarray, y: np.ndarray, n_features: int) -> list[Linear]:
-    """Models without each fold in turn, then one on all; each is fitted by a task of its own."""
+    """Models without each fold in turn, then one on all; each is fitted by a task of its own, on the words chosen for it."""
     shared = spark.sparkContext.broadcast((earlier, y))
 
     def run(batches):
-        rows, cols, fold = data.value
+        rows, cols, fold, chosen = data.value
         earlier, y = shared.value
         for b in batches:
             for k in b["id"]:
                 keep = fold != k
                 at = np.cumsum(keep) - 1
-                seen = keep[rows]
+                seen = keep[rows] & chosen[k][cols]
                 m = Linear.fit(at[rows[seen]], cols[seen], n_features, earlier[keep], y[keep])
                 yield pd.DataFrame({"fold": [k], "w": [np.concatenate((m.weights, m.extra, [m.bias])).tolist()]})
 
@@ -95,16 +95,30 @@ def _fit_folds(spark, data, earlier: np.ndarray, y: np.ndarray, n_features: int)
     return [Linear(np.array(r.w[:n_features]), np.array(r.w[n_features:-1]), r.w[-1]) for r in sorted(found, key=lambda r: r.fold)]
 
 
+def fold_of(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(FOLDS)).cast("int")
+
+
+def _goes_with_a_category(folds: dict, ys: list[str], used: list[int]) -> Column:
+    """Whether a word of `counts` occurs often enough in the folds used and goes with a category there (chi-square)."""
+    own = [folds[k] for k in used if k in folds]
+    n, here = sum(f["n"] for f in own), sum((F.col(f"n{k}") for k in used), F.lit(0))
+    means = {y: sum(f[y] for f in own) / n for y in ys} if n else {}
+    chi2 = [F.pow(sum((F.col(f"{y}_{k}") for k in used), F.lit(0.0)) - here * p, 2) / (here * p * (1 - p)) * n / (n - here + 1) for y, p in means.items() if 0 < p < 1]
+    return F.coalesce((here >= MIN_DOCS) & (F.greatest(*chi2, F.lit(0.0), F.lit(0.0)) >= MIN_CHI2), F.lit(False))
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Chain:
     """categories: name -> SQL expression over labels. Labels or texts that are null teach nothing.
 
     At most about max_docs labelled documents are used, chosen by a hash of their id, so that the sample and what is
-    broadcast stay bounded at any size. Without labelled documents the chain gives 0 for everything.
+    broadcast stay bounded at any size. An id with several labels has a category if one of them says so; of documents that share
+    an id the smallest text is learned from; rows without an id teach nothing. Other columns are not read. Without labelled documents the chain gives 0 for everything.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).cast("long").alias("id"), *[F.expr(e).cast("double").alias(f"y{k}") for k, e in enumerate(categories.values())]).dropna()
     n = marks.count()
-    marks = sampled(marks, n, max_docs, "sample", "id").dropDuplicates(["id"])
+    marks = sampled(marks, n, max_docs, "sample", "id").groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).dropna()
     small_batches(spark)
 
@@ -113,13 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([sorted(words_of(t)) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names[1:], "words"])
 
     ys = [f"y{k}" for k in range(len(categories))]
-    # the sample of marks is bounded by max_docs
-    sample = texts.join(F.broadcast(marks), "id").select("text", "id", *ys).mapInArrow(bags, "id long, " + ", ".join(f"{y} double" for y in ys) + ", words array<string>").cache()
-    n, *means = sample.agg(F.count("*"), *[F.avg(y) for y in ys]).first()
-    chi2 = [F.pow(F.sum(y) - F.count("*") * p, 2) / (F.count("*") * p * (1 - p)) * n / (n - F.count("*") + 1) for y, p in zip(ys, means) if p and p < 1] or [F.lit(0.0)]
-    counts = sample.select(F.explode("words").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("n"), F.greatest(*chi2, F.lit(0.0)).alias("chi2"))
-    counts = counts.where((F.col("n") >= MIN_DOCS) & (F.col("chi2") >= MIN_CHI2))
-    vocabulary = {w: k for k, w in enumerate(sorted(r.w for r in counts.select("w").collect()))}
+    # the sample of marks is bounded by max_docs, and so is that of texts: one for each id
+    drawn = texts.join(F.broadcast(marks), "id").groupBy("id", *ys).agg(F.min("text").alias("text"))
+    sample = drawn.select("text", "id", fold_of("id").alias("fold"), *ys).mapInArrow(bags, "id long, fold int, " + ", ".join(f"{y} double" for y in ys) + ", words array<string>").cache()
+    folds = {r["fold"]: r for r in sample.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).collect()}
+    each = [F.count_if(F.col("fold") == k).alias(f"n{k}") for k in range(FOLDS)] + [F.sum(F.when(F.col("fold") == k, F.col(y)).otherwise(0.0)).alias(f"{y}_{k}") for y in ys for k in range(FOLDS)]
+    counts = sample.select(F.explode("words").alias("w"), "fold", *ys).groupBy("w").agg(*each)
+    takes = [_goes_with_a_category(folds, ys, [k for k in range(FOLDS) if k != out]) for out in range(FOLDS + 1)]
+    found = counts.select("w", *[t.alias(f"t{k}") for k, t in enumerate(takes)]).where(" or ".join(f"t{k}" for k in range(FOLDS + 1))).collect()
+    found.sort(key=lambda r: r["w"])
+    vocabulary = {r["w"]: k for k, r in enumerate(found)}
+    chosen = np.array([r[1:] for r in found], dtype=bool).reshape(-1, FOLDS + 1).T
     known = spark.sparkContext.broadcast(vocabulary)
 
     def numbers(batches):
@@ -128,14 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
             own = [sorted(v[w] for w in x if w in v) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "own"])
 
-    found = sample.mapInArrow(numbers, "id long, " + ", ".join(f"{y} double" for y in ys) + ", own array<int>").toPandas().sort_values("id", ignore_index=True)
+    found = sample.mapInArrow(numbers, "id long, fold int, " + ", ".join(f"{y} double" for y in ys) + ", own array<int>").toPandas().sort_values("id", ignore_index=True)
     sample.unpersist()
     names = list(categories)
     if not len(found):
         return Chain({}, names, [Linear(np.zeros(0), np.zeros(k), -30.0) for k in range(len(names))])
     rows, cols = np.repeat(np.arange(len(found)), found["own"].map(len)), np.concatenate(found["own"].to_list()).astype(np.int64)
-    fold = np.arange(len(found)) % FOLDS
-    data = spark.sparkContext.broadcast((rows, cols, fold))
+    fold = found["fold"].to_numpy()
+    data = spark.sparkContext.broadcast((rows, cols, fold, chosen))
     earlier, models = np.zeros((len(found), 0)), []
     for y in ys:
         *out_of_fold, whole = _fit_folds(spark, data, earlier, found[y].to_numpy(), len(vocabulary))
