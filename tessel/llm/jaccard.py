@@ -5,8 +5,9 @@ and four errors can tell from chance. So the fingerprint here is WORDS words wid
 A document emits, for each pair, the codeword indices of every word within one bit of it (about ten keys); two documents
 of similarity 0.8 share a key with a probability of about 0.99, of 0.84 with 0.998, more similar ones nearly always (README).
 Members of a key that differ in more than SKETCH_BITS of the first 95 bits meet there by chance and are not looked at again.
-What is left forms groups; in a group not all pairs are compared: first all members with one of them, and only where that
-leaves several components, the members of different ones as far as all bits of the fingerprints leave it possible.
+What is left forms groups; in a group not all pairs are compared: first each member with the first of all its groups; where that leaves several
+components, each member with its nearest one of another component, twice; what is then still apart is compared as far as all bits of
+the fingerprints leave it possible.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ SKETCH_BITS = 29
 BLOCK = 256
 #: Bits in which the whole fingerprints of similar documents may differ: at similarity 0.8 about 142, give or take 11.
 PRINT_BITS = 188
+#: Rounds in which each member is compared with the nearest one of another component only. The last round after them takes all
+#: that are left apart, so nothing but the number of comparisons depends on it.
+NEAREST = 2
 _R = np.random.default_rng(SEED)
 _MULTIPLY, _ADD = _R.integers(0, 2**63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1), _R.integers(0, 2**63, WORDS, dtype=np.uint64)
 
@@ -167,9 +171,9 @@ def candidates(nodes: DataFrame, folder: str, block: int = KEY_BLOCK, sample: in
     return saved(dealt.mapInArrow(_close_groups(SKETCH_BITS), "key long, node long").distinct(), folder, "groups")
 
 
-def _near_pairs(most: int):
-    """Rows (key, node, label, made) sorted by key -> (a, b): members of a key with different labels whose fingerprints differ in
-    at most so many bits. A pair comes once from a task's batch."""
+def _near_pairs(most: int, nearest: bool):
+    """Rows (key, node, label, made) sorted by key -> (a, b, bits): members of a key with different labels whose fingerprints differ in
+    at most so many bits; a is paired with the nearest of them only, or with all of larger number."""
 
     def pairs(keys, nodes, labels, prints):
         out = []
@@ -181,10 +185,14 @@ def _near_pairs(most: int):
                 for w in words:
                     far += np.bitwise_count(w[k : k + 64, None] ^ w[None, :])
                 far[own[k : k + 64, None] == own[None, :]] = most + 1
-                x, y = np.nonzero(far <= most)
-                out.append(np.stack((nodes[s + k + x], nodes[s + y])))
-        found = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                if nearest:
+                    x, y = np.arange(len(far)), far.argmin(axis=1)
+                    x, y = x[far[x, y] <= most], y[far[x, y] <= most]
+                else:
+                    x, y = np.nonzero((far <= most) & (nodes[s + k : s + k + len(far), None] < nodes[None, s:e]))
+                out.append(np.stack((nodes[s + k + x], nodes[s + y], far[x, y].astype(np.int64))))
+        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], names=["a", "b", "bits"])
 
     def run(batches):
         held = None
@@ -210,19 +218,32 @@ def links(keyed: DataFrame, nodes: DataFrame, sets_of, folder: str, similarity:
     buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")), folder, "buckets")
     members = saved(keyed.join(buckets.select("key", "center"), "key"), folder, "members")
     sets = saved(sets_of(members.select("node").distinct()), folder, "sets")
-    members = members.where("node <> center")
-    pairs = saved(members.select(*_pair("node", "center")).distinct(), folder, "pairs0")
-    edges = saved(_verified(pairs, sets, similarity, f"{folder}/verify0"), folder, "links0")
-    labels = components(edges, f"{folder}/components1")
-    own = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = saved(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), folder, "apart")
-    if apart.isEmpty():
-        return labels
-    rows = own.join(apart, "key").join(nodes.select("node", "made"), "node").select("key", "node", "label", "made")
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_pairs(PRINT_BITS), "a long, b long")
-    pairs = saved(found.distinct(), folder, "pairs1")
-    edges = saved(edges.unionByName(_verified(pairs, sets, similarity, f"{folder}/verify1")).distinct(), folder, "links1")
-    return components(edges, f"{folder}/components2")
+    first = members.groupBy("node").agg(F.min("center").alias("center")).where("node <> center")
+    pairs = saved(first.select(*_pair("node", "center")).distinct(), folder, "pairs0")
+    labels = components(saved(_verified(pairs, sets, similarity, f"{folder}/verify0"), folder, "links0"), f"{folder}/components0")
+    for turn in range(1, NEAREST + 2):
+        nearest = turn <= NEAREST
+        own = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        apart = saved(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), folder, f"apart{turn}")
+        if apart.isEmpty():
+            return labels
+        rows = own.join(apart, "key").join(nodes.select("node", "made"), "node").select("key", "node", "label", "made")
+        found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_pairs(PRINT_BITS, nearest), "a long, b long, bits long")
+        if nearest:  # the nearest over all groups of a node
+            found = found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", "m.b")
+        pairs = saved(found.select(*_pair("a", "b")).distinct(), folder, f"pairs{turn}")
+        new = saved(_verified(pairs, sets, similarity, f"{folder}/verify{turn}"), folder, f"links{turn}")
+        labels = saved(_joined(labels, new, f"{folder}/components{turn}"), folder, f"labels{turn}")
+    return labels
+
+
+def _joined(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """(node, label) after more links (a, b): only the components that they join are looked at."""
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}"))
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y"))
+    new = components(saved(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), folder, "joined"), folder).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
+    return known.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -3,10 +3,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessel.llm import jaccard
+from tessel.llm import jaccard, simhash
 from tests.llm.test_ops import DOCS, corpus, docs, fill_up  # noqa: F401
 
 
@@ -136,6 +137,42 @@ def test_near_copies_by_similarity(spark, monkeypatch, small):
     assert kept == {k for k, c in found.items() if k == c}
 
 
+def test_recall_of_the_keys():
+    """With the pairs of segments in use, pairs of documents share a key and pass both bounds on bits: nearly all at 0.8 and above."""
+    r, code = random.Random(21), simhash.Golay()
+    met, found = {0.79: 0, 0.84: 0}, {0.79: 0, 0.84: 0}
+    for k in range(700):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randrange(150, 500))]
+        sets = [jaccard.shingles(" ".join(x).encode()) for x in (base, edited(r, base, r.choice((0.01, 0.015, 0.02))))]
+        share = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+        if share < 0.8:
+            continue
+        prints = np.stack([jaccard.wide_fingerprint(x) for x in sets])
+        rows, keys = jaccard.pair_keys(code, prints)
+        far = np.bitwise_count(prints[0] ^ prints[1])
+        first = int(far[0]) + int(np.bitwise_count((prints[0, 1] ^ prints[1, 1]) >> np.uint64(33)))
+        kind = 0.84 if share >= 0.84 else 0.79
+        met[kind] += 1
+        found[kind] += bool(set(keys[rows == 0]) & set(keys[rows == 1])) and first <= jaccard.SKETCH_BITS and far.sum() <= jaccard.PRINT_BITS
+    assert min(met.values()) > 50 and found[0.79] >= 0.97 * met[0.79] and found[0.84] >= 0.995 * met[0.84]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_rounds_of_nearest_members_change_nothing(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "NEAREST", rounds)
+    r = random.Random(6)
+    base = [f"v{r.randrange(3000)}" for _ in range(300)]
+    texts = {k: " ".join(edited(r, base, r.choice((0.005, 0.015, 0.025)))) for k in range(80)}
+    found = {x.doc_id: x.component_id for x in jaccard.near_copies(spark.createDataFrame([(k, t, "en", "s", None) for k, t in texts.items()], DOCS)).collect()}
+    want = jaccard_classes(texts)
+    assert 2 < len(set(want.values())) and sum(found[k] == want[k] for k in want) >= 78
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], DOCS + ", __lost int, part int, node long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_junk_of_any_length_has_no_language(spark):
     r = random.Random(8)
     words = {k: ["".join(r.choice(a) for _ in range(r.randrange(2, 8))) for _ in range(300)] for k, a in (("en", "etaoinshrd"), ("de", "enisratdhuü"))}
