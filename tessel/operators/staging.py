@@ -225,39 +225,3 @@ def plan_write_back(changes: DataFrame, source_columns: Sequence[str], key_colum
 def applied(changes: DataFrame, audit: DataFrame) -> DataFrame:
     """The cells (rowid, col) that a write-back did write, by its audit (key, status): what matched nothing stays dirty."""
     return changes.join(audit.where("status = 'applied'").select("key"), "key", "left_semi").select("rowid", "col")
-
-
-def write_back(connection, table: str, plan: DataFrame, key_columns: Sequence[str], mode: str = "bulk", skip: Sequence[str] = ()) -> list[dict]:
-    """Runs a plan of (rowid, key, col, new) over a DB-API connection; returns audit rows.
-
-    The transaction is the database's, so the driver runs it, row by row of a plan that is streamed in. bulk: all or
-    nothing; row: each row on its own. A row that matches nothing is `nomatch` and counts as not applied.
-    """
-    import json
-
-    audit, cursor = [], connection.cursor()
-    rows = plan.where(~F.col("key").isin(*skip)).groupBy("rowid", "key").agg(F.map_from_entries(F.collect_list(F.struct("col", "new"))).alias("cells")).orderBy("rowid")
-    try:
-        for r in rows.toLocalIterator():
-            key = json.loads(r["key"])
-            columns = sorted(r["cells"])
-            sql = f'UPDATE "{table}" SET ' + ", ".join(f'"{c}" = ?' for c in columns) + " WHERE " + " AND ".join(f'"{k}" = ?' for k in key_columns)
-            status = "applied"
-            try:
-                cursor.execute(sql, [r["cells"][c] for c in columns] + [key[k] for k in key_columns])
-                if cursor.rowcount == 0:
-                    status = "nomatch"
-            except Exception as e:
-                if mode == "bulk":
-                    raise
-                connection.rollback()
-                audit.append({"key": r["key"], "statement": sql, "status": "error", "error": str(e)})
-                continue
-            if mode == "row":
-                connection.commit()
-            audit.append({"key": r["key"], "statement": sql, "status": status, "error": ""})
-        connection.commit()
-    except Exception:
-        connection.rollback()
-        raise
-    return audit

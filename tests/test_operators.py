@@ -272,24 +272,6 @@ def test_first_original_stays_and_last_edit_wins(spark, people):
         staging.edit(people, spark.createDataFrame([(3, "nope", "a", 1)], edits.schema))
 
 
-@pytest.mark.parametrize("mode", ["bulk", "row"])
-def test_write_back(spark, people, mode):
-    con = sqlite3.connect(":memory:")
-    con.execute("create table people (id integer primary key, name text check (name <> 'bad'), note text)")
-    con.executemany("insert into people values (?,?,?)", [(k, f"n{k}", None) for k in range(20) if k != 7])
-    con.commit()
-    edits = spark.createDataFrame([(2, "name", "O'x", 1), (7, "name", "gone", 1), (9, "name", "skip", 1), (11, "name", "bad", 1)], "rowid long, col string, value string, seq int")
-    plan = staging.dirty_changes(*staging.edit(people, edits))
-    if mode == "bulk":
-        with pytest.raises(sqlite3.IntegrityError):
-            staging.write_back(con, "people", plan, ["id"])
-        assert con.execute("select name from people where id=2").fetchone() == ("n2",)  # nothing was written
-        return
-    audit = staging.write_back(con, "people", plan, ["id"], "row", skip=['{"id":9}'])
-    assert [a["status"] for a in audit] == ["applied", "nomatch", "error"]
-    assert con.execute("select name from people where id in (2, 9)").fetchall() == [("O'x",), ("n9",)]
-
-
 def test_sampled_conflicts_report_no_new_rows(spark):
     a, b = (spark.createDataFrame(x, "key string, hash string") for x in ([("1", "h"), ("2", "h")], [("2", "i"), ("3", "h")]))
     assert {(r.key, r.status) for r in staging.conflicts(a, b, sampled=True).collect()} == {("1", "deleted"), ("2", "changed")}
