@@ -1,4 +1,5 @@
-"""A persisted inverted index: postings by term, so that a keyword search reads only what its terms need."""
+"""A persisted inverted index: postings by term, so that a keyword search reads only what its terms need, and blocks of postings
+by impact, so that it reads of frequent terms only what can still come among the best."""
 
 from __future__ import annotations
 
@@ -6,14 +7,18 @@ import re
 import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.text import bound, terms
 from tessel.operators.retrieval import B, K1, TOP_K, ranked
+from tessel.tables import saved, shared_dir
 
-#: Folders that terms are dealt out to.
+#: Folders that terms (and keys) are dealt out to.
 BUCKETS = 64
+#: Bands that impacts are cut into; postings of a block, about; postings that a term's first round reads, and how many times
+#: more each further round may read.
+BANDS, BLOCK, FIRST, MORE = 32, 512, 256, 8
 
 
 def bucket(term, buckets: int = BUCKETS):
@@ -63,3 +68,76 @@ def search(postings: DataFrame, totals: DataFrame, queries: Sequence[str] | Data
     weights = own.join(idf, "term").select("term", key, (F.col("idf") * tf).alias("weight"))
     scored = weights.join(asked.select("query", "term"), "term").groupBy("query", key).agg(F.sum("weight").alias("score")).where(F.col("score") > 0)
     return ranked(scored, ["query"], top_k, key)
+
+
+def build_blocks(postings: DataFrame, totals: DataFrame, key: str = "id") -> dict[str, DataFrame]:
+    """The tables of an index by impact. A posting's impact is what BM25 makes of its frequency and length, without the weight of its
+    term. `bands`: (bucket, term, band, n, most), the postings of each term in each band of impacts and the highest of them;
+    `blocks`: (bucket, term, band, piece, keys); `docs`: (slot, key, impacts), each row's impacts by term; `totals` as given.
+
+    Bands are fixed ranges and pieces a hash of the key, so neither sorts the postings of a frequent term in one task. Lengths
+    are weighed by the mean of `totals`: build the index anew when that has moved."""
+    mean = totals.select(F.when(F.col("words") > 0, F.col("words") / F.col("n")).otherwise(1.0).alias("avgdl"))  # one row
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    rows = postings.join(F.broadcast(mean)).select("bucket", "term", key, impact.alias("impact"))
+    rows = rows.withColumn("band", F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), F.floor((1 - F.col("impact") / (K1 + 1)) * BANDS))).cast("int"))
+    bands = rows.groupBy("bucket", "term", "band").agg(F.count("*").alias("n"), F.max("impact").alias("most"))
+    piece = F.pmod(F.xxhash64(key), F.ceil(F.col("n") / BLOCK)).cast("int").alias("piece")
+    blocks = rows.join(bands, ["bucket", "term", "band"]).groupBy("bucket", "term", "band", piece).agg(F.collect_list(key).alias("keys"))
+    docs = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "impact"))).alias("impacts"))
+    return {"bands": bands, "blocks": blocks, "docs": docs.withColumn("slot", slot(key)), "totals": totals}
+
+
+def slot(key: str, buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_blocks(index: dict[str, DataFrame], path: str) -> None:
+    for name, folder, by in (("bands", "bucket", ["term"]), ("blocks", "bucket", ["term", "band", "piece"]), ("docs", "slot", [c for c in index["docs"].columns if c not in ("slot", "impacts")])):
+        index[name].repartition(folder, F.pmod(F.xxhash64(*by), F.lit(8))).write.mode("overwrite").partitionBy(folder).parquet(f"{path}/{name}")
+    index["totals"].write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def read_blocks(spark, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("bands", "blocks", "docs", "totals")}
+
+
+def search_blocks(index: dict[str, DataFrame], queries: Sequence[str] | DataFrame, top_k: int = TOP_K, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """((query, key, score, rank), (query, term, n)): what `search` gives, and how many postings each query read of each term.
+
+    Rounds raise a threshold: each reads, of each term of the queries that are still open, the blocks of highest impact until a
+    number of postings, scores the new rows in full by their own impacts, and closes the queries whose top_k-th score is above
+    what an unread row could reach: the sum of the terms' weights times the highest impact of their next band. A term that most rows
+    hold weighs little, so its later bands stay unread. Terms without postings read nothing; blank queries give nothing."""
+    spark, folder = index["blocks"].sparkSession, shared_dir(index["blocks"].sparkSession)
+    if not isinstance(queries, DataFrame):
+        queries = spark.createDataFrame(list(enumerate(q for q in queries if q and q.strip())), "query int, q string")
+    asked = queries.select("query", F.explode(F.array_distinct(terms("q"))).alias("term")).distinct().withColumn("bucket", bucket("term"))
+    bands = index["bands"].join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    n, df = F.col("totals_n"), F.col("df")
+    idf = bands.groupBy("bucket", "term").agg(F.sum("n").alias("df")).join(F.broadcast(index["totals"].select(F.col("n").alias("totals_n"))))
+    idf = idf.select("bucket", "term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    by_band = Window.partitionBy("query", "term").orderBy("band")
+    todo = asked.join(idf, ["bucket", "term"]).join(bands, ["bucket", "term"])
+    todo = saved(todo.withColumn("before", F.coalesce(F.sum("n").over(by_band.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), folder, "todo")
+    weights = todo.groupBy("query").agg(F.collect_set(F.struct("term", "idf")).alias("weights"))
+    still, scored, low, turn = todo.select("query").distinct(), None, 0, 0
+    while True:
+        high = FIRST * MORE**turn
+        now = todo.join(still, "query", "left_semi").where((F.col("before") >= low) & (F.col("before") < high)).select("query", "bucket", "term", "band")
+        met = now.join(index["blocks"], ["bucket", "term", "band"]).select("query", F.explode("keys").alias(key)).distinct()
+        new = met if scored is None else met.join(scored, ["query", key], "left_anti")
+        full = new.withColumn("slot", slot(key)).join(index["docs"], ["slot", key]).join(weights, "query")
+        score = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w["idf"] * F.coalesce(F.element_at("impacts", w["term"]), F.lit(0.0)))
+        fresh = saved(full.select("query", key, score.alias("score")), folder, f"scored{turn}")
+        scored = fresh if scored is None else scored.unionByName(fresh)
+        best = ranked(scored, ["query"], top_k, key).where(F.col("rank") == top_k - 1).select("query", F.col("score").alias("least"))
+        ahead = todo.join(still, "query", "left_semi").where(F.col("before") >= high).groupBy("query", "term", "idf").agg(F.max("most").alias("most"))
+        ahead = ahead.groupBy("query").agg(F.sum(F.col("idf") * F.col("most")).alias("reach"))
+        still = saved(ahead.join(best, "query", "left").where(F.col("least").isNull() | (F.col("reach") >= F.col("least") - 1e-8)).select("query"), folder, f"still{turn}")
+        saved(now.join(todo, ["query", "bucket", "term", "band"]).groupBy("query", "term").agg(F.sum("n").alias("n")), folder, f"read/turn={turn}")
+        if still.isEmpty():
+            break
+        low, turn = high, turn + 1
+    reads = spark.read.schema("query " + scored.schema["query"].dataType.simpleString() + ", term string, n long").parquet(f"{folder}/read").groupBy("query", "term").agg(F.sum("n").alias("n"))
+    return ranked(scored.where("score > 0"), ["query"], top_k, key), reads

@@ -259,3 +259,15 @@ def excerpt_blocks(spark, sf_dir):
 SELECT query, string_agg('[' || (rank + 1) || '] (' || item_id || ') ' || content, chr(10) || chr(10) ORDER BY rank) AS excerpts FROM b GROUP BY query""")
 def plain_excerpts(spark, sf_dir):
     return R.excerpts(found_for_chats(spark, sf_dir), ["query"])
+
+
+@query("WITH " + CHUNKS_SQL + "," + bm25_sql(ASK_TEXTS, _CORPUS, "id", 20, "") + " SELECT query, id, round(score, 6) AS score, rank FROM keyword")
+def bm25_blocks(spark, sf_dir):
+    """The same ranks from a written index by impact, of which only blocks are read that can still matter."""
+    from tessel.operators import postings
+    from tessel.tables import shared_dir
+
+    path = f"{shared_dir(spark)}/blocks"
+    postings.write_blocks(postings.build_blocks(*postings.build(chunks(spark, sf_dir))), path)
+    found, _ = postings.search_blocks(postings.read_blocks(spark, path), texts(spark, sf_dir), 20)
+    return found.select("query", "id", F.round("score", 6).alias("score"), "rank")
