@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,19 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     sizes = ordered.groupBy("__part").agg((F.max("__at") + 1).alias("__n"))
     starts = saved(sizes.select("__part", (F.expr("sum(__n) over (order by __part)") - F.col("__n")).alias("__start")), folder, "starts")
     return ordered.join(starts, "__part").withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start")
+
+
+def placed(df: DataFrame, order: list, folder: str, name: str) -> DataFrame:
+    """df sorted over partitions in the order of the columns `order` and written, with the partition (part) and the place in it (at)
+    of each row: what comes later in the order has the larger (part, at)."""
+    here = F.monotonically_increasing_id()
+    return saved(df.sort(*order).withColumns({"part": F.shiftright(here, 33), "at": here.bitwiseAND(F.lit((1 << 33) - 1))}), folder, name)
+
+
+def sums_before(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds to rows of placed() the sum of `value` over all rows before each, from a table of one row for each partition."""
+    sums = rows.groupBy("part").agg(F.sum(value).alias("__own"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("__own").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(starts, "part").withColumn(name, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__start")
