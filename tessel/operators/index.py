@@ -34,11 +34,22 @@ def cached_vectors(stored: DataFrame, model: str) -> DataFrame:
     return have.groupBy("embed_hash").agg(F.min_by("embedding", "id").alias("embedding"))
 
 
+#: Hashes that are broadcast to a store, when counted; of more both sides are shuffled.
+BROADCAST_HASHES = 200_000
+
+
 def with_vectors(chunks: DataFrame, stored: DataFrame, embed, model: str) -> DataFrame:
     """Chunks with embedding, model and reused: stored vectors by hash, the others from embed(DataFrame of embed_hash,
-    content) -> (embed_hash, embedding), asked once for each distinct hash. A vector that fails stays null."""
-    found = chunks.join(cached_vectors(stored, model), "embed_hash", "left")
-    missing = found.where(F.col("embedding").isNull()).groupBy("embed_hash").agg(F.min("content").alias("content"))
+    content) -> (embed_hash, embedding), asked once for each distinct hash. A vector that fails stays null.
+
+    Of the store only rows with a hash of these chunks are grouped, and they are written once, for what is reused and for what is
+    missing; where the hashes are few the store is not shuffled at all."""
+    folder = shared_dir(chunks.sparkSession)
+    wanted = saved(chunks.select("embed_hash").distinct(), folder, "wanted")
+    have = stored.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_HASHES else wanted, "embed_hash", "left_semi")
+    known = saved(cached_vectors(have, model), folder, "known")
+    found = chunks.join(known, "embed_hash", "left")
+    missing = chunks.join(known, "embed_hash", "left_anti").groupBy("embed_hash").agg(F.min("content").alias("content"))
     fresh = embed(missing).select("embed_hash", F.col("embedding").alias("__fresh"))
     out = found.withColumn("reused", F.col("embedding").isNotNull()).join(fresh, "embed_hash", "left")
     return out.withColumn("embedding", F.coalesce("embedding", "__fresh")).withColumn("model", F.lit(model)).drop("__fresh")
@@ -149,8 +160,8 @@ def status(stored: DataFrame) -> DataFrame:
 
 class ChunkStore:
     """A table in a folder, in buckets by scope. A version is a small file that lists the folder of each bucket; the highest
-    is current. Data files are never changed: a write adds the buckets that it touches and then creates the next version,
-    which fails if another writer was faster."""
+    is current. Data files are never changed: a write adds the buckets that it touches and then names the next version, which
+    fails if another writer was faster."""
 
     def __init__(self, spark, path: str, buckets: int = 64, scope: tuple[str, ...] = ("source_type", "source_id")) -> None:
         self.spark, self.path, self.buckets, self.scope = spark, path.rstrip("/"), buckets, scope
@@ -181,9 +192,19 @@ class ChunkStore:
         return self._rows(self._folders(self.version()))
 
     def _commit(self, version: int, folders: dict[int, str]) -> int:
-        out = self.fs.create(self._path(f"{self.path}/versions/v{version}"), False)
+        """The list is written aside and takes its name whole, in one rename that fails if the name is there: a reader sees it all or
+        not, and a writer that dies leaves the version before."""
+        aside, jvm = self._path(f"{self.path}/versions/.{version}-{uuid.uuid4().hex}"), self.spark._jvm
+        out = self.fs.create(aside, False)
         out.write(json.dumps({"buckets": folders}).encode())
         out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.makeQualified(self.at).toUri(), self.spark._jsc.hadoopConfiguration())
+        never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self.fs.makeQualified(aside), self.fs.makeQualified(self._path(f"{self.path}/versions/v{version}")), never)
+        except Exception:
+            self.fs.delete(aside, False)
+            raise
         return version
 
     def _written(self, df: DataFrame) -> dict[int, str]:

@@ -20,7 +20,7 @@ def _items(messages: DataFrame) -> DataFrame:
     return thread_items(messages).select(*source, F.concat(F.lit("m"), "idx").alias("item_id"), "content", F.lit("{}").alias("meta"))
 
 
-def sync_messages(stream: DataFrame, log: index.ChunkStore, store: index.ChunkStore, embed, model: str, checkpoint: str):
+def sync_messages(stream: DataFrame, log: index.ChunkStore, store: index.ChunkStore, embed, model: str, checkpoint: str, order: str = "seq"):
     """A query that keeps the index of every chat up with its messages (chat, idx, role, content, intermediate, and removed:
     true takes a message back).
 
@@ -28,16 +28,23 @@ def sync_messages(stream: DataFrame, log: index.ChunkStore, store: index.ChunkSt
     chats that it touches are worked out anew from all their messages: the last user turn is that of the chat, not of the
     batch, so a question is indexed as soon as an answer and another question follow. Only changed items are embedded;
     items that a chat no longer has are pruned. A batch that is replayed after a failure changes nothing.
+
+    Of several words on a message within a batch the one with the greatest `order` counts, a column of the source, and of equal
+    ones, or where the source has no such column, one that takes the message back, then the greatest by its columns: never the
+    order in which rows happen to be read, which a replay may change.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
         df = df.withColumn("removed", F.lit(False)) if "removed" not in df.columns else df
-        last = df.withColumn("__order", F.monotonically_increasing_id()).groupBy("chat", "idx").agg(*[F.max_by(c, "__order").alias(c) for c in (*_MESSAGE[2:], "removed")])
+        word = ["removed", *_MESSAGE[2:]]
+        rank = F.struct(*([order] if order in df.columns else []), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in word])
+        last = df.groupBy("chat", "idx").agg(F.max_by(F.struct(*word), rank).alias("__word")).select("chat", "idx", *[F.col(f"__word.{c}").alias(c) for c in (*_MESSAGE[2:], "removed")])
         chats = last.select("chat").distinct()
         known = log.read()
         old = last.where(F.lit(False)).select(*_MESSAGE) if known is None else known.join(chats, "chat", "left_semi").join(last, ["chat", "idx"], "left_anti").select(*_MESSAGE)
         log.replace(chats, old.unionByName(last.where(~F.coalesce("removed", F.lit(False))).select(*_MESSAGE)))
-        items = _items(log.read().join(chats, "chat", "left_semi"))
+        now = log.read()  # None where all that was ever said was taken back
+        items = _items((last.where(F.lit(False)) if now is None else now.join(chats, "chat", "left_semi")).select(*_MESSAGE))
         stored = store.read()
         if stored is None:
             stored = index.chunk_items(items.limit(0)).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("model", F.lit(model))
