@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions.vector import constant, dot, norm
 from tessel.operators.retrieval import Block, _keep_best, _renamed, as_queries, blocks, ranked, vector_search
-from tessel.tables import sampled
+from tessel.tables import sampled, saved, shared_dir
 
 #: Vectors that centroids are fitted on, about; rows below which a table is searched as it is.
 SAMPLE, LEAST = 20_000, 5_000
@@ -28,7 +28,7 @@ def fit(chunks: DataFrame, lists: int, embedding: str = "embedding", key: str =
     """Centroids of unit vectors, fitted on about `sample` rows by a hash of their key."""
     have = chunks.where(F.size(embedding) > 0)
     have = sampled(have, have.count(), sample, seed, key)
-    unit = have.select(_unit(embedding).alias("u")).where("u is not null")
+    unit = saved(have.select(_unit(embedding).alias("u")).where("u is not null"), shared_dir(chunks.sparkSession), "sample")  # read by every round of the fit
     model = KMeans(k=lists, seed=seed, featuresCol="v", maxIter=15).fit(unit.select(array_to_vector("u").alias("v")))
     return [list(map(float, c)) for c in model.clusterCenters()]
 
@@ -55,8 +55,8 @@ def probed(block: Block, centroids: np.ndarray, probes: int) -> np.ndarray:
 def search(assigned: DataFrame, centroids: Sequence[Sequence[float]], vectors: Sequence[Sequence[float]] | DataFrame, top_k: int, probes: int = 8, key: str = "id", embedding: str = "embedding", least: int = LEAST) -> DataFrame:
     """(query, key, score, rank): each query (of a list, or of a table (query, embedding)) looks only into its own lists. A
     query whose lists hold fewer than top_k rows is searched over all rows, and so is every query where the table has fewer
-    than `least` rows."""
-    spark = assigned.sparkSession
+    than `least` rows. Rows that `changed` has marked as dead take no part."""
+    spark, assigned = assigned.sparkSession, live(assigned)
     queries = as_queries(spark, vectors)
     sizes = np.zeros(len(centroids), dtype=np.int64)
     for r in assigned.groupBy("list").count().collect():  # a row for each list
@@ -84,3 +84,57 @@ def search(assigned: DataFrame, centroids: Sequence[Sequence[float]], vectors: S
 
 def _probe(block: Block, mask: np.ndarray, top_k: int, batches):
     return _keep_best(block, top_k, batches, lambda b: mask[b.column(2).to_numpy(zero_copy_only=False)])
+
+
+#: A list is rebuilt when it has more than so many times the mean of live rows, or more than this share of its rows are dead.
+GROWN, DEAD = 2.0, 0.3
+
+
+def changed(assigned: DataFrame, centroids: Sequence[Sequence[float]], upserts: DataFrame, deletes: DataFrame, key: str = "id", embedding: str = "embedding") -> DataFrame:
+    """Lists after a write, with no fit: rows that are replaced or deleted are marked (live = false), new ones join the list of the nearest centroid.
+
+    Of several upserts of one key the greatest row by its columns counts; a key that is both upserted and deleted is upserted. Rows that come without
+    a vector only mark what was there. The columns are those of `assigned` and live; search() passes over dead rows by `live(...)`."""
+    was = assigned if "live" in assigned.columns else assigned.withColumn("live", F.lit(True))
+    cols = [c for c in was.columns if c not in ("list", "live")]
+    last = upserts.groupBy(key).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in cols if c != key])).alias("__r")).select(*[F.col(f"`{c}`") if c == key else F.col(f"__r.`{c}`").alias(c) for c in cols])
+    gone = last.select(key).unionByName(deletes.select(key)).distinct().withColumn("__gone", F.lit(True))
+    marked = was.join(gone, key, "left").withColumn("live", F.col("live") & F.col("__gone").isNull()).select(*was.columns)
+    return marked.unionByName(assign(last, centroids, embedding).withColumn("live", F.lit(True)).select(*was.columns))
+
+
+def live(assigned: DataFrame) -> DataFrame:
+    return assigned.where("live") if "live" in assigned.columns else assigned
+
+
+def due(assigned: DataFrame, grown: float = GROWN, dead: float = DEAD) -> DataFrame:
+    """(list, rows, dead, split, sweep) of the lists that are to be rebuilt: split if they have grown, swept if much is dead."""
+    own = assigned.groupBy("list").agg(F.count_if("live").alias("rows"), F.count_if(~F.col("live")).alias("dead"))
+    mean = own.agg(F.avg("rows").alias("mean"))  # one row
+    both = own.join(F.broadcast(mean)).select("list", "rows", "dead", (F.col("rows") > grown * F.col("mean")).alias("split"), (F.col("dead") > dead * (F.col("rows") + F.col("dead"))).alias("sweep"))
+    return both.where("split or sweep")
+
+
+def rebuilt(assigned: DataFrame, centroids: Sequence[Sequence[float]], grown: float = GROWN, dead: float = DEAD, embedding: str = "embedding", key: str = "id", sample: int = SAMPLE) -> tuple[DataFrame, list[list[float]]]:
+    """(lists, centroids) with the lists that are due rebuilt: dead rows go, and a list that has grown is cut in two by centroids fitted on a
+    sample of its own rows alone. One half keeps the list's number, the other takes the next free one; all other lists, and their rows,
+    stay as they are, so files partitioned by `list` are rewritten only for these."""
+    assigned = saved(assigned, shared_dir(assigned.sparkSession), "lists")
+    rows = due(assigned, grown, dead).collect()  # a row for each list
+    swept, out = [r["list"] for r in rows], [list(c) for c in centroids]
+    if not rows:
+        return assigned, out
+    kept = assigned.where(F.col("live") | ~F.col("list").isin(swept))
+    for r in rows:
+        if r["split"]:
+            own = kept.where(F.col("list") == r["list"])
+            halves = fit(own, 2, embedding, key, sample)
+            if len(halves) < 2:  # equal vectors cannot be parted
+                continue
+            (a, b), unit, here, new = halves, _unit(embedding), r["list"], len(out)
+            far = lambda c: float(np.dot(c, c)) / 2 - dot(unit, constant(c))  # noqa: B023, E731
+            moved = F.when(F.col("live") & (F.col("list") == here) & (far(b) < far(a)), F.lit(new)).otherwise(F.col("list"))
+            kept = kept.withColumn("list", moved.cast("int"))
+            out[here] = a
+            out.append(b)
+    return kept, out

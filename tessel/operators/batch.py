@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.text import col, strip, strip_markdown
+from tessel.sources.files import folder
+from tessel.tables import saved, shared_dir
 
 #: What a file name cannot hold, names of devices, the longest stem.
 BAD_CHARS, MAX_STEM = r"[<>:\"/\\|?*\x00-\x1f]", 120
@@ -135,6 +137,20 @@ def write_files(files: DataFrame) -> DataFrame:
     return files.select("path", "data").mapInPandas(run, "path string, ok boolean, error string")
 
 
+def answered_folder(spark: SparkSession, path: str, ask, suffixes: tuple[str, ...] = (".txt", ".md")) -> DataFrame:
+    """(path, ok, error): every text of a folder is a prompt, answered by ask(DataFrame of path, prompt) -> (path, response), and its answer
+    is written under the prompt's name and suffix to the folder `responses` inside. Folders inside are not read, so answers never become prompts. A blank
+    prompt is not asked, and one without answer is not written: both are rows with an error."""
+    files = folder(spark, path, suffixes, recursive=False)
+    prompts = saved(files.select("path", strip(F.decode("content", "utf-8")).alias("prompt")), shared_dir(spark), "prompts")
+    answers = ask(prompts.where("prompt <> ''")).select("path", "response")
+    both = saved(prompts.join(answers, "path", "left"), shared_dir(spark), "answers")
+    to = F.regexp_replace("path", "([^/]+)$", "responses/$1")
+    done = write_files(both.where("response is not null").select(to.alias("path"), F.col("response").alias("data")))
+    why = F.when(F.col("prompt") == "", "empty prompt").otherwise("no answer")
+    return done.unionByName(both.where("response is null").select("path", F.lit(False).alias("ok"), why.alias("error")))
+
+
 def append_audit(entries: DataFrame, path: str) -> None:
     """Appends entries as JSON lines."""
     entries.write.mode("append").json(path)

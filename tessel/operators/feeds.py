@@ -35,8 +35,8 @@ def haystack(title: Column, categories: Column, author: Column, notes: Column) -
     return fold(F.concat_ws(" ", title, F.array_join(categories, " "), author, F.substring(html_to_text(notes), 1, MAX_NOTES)))
 
 
-def feed_filter(items: DataFrame, categories: str = "", keywords: str = "", match: str = "any", exclude: str = "") -> DataFrame:
-    """Items (categories: array, haystack) that pass: whole categories, substrings of the haystack, any or all within a
+def passes(categories: str = "", keywords: str = "", match: str = "any", exclude: str = "") -> Column:
+    """Whether an item (categories: array, haystack) passes: whole categories, substrings of the haystack, any or all within a
     field, and across fields; an excluded term vetoes. Without any term everything passes."""
     folded = F.transform("categories", fold)
     has_cat = lambda t: F.array_contains(folded, fold(F.lit(t)))
@@ -50,7 +50,41 @@ def feed_filter(items: DataFrame, categories: str = "", keywords: str = "", matc
             keep = keep & own
     for t in parse_terms(exclude):
         keep = keep & ~(has_cat(t) | has_word(t))
-    return items.where(keep)
+    return keep
+
+
+def feed_filter(items: DataFrame, categories: str = "", keywords: str = "", match: str = "any", exclude: str = "") -> DataFrame:
+    """Items that pass."""
+    return items.where(passes(categories, keywords, match, exclude))
+
+
+#: Terms that a report offers.
+OFFERED = 12
+
+
+def filter_summary(categories: str = "", keywords: str = "", match: str = "any", exclude: str = "") -> str:
+    """The filter as one clause."""
+    named = {"categories": parse_terms(categories), "keywords": parse_terms(keywords), "without": parse_terms(exclude)}
+    bits = [f"{name} {', '.join(terms)}" for name, terms in named.items() if terms]
+    return "; ".join(bits + ["all of them"] * (match == "all" and bool(bits))) or "no terms"
+
+
+def filter_report(items: DataFrame, categories: str = "", keywords: str = "", match: str = "any", exclude: str = "") -> DataFrame:
+    """(feed, total, matched, categorised, terms, reason) of each feed of items (feed, pos, categories, haystack): how many items there
+    are, pass, and have any category; the most frequent categories without regard to case, ties by first place, each in its first spelling;
+    and, where nothing passed, why. Counts are made before the window, which numbers the distinct categories of a feed."""
+    ok = F.coalesce(passes(categories, keywords, match, exclude), F.lit(False))
+    some = F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda c: F.trim(c) != "")
+    counts = items.groupBy("feed").agg(F.count("*").alias("total"), F.count_if(ok).alias("matched"), F.count_if(F.size(some) > 0).alias("categorised"))
+    own = items.select("feed", "pos", F.explode(some).alias("c")).groupBy("feed", fold("c").alias("key")).agg(F.count("*").alias("n"), F.min(F.struct("pos", "c")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("n"), "first"))
+    best = own.withColumn("k", place).where(F.col("k") <= OFFERED).groupBy("feed").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "first.c"))), lambda x: x["c"]).alias("terms"))
+    said = F.lit(f"None of the items pass ({filter_summary(categories, keywords, match, exclude)})")
+    reason = F.when(F.col("matched") > 0, F.lit(None).cast("string")).when(F.col("categorised") == 0, F.concat(said, F.lit("; they have no categories, so only keywords can tell them apart.")))
+    if parse_terms(categories):
+        reason = reason.when(F.size("terms") > 0, F.concat(said, F.lit("; a category counts as a whole, and there are: "), F.array_join("terms", ", "), F.lit(".")))
+    reason = reason.otherwise(F.concat(said, F.lit("; fewer terms, or any of them, would let more through.")))
+    return counts.join(best, "feed", "left").select("feed", "total", "matched", "categorised", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), reason.alias("reason"))
 
 
 def first_items(items: DataFrame, limit: int, by: Sequence[str] = ("feed",)) -> DataFrame:

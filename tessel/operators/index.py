@@ -158,6 +158,20 @@ def status(stored: DataFrame) -> DataFrame:
     return stored.groupBy("model", dims.alias("dims")).agg(F.count("*").alias("rows"), F.count(dims).alias("embedded"))
 
 
+def manifest_key(kind: Column, source: Column, backend: Column) -> Column:
+    """kind:id@backend; without a backend kind:id, which is how manifests of one store are named."""
+    return F.concat(kind, F.lit(":"), source, F.when(F.coalesce(backend, F.lit("")) != "", F.concat(F.lit("@"), backend)).otherwise(F.lit("")))
+
+
+def forget(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """Entries (key, ...) without those of the sources (kind, id), under whatever backend: the key is a source's own, or its own with one more
+    @ and a name behind it. An id may hold an @ itself."""
+    gone = sources.select(F.concat("kind", F.lit(":"), F.col("id").cast("string")).alias("__gone")).distinct()
+    named = entries.withColumn("__gone", F.regexp_replace("key", "@[^@]*$", ""))
+    kept = named.join(gone, "__gone", "left_anti").drop("__gone")
+    return kept.join(gone, F.col("key") == F.col("__gone"), "left_anti")
+
+
 class ChunkStore:
     """A table in a folder, in buckets by scope. A version is a small file that lists the folder of each bucket; the highest
     is current. Data files are never changed: a write adds the buckets that it touches and then names the next version, which

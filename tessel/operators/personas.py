@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.text import slug, strip, xml_escape, xml_legal
+from tessel.operators import index
 from tessel.operators.retrieval import attribute
 
 #: Version of a definition, kinds of pipeline steps and of retrieval.
@@ -147,6 +148,15 @@ def memory_items(memories: DataFrame) -> DataFrame:
     return memories.select(F.lit("persona_memory").alias("source_type"), F.col("persona").alias("source_id"), F.col("id").alias("item_id"), text.alias("content"), F.to_json(F.struct(F.col("title").alias("label"))).alias("meta")).where("content <> ''")
 
 
+def compile_persona(files: DataFrame, memories: DataFrame, stored: DataFrame, old: DataFrame, embed, model: str, size: int = 512, overlap: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(next store, next manifest) of personas from their extracted files and their memories in one compile.
+
+    Items are named k:name (knowledge) and m:id (memory), so a file and a memory of one name are two items and each is
+    found, changed and pruned on its own. Files that could not be read are no items: what was compiled of them before goes."""
+    keyed = lambda items, mark: items.withColumn("item_id", F.concat(F.lit(mark), "item_id"))
+    return index.compile_items(keyed(knowledge_items(files), "k:").unionByName(keyed(memory_items(memories), "m:")), stored, old, embed, model, size, overlap)
+
+
 def newest_first(memories: DataFrame) -> DataFrame:
     return memories.orderBy(F.desc("created"), "id")
 
