@@ -22,4 +22,4 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tessel.plans import conversations, evaluation, ingestion, lookups, maintenance, outputs, polling, profiles, rendering, retrieval, sequences, tables, writing  # noqa: E402, F401
+from tessel.plans import conversations, evaluation, ingestion, lookups, maintenance, models, outputs, polling, profiles, rendering, retrieval, sequences, tables, writing  # noqa: E402, F401
