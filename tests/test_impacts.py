@@ -57,3 +57,14 @@ def test_nothing(spark):
     assert found.count() == read.count() == 0
     one = spark.createDataFrame([(1, "a")], "id long, content string")
     assert postings.search_blocks(postings.build_blocks(*postings.build(one)), spark.createDataFrame([("x", "a"), ("y", None)], "query string, q string"), 3)[0].select("query", "id", F.col("rank")).collect() == [("x", 1, 0)]
+
+
+def test_postings_are_not_shuffled_for_blocks(spark):
+    """Blocks come from whole rows, which are shuffled once by key; rows of one key and two lengths add up."""
+    df = spark.createDataFrame([("a", "x y x"), ("a", "x"), ("a", "y x x"), ("b", "z y"), ("c", None)], "id string, content string")
+    assert sorted((r.id, r.dl, sorted(map(tuple, r.counts))) for r in postings.counted(df).collect()) == [("a", 1, [("x", 1)]), ("a", 3, [("x", 4), ("y", 2)]), ("b", 2, [("y", 1), ("z", 1)])]
+    index = postings.blocks_of(postings.counted(df), postings.totals_of(df))
+    plan = index["blocks"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    listed = lambda x: sorted((r["query"], r["rank"], r.id, round(r.score, 9)) for r in x.collect())
+    assert listed(postings.search_blocks(index, ["x y", "z"], 3)[0]) == listed(retrieval.bm25(df, ["x y", "z"], 3)) != []
