@@ -46,7 +46,8 @@ def transcript_links(spark, sf_dir):
     return L.ranked_links(links, "de-DE")
 
 
-@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 10 ELSE 4096 END WHEN c_mktsegment = 'MACHINERY' THEN 200000 ELSE 8192 END::bigint AS tokens FROM customer")
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ollama' ELSE coalesce(lower(c_mktsegment), 'ollama') END AS kind FROM customer)
+SELECT c_custkey, CASE WHEN kind = 'ollama' THEN CASE WHEN c_custkey % 2 = 0 AND c_custkey > 0 THEN c_custkey * 10 ELSE 4096 END WHEN kind = 'machinery' THEN 200000 ELSE 8192 END::bigint AS tokens FROM c""")
 def context_windows(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "ollama").otherwise(F.lower("c_mktsegment"))
