@@ -20,3 +20,11 @@ def test_windows_of_no_provider_and_of_nothing_asked(spark, tmp_path):
     rows = [(0, "BUILDING"), (1, "BUILDING"), (2, "BUILDING"), (-4, "BUILDING"), (4, None), (5, None), (6, "Ollama"), (7, "Machinery"), (8, ""), (9, "HOUSEHOLD")]
     got, want = both(spark, tmp_path, "context_windows", customer=(rows, "c_custkey long, c_mktsegment string"))
     assert got == want == sorted(((k, t) for k, t in ((0, 4096), (1, 4096), (2, 20), (-4, 4096), (4, 40), (5, 4096), (6, 60), (7, 200000), (8, 8192), (9, 8192))), key=lambda r: tuple(map(str, r)))
+
+
+def test_situated_chunks_of_odd_texts(spark, tmp_path):
+    """White space of any kind ends words and goes at the ends of a context."""
+    texts = ["12345678\n\tab", "a b\t\r\ncdefghijk", "one\x0btwo threefour", "12345678 \x0bx", "", " ", "\n", "\t odd ", "é́🤦🏼‍♂️ x 👍🏽 yz", "x y  z abc", "123456789 a", "12345678  a b", "12345678 \u0085a b", "a\n\nb", "Excerpt:\nmore", "a\x00b c", None, "w " * 400 + "x"]
+    rows = [(k, x) for k, t in enumerate(texts) for x in (t, t and t + "!")]
+    got, want = both(spark, tmp_path, "situated_chunks", documents=([(None, "text"), *rows], "doc_id long, text string"))
+    assert got == want and len(got) > 60
