@@ -48,9 +48,11 @@ class Names:
         return [own[c] for c in self.keys]
 
     def create(self) -> list[str]:
-        cells = ", ".join(f"k{k}" for k in range(len(self.keys)))
+        """Keys are staged in the types of the table's own, else no index over them serves a comparison with these."""
+        cells = ", ".join(f"{quoted(c)} AS k{k}" for k, c in enumerate(self.keys))
+        texts = ", ".join(f"CAST('' AS TEXT) AS {c}" for c in ("rowkey", "col", "new", "tag"))
         return [
-            f"CREATE TABLE {self.stage} ({cells}, rowkey TEXT, col TEXT, new TEXT, tag TEXT, part INTEGER)",
+            f"CREATE TABLE {self.stage} AS SELECT {cells}, {texts}, CAST(0 AS INTEGER) AS part FROM {self.table} WHERE 1 = 0",
             f"CREATE TABLE {self.result} (rowkey TEXT, status TEXT, error TEXT, part INTEGER, tag TEXT)",
         ]
 

@@ -97,3 +97,12 @@ def test_what_matched_nothing_stays_dirty(spark, base):
     done = writeback.write_back(base, "people", changes, ["id", "place"])
     assert [tuple(r) for r in staging.applied(changes, done).collect()] == [(1, "name")]
     assert os.path.exists(base.args[0])
+
+
+def test_staged_keys_are_found_by_index(base):
+    """Each row of the table looks its cells up by its keys, it does not scan all staged cells of the column."""
+    own, con = writeback.Names("people", ["id", "place"], "r"), base()
+    for sql in [*own.create(), own.index()]:
+        con.execute(sql)
+    steps = [r[3] for r in con.execute("explain query plan " + own.update("name"), ("name", "name")) if "by_key_r" in r[3]]
+    assert len(steps) == 2 and all("k0=? AND k1=?" in s for s in steps)
