@@ -28,3 +28,26 @@ def test_situated_chunks_of_odd_texts(spark, tmp_path):
     rows = [(k, x) for k, t in enumerate(texts) for x in (t, t and t + "!")]
     got, want = both(spark, tmp_path, "situated_chunks", documents=([(None, "text"), *rows], "doc_id long, text string"))
     assert got == want and len(got) > 60
+
+
+def test_cosines_that_a_task_holds_are_bounded(monkeypatch):
+    """A batch of any size goes through in products of CELLS cosines; ties at the edges of slices go to the smaller key."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessel.operators import retrieval as R
+
+    r, sizes, cosines = np.random.default_rng(4), [], R._cosines
+    rows = np.repeat(r.integers(-2, 3, (60, 4)).astype(float), 5, axis=0)
+    keys = r.permutation(len(rows))
+    queries = r.integers(-2, 3, (7, 4)).astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows.tolist())], names=["key", "embedding"])
+    monkeypatch.setattr(R, "_cosines", lambda b, c: sizes.append(len(c) * len(b.ids)) or cosines(b, c))
+    found = {}
+    for cells in (70, 10**6):
+        monkeypatch.setattr(R, "CELLS", cells, raising=False)
+        sizes.clear()
+        found[cells] = [tuple(x.values()) for b in R._keep_best(R.Block(list(range(7)), queries.tolist()), 6, [batch, batch.slice(0, 0)]) for x in b.to_pylist()]
+        assert max(sizes) <= cells
+    want = cosines(R.Block(list(range(7)), queries.tolist()), batch.column(1)).round(9)
+    assert found[70] == found[10**6] == [(q, k, -s) for q in range(7) for s, k in sorted(zip(-want[:, q], keys.tolist()))[:6]]
