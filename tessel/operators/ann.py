@@ -58,13 +58,14 @@ def search(assigned: DataFrame, centroids: Sequence[Sequence[float]], vectors: S
     than `least` rows. Rows that `changed` has marked as dead take no part."""
     spark, assigned = assigned.sparkSession, live(assigned)
     queries = as_queries(spark, vectors)
+    # written once: rows are assigned once, and every block of queries reads them
+    have = assigned = saved(assigned.where(F.size(embedding) > 0).select(key, embedding, "list"), shared_dir(spark), "assigned")
     sizes = np.zeros(len(centroids), dtype=np.int64)
     for r in assigned.groupBy("list").count().collect():  # a row for each list
         sizes[r["list"]] = r["count"]
     if sizes.sum() < least:
         return vector_search(assigned, queries, top_k, key, embedding)
     c, found, short = np.array(centroids), [], []
-    have = assigned.where(F.size(embedding) > 0).select(key, embedding, "list")
     kinds = f"query {queries.schema['query'].dataType.simpleString()}, `{key}` {have.schema[key].dataType.simpleString()}, score double"
     for block in blocks(queries):
         mask = probed(block, c, probes)
@@ -73,7 +74,7 @@ def search(assigned: DataFrame, centroids: Sequence[Sequence[float]], vectors: S
         mask[:, few] = False
         shared = spark.sparkContext.broadcast((block, mask))
         wanted = np.flatnonzero(mask.any(axis=1)).tolist()
-        found.append(have.where(F.col("list").isin(wanted)).mapInArrow(lambda batches, s=shared: _renamed(_probe(*s.value, top_k, batches), key), kinds))
+        found.append(have.where(F.col("list").isin(wanted)).mapInArrow(lambda batches, s=shared: _renamed(_probe(*s.value, top_k, batches), ["query", key, "score"]), kinds))
     out = reduce(DataFrame.unionByName, found) if found else have.where(F.lit(False)).select(F.lit(0).alias("query"), key, F.lit(0.0).alias("score"))
     out = ranked(out, ["query"], top_k, key)
     if short:
@@ -83,7 +84,7 @@ def search(assigned: DataFrame, centroids: Sequence[Sequence[float]], vectors: S
 
 
 def _probe(block: Block, mask: np.ndarray, top_k: int, batches):
-    return _keep_best(block, top_k, batches, lambda b: mask[b.column(2).to_numpy(zero_copy_only=False)])
+    return _keep_best(block, top_k, batches, mask)
 
 
 #: A list is rebuilt when it has more than so many times the mean of live rows, or more than this share of its rows are dead.

@@ -1,6 +1,8 @@
 """Queries and their SQL over rows that the driver's small tables do not hold."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from tessel.plans import registry
 from tests import oracle
@@ -51,3 +53,57 @@ def test_cosines_that_a_task_holds_are_bounded(monkeypatch):
         assert max(sizes) <= cells
     want = cosines(R.Block(list(range(7)), queries.tolist()), batch.column(1)).round(9)
     assert found[70] == found[10**6] == [(q, k, -s) for q in range(7) for s, k in sorted(zip(-want[:, q], keys.tolist()))[:6]]
+
+
+def _plain_bm25(rows, asked, top_k):
+    """By corpus, as the SQL: rows of one key and length are one, of one key and several lengths add up."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    found = defaultdict(float)
+    for corpus in {c for c, _, _ in rows if c is not None}:
+        own = [(k, (t or "").lower().split()) for c, k, t in rows if c == corpus]
+        avgdl, tf = sum(len(t) for _, t in own) / len(own) or 1.0, Counter((w, k, len(t)) for k, t in own for w in t)
+        df = Counter(w for w, _, _ in tf)
+        for q, text in asked:
+            for (w, k, dl), n in tf.items():
+                if w in set((text or "").lower().split()):
+                    found[q, corpus, k] += log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / avgdl))
+    lists = defaultdict(list)
+    for (q, c, k), score in found.items():
+        lists[q, c].append((-round(score, 9), k is not None, k or "", score))
+    return sorted((q, c, k or None, rank, round(score, 7)) for (q, c), own in lists.items() for rank, (_, _, k, score) in enumerate(sorted(own)[:top_k]))
+
+
+@pytest.mark.parametrize("block,cells,held,common", [(1000, 10**6, 10**6, 0.002), (2, 64, 10**6, 0.0), (3, 40, 0, 2.0), (2, 10**6, 3, 0.1)])
+def test_keyword_search_in_blocks(spark, monkeypatch, block, cells, held, common):
+    """Any block of queries, slice of rows, vocabulary and share of common terms gives what plain Python gives: repeated and null
+    keys, null texts and corpora, ties, unknown and blank queries included."""
+    import random
+
+    from tessel.operators import retrieval as R
+
+    for name, value in (("BLOCK", block), ("CELLS", cells), ("HELD", held), ("COMMON", common)):
+        monkeypatch.setattr(R, name, value)
+    r = random.Random(7)
+    text = lambda n: " ".join(r.choice(["the", "The", *(f"w{k}" for k in range(25))]) for _ in range(n))
+    rows = [(r.choice("abc"), f"k{i:03}", text(r.randrange(0, 12))) for i in range(120)]
+    rows += [("a", "k001", "the w1 w1"), ("a", "k001", "w2 w3 the"), ("a", "k001", "w1"), ("b", "same", "w5 the"), ("b", "same", "w5 the"), ("c", None, "w6 w7"), ("c", "", None), (None, "k5", "the w1")]
+    asked = [*((k, text(5)) for k in range(6)), (7, "the"), (8, "nothing known"), (9, " "), (10, None)]
+    df, queries = spark.createDataFrame(rows, "corpus string, id string, content string").repartition(3), spark.createDataFrame(asked, "query int, q string")
+    got = R.bm25(df, queries, 4, corpus=["corpus"])
+    assert sorted((x["query"], x.corpus, x.id, x["rank"], round(x.score, 7)) for x in got.collect()) == _plain_bm25(rows, asked, 4)
+
+
+def test_frequent_terms_are_not_shuffled(spark):
+    """What is shuffled for a keyword search follows the tasks and the best rows, not the rows that hold a term."""
+    from tessel.operators import retrieval as R
+
+    shuffled = []
+    for n in (2000, 8000):
+        df = spark.range(0, n, 1, 2).select("id", F.concat(F.lit("the of w"), F.col("id") % 50).alias("content"))
+        found = R.bm25(df, ["the of", "the w1"], 5)
+        assert found.count() == 10
+        plan = found._jdf.queryExecution().toString().split("== Optimized Logical Plan ==")[1]
+        shuffled.append(plan.count("Join"))
+    assert shuffled == [0, 0]
