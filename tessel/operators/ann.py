@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions.text import bound
 from tessel.functions.vector import constant, dot, norm
-from tessel.operators.retrieval import Block, _keep_best, _renamed, as_queries, blocks, ranked, vector_search
+from tessel.operators.retrieval import Block, _keep_best, _renamed, _units, as_queries, blocks, ranked, vector_search
 from tessel.tables import sampled, saved, shared_dir
 
 #: Vectors that centroids are fitted on, about; rows below which a table is searched as it is.
@@ -20,8 +22,7 @@ SAMPLE, LEAST = 20_000, 5_000
 
 
 def _unit(embedding: str):
-    n = norm(embedding)
-    return F.when(n > 0, F.transform(embedding, lambda x: x.cast("double") / n))
+    return bound(norm(embedding), lambda n: F.when(n > 0, F.transform(embedding, lambda x: x.cast("double") / n)))
 
 
 def fit(chunks: DataFrame, lists: int, embedding: str = "embedding", key: str = "id", sample: int = SAMPLE, seed: int = 1) -> list[list[float]]:
@@ -35,9 +36,19 @@ def fit(chunks: DataFrame, lists: int, embedding: str = "embedding", key: str =
 
 def assign(chunks: DataFrame, centroids: Sequence[Sequence[float]], embedding: str = "embedding") -> DataFrame:
     """Adds the list of every row with a vector: its nearest centroid. Write it partitioned by `list` to have probes prune."""
-    unit = _unit(embedding)
-    near = F.array(*[F.struct((-dot(unit, constant(c)) + float(np.dot(c, c)) / 2).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centroids)])
-    return chunks.where(F.size(embedding) > 0).withColumn("list", F.array_min(near)["k"])
+    c = np.array(centroids, dtype=np.float64)
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        out = np.zeros(len(vectors), dtype=np.int32)  # vectors without direction, or of another width, are in the first list
+        own = np.array([k for k, v in enumerate(vectors) if v is not None and len(v) == c.shape[1]], dtype=np.int64)
+        if own.size:
+            far = (c**2).sum(axis=1) / 2 - _units(np.array([vectors[k] for k in own], dtype=np.float64)) @ c.T
+            good = ~np.isnan(far).any(axis=1)
+            out[own[good]] = far[good].argmin(axis=1)
+        return pd.Series(out)
+
+    return chunks.where(F.size(embedding) > 0).withColumn("list", nearest(embedding))
 
 
 def probed(block: Block, centroids: np.ndarray, probes: int) -> np.ndarray:

@@ -112,3 +112,23 @@ def test_vectors_beyond_a_block(spark, monkeypatch):
     rows = spark.createDataFrame([(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(10)], "id long, embedding array<float>")
     found = retrieval.vector_search(rows, [[float(np.cos(k)), float(np.sin(k))] for k in range(10)], 1)
     assert sorted((r["query"], r.id) for r in found.collect()) == [(k, k) for k in range(10)]
+
+
+def test_rows_are_assigned_once(spark, monkeypatch):
+    """However many blocks of queries there are, every row is put into its list once; rows without direction are in the first."""
+    from tessel.operators import retrieval as R
+
+    monkeypatch.setattr(R, "BLOCK", 5)
+    rows = [(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(60)] + [(60, [0.0, 0.0]), (61, [1.0]), (62, [None, 1.0])]
+    df, centroids, seen = spark.createDataFrame(rows, "id long, embedding array<float>"), [[1.0, 0.0], [-1.0, 0.0], [0.0, 1.0]], spark.sparkContext.accumulator(0)
+    lists = {r.id: r["list"] for r in ann.assign(df, centroids).collect()}
+    assert [lists[k] for k in (0, 3, 2, 60, 61, 62)] == [0, 1, 2, 0, 0, 0]
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    asked = spark.createDataFrame([(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(20)], "query long, embedding array<float>")
+    found = ann.search(ann.assign(df.withColumn("id", counted.asNondeterministic()("id")), centroids), centroids, asked, 3, probes=1, least=0)
+    assert found.count() == 60 and seen.value == len(rows)
