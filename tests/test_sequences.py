@@ -85,3 +85,18 @@ def test_lanes_of_nothing(spark):
     assert lanes.balanced(none, 4).count() == 0 and lanes.loads(lanes.balanced(none, 4), 4).count() == 4
     with pytest.raises(ValueError):
         lanes.balanced(none, 0)
+
+
+@pytest.mark.parametrize("block", [0, 2, 16, 4096])
+def test_walks_of_long_and_short_threads_agree(spark, monkeypatch, block):
+    """Threads are walked in a task up to a number of rows, and ranked by doubling beyond it; pages are shuffled once by the former."""
+    monkeypatch.setattr(paging, "BLOCK", max(1, block))
+    r = random.Random(9)
+    threads = {k: {j: r.choice([None, r.randrange(20), j + 1]) for j in range(r.randrange(1, 40))} for k in range(40)}
+    pages = spark.createDataFrame([(t, a, b) for t, own in threads.items() for a, b in own.items()] + [(0, 0, 5), (1, 0, None), (None, 1, 2)], "thread int, token int, next int")
+    threads[0][0] = 5 if threads[0][0] is None else min(5, threads[0][0])
+    starts = spark.createDataFrame([(t, 0) for t in threads] + [(99, 0), (0, None)], "thread int, token int")
+    found = paging.walked(pages, starts)
+    assert {(x.thread, x.token): x["rank"] for x in found.collect()} == {(t, a): k for t, own in threads.items() for k, a in enumerate(walk(own, 0))}
+    if block == 4096:
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
