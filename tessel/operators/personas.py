@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from tessel.functions.text import slug, strip, xml_escape, xml_legal
 from tessel.operators import index
 from tessel.operators.retrieval import attribute
+from tessel.tables import numbered, saved, shared_dir
+
+#: Prompts of a tree that one file holds.
+PIECE = 20_000
 
 #: Version of a definition, kinds of pipeline steps and of retrieval.
 VERSION, STEPS, MODES = "1", ("llm", "knowledge_retrieval", "memory_retrieval"), ("vector", "keyword", "hybrid")
@@ -166,29 +171,55 @@ def newest_first(memories: DataFrame) -> DataFrame:
 
 def tree_xml(prompts: DataFrame, kind: str) -> DataFrame:
     """(kind, pos, line): the lines of a prompt tree (group, category, name, prompt, pos) as XML, in order; a tree may be of any
-    size, so its lines stay rows (write them sorted)."""
+    size, so its lines stay rows (write_tree() writes them)."""
+    return _lines(_placed(prompts), kind, [])
+
+
+def _placed(prompts: DataFrame) -> DataFrame:
+    """With the first places of each row's group (__g) and category (__c)."""
+    cats = prompts.groupBy("group", "category").agg(F.min("pos").alias("__c"))
+    groups = cats.groupBy(F.col("group").alias("__group")).agg(F.min("__c").alias("__g"))
+    cats = cats.join(groups, F.col("group").eqNullSafe(F.col("__group"))).select("__group", F.col("category").alias("__category"), "__g", "__c")
+    return prompts.join(cats, F.col("group").eqNullSafe(F.col("__group")) & F.col("category").eqNullSafe(F.col("__category"))).drop("__group", "__category")
+
+
+def _lines(own: DataFrame, kind: str, by: list) -> DataFrame:
+    """(kind, by, pos, line) of rows of _placed(); where `by` parts the rows, each part opens and closes its own groups and categories."""
     text = lambda x: xml_escape(xml_legal(_some(F.col(x))))
-    first = lambda *cols: F.min("pos").over(Window.partitionBy(*cols))
-    own = prompts.withColumns({"__g": first("group"), "__c": first("group", "category")})
-    group_head = own.select("group", "__g").distinct().select(F.struct(F.col("__g").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(-1).cast("long").alias("c")).alias("pos"), F.concat(F.lit("<group name="), attribute(F.col("group")), F.lit(">")).alias("line"))
-    most = F.lit(2**62)
-    group_end = own.select("__g").distinct().select(F.struct(F.col("__g").alias("a"), most.alias("b"), most.alias("c")).alias("pos"), F.lit("</group>").alias("line"))
-    cat = own.select("group", "category", "__g", "__c").distinct()
-    cat_head = cat.select(F.struct(F.col("__g").alias("a"), F.col("__c").cast("long").alias("b"), F.lit(-1).cast("long").alias("c")).alias("pos"), F.concat(F.lit("<category name="), attribute(F.col("category")), F.lit(">")).alias("line"))
-    cat_end = cat.select(F.struct(F.col("__g").alias("a"), F.col("__c").cast("long").alias("b"), most.alias("c")).alias("pos"), F.lit("</category>").alias("line"))
-    leaf = own.select(F.struct(F.col("__g").alias("a"), F.col("__c").cast("long").alias("b"), F.col("pos").cast("long").alias("c")).alias("pos"), F.concat(F.lit("<prompt name="), attribute(F.col("name")), F.lit(">"), text("prompt"), F.lit("</prompt>")).alias("line"))
-    out = group_head.unionByName(cat_head).unionByName(leaf).unionByName(cat_end).unionByName(group_end)
-    return out.select(F.lit("pre" if kind == "pre" else "system").alias("kind"), "pos", "line")
+    first, most = F.lit(-1).cast("long"), F.lit(2**62)
+    at = lambda b, c: F.struct(F.col("__g").cast("long").alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c")).alias("pos")
+    group, cat = own.select(*by, "group", "__g").distinct(), own.select(*by, "group", "category", "__g", "__c").distinct()
+    out = [
+        group.select(*by, at(first, first), F.concat(F.lit("<group name="), attribute(F.col("group")), F.lit(">")).alias("line")),
+        cat.select(*by, at(F.col("__c"), first), F.concat(F.lit("<category name="), attribute(F.col("category")), F.lit(">")).alias("line")),
+        own.select(*by, at(F.col("__c"), F.col("pos")), F.concat(F.lit("<prompt name="), attribute(F.col("name")), F.lit(">"), text("prompt"), F.lit("</prompt>")).alias("line")),
+        cat.select(*by, at(F.col("__c"), most), F.lit("</category>").alias("line")),
+        group.select(*by, at(most, most), F.lit("</group>").alias("line")),
+    ]
+    return reduce(DataFrame.unionByName, out).select(F.lit("pre" if kind == "pre" else "system").alias("kind"), *by, "pos", "line")
+
+
+def write_tree(prompts: DataFrame, kind: str, path: str, most: int = PIECE) -> None:
+    """The tree as files of `most` prompts, each under its own <prompts> root, in folders by piece: no task writes or reads it whole. A
+    group or category that goes over the end of a piece is opened again in the next one."""
+    rows = numbered(_placed(prompts), ["__g", "__c", "pos"], "__k").withColumn("piece", F.floor(F.col("__k") / most)).drop("__k")
+    rows = saved(rows, shared_dir(prompts.sparkSession), "pieces")
+    lines = _lines(rows, kind, ["piece"])
+    end = lambda n, line: rows.select("piece").distinct().select("piece", F.struct(*[F.lit(n).cast("long").alias(c) for c in "abc"]).alias("pos"), F.lit(line).alias("line"))
+    whole = lines.drop("kind").unionByName(end(-(2**62), f'<prompts kind="{"pre" if kind == "pre" else "system"}">')).unionByName(end(2**62 + 1, "</prompts>"))
+    whole.repartition("piece").sortWithinPartitions("piece", "pos").select("piece", "line").write.partitionBy("piece").text(path)
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, group, category, name, prompt) of prompt files with a <prompts> root, in their order as pos."""
+    """(kind, group, category, name, prompt) of prompt files with a <prompts> root, in their order as pos (after that of write_tree()'s
+    pieces, where it wrote them)."""
     schema = "_kind string, group array<struct<_name:string,category:array<struct<_name:string,prompt:array<struct<_name:string,_VALUE:string>>>>>>"
     root = spark.read.format("xml").option("rowTag", "prompts").option("valueTag", "_VALUE").schema(schema).load(path)
-    g = root.select(F.when(F.col("_kind") == "pre", "pre").otherwise("system").alias("kind"), F.posexplode("group").alias("a", "g"))
-    c = g.select("kind", "a", _some(F.nullif("g._name", F.lit("")), "Imported Group").alias("group"), F.posexplode("g.category").alias("b", "c"))
-    p = c.select("kind", "a", "b", "group", _some(F.nullif("c._name", F.lit("")), "Uncategorized").alias("category"), F.posexplode("c.prompt").alias("d", "p"))
-    return p.select("kind", "group", "category", _some(F.nullif("p._name", F.lit("")), "Untitled").alias("name"), _some(F.col("p._VALUE")).alias("prompt"), F.struct("a", "b", "d").alias("pos"))
+    by = [c for c in ("piece",) if c in root.columns]
+    g = root.select(*by, F.when(F.col("_kind") == "pre", "pre").otherwise("system").alias("kind"), F.posexplode("group").alias("a", "g"))
+    c = g.select(*by, "kind", "a", _some(F.nullif("g._name", F.lit("")), "Imported Group").alias("group"), F.posexplode("g.category").alias("b", "c"))
+    p = c.select(*by, "kind", "a", "b", "group", _some(F.nullif("c._name", F.lit("")), "Uncategorized").alias("category"), F.posexplode("c.prompt").alias("d", "p"))
+    return p.select("kind", "group", "category", _some(F.nullif("p._name", F.lit("")), "Untitled").alias("name"), _some(F.col("p._VALUE")).alias("prompt"), F.struct(*by, "a", "b", "d").alias("pos"))
 
 
 def slice_tree(prompts: DataFrame, kind: str, group: str, category: str | None = None, name: str | None = None) -> DataFrame:
@@ -214,4 +245,4 @@ def migrated_prompts(chats: DataFrame) -> DataFrame:
     return chats.withColumns({k: F.when(done, F.col(k)).otherwise(v) for k, v in new.items()} | {"changed": ~done})
 
 
-__all__ = ["bundle_members", "bundles", "definition", "fresh_ids", "from_presets", "knowledge_items", "memory_items", "migrated_prompts", "newest_first", "read_definitions", "read_tree", "safe_member", "slice_tree", "tree_xml"]
+__all__ = ["bundle_members", "bundles", "definition", "fresh_ids", "from_presets", "knowledge_items", "memory_items", "migrated_prompts", "newest_first", "read_definitions", "read_tree", "safe_member", "slice_tree", "tree_xml", "write_tree"]

@@ -130,11 +130,7 @@ def prompt_slice(spark, sf_dir):
     """A tree that is written as XML, read back, and of which one group is taken."""
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.col("p_type").alias("category"), F.concat(F.lit('n"<'), F.col("p_partkey")).alias("name"), F.concat("p_name", F.lit(" & <x>")).alias("prompt"), F.col("p_partkey").alias("pos"))
     path = f"{shared_dir(spark)}/prompts"
-    lines = personas.tree_xml(p, "system")
-    # one file, as a root tag must hold it all
-    whole = lines.select("pos", "line").unionByName(lines.limit(1).select(F.struct(F.lit(-1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("pos"), F.lit('<prompts kind="system">').alias("line")))
-    whole = whole.unionByName(lines.limit(1).select(F.struct(F.lit(2**62).alias("a"), F.lit(2**62).alias("b"), F.lit(2**62).alias("c")).alias("pos"), F.lit("</prompts>").alias("line")))
-    whole.coalesce(1).sortWithinPartitions("pos").select("line").write.text(path)
+    personas.write_tree(p, "system", path)
     tree = personas.read_tree(spark, path)
     first = table(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0]
     return personas.slice_tree(tree, "other", first).select(F.expr("cast(substr(name, 4) as long)").alias("pos"), "kind", "group", "category")

@@ -189,3 +189,17 @@ def test_small_lookups(spark):
     assert [tuple(x) for x in one(spark, lookups.single_turn(F.lit("p")))] == [("user", "p")]
     e = spark.createDataFrame([(1, "b"), (1, None), (2, "b")], "v int, body string")
     assert lookups.cached(e, 1).count() == 1
+
+
+def test_trees_are_written_in_pieces(spark, tmp_path):
+    """No file holds more prompts than it may, each has its own root, and reading them gives the tree in its order."""
+    rows = [(f"g{k % 3}" if k % 7 else None, f"c<{k % 2}", f"n{k}", f"p & {k}", 100 - k) for k in range(50)]
+    df = spark.createDataFrame(rows, "group string, category string, name string, prompt string, pos long").repartition(3)
+    for most in (4, 1000):
+        path = str(tmp_path / str(most))
+        personas.write_tree(df, "system", path, most)
+        files = spark.read.text(path, wholetext=True).select("value").collect()
+        assert len(files) == -(-50 // most) and all(f.value.count("<prompts ") == 1 and f.value.count("<prompt ") <= most for f in files)
+        got = [(r.group, r.category, r["name"], r.prompt) for r in personas.read_tree(spark, path).orderBy("pos").collect()]
+        order = lambda r: (min(x[4] for x in rows if x[0] == r[0]), min(x[4] for x in rows if x[:2] == r[:2]), r[4])
+        assert got == [(g or "Imported Group", c, n, p) for g, c, n, p, _ in sorted(rows, key=order)]
