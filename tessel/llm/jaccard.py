@@ -5,8 +5,9 @@ and four errors can tell from chance. So the fingerprint here is WORDS words wid
 A document emits, for each pair, the codeword indices of every word within one bit of it (about ten keys); two documents
 of similarity 0.8 share a key with a probability of about 0.99, of 0.84 with 0.998, more similar ones nearly always (README).
 Members of a key that differ in more than SKETCH_BITS of the first 95 bits meet there by chance and are not looked at again.
-What is left forms groups; in a group not all pairs are compared: first each member with the first of all its groups; where that leaves several
-components, each member with its nearest one of another component, twice; what is then still apart is compared as far as all bits of
+What is left forms groups. Groups that have the same first member, or whose first members have a group in common, are united, so a cluster of
+near copies that meets under thousands of keys is a few groups of it. In a group not all pairs are compared: first each member with the first
+of all its groups; where that leaves several components, each member with its nearest one of another component; what is then still apart is compared as far as all bits of
 the fingerprints leave it possible.
 """
 
@@ -34,9 +35,12 @@ SKETCH_BITS = 29
 BLOCK = 256
 #: Bits in which the whole fingerprints of similar documents may differ: at similarity 0.8 about 142, give or take 11.
 PRINT_BITS = 188
+#: Members of a group that is united with others by its first one; members of a united group, and of a part of it. A member has at most
+#: some 200 keys, so no more groups meet under it.
+UNITED, LARGE, PART = 64, 8192, 768
 #: Rounds in which each member is compared with the nearest one of another component only. The last round after them takes all
 #: that are left apart, so nothing but the number of comparisons depends on it.
-NEAREST = 2
+NEAREST = 1
 _R = np.random.default_rng(SEED)
 _MULTIPLY, _ADD = _R.integers(0, 2**63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1), _R.integers(0, 2**63, WORDS, dtype=np.uint64)
 
@@ -112,9 +116,10 @@ def _pair(x: str, y: str) -> list:
 
 
 def _close_groups(most: int):
-    """Rows (key, part, node, first, second) sorted by key and part -> (key, node) by first and second as 95 bits: members of each part that are joined by
-    differences of at most so many bits, if they are at least two. The key made here is a hash of the members, so what
-    meets under many keys is one group."""
+    """Rows (key, part, node, first, second) sorted by key and part -> (key, node, center) by first and second as 95 bits: members of each part
+    that are joined by differences of at most so many bits, if they are at least two; center is the least of them. The key made here is
+    the least center that this one has in a batch, so groups that have it in common are one; of groups of more than UNITED members it is
+    a hash of them all."""
 
     def groups(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray):
         cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
@@ -133,9 +138,21 @@ def _close_groups(most: int):
                     left = left[~near]
                 if len(own) > 1:
                     found.append(nodes[np.sort(own)])
-        names = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(f) for f in found])), pa.array(flat)], names=["key", "node"])
+        centers = np.array([f.min() for f in found], dtype=np.int64)
+        hashed = lambda f: np.uint64(xxhash.xxh64_intdigest(np.sort(f).tobytes(), SEED)).astype(np.int64)
+        names = np.array([c if len(f) <= UNITED else hashed(f) for c, f in zip(centers, found)], dtype=np.int64)
+        flat, sizes = np.concatenate(found) if found else np.zeros(0, np.int64), [len(f) for f in found]
+        rows = np.stack((np.repeat(names, sizes), flat, np.repeat(centers, sizes)))
+        if rows.size:
+            known, at = np.unique(flat, return_inverse=True)
+            least = known.copy()
+            np.minimum.at(least, at, np.where(rows[0] == rows[2], rows[0], flat))
+            to = np.where(rows[0] == rows[2], least[np.searchsorted(known, rows[2])], rows[0])
+            names, at = np.unique(to, return_inverse=True)
+            rows[0] = np.where(np.bincount(at)[at] <= LARGE, to, rows[0])
+            rows = rows[:, np.lexsort(rows[::-1])]  # of a node in a group the least center
+            rows = rows[:, np.concatenate(([True], np.any(rows[:2, 1:] != rows[:2, :-1], axis=0)))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "node", "center"])
 
     def run(batches):
         keys, nodes, prints = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
@@ -154,7 +171,7 @@ def _close_groups(most: int):
 
 
 def candidates(nodes: DataFrame, folder: str, block: int = KEY_BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """(node, made: fingerprint) -> distinct (key, node): groups of nodes that may be similar."""
+    """(node, made: fingerprint) -> (key, node, center): groups of nodes that may be similar, each node of one once, with the least node that it meets there."""
     large_batches(nodes.sparkSession)
 
     def run(batches):
@@ -168,23 +185,40 @@ def candidates(nodes: DataFrame, folder: str, block: int = KEY_BLOCK, sample: in
 
     keyed_of = lambda n: n.mapInArrow(run, "key int, node long, first long, second int")
     dealt = dealt_by_key(nodes.where(F.size("made") > 0).select("node", "made"), keyed_of, folder, block, sample)
-    return saved(dealt.mapInArrow(_close_groups(SKETCH_BITS), "key long, node long").distinct(), folder, "groups")
+    return saved(dealt.mapInArrow(_close_groups(SKETCH_BITS), "key long, node long, center long").groupBy("key", "node").agg(F.min("center").alias("center")), folder, "groups")
+
+
+def united(groups: DataFrame, folder: str) -> DataFrame:
+    """Groups (key, node, center) -> distinct (key, node, side), where any two nodes that have a group in common have one again.
+
+    A group goes as a whole to the least group that the node has whose name it bears; what meets there is cut into a grid of parts, so that
+    no task holds all of it: a cell of two parts is for pairs of different sides only. Where it would have more than LARGE members groups stay as they are."""
+    to = groups.groupBy("node").agg(F.min("key").alias("to")).where("to < node").select(F.col("node").alias("key"), "to")
+    moved = saved(groups.join(to, "key", "left").select("key", F.coalesce("to", "key").alias("to"), "node"), folder, "moved")
+    many = moved.groupBy("to").agg(F.approx_count_distinct("node").alias("n")).where(F.col("n") > PART)
+    many = saved(many.select("to", F.when(F.col("n") <= LARGE, F.ceil(F.col("n") / PART).cast("int")).otherwise(0).alias("parts")), folder, "many")
+    own = moved.join(many, "to", "left").select(F.when(F.col("parts") == 0, F.col("key")).otherwise(F.col("to")).alias("key"), "node", F.when(F.col("parts") > 0, F.col("parts")).otherwise(1).alias("parts")).distinct()
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cell = lambda k: F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(part, k), F.greatest(part, k)))
+    return saved(own.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cell)).alias("key"), "node", part.alias("side")), folder, "united")
 
 
 def _near_pairs(most: int, nearest: bool):
-    """Rows (key, node, label, made) sorted by key -> (a, b, bits): members of a key with different labels whose fingerprints differ in
+    """Rows (key, node, label, side, made) sorted by key -> (a, b, bits): members of a key with different labels (and sides, if it has several) whose fingerprints differ in
     at most so many bits; a is paired with the nearest of them only, or with all of larger number."""
 
-    def pairs(keys, nodes, labels, prints):
+    def pairs(keys, nodes, labels, sides, prints):
         out = []
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for s, e in zip(cuts, cuts[1:]):
-            own, words = labels[s:e], np.ascontiguousarray(prints[s:e].T)
+            own, side, words = labels[s:e], sides[s:e], np.ascontiguousarray(prints[s:e].T)
             for k in range(0, e - s, 64):
                 far = np.zeros((min(64, e - s - k), e - s), dtype=np.uint16)
                 for w in words:
                     far += np.bitwise_count(w[k : k + 64, None] ^ w[None, :])
                 far[own[k : k + 64, None] == own[None, :]] = most + 1
+                if side.min() < side.max():
+                    far[side[k : k + 64, None] == side[None, :]] = most + 1
                 if nearest:
                     x, y = np.arange(len(far)), far.argmin(axis=1)
                     x, y = x[far[x, y] <= most], y[far[x, y] <= most]
@@ -197,7 +231,7 @@ def _near_pairs(most: int, nearest: bool):
     def run(batches):
         held = None
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [b.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [b.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
             if len(changes := np.flatnonzero(held[0][1:] != held[0][:-1])) and len(held[0]) >= 20_000:
                 end = changes[-1] + 1
@@ -210,24 +244,23 @@ def _near_pairs(most: int, nearest: bool):
 
 
 def links(keyed: DataFrame, nodes: DataFrame, sets_of, folder: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, label) of the components over groups (key, node): label is the same for nodes that verified links join.
+    """(node, label) of the components over groups (key, node, center): label is the same for nodes that verified links join.
 
     nodes has the fingerprints (node, made), sets_of(nodes) gives (node, made: shingles) for the nodes of groups. A pair is not
     looked at where its nodes are in one component already."""
     large_batches(keyed.sparkSession)
-    buckets = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")), folder, "buckets")
-    members = saved(keyed.join(buckets.select("key", "center"), "key"), folder, "members")
-    sets = saved(sets_of(members.select("node").distinct()), folder, "sets")
-    first = members.groupBy("node").agg(F.min("center").alias("center")).where("node <> center")
+    first = saved(keyed.groupBy("node").agg(F.min("center").alias("center")), folder, "first")
+    sets = saved(sets_of(first.select("node")), folder, "sets")
+    members, first = united(keyed, folder), first.where("node <> center")
     pairs = saved(first.select(*_pair("node", "center")).distinct(), folder, "pairs0")
     labels = components(saved(_verified(pairs, sets, similarity, f"{folder}/verify0"), folder, "links0"), f"{folder}/components0")
     for turn in range(1, NEAREST + 2):
         nearest = turn <= NEAREST
-        own = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        own = saved(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), folder, f"labelled{turn}")
         apart = saved(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), folder, f"apart{turn}")
         if apart.isEmpty():
             return labels
-        rows = own.join(apart, "key").join(nodes.select("node", "made"), "node").select("key", "node", "label", "made")
+        rows = own.join(apart, "key").join(nodes.select("node", "made"), "node").select("key", "node", "label", "side", "made")
         found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near_pairs(PRINT_BITS, nearest), "a long, b long, bits long")
         if nearest:  # the nearest over all groups of a node
             found = found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", "m.b")

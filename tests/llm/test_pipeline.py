@@ -168,6 +168,39 @@ def test_rounds_of_nearest_members_change_nothing(spark, monkeypatch, rounds):
     assert 2 < len(set(want.values())) and sum(found[k] == want[k] for k in want) >= 78
 
 
+@pytest.mark.parametrize("large", [8192, 12])
+def test_groups_are_united(spark, monkeypatch, tmp_path, large):
+    """Nodes that have a group in common have one again, in far fewer rows, and cells of large groups are small."""
+    monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    r = random.Random(4)
+    groups = [sorted(r.sample(range(1000 * c, 1000 * c + 40), r.randrange(2, 6))) for c in range(3) for _ in range(300)]
+    rows = {(g[0], x, g[0]) for g in groups for x in g}
+    found = jaccard.united(spark.createDataFrame(list(rows), "key long, node long, center long"), str(tmp_path)).collect()
+    cells, sides = {}, {}
+    for x in found:
+        cells.setdefault(x.key, set()).add(x.node)
+        sides.setdefault(x.key, {})[x.node] = x.side
+    met = {frozenset((a, b)) for k, c in cells.items() for a in c for b in c if a != b and (len(set(sides[k].values())) == 1 or sides[k][a] != sides[k][b])}
+    assert met >= {frozenset((a, b)) for g in groups for a in g for b in g if a != b}
+    assert len(found) == len({(x.key, x.node) for x in found}) and (large == 12 or max(map(len, cells.values())) <= 30)
+
+
+def test_a_cluster_under_many_keys_is_few_groups(spark, tmp_path):
+    """Near copies, most of them just below 0.8, meet under thousands of keys: the rows that are compared do not follow the keys."""
+    r = random.Random(9)
+    base = [f"v{r.randrange(3000)}" for _ in range(300)]
+    texts = [" ".join(edited(r, base, 0.03)) for _ in range(120)]
+    sets = [jaccard.shingles(t.encode()) for t in texts]
+    rows = [(k, jaccard.wide_fingerprint(s).view(np.int64).tolist()) for k, s in enumerate(sets)]
+    found = jaccard.candidates(spark.createDataFrame(rows, "node long, made array<long>"), str(tmp_path))
+    keys = {}
+    for k, key in zip(*(x.tolist() for x in jaccard.pair_keys(simhash.Golay(), np.array([m for _, m in rows]).view(np.uint64)))):
+        keys.setdefault(key, set()).add(k)
+    met = sum(len(v) for v in keys.values() if len(v) > 1)
+    assert jaccard.united(found, str(tmp_path)).count() < met / 4
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS + ", __lost int, part int, node long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
