@@ -138,3 +138,21 @@ def test_degraded_questions_and_blocks(spark):
     assert [(r.kind, r.chunk_index, r.label, r.library_name, r.message_index) for r in described.orderBy("rank").collect()] == [("thread", 2, 'Turn 4 "x"', None, 3), ("inline", None, "excerpt", None, None)]
     assert retrieval.excerpt_block(described).first().block == '<retrieved>\n  <excerpt item="m3" label="Turn 4 &quot;x&quot;">\na &amp; b\n  </excerpt>\n  <excerpt item="excerpt" label="excerpt" score="0.500">\n t \n  </excerpt>\n</retrieved>'
     assert retrieval.excerpts(rows).first().excerpts == "[1] (m3) a & b\n\n[2] () t" and retrieval.excerpts(rows.limit(0)).first().excerpts == "(none found)"
+
+
+def test_pages_come_to_python_in_small_batches(spark, monkeypatch):
+    """Of any number of pages a worker holds a batch of few; before, 10,000 pages were one batch."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tessel.functions import pages
+
+    @F.pandas_udf("struct<blocks:string,all:string>")
+    def sizes(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"blocks": [str(len(html)).zfill(500)] * len(html), "all": [""] * len(html)})
+
+    monkeypatch.setattr(pages, "page_blocks", sizes)
+    for name, before in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", str(64 << 20))):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", before)
+    found = spark.range(0, 1000, 1, 1).select(F.concat(F.lit("<p>x"), "id").alias("html")).select(pages.page_text("html").alias("t")).distinct().collect()
+    assert max(int(r.t) for r in found) <= 128
