@@ -387,3 +387,34 @@ def test_stream_of_entries_has_each_once(spark, tmp_path):
     spark.createDataFrame([("e1",), ("e1",), ("e2",)], "id string").write.parquet(str(tmp_path / "in"))
     new_entries(spark.readStream.schema("id string").parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("entries").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("entries").count() == 2
+
+
+def test_keys_are_counted_in_tasks_that_follow_their_number(spark, monkeypatch, tmp_path):
+    """Keys of any number are counted KEYS at a time; before, Spark put all that packed well into one task."""
+    from pyspark.sql import functions as F
+
+    from tessel.operators import retrieval
+
+    parts, keep = [], retrieval.saved
+
+    def seen(df, folder, name):
+        if name == "again":
+            parts.append(df.rdd.getNumPartitions())
+        return keep(df, folder, name)
+
+    monkeypatch.setattr(retrieval, "KEYS", 10)
+    monkeypatch.setattr(retrieval, "saved", seen)
+    rows = spark.range(95).select(F.concat(F.lit("k"), F.col("id") % 90).alias("id"), F.lit("b c").alias("content"))
+    found = retrieval.bm25(rows, ["c"], 3).collect()
+    assert parts == [10] and [r.id for r in found] == ["k0", "k1", "k2"] and found[0].score > found[2].score / 2
+
+
+def test_found_rows_go_to_the_chunks(spark):
+    """The chunks of a search are not shuffled to be joined with the few rows that it found."""
+    from tessel.operators import answers
+
+    chunks = spark.createDataFrame([(f"c{k}", "s", f"word{k % 3} x{k}") for k in range(30)], "id string, source_id string, content string")
+    asked = spark.createDataFrame([(1, "word1", ["s"])], "query int, q string, library_ids array<string>")
+    found = answers.retrieve_for(asked, chunks, spark.createDataFrame([("s", "compiled")], "source_id string, state string"), 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and found.count() == 4
