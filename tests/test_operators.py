@@ -418,3 +418,19 @@ def test_found_rows_go_to_the_chunks(spark):
     found = answers.retrieve_for(asked, chunks, spark.createDataFrame([("s", "compiled")], "source_id string, state string"), 4)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and found.count() == 4
+
+
+def test_pairs_of_postings_and_queries_are_no_rows(spark, tmp_path):
+    """A term that all rows and all queries have is scored without a row for each pair; results are those of a scan."""
+    from pyspark.sql import functions as F
+
+    from tessel.operators import postings, retrieval
+
+    rows = spark.range(300).select(F.concat(F.lit("k"), F.col("id") % 290).alias("id"), F.concat(F.lit("the "), F.repeat(F.lit("cat "), (F.col("id") % 5).cast("int")), F.col("id") % 7).alias("content"))
+    asked = spark.range(200).select(F.col("id").alias("query"), F.concat(F.lit("The cat "), F.col("id") % 9).alias("q"))
+    postings.write(*postings.build(rows), str(tmp_path))
+    found = postings.search(*postings.read(spark, str(tmp_path)), asked, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    plain = lambda df: sorted((r["query"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert plain(found) == plain(retrieval.bm25(rows, asked, 4)) and found.count() == 800
