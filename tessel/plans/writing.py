@@ -45,7 +45,7 @@ def _read(spark, connect):
         con = connect()
         for b in batches:
             for k in b["id"]:
-                yield pd.DataFrame(con.execute(f"SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % {PARTS} = ?", (int(k),)).fetchall(), columns=["c_custkey", "c_name", "c_nationkey"])
+                yield pd.DataFrame(con.execute(f"SELECT c_custkey, c_name, c_nationkey FROM customer WHERE abs(c_custkey % {PARTS}) = ?", (int(k),)).fetchall(), columns=["c_custkey", "c_name", "c_nationkey"])
         con.close()
 
     return spark.range(0, PARTS, 1, PARTS).mapInPandas(run, "c_custkey long, c_name string, c_nationkey long")
@@ -68,4 +68,5 @@ def write_back(spark, sf_dir):
     done = writeback.write_back(connect, "customer", plan, ["c_custkey"])
     now = saved(_read(spark, connect), shared_dir(spark), "now")
     status = done.select(F.get_json_object("key", "$.c_custkey").cast("long").alias("c_custkey"), "status")
-    return customers.select("c_custkey").join(status, "c_custkey", "left").join(now, "c_custkey", "left").select("c_custkey", F.coalesce("status", F.lit("same")).alias("status"), "c_name", F.coalesce("c_nationkey", F.lit(-1)).alias("c_nationkey"))
+    found = customers.select("c_custkey").join(status, "c_custkey", "left").join(now.withColumn("there", F.lit(True)), "c_custkey", "left")
+    return found.select("c_custkey", F.coalesce("status", F.lit("same")).alias("status"), "c_name", F.when(F.col("there"), F.col("c_nationkey")).otherwise(-1).alias("c_nationkey"))

@@ -53,7 +53,7 @@ class Names:
         texts = ", ".join(f"CAST('' AS TEXT) AS {c}" for c in ("rowkey", "col", "new", "tag"))
         return [
             f"CREATE TABLE {self.stage} AS SELECT {cells}, {texts}, CAST(0 AS INTEGER) AS part FROM {self.table} WHERE 1 = 0",
-            f"CREATE TABLE {self.result} (rowkey TEXT, status TEXT, error TEXT, part INTEGER, tag TEXT)",
+            f"CREATE TABLE {self.result} (rowkey TEXT, status TEXT, error TEXT, part INTEGER)",
         ]
 
     def index(self) -> str:
@@ -64,8 +64,9 @@ class Names:
         return f"UPDATE {self.table} SET {quoted(column)} = (SELECT s.new FROM {self.stage} s WHERE s.col = ? AND {self.same}) WHERE EXISTS (SELECT 1 FROM {self.stage} s WHERE s.col = ? AND {self.same})"
 
     def results(self) -> str:
+        """One result for each row, also where several tasks staged its cells."""
         there = " AND ".join(f"t.{quoted(c)} = s.k{k}" for k, c in enumerate(self.keys))
-        return f"INSERT INTO {self.result} SELECT DISTINCT s.rowkey, CASE WHEN EXISTS (SELECT 1 FROM {self.table} t WHERE {there}) THEN 'applied' ELSE 'nomatch' END, '', s.part, s.tag FROM {self.stage} s"
+        return f"INSERT INTO {self.result} SELECT DISTINCT s.rowkey, CASE WHEN EXISTS (SELECT 1 FROM {self.table} t WHERE {there}) THEN 'applied' ELSE 'nomatch' END, '', s.part FROM {self.stage} s"
 
 
 def _statement(connection, sql: str, values: Sequence = ()) -> None:

@@ -32,6 +32,20 @@ def test_situated_chunks_of_odd_texts(spark, tmp_path):
     assert got == want and len(got) > 60
 
 
+def test_write_back_of_odd_customers(spark, tmp_path):
+    """Keys below zero and none at all, missing names and nations, and cells of one row that different tasks send."""
+    rows = [(k, None if k % 7 == 0 else f"c{k}", None if k % 5 == 0 else k % 3, "m") for k in range(-60, 60)] + [(None, "n", 1, "m")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in registry.QUERIES["write_back"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(got, key=repr) == sorted(con.sql(registry.ORACLE["write_back"]).fetchall(), key=repr) and len(got) == len(rows)
+
+
 def test_cosines_that_a_task_holds_are_bounded(monkeypatch):
     """A batch of any size goes through in products of CELLS cosines; ties at the edges of slices go to the smaller key."""
     import numpy as np

@@ -79,6 +79,19 @@ def test_a_task_that_runs_twice_counts_once(spark, base, tmp_path):
     assert tables(base) == {"people"}
 
 
+def test_a_row_whose_cells_two_tasks_stage_is_one_result(spark, base):
+    own = writeback.Names("people", ["id", "place"], "r2")
+    con = base()
+    for sql in own.create():
+        con.execute(sql)
+    con.commit()
+    writer = writeback._Writer(base, own)
+    row = lambda k, col: {"key": json.dumps({"id": k, "place": "a\"b'é"}), "col": col, "new": "x", "part": 1}
+    writer.commit([writer.write(iter([row(k, col) for k in (1, 7)])) for col in ("name", "note")])
+    assert base().execute("select status from result_r2 order by 1").fetchall() == [("applied",), ("nomatch",)]
+    assert base().execute("select name, note from people where id = 1").fetchall() == [("x", "x")]
+
+
 def test_row_by_row(spark, base):
     got = status(writeback.write_back(base, "people", plan_of(spark, [(1, "name", "a"), (2, "name", "bad"), (7, "name", "b"), (3, "name", "c"), (3, "note", None)]), ["id", "place"], "row"))
     assert {k: v[0] for k, v in got.items()} == {1: "applied", 2: "error", 7: "nomatch", 3: "applied"} and "IntegrityError" in got[2][1]
