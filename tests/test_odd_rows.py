@@ -32,6 +32,18 @@ def test_situated_chunks_of_odd_texts(spark, tmp_path):
     assert got == want and len(got) > 60
 
 
+def test_situated_chunks_are_of_whole_documents(spark, tmp_path):
+    """No word of a document is left out, neither before its end nor where it has blank lines."""
+    docs = {k: [f"w{k}_{j}" for j in range(n)] for k, n in enumerate((1, 511, 512, 513, 960, 961, 5000))}
+    rows = [(k, ("\n\n" if k % 2 else " ").join(w)) for k, w in docs.items()] + [(90, "a\n\nExcerpt:\nb"), (91, " \n\n "), (92, None)]
+    got, want = both(spark, tmp_path, "situated_chunks", documents=(rows, "doc_id long, text string"))
+    assert got == want  # (content, context, item_id)
+    held = {k: {w for content, _, i in got if i == k for w in content.split()} for k in docs}
+    assert held == {k: set(w) for k, w in docs.items()} and sum(len(content.split()) == 512 for content, _, _ in got) == 17
+    assert {(content, context) for content, context, i in got if i == 90} == {("a Excerpt: b", "")} and [r for r in got if r[2] > 90] == [("", "", 91)]
+    assert all(context == (f"w{i}_0~{content[:10].rstrip()}" if len(content) % 2 else "") for content, context, i in got if i in docs)
+
+
 def test_write_back_of_odd_customers(spark, tmp_path):
     """Keys below zero and none at all, missing names and nations, and cells of one row that different tasks send."""
     rows = [(k, None if k % 7 == 0 else f"c{k}", None if k % 5 == 0 else k % 3, "m") for k in range(-60, 60)] + [(None, "n", 1, "m")]
